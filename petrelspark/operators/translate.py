@@ -151,7 +151,7 @@ def task_rows(tasks: DataFrame) -> DataFrame:
     poll, end = _p(k, "_poll"), _p(k, "_done")
     out = _emit(tasks, _place(n, ready), _place(n, running), _place(n, done), _trans(n, poll, "AsyncPoll", var=k), _arc(n, ready, poll), _arc(n, w, poll), _arc(n, poll, running), _trans(n, end, "AsyncDone", var=k), _arc(n, running, end), _arc(n, end, done), _arc(n, end, w))
     out = out.union(_emit(tasks.select("net_id").distinct(), _place(n, w, 1, 1, "Resources")))
-    each = tasks.where("awaits > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("awaits"))).cast("string").alias("i"))
+    each = tasks.where("awaits > 0").select("*", F.explode(F.transform(F.sequence(F.lit(1), F.col("awaits")), lambda x: x.cast("string"))).alias("i"))
     i = F.col("i")
     blocked, event = _p(k, "_blocked", i), _p(k, "_event", i)
     go, stop, wake = _p(k, "_await_ready", i), _p(k, "_await_pending", i), _p(k, "_wake", i)
