@@ -61,11 +61,14 @@ def binned_witnesses(trace: DataFrame, width: int = 4096) -> DataFrame:
     return both.groupBy("rule", "var", "tid_i", "tid_j", "start_idx", "end_idx").agg(F.max("mid").alias("mid_idx"))
 
 
-def slices(trace: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` with ``slice``, the thread and kind of each of its variable's events from start to end, in order."""
-    ev = trace.select(F.col("var").alias("v"), "idx", F.concat_ws(":", F.col("idx").cast("string"), F.col("tid").cast("string"), "kind").alias("what"))
-    rows = found.join(ev, (F.col("var") == F.col("v")) & F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
-    return rows.groupBy(*found.columns).agg(F.array_sort(F.collect_list(F.struct("idx", "what"))).alias("s")).withColumn("slice", F.transform("s", lambda x: x["what"])).drop("s")
+def slices(trace: DataFrame, found: DataFrame, width: int = 1024) -> DataFrame:
+    """``found`` with ``slice``, the index, thread and kind of each of its variable's events from start to end, in order.
+
+    The range join is an equi-join on bins of ``width`` indices."""
+    ev = trace.select(F.col("var").alias("v"), F.col("idx").alias("at"), F.concat_ws(":", F.col("idx").cast("string"), F.col("tid").cast("string"), "kind").alias("what"), F.floor(F.col("idx") / width).alias("b"))
+    spread = found.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_idx") / width), F.floor(F.col("end_idx") / width))))
+    rows = spread.join(ev, (F.col("var") == F.col("v")) & (F.col("_bin") == F.col("b"))).where("at between start_idx and end_idx")
+    return rows.groupBy(*found.columns).agg(F.array_sort(F.collect_list(F.struct("at", "what"))).alias("s")).withColumn("slice", F.transform("s", lambda x: x["what"])).drop("s")
 
 
 def fingerprint(found: DataFrame, by: list[str], parts: list[str]) -> DataFrame:

@@ -229,10 +229,10 @@ def trace_av_summary(spark, sf_dir):
     return sequence.binned_witnesses(derive.trace(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("witnesses"), F.countDistinct("var").alias("vars"))
 
 
-@query(_TRACE + " SELECT rule, f.var, tid_i, tid_j, start_idx, mid_idx, end_idx, string_agg(t.idx || ':' || t.tid || ':' || t.kind, ',' ORDER BY t.idx) AS slice FROM found f JOIN trace t ON t.var = f.var AND t.idx BETWEEN start_idx AND end_idx WHERE end_idx - start_idx <= 64 GROUP BY ALL")
+@query(_TRACE + " SELECT rule, f.var, tid_i, tid_j, start_idx, mid_idx, end_idx, string_agg(t.idx || ':' || t.tid || ':' || t.kind, ',' ORDER BY t.idx) AS slice FROM found f JOIN trace t ON t.var = f.var AND t.idx BETWEEN start_idx AND end_idx GROUP BY ALL")
 def trace_slice(spark, sf_dir):
     t = derive.trace(spark, sf_dir)
-    return sequence.slices(t, sequence.binned_witnesses(t).where("end_idx - start_idx <= 64")).withColumn("slice", F.array_join("slice", ","))
+    return sequence.slices(t, sequence.binned_witnesses(t)).withColumn("slice", F.array_join("slice", ","))
 
 
 _ALLOWED = ", ".join(f"('{k}', '{s}')" for k, v in C.ALLOWED_STORES.items() for s in v)
