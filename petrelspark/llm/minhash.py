@@ -4,8 +4,10 @@
    Documents of equal sets are one class from here on, so copies are never paired.
 2. In each bucket every class is a candidate of the bucket's smallest class only: as many edges as bucket members.
 3. Candidates are confirmed on full shingle sets, which are computed again from the texts of candidates alone.
-4. Where a bucket still holds classes of different components, those that its star did not compare are compared as well,
-   if their sizes allow the similarity; so the star loses no link between different texts that share a bucket.
+4. Where a bucket still holds classes of different components, those that its star did not compare are compared as well, so
+   the star loses no link between different texts that share a bucket.  A profile of each set (how many of its hashes fall
+   into each of 256 ranges) bounds the intersection of two sets from above; only pairs whose bound allows the similarity
+   leave the task that compares them, and big buckets are compared in blocks of bounded size.
 5. Components come from confirmed links.
 
 The number of bands follows from the threshold, the rows of a band and ``miss``, the accepted probability that a pair
@@ -38,6 +40,10 @@ _RNG = np.random.Generator(np.random.PCG64(977))
 _ODD = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles of all leaves that one verification group holds at most, unless one document has more.
 GROUP_SHINGLES = 1_500_000
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 800
+#: Requests for texts up to which they are broadcast to where the texts are; more are joined by a shuffle.
+BROADCAST_REQUESTS = 25_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -108,18 +114,20 @@ def bands_for(threshold: float, rows: int, miss: float) -> int:
 
 
 def features(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null: no shingle), bands."""
+    """doc_id, n_shingles, digest (null: no shingle), bands, profile (null: a range has too many hashes to count in a byte)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            counts, digests, keys = [], [], []
+            counts, digests, keys, profiles = [], [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 counts.append(len(s))
                 digests.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(band_keys(s, bands, rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+                ranges = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256)
+                profiles.append(ranges.astype(np.uint8).tobytes() if ranges.max() < 256 else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(profiles, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "profile"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, profile binary")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -129,7 +137,10 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     hubs = pairs.groupBy("a").agg(F.sum("nb").alias("all")).select(F.col("a").alias("hub"), F.ceil(F.col("all") / GROUP_SHINGLES).cast("long").alias("groups"))
     leaves = pairs.join(hubs, F.col("a") == F.col("hub")).select(F.col("b").alias("id"), "hub", F.pmod(F.xxhash64("b"), "groups").alias("part"), F.lit(False).alias("is_hub"))
     own = hubs.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(True).alias("is_hub"))
-    asked = docs.join(leaves.union(own), F.col("doc_id") == F.col("id")).select("text", "id", "hub", "part", "is_hub")
+    requests = stage(leaves.union(own), "requests")
+    if requests.count() <= BROADCAST_REQUESTS:
+        requests = F.broadcast(requests)
+    asked = docs.join(requests, F.col("doc_id") == F.col("id")).select("text", "id", "hub", "part", "is_hub")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 4 << 20):
@@ -155,6 +166,38 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     return asked.mapInArrow(sets, "id long, hub long, part long, is_hub boolean, hashes binary").groupBy("hub", "part").applyInArrow(verify, "a long, b long")
 
 
+def possible(rest: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, nb) of ``rest`` (band, key, rep, n, c) in one bucket with different ``c`` whose profiles (doc_id, profile) allow the similarity."""
+    sizes = rest.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).withColumnsRenamed({"band": "in_band", "key": "in_key"})
+    mine = F.pmod(F.xxhash64("rep"), "blocks")
+    dealt = rest.join(sizes, (F.col("band") == F.col("in_band")) & (F.col("key") == F.col("in_key"))).withColumn("block", mine)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("band", "key", "rep", "n", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    known = profiles.join(rest.select(F.col("rep").alias("of")).distinct(), F.col("doc_id") == F.col("of")).groupBy("of").agg(F.any_value("profile").alias("profile"))
+    rows = dealt.join(known, F.col("rep") == F.col("of")).drop("of")
+
+    def compare(table: pa.Table) -> pa.Table:
+        rep, n, c, block = (table.column(k).to_numpy() for k in ("rep", "n", "c", "block"))
+        raw = table.column("profile").to_pylist()
+        profile = np.stack([np.frombuffer(x, np.uint8) if x is not None else np.full(256, 255, np.uint8) for x in raw])
+        exact = np.array([x is not None for x in raw])
+        across = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        a, b, nb = [], [], []
+        for i in range(len(rep) - 1):
+            j = np.arange(i + 1, len(rep))
+            j = j[(c[j] != c[i]) & ((block[j] != block[i]) if across else True)]
+            top = np.minimum(n[j], n[i])
+            both = exact[j] & exact[i]
+            top[both] = np.minimum(profile[j[both]], profile[i]).sum(axis=1, dtype=np.int64)
+            j = j[(100 + percent) * top >= percent * (n[j] + n[i])]
+            a.append(np.minimum(rep[j], rep[i]))
+            b.append(np.maximum(rep[j], rep[i]))
+            nb.append(np.where(rep[j] > rep[i], n[j], n[i]))
+        join = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+        return pa.table({"a": join(a), "b": join(b), "nb": join(nb)})
+
+    return rows.groupBy("band", "key", "lo", "hi").applyInArrow(compare, "a long, b long, nb long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links lead to, or its own), kept."""
     t = texts(docs, id_col=id_col, text_col=text_col)
@@ -171,10 +214,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     label = first.select(F.col("node").alias("of"), "component")
     open_ = rows_in.where("many > 2").join(label, F.col("rep") == F.col("of"), "left").withColumn("c", F.coalesce("component", "rep"))
     mixed = open_.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("band").alias("in_band"), F.col("key").alias("in_key"))
-    rest = open_.where("rep != centre").join(mixed, (F.col("band") == F.col("in_band")) & (F.col("key") == F.col("in_key"))).select("band", "key", "rep", "n", "c")
-    x, y = rest.alias("x"), rest.alias("y")
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
-    missed = x.join(y, same & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & alike("x.n", "y.n")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("y.n").alias("nb")).distinct()
+    rest = stage(open_.where("rep != centre").join(mixed, (F.col("band") == F.col("in_band")) & (F.col("key") == F.col("in_key"))).select("band", "key", "rep", "n", "c"), "rest")
+    missed = possible(rest, found.select("doc_id", "profile"), percent)
     more = stage(confirmed(t, stage(missed, "missed"), size, percent), "more-links")
     if not more.isEmpty():
         label = connected_components(links.union(more)).select(F.col("node").alias("of"), "component")
