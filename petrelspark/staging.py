@@ -7,6 +7,8 @@ is a folder made here.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,18 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = context.applicationId
     if app not in _own:
-        _own[app] = f"file://{tempfile.mkdtemp(prefix='petrelspark-')}"
+        made = tempfile.mkdtemp(prefix="petrelspark-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _own[app] = f"file://{made}"
         context.setCheckpointDir(_own[app])
     return _own[app]
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that holds this session's tables."""
+    return f"{shared_dir(spark)}/petrelspark/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete this session's tables.  Call it when every result that was read from them has been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage is then one scan.
 
     Spark's committer makes the write atomic per task, so retried tasks leave no duplicates.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/petrelspark/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

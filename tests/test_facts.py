@@ -211,3 +211,16 @@ def test_settings(tmp_path):
     (tmp_path / "x.toml").write_text("nonsense = 1\n")
     with pytest.raises(ValueError):
         Settings.load(str(tmp_path / "x.toml"))
+
+
+def test_staging(spark):
+    import os
+
+    from petrelspark.staging import session_dir, stage, sweep
+
+    d = stage(spark.range(3).toDF("x"), "kept")
+    assert sorted(r["x"] for r in d.collect()) == [0, 1, 2] and spark.conf.get("spark.checkpoint.dir", None) is None
+    folder = session_dir(spark).removeprefix("file://")
+    assert any(n.startswith("kept-") for n in os.listdir(folder))
+    sweep(spark)
+    assert not os.path.exists(folder)
