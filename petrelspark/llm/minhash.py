@@ -42,8 +42,9 @@ _ODD = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64
 GROUP_SHINGLES = 1_500_000
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 800
-#: Requests for texts up to which they are broadcast to where the texts are; more are joined by a shuffle.
-BROADCAST_REQUESTS = 25_000
+#: Requests for texts are broadcast to where the texts are if they are so few, and for a small share (one in so many) of the
+#: documents; else texts and requests meet by a shuffle.
+BROADCAST_REQUESTS, BROADCAST_SHARE = 25_000, 40
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -130,7 +131,7 @@ def features(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, profile binary")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, n_docs: int, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets have ``100 * intersection >= percent * union``.  ``pairs``: (a, b, nb), with b's set size.
 
     Leaves of one hub are dealt to groups of bounded total size, each with the hub's set."""
@@ -138,8 +139,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     leaves = pairs.join(hubs, F.col("a") == F.col("hub")).select(F.col("b").alias("id"), "hub", F.pmod(F.xxhash64("b"), "groups").alias("part"), F.lit(False).alias("is_hub"))
     own = hubs.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(True).alias("is_hub"))
     requests = stage(leaves.union(own), "requests")
-    if requests.count() <= BROADCAST_REQUESTS:
-        requests = F.broadcast(requests)
+    few = requests.count() <= min(BROADCAST_REQUESTS, n_docs // BROADCAST_SHARE)
+    requests = F.broadcast(requests) if few else requests.hint("merge")  # the same plan at every size
     asked = docs.join(requests, F.col("doc_id") == F.col("id")).select("text", "id", "hub", "part", "is_hub")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,14 +210,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     rows_in = stage(members.join(buckets, (F.col("band") == F.col("in_band")) & (F.col("key") == F.col("in_key"))).select("band", "key", "rep", "n", "centre", "centre_n", "many"), "buckets")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     stars = rows_in.where((F.col("rep") != F.col("centre")) & alike("n", "centre_n")).select(F.col("centre").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
-    links = stage(confirmed(t, stars, size, percent), "links")
+    n_docs = found.count()
+    links = stage(confirmed(t, n_docs, stars, size, percent), "links")
     first = stage(connected_components(links), "first")
     label = first.select(F.col("node").alias("of"), "component")
     open_ = rows_in.where("many > 2").join(label, F.col("rep") == F.col("of"), "left").withColumn("c", F.coalesce("component", "rep"))
     mixed = open_.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("band").alias("in_band"), F.col("key").alias("in_key"))
     rest = stage(open_.where("rep != centre").join(mixed, (F.col("band") == F.col("in_band")) & (F.col("key") == F.col("in_key"))).select("band", "key", "rep", "n", "c"), "rest")
     missed = possible(rest, found.select("doc_id", "profile"), percent)
-    more = stage(confirmed(t, stage(missed, "missed"), size, percent), "more-links")
+    more = stage(confirmed(t, n_docs, stage(missed, "missed"), size, percent), "more-links")
     if not more.isEmpty():
         label = connected_components(links.union(more)).select(F.col("node").alias("of"), "component")
     of_class = classes.select(F.col("digest").alias("set"), "rep").join(label, F.col("rep") == F.col("of"), "left").select("set", F.coalesce("component", "rep").alias("component"))
