@@ -1,6 +1,7 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, each is normalised, and the sentences that are known become identifiers, in order.  Ordered
+A text is normalised to words and the breaks between them, and the sentences that are known become identifiers, in order.  A known
+sentence may be wrapped over any number of lines, but an empty line ends it, and a line that is one counts by itself.  Ordered
 rules then read the sequence of identifiers: each is a sequence that must stand in the text without another known sentence
 between; rules stand from the most specific to the least, and a place that one has read is closed to those after it.
 
@@ -78,25 +79,33 @@ RULES = [
     ("CC-BY-NC-4.0", ["CcByNcRef"]),
     ("CC-BY-4.0", ["CcByRef"]),
 ]
-#: A sentence ends at a full stop, exclamation or question mark or semicolon before white space or the end, at a line break before an
-#: empty line, or at a colon before white space; a text in lower case is cut so, and every other run of characters is one space.
-SENTENCE_END = r"[.!?;:]+(?=\s|$)|\n"
+#: A sentence ends at a full stop, exclamation or question mark, semicolon or colon before white space or the end.  A text in lower case is cut
+#: so, and every other run of characters is one space.
+SENTENCE_END = r"[.!?;:]+(?=\s|$)"
 OTHER = r"[^a-z0-9]+"
+#: What stands between two words once a text is laid out: a space, a line break (L), the end of a sentence (S) or an empty line (P).  A line
+#: without letters and digits is empty, and what stands before the first of them in a line (a comment mark) is no sentence.
+LAYOUT = [(r"\n[^a-z0-9]*\n[^a-z0-9]*", "P"), (r"\n[^a-z0-9P]*", "\n"), (SENTENCE_END, "S"), (r"\n", "L"), (r"[^a-z0-9SLP]+", " "), (r"S[ S]*", "S"), (r" ?S?P", "P"), (r" ?SL?", "S"), (r" ?L", "L")]
 #: Words of which one is in every known sentence; a text without any has no known sentence, and is cut no further.
 MENTION = r"licen[sc]e|permission|copyright|redistribut|warranty|software|mpl|rights reserved"
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, in order."""
-    cut = F.split(F.lower(text), SENTENCE_END)
-    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(s, OTHER, " "))), lambda s: s != "")
+def laid_out(text: Column) -> Column:
+    """The words of a text in lower case, with one character of ``LAYOUT`` between two."""
+    return F.trim(reduce(lambda c, step: F.regexp_replace(c, *step), LAYOUT, F.lower(text)))
+
+
+def pattern(known: dict[str, str]) -> str:
+    """A known sentence in a text that is laid out: from the start of a line or sentence to the end of one, over any number of line breaks."""
+    longest_first = sorted(known, key=len, reverse=True)
+    return f"(?<=^|[SLP])(?:{'|'.join(s.replace(' ', '[ L]') for s in longest_first)})(?=[SLP]|$)"
 
 
 def identifiers(text: Column, known: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    found = F.filter(F.transform(sentences(text), lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
-    return F.when(F.lower(text).rlike(MENTION), found).otherwise(F.array().cast("array<string>"))
+    found = F.regexp_extract_all(laid_out(text), F.lit(pattern(known)), F.lit(0))
+    return F.when(F.lower(text).rlike(MENTION), F.transform(found, lambda s: F.element_at(table, F.translate(s, "SLP", "   ")))).otherwise(F.array().cast("array<string>"))
 
 
 def matched(sequence: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:

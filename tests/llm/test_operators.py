@@ -339,3 +339,58 @@ def test_licenses(spark, empty):
     got = licenses.license_scan(spark.createDataFrame(list(enumerate(c[0] for c in cases)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["licenses"] for r in got] == [c[1] for c in cases]
     assert licenses.license_scan(empty).count() == 0
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE.
+"""
+BSD_TEXT = """Copyright (c) 2020, A. Author
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3_TEXT = BSD_TEXT + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def scanned(spark, texts):
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    return [(r["sentence_ids"], r["licenses"]) for r in got]
+
+
+def test_licenses_over_lines(spark):
+    wrapped = {
+        MIT_TEXT: "MIT", BSD_TEXT: "BSD-2-Clause", BSD3_TEXT: "BSD-3-Clause", BSD_TEXT.replace("\n", "\r\n"): "BSD-2-Clause", "".join(f"// {x}\n" for x in BSD_TEXT.split("\n")): "BSD-2-Clause", "".join(f";; {x}\n" for x in BSD_TEXT.split("\n")): "BSD-2-Clause",
+        "/*\n * Licensed under the Apache License,\n * Version 2.0.\n */": "Apache-2.0",
+        "This work is licensed under the GNU General\nPublic License, version 2.\nMore.": "GPL-2.0-only", "no stop here ***\nReleased under the MIT License\nand more": "MIT", "Released under the\n\nMIT License": "UNKNOWN", "not released under the MIT License": "UNKNOWN",
+    }
+    assert [x[1] for x in scanned(spark, wrapped)] == list(wrapped.values())
+    assert scanned(spark, ["/*\n * Licensed under the Apache License,\n * Version 2.0 (the \"License\");\n * you may not use this file except in\n * compliance with the License.\n */"])[0][0] == "ApacheRef,ApacheUse"
+    hope = "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY."
+    assert scanned(spark, [hope])[0][0] == "GplHope"
