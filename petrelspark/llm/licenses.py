@@ -1,7 +1,8 @@
 """License scans by sentence rules, with DataFrame functions only.
 
 A text is normalised to words and the breaks between them, and the sentences that are known become identifiers, in order.  A known
-sentence may be wrapped over any number of lines, but an empty line ends it, and a line that is one counts by itself.  Ordered
+sentence may be wrapped over any number of lines, but an empty line ends it (as does a stop), unless its notice has one at that place;
+a line that is one counts by itself.  Ordered
 rules then read the sequence of identifiers: each is a sequence that must stand in the text without another known sentence
 between; rules stand from the most specific to the least, and a place that one has read is closed to those after it.
 
@@ -12,6 +13,7 @@ scanned each.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +56,19 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "CcBySaRef",
     "all rights reserved": "AllRights",
 }
+#: Notices as their authors write them, where the sentence has stops or an empty line inside, or goes on after the words in ``SENTENCES``.
+NOTICES = [
+    ("You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0", "ApacheUrl"),
+    ("You may obtain a copy of the License at\n\nhttps://www.apache.org/licenses/LICENSE-2.0", "ApacheUrl"),
+    ("You may obtain a copy of the License at: http://www.apache.org/licenses/LICENSE-2.0", "ApacheUrl"),
+    ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "AsIs"),
+    ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.", "BsdAsIs"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "Gpl2Plus"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Gpl3Plus"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "Gpl3Plus"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MplRef"),
+    ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "MplUrl"),
+]
 #: Ordered rules: the license and the sentence identifiers that it is made of.
 RULES = [
     ("MIT", ["MitGrant", "MitNotice", "AsIs"]),
@@ -95,15 +110,26 @@ def laid_out(text: Column) -> Column:
     return F.trim(reduce(lambda c, step: F.regexp_replace(c, *step), LAYOUT, F.lower(text)))
 
 
+def keyed(notice: str) -> str:
+    """A notice as ``laid_out`` gives it, without the stop at its end."""
+    return reduce(lambda s, step: re.sub(*step, s, flags=re.ASCII), LAYOUT, notice.lower()).strip(" SLP")
+
+
+#: All known sentences as they are laid out.
+KNOWN = SENTENCES | {keyed(notice): i for notice, i in NOTICES}
+#: A break in a known sentence is read as this: a weaker one, or a line break, may stand in its place.
+BREAK = {" ": "[ L]", "S": "[ LS]", "P": "[ LSP]"}
+
+
 def pattern(known: dict[str, str]) -> str:
     """A known sentence in a text that is laid out: from the start of a line or sentence to the end of one, over any number of line breaks."""
     longest_first = sorted(known, key=len, reverse=True)
-    return f"(?<=^|[SLP])(?:{'|'.join(s.replace(' ', '[ L]') for s in longest_first)})(?=[SLP]|$)"
+    return f"(?<=^|[SLP])(?:{'|'.join(''.join(BREAK.get(c, c) for c in s) for s in longest_first)})(?=[SLP]|$)"
 
 
-def identifiers(text: Column, known: dict[str, str] = SENTENCES) -> Column:
+def identifiers(text: Column, known: dict[str, str] = KNOWN) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in {re.sub("[SLP]", " ", s): i for s, i in known.items()}.items() for x in pair])
     found = F.regexp_extract_all(laid_out(text), F.lit(pattern(known)), F.lit(0))
     return F.when(F.lower(text).rlike(MENTION), F.transform(found, lambda s: F.element_at(table, F.translate(s, "SLP", "   ")))).otherwise(F.array().cast("array<string>"))
 

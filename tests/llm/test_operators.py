@@ -394,3 +394,31 @@ def test_licenses_over_lines(spark):
     assert scanned(spark, ["/*\n * Licensed under the Apache License,\n * Version 2.0 (the \"License\");\n * you may not use this file except in\n * compliance with the License.\n */"])[0][0] == "ApacheRef,ApacheUse"
     hope = "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY."
     assert scanned(spark, [hope])[0][0] == "GplHope"
+
+
+def test_every_license_from_its_notice(spark):
+    gpl = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n"
+    hope = "\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n"
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS.\n"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    mpl_url = " If a copy of the MPL was not distributed with this\nfile, You can obtain one at {}://mozilla.org/MPL/2.0/.\n"
+    bsd_as_is = "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.\n"
+    comment = lambda t, mark: "".join(f"{mark} {x}".rstrip() + "\n" for x in t.split("\n"))
+    short = {
+        "Licensed under the MIT License.": ("MitRef", "MIT"), "Released under the BSD License.": ("BsdRef", "BSD"), "Licensed under the BSD 3-Clause License.": ("Bsd3Ref", "BSD-3-Clause"),
+        "Licensed under the GNU General Public License, version 2.": ("Gpl2Ref", "GPL-2.0-only"), "Licensed under the GNU General Public License, version 3.": ("Gpl3Ref", "GPL-3.0-only"),
+        "Licensed under CC BY 4.0.": ("CcByRef", "CC-BY-4.0"), "Licensed under CC BY-SA 4.0.": ("CcBySaRef", "CC-BY-SA-4.0"), "Licensed under CC BY-NC 4.0.": ("CcByNcRef", "CC-BY-NC-4.0"),
+        "Licensed under the Apache License, Version 2.0.": ("ApacheRef", "Apache-2.0"), "All rights reserved.": ("AllRights", "UNMATCHED"),
+    }
+    cases = short | {
+        MIT_TEXT: ("MitGrant,MitNotice,AsIs", "MIT"), MIT_TEXT[: MIT_TEXT.index("THE SOFTWARE IS")]: ("MitGrant,MitNotice", "MIT"),
+        BSD_TEXT: ("BsdPre,BsdSource,BsdBinary", "BSD-2-Clause"), BSD_TEXT + bsd_as_is: ("BsdPre,BsdSource,BsdBinary,BsdAsIs", "BSD-2-Clause"),
+        BSD3_TEXT: ("BsdPre,BsdSource,BsdBinary,BsdEndorse", "BSD-3-Clause"), BSD3_TEXT + bsd_as_is: ("BsdPre,BsdSource,BsdBinary,BsdEndorse,BsdAsIs", "BSD-3-Clause"),
+        gpl.format(";", ";", 2): ("Gpl2Plus", "GPL-2.0-or-later"), gpl.format(";", ";", 2) + hope: ("Gpl2Plus,GplHope", "GPL-2.0-or-later"),
+        gpl.format(":", ",", 3): ("Gpl3Plus", "GPL-3.0-or-later"), gpl.format(":", ",", 3) + hope: ("Gpl3Plus,GplHope", "GPL-3.0-or-later"), comment(gpl.format(";", ";", 3) + hope, "#"): ("Gpl3Plus,GplHope", "GPL-3.0-or-later"),
+        apache: ("ApacheRef,ApacheUse,ApacheUrl", "Apache-2.0"), comment(apache, " *"): ("ApacheRef,ApacheUse,ApacheUrl", "Apache-2.0"), apache.replace("http:", "https:"): ("ApacheRef,ApacheUse,ApacheUrl", "Apache-2.0"),
+        mpl: ("MplRef", "MPL-2.0"), mpl + mpl_url.format("http"): ("MplRef,MplUrl", "MPL-2.0"), comment(mpl + mpl_url.format("https"), "//"): ("MplRef,MplUrl", "MPL-2.0"),
+    }
+    assert scanned(spark, cases) == list(cases.values())
+    fired = {i for ids, _ in cases.values() for i in ids.split(",")}
+    assert fired == set(licenses.SENTENCES.values()) and {tuple(r) for _, r in licenses.RULES} <= {tuple(ids.split(",")) for ids, _ in cases.values()}
