@@ -49,6 +49,15 @@ def constraints(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("Add
     return c.where(F.col("kind").isin(*kinds))
 
 
+def all_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a pointer constraint over 211 variables; the status gives the kind, and for orders in progress the parity of the key."""
+    o = table(spark, sf_dir, "orders")
+    return o.selectExpr(
+        "'f' as func", "if(o_orderstatus = 'F', concat('a', o_orderkey % 211), concat('v', o_custkey % 211)) as src", "concat('v', if(o_orderstatus = 'F', o_custkey % 211, o_orderkey % 211)) as dst",
+        "case o_orderstatus when 'F' then 'Address' when 'O' then 'Copy' when 'P' then if(o_orderkey % 2 = 0, 'Load', 'Store') end as kind",
+    )
+
+
 def alias_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pair of variables for each customer."""
     return table(spark, sf_dir, "customer").selectExpr("'f' as func", "concat('v', c_custkey % 211) as a", "concat('v', c_nationkey) as b").distinct()

@@ -315,7 +315,7 @@ def points_to_small(spark, sf_dir):
 
 @query()
 def points_to_full(spark, sf_dir):
-    return pointsto.points_to(derive.constraints(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("n"))
+    return pointsto.points_to(derive.all_constraints(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("n"))
 
 
 _KIND = ", q AS (SELECT DISTINCT 'v' || (c_custkey % 211) AS a, 'v' || c_nationkey AS b FROM customer), k AS (SELECT a, b, CASE WHEN NOT EXISTS (SELECT 1 FROM pts WHERE node = a) OR NOT EXISTS (SELECT 1 FROM pts WHERE node = b) THEN 'Unknown' WHEN EXISTS (SELECT 1 FROM pts x JOIN pts y ON x.target = y.target WHERE x.node = a AND y.node = b) THEN 'Probably' ELSE 'Unlikely' END AS kind FROM q)"

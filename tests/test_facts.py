@@ -96,6 +96,31 @@ def test_points_to(spark):
     assert pointsto.all_alias_links(pts).count() > 0 and pointsto.report(pts).first()["node"] == "a"
 
 
+def test_points_to_of_every_order(spark, tmp_path):
+    from petrelspark import queries
+
+    orders = [(k, (k * k + 3) % 7, "FOP"[k % 3], ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")[k % 5]) for k in range(1, 24)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = {(f"a{k}" if s == "F" else f"v{c}", f"v{c}" if s == "F" else f"v{k}", s) for k, c, s, _ in orders}
+    odd = {(f"v{c}", f"v{k}") for k, c, s, _ in orders if s == "P" and k % 2}
+    pts = {n: {f"Alloc({n})"} for r in rows for n in r[:2]}
+    before = None
+    while before != pts:
+        before = {n: set(t) for n, t in pts.items()}
+        for src, dst, s in rows:
+            if s == "F":
+                pts[dst].add(src)
+            elif s == "O":
+                pts[dst] |= pts[src]
+            elif (src, dst) in odd:
+                for place in [x for x in pts[dst] if x in pts]:
+                    pts[place] |= pts[src]
+            else:
+                for place in [x for x in pts[src] if x in pts]:
+                    pts[dst] |= pts[place]
+    assert {tuple(r) for r in queries.points_to_full(spark, str(tmp_path)).collect()} == {(n, len(t)) for n, t in pts.items()}
+
+
 def test_names(spark):
     d = spark.createDataFrame([("std::thread::spawn",), ("tokio::task::spawn",), ("rayon::join",), ("app::run",)], "n string")
     assert [r[0] for r in d.select(C.thread_control(F.col("n"))).collect()] == ["spawn", "async_spawn", "rayon_join", None]
