@@ -30,11 +30,10 @@ BASE = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Weaker parts: an access identifier, an endpoint, a plausible secret.  A run of more than ``MOST`` characters is none.
-IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9@._-]{3,64})""", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"""\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,200}""", re.ASCII)
+#: Weaker parts: an access identifier, an endpoint, a plausible secret, of any length.
+IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
+ENDPOINT = re.compile(r"""\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}""", re.ASCII)
 PLAUSIBLE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
-MOST = 128
 #: The roles that weak kinds and base kinds play in a credential.
 ROLE = {"identifier": "who", "access": "who", "plausible": "what", "assign": "what", "hex": "what", "endpoint": "where"}
 ORDER = {k: n for n, k in enumerate((*BASE, "identifier", "plausible", "endpoint"))}
@@ -51,7 +50,7 @@ def base_spans(text: str) -> list[Span]:
 
 def _looks_random(s: str) -> bool:
     """Digits, capitals and small letters mixed: not a word, a number or a constant's name."""
-    return len(s) <= MOST and any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s)
+    return any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s)
 
 
 def weak_parts(text: str) -> list[Span]:

@@ -300,6 +300,18 @@ def test_secrets(docs, rows, empty):
     assert clean.columns == docs.columns and clean.count() == len(rows)
 
 
+def test_long_secrets(spark):
+    token, name = "aB3" * 100, "n" * 100
+    url = "https://db.example.com/" + "p/" * 220 + "?Signature=tail"
+    spans = lambda t: secrets.linked(t, [])[0]
+    text = f"login: {name} {token}"
+    assert [(k, text[a:b]) for a, b, k in spans(text)] == [("identifier", f"login: {name}"), ("plausible", token)]
+    text = f"{url} aB3dE5gH7jK9mN1pQ"
+    assert [(k, text[a:b]) for a, b, k in spans(text)] == [("endpoint", url), ("plausible", "aB3dE5gH7jK9mN1pQ")]
+    clean = secrets.redact(spark.createDataFrame([(1, f"x {text} y"), (2, f"login: bob99 {token}")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text"] for r in clean] == ["x <endpoint> <plausible> y", "<identifier> <plausible>"]
+
+
 def test_redaction_sets_length(spark):
     d = spark.createDataFrame([(1, "a token = abcdef123", 19), (2, "clean", 99), (3, None, None)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in secrets.redact(d).orderBy("doc_id").collect()] == [(1, "a <assign>", 10), (2, "clean", 99), (3, None, None)]
