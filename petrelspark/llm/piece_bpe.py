@@ -176,10 +176,11 @@ class PieceEncoder:
         """The ids of a text without begin and end."""
         return self.encode_all([text])[0]
 
-    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+    def encode_all(self, texts: list[bytes], most: int = words.CHUNK) -> list[np.ndarray]:
+        """The ids of texts, of which about ``most`` bytes are handled at a time; the ids do not depend on that."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
         whole = pa.array([b" " + t.replace(SPACE.encode(), b" ") if t else b"" for t in texts], pa.large_binary())
-        for numbers, data, text_ends in words.pieces(whole):
+        for numbers, data, text_ends in words.pieces(whole, most, self.joined):
             cut = np.ones(len(data), bool)
             cut[1:] = ~self.joined[data[:-1], data[1:]]
             cut[text_ends[text_ends < len(data)]] = True

@@ -55,10 +55,11 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def pieces(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, most: int = CHUNK, joined: np.ndarray | None = None) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """The texts of an Arrow column in chunks of about ``most`` bytes: (numbers of the texts, bytes, ends of the texts in them).
 
-    A text of more than ``most`` bytes comes in several chunks, cut at white space (or uncut where it has none)."""
+    A text of more than ``most`` bytes comes in several chunks, cut at white space (or uncut where it has none).  With ``joined``, for which two bytes
+    side by side belong together, it is cut only where two don't."""
     column = column.cast(pa.large_binary())
     if column.null_count:
         column = column.fill_null(b"")
@@ -67,6 +68,10 @@ def pieces(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[list[int], np.
         return
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+
+    def free(a: int, b: int) -> np.ndarray:  # where a cut may be
+        return IS_SPACE[data[a:b]] if joined is None else ~joined[data[a - 1 : b - 1], data[a:b]]
+
     k = 0
     while k < n:
         to = max(k + 1, int(np.searchsorted(offsets, offsets[k] + most, "right")) - 1)
@@ -76,8 +81,8 @@ def pieces(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[list[int], np.
         else:
             while at < end:
                 cut = min(at + most, end)
-                while cut < end and not IS_SPACE[data[cut]]:
-                    step = np.flatnonzero(IS_SPACE[data[cut : cut + most]])
+                while cut < end and not free(cut, cut + 1)[0]:
+                    step = np.flatnonzero(free(cut, min(cut + most, end)))
                     cut = min(end, cut + (int(step[0]) if len(step) else most))
                 yield [k], data[at:cut], np.array([cut - at])
                 at = cut

@@ -200,6 +200,17 @@ def test_piece_encoder_equals_library():
     assert e.encode(b"").tolist() == [] and e.model.encode("x" * 3000) == e.encode(b"x" * 3000).tolist()
 
 
+def test_pieces_do_not_depend_on_chunks():
+    e = piece_bpe.PieceEncoder(tokenizer_path("piece_bpe_32k.model"))
+    r = random.Random(6)
+    for word in ("abc", "it's\t", "é日本", "x\n", "▁"):
+        text = "".join(word[: r.randrange(len(word) + 1)] + " " * r.randrange(20) for _ in range(60))
+        want = e.model.encode(text)
+        for most in (1, 5, 8, 13, 64):
+            assert e.encode_all([text.encode(), b"y", text.encode()], most)[0].tolist() == want, (word, most)
+    assert e.encode_all([("x" + " " * 12 + "y").encode()], 6)[0].tolist() == e.model.encode("x" + " " * 12 + "y")
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
