@@ -6,8 +6,8 @@ whose group has company.  The surviving groups reach the second scan as a bitmap
 costs one needless hash and nothing else, since the full hash decides.
 
 Defined results: a null text is an empty text, and all empty texts are equal.  Of equal texts the row with the most
-code points in the original text stays, then the smallest id; a null id is larger than any other.  Rows that repeat an
-id and a text are one document: they stay or go together.  An empty table gives an empty result.
+code points in the original text stays, then the smallest id; a null id is larger than any other.  Of rows that are equal
+in both one stays, so that each group keeps exactly one row.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,16 +62,17 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 256, bits: int = 23, hash_
     adaptive execution can split, since nothing above it needs a digest's rows together."""
     rows = refined(texts(docs, id_col=id_col, text_col=text_col), prefix_chars, bits, hash_all).select("doc_id", F.length("text").alias("n"), "shared", "text_sha256")
     best = F.max_by("doc_id", F.struct("n", F.col("doc_id").isNotNull(), -F.col("doc_id")))
-    groups = rows.where("shared").groupBy(F.col("text_sha256").alias("of")).agg(best.alias("keep_id"), F.count("*").alias("group_size"))
+    groups = rows.where("shared").groupBy(F.col("text_sha256").alias("of")).agg(best.alias("keep_id"), F.max("n").alias("most"), F.count("*").alias("group_size"))
     alone = rows.where("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    many = rows.where("shared").join(groups, F.col("text_sha256") == F.col("of")).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    same = rows.where("shared").groupBy("text_sha256", "doc_id", "n").agg(F.count("*").alias("times"))  # rows that nothing tells apart
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("most")) & (F.col("time") == 1)
+    many = same.join(groups, F.col("text_sha256") == F.col("of")).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc_id", "keep_id", "group_size", first.alias("kept"), "text_sha256")
     return alone.unionByName(many)
 
 
 def drop_copies(docs: DataFrame, prefix_chars: int = 256, bits: int = 23) -> DataFrame:
-    """``docs`` without the rows that have a better equal one; all columns stay.  Rows proved alone do not move at all."""
+    """``docs`` with one row of each group of equal texts; all columns stay.  Rows proved alone do not move at all."""
     flagged = refined(docs.select(F.struct("*").alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), prefix_chars, bits)
-    best = F.max_by("doc_id", F.struct(F.length("text"), F.col("doc_id").isNotNull(), -F.col("doc_id")))
-    keep = flagged.where("shared").groupBy(F.col("text_sha256").alias("of")).agg(best.alias("keep_id"))
-    many = flagged.where("shared").join(keep, (F.col("text_sha256") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    best = F.max_by("_row", F.struct(F.length("text"), F.col("doc_id").isNotNull(), -F.col("doc_id"), F.xxhash64("_row")))
+    many = flagged.where("shared").groupBy("text_sha256").agg(best.alias("_row"))
     return flagged.where("not shared").select("_row.*").unionByName(many.select("_row.*"))

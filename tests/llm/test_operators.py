@@ -74,6 +74,16 @@ def test_exact_groups(docs, rows, empty):
     assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(w[0] for w in want.elements() if w[3])
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "a  b", "x"), (1, "ab", "y"), (None, "c", "x"), (None, "c", "x"), (None, "c ", "y"), (None, "d", "x"), (2, "d", "x"), (3, "e", "x"), (3, "f", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = exact_dedup.drop_copies(d)
+    assert kept.columns == d.columns and Counter(map(tuple, kept.collect())) == Counter([(1, "a  b", "x"), (None, "c ", "y"), (2, "d", "x"), (3, "e", "x"), (3, "f", "x")])
+    got = exact_dedup.exact_groups(d, hash_all=True).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows) and Counter(r["text_sha256"] for r in got if r["kept"]) == Counter({r["text_sha256"] for r in got})
+    assert {(r["doc_id"], r["group_size"]) for r in got if r["kept"]} == {(1, 4), (None, 3), (2, 2), (3, 1)}
+
+
 def greedy(sizes, capacity):
     n, left = 1, capacity
     for s in sizes:
