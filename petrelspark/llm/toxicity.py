@@ -26,8 +26,8 @@ from petrelspark.llm.columns import as_bytes, small_batches
 
 #: Labelled rows of each grade that the fit uses at most: those with the least hashes of their ids.
 ROWS_PER_GRADE = 4000
-#: Distinct words of a text that the fit looks at, the least hashes first; scoring looks at all.
-WORDS_PER_ROW = 3000
+#: Texts of the sample that a word must be in.
+LEAST = 4
 #: Words that the fit chooses from, the most frequent in the sample; so at most as many have a weight.
 CANDIDATES = 100_000
 _TOKEN = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -70,7 +70,7 @@ def _descend(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, p: int, share: n
     return w, theta
 
 
-def fit(texts: list[bytes | set[bytes]], grades: np.ndarray, penalty: float = 0.004, ridge: float = 0.0001, steps: int = 300, least: int = 4) -> OrdinalModel:
+def fit(texts: list[bytes | set[bytes]], grades: np.ndarray, penalty: float = 0.004, ridge: float = 0.0001, steps: int = 300, least: int = LEAST) -> OrdinalModel:
     """Fit the model to texts (or their words) and grades 0..K.  Grade 0 and the grades above it weigh the same, however many rows they have.
 
     The first fit, with the L1 penalty, chooses the words; the second, on those alone, gives the weights that the penalty has
@@ -112,10 +112,8 @@ def sample(docs: DataFrame, labels: DataFrame, grade: str, rows_per_grade: int =
         ids = ids.union(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import blake2b
-
         for batch in small_batches(batches, "text"):
-            found = [sorted(tokens(t), key=lambda w: blake2b(w, digest_size=8).digest())[:WORDS_PER_ROW] for t in as_bytes(batch.column("text"))]
+            found = [sorted(tokens(t)) for t in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(found, pa.list_(pa.binary()))], ["grade", "words"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("of"))  # rows_per_grade for each grade at most
@@ -124,7 +122,16 @@ def sample(docs: DataFrame, labels: DataFrame, grade: str, rows_per_grade: int =
 
 def train(docs: DataFrame, labels: DataFrame, grade: str, rows_per_grade: int = ROWS_PER_GRADE, **how) -> OrdinalModel:
     """Fit the model to the documents that ``labels`` (doc_id and what the SQL ``grade`` needs) grades."""
-    got = sample(docs, labels, grade, rows_per_grade).toArrow()
+    rows = sample(docs, labels, grade, rows_per_grade)
+    often = rows.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= how.get("least", LEAST)).orderBy(F.desc("count"), "w").limit(CANDIDATES)
+    names = {bytes(r["w"]) for r in often.collect()}  # the words that ``fit`` takes, so that no other reaches the driver
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[w for w in x if w in names] for x in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(found, pa.list_(pa.binary()))], ["grade", "words"])
+
+    got = rows.mapInArrow(run, "grade int, words array<binary>").toArrow()
     return fit([set(x) for x in got.column("words").to_pylist()], got.column("grade").to_numpy().astype(int), **how)
 
 

@@ -374,6 +374,17 @@ def test_licenses(spark, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_toxicity_reads_whole_long_texts(spark):
+    common = " ".join(f"w{k}" for k in range(4000))
+    bad = [f"bad{k}" for k in range(12)]
+    rows = [(k, f"{common} {' '.join(bad) if k % 2 else 'fine'}") for k in range(16)]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, 1, k % 2) for k in range(16)], "doc_id long, quality int, toxic int")
+    used = {bytes(w) for r in toxicity.sample(docs, table, toxicity.SEVERITY).collect() for w in r["words"]}
+    assert {w.encode() for w in (*bad, *common.split())} <= used
+    got, want = toxicity.train(docs, table, toxicity.SEVERITY), toxicity.fit([t.encode() for _, t in rows], np.array([k % 2 for k in range(16)]))
+    assert set(got.weights) == set(want.weights) >= {w.encode() for w in bad}
+
+
 MIT_TEXT = """MIT License
 
 Copyright (c) 2020 A. Author
