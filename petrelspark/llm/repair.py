@@ -24,6 +24,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +53,13 @@ def _frequent(keys: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.n
     return chosen[by_key], ranks[by_key]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = 4, least: int = 24, most: int = 2048, width: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, document ends, rules) for the ids of documents that end at ``ends``.  ``width``: bits of a symbol."""
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int | None = None, least: int = 2, most: int = 2048, width: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, document ends, rules) for the ids of documents that end at ``ends``.  ``width``: bits of a symbol.
+
+    Rounds, of ``most`` new rules each at most, go on until no pair occurs ``least`` times or the symbols are used up (or for ``rounds`` of them)."""
     key_type = np.uint32 if width == 16 else np.uint64
     seq, ends, rules, shift = ids.astype(key_type), ends.astype(np.int64), [], key_type(width)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         room = min(most, (1 << width) - first - len(rules))
         if len(seq) < 2 or room <= 0:
             break

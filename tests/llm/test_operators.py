@@ -188,6 +188,13 @@ def test_grammar(first, top):
     assert len(shard.symbols) < 5000 and len(shard.left)
 
 
+def test_grammar_goes_on_until_nothing_repeats():
+    one = np.random.default_rng(4).integers(0, 40_000, 200).astype(np.uint32)
+    ids, sizes = np.tile(one, 20), np.full(20, 200)
+    shard = repair.Shard(repair.pack(ids, sizes, 49408))
+    assert len(shard.symbols) == 20 and shard.all()[0].tolist() == ids.tolist() and shard.document(7, 50, 150).tolist() == one[50:150].tolist()
+
+
 def test_word_encoder_equals_library():
     e = tokens.WordEncoder(tokenizer_path("word_bpe_49k.json"))
     r = random.Random(2)
