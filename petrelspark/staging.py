@@ -39,10 +39,15 @@ def session_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/petrelspark/{spark.sparkContext.applicationId}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete this session's tables.  Call it when every result that was read from them has been written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, session_dir(spark))
 
 
 def stage(df: DataFrame, name: str = "t") -> DataFrame:

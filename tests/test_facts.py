@@ -244,7 +244,9 @@ def test_staging(spark):
     from petrelspark.staging import session_dir, stage, sweep
 
     d = stage(spark.range(3).toDF("x"), "kept")
-    assert sorted(r["x"] for r in d.collect()) == [0, 1, 2] and spark.conf.get("spark.checkpoint.dir", None) is None
+    assert sorted(r["x"] for r in d.collect()) == [0, 1, 2]
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert session_dir(spark).startswith(named.rstrip("/") if named else "file:///")
     folder = session_dir(spark).removeprefix("file://")
     assert any(n.startswith("kept-") for n in os.listdir(folder))
     sweep(spark)
