@@ -1,4 +1,4 @@
-"""Small helpers shared by the operators: column selection and streaming over Arrow batches."""
+"""Small helpers shared by the operators: column selection and passes over Arrow batches."""
 
 from __future__ import annotations
 
@@ -34,12 +34,14 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
 
 
-def stream(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a batch function that ``make`` builds once in each task."""
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
-        for batch in small_batches(batches, "text"):
-            yield each(batch)
 
-    return df.mapInArrow(run, schema)
+def in_place(docs: DataFrame, change: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` with its batches changed in Python: the same columns, some rows fewer or other values.  No column is added, so none can clash."""
+    return docs.mapInArrow(change, docs.schema)

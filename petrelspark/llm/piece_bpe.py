@@ -5,14 +5,19 @@ merging anew gives the same two pieces.  The search goes from left to right, tak
 automaton finds at the place and is compatible with the piece before it, else a shorter one, else steps back; a bitfield
 holds the places from which no way led on, so that none is tried twice.
 
+Of pairs with equal scores the leftmost merges first, in a text as in the check of two neighbours.
+
 A text is first cut where no piece of the model has the two characters side by side, at white space above all; what lies
-between recurs, and each Python worker keeps its ids under 64-bit hashes, up to a fixed number.
+between recurs, and each Python worker keeps its ids under its bytes, up to a fixed size.
 
-Defined results: a null or empty text has the begin and end ids alone and decodes to an empty text.
+Defined results: a null or empty text has the begin and end ids alone and decodes to an empty text.  Texts of any length are
+encoded whole, in chunks that end where the model joins nothing (one without such a place is one chunk).  Rows that repeat an
+id or a text have a result each.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +25,6 @@ import pyarrow as pa
 
 from petrelspark.llm import words
 
-REMEMBERED = 3_000_000
 SPACE = "▁"
 
 
@@ -55,65 +59,37 @@ class Backtracker:
         """If ``b`` can follow ``a`` (the empty text: nothing)."""
         found = self.known.get((a, b))
         if found is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > 60_000:
                 self.known.clear()
             found = self.known[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
     def pieces(self, text: str) -> list[str]:
         n = len(text)
-        if SPACE * 2 in text:  # the pieces of several spaces have equal scores, where the leftmost goes first
-            return self.merged_fast(text)
-        longest = [1] * n
+        longest = array("H", [1]) * n
         for end, length in self.automaton.iter(text):
             longest[end - length + 1] = max(longest[end - length + 1], length)
         out: list[str] = []
-        failed = 0  # bit k: no way leads on from place k
+        failed = bytearray(n // 8 + 1)  # bit k: no way leads on from place k
         at, last, length = 0, "", longest[0] if n else 0
         while at < n:
             while length:
-                piece = text[at : at + length]
-                if not failed >> (at + length) & 1 and (length == 1 or piece in self.scores) and self.compatible(last, piece):
+                piece, to = text[at : at + length], at + length
+                if not failed[to >> 3] >> (to & 7) & 1 and (length == 1 or piece in self.scores) and self.compatible(last, piece):
                     break
                 length -= 1
             if length:
                 out.append(piece)
-                at, last = at + length, piece
+                at, last = to, piece
                 length = longest[at] if at < n else 0
-            else:
-                if not out:
-                    return self.merged_fast(text)
-                failed |= 1 << at
+            elif out:
+                failed[at >> 3] |= 1 << (at & 7)
                 gone = out.pop()
                 at, last, length = at - len(gone), out[-1] if out else "", len(gone) - 1
+            else:
+                raise ValueError("no sequence of compatible pieces: the model's pieces can't all be made by merging")
         return out
 
-    def merged_fast(self, text: str) -> list[str]:
-        """``merged`` with a queue, for long texts."""
-        import heapq
-
-        n, scores = len(text), self.scores
-        parts: list = list(text)
-        after, before, queue = [*range(1, n), -1], list(range(-1, n - 1)), []
-
-        def offer(k: int) -> None:
-            if (j := after[k]) >= 0 and (s := scores.get(joined := parts[k] + parts[j])) is not None:
-                heapq.heappush(queue, (-s, k, joined))
-
-        for k in range(n - 1):
-            offer(k)
-        while queue:
-            _, k, joined = heapq.heappop(queue)
-            if parts[k] is None or (j := after[k]) < 0 or parts[k] + parts[j] != joined:
-                continue
-            parts[k], parts[j], after[k] = joined, None, after[j]
-            if after[j] >= 0:
-                before[after[j]] = k
-            if before[k] >= 0:
-                offer(before[k])
-            offer(k)
-        return [p for p in parts if p is not None]
-
 
 class PieceEncoder:
     """``path`` names the model's file, which each executor reads where it is installed."""
@@ -139,11 +115,7 @@ class PieceEncoder:
             joined[128:, 32] = False
         self.joined = joined
         self.begin, self.end = self.model.bos_id(), self.model.eos_id()
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.known = words.Remembered()
 
     def _ids(self, text: str) -> list[int]:
         out: list[int] = []
@@ -154,23 +126,8 @@ class PieceEncoder:
                 out += [self.bytes[b] for b in p.encode()]
         return out
 
-    def _numbers(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        some, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
-            self.forget()
-        at = np.searchsorted(self.keys, some)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == some[known]
-        if not known.all():
-            raw, where = data.tobytes(), first[~known]
-            got = [self._ids(raw[a:b].decode().replace(" ", SPACE)) for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-            lengths = np.fromiter(map(len, got), np.int32, len(got))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, int(lengths.sum()))])
-            self.keys, self.places = np.insert(self.keys, at[~known], some[~known]), np.insert(self.places, at[~known], np.arange(len(self.lengths), len(self.lengths) + len(got)))
-            self.lengths = np.concatenate([self.lengths, lengths])
-            at = np.searchsorted(self.keys, some)
-        return self.places[at][back]
+    def _ask(self, new: list[bytes]) -> list[list[int]]:
+        return [self._ids(w.decode().replace(" ", SPACE)) for w in new]
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a text without begin and end."""
@@ -186,10 +143,7 @@ class PieceEncoder:
             cut[text_ends[text_ends < len(data)]] = True
             starts = np.flatnonzero(cut)
             ends = np.append(starts[1:], len(data))
-            at = self._numbers(words.hashes(data, starts, ends), data, starts, ends) if len(starts) else np.zeros(0, np.int64)
-            lengths = self.lengths[at].astype(np.int64)
-            tops = np.cumsum(lengths)
-            flat = self.flat[np.repeat(self.starts[at] - (tops - lengths), lengths) + np.arange(int(lengths.sum()))]
+            flat, tops = self.known.ids(*words.distinct(data, starts, ends), self._ask)
             borders = np.concatenate([[0], tops])[np.searchsorted(starts, text_ends, "left")].tolist()
             for k, a, b in zip(numbers, [0, *borders[:-1]], borders, strict=True):
                 out[k].append(flat[a:b])

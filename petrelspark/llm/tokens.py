@@ -2,7 +2,7 @@
 
 The tokenizer drops white space, and no token spans it or the border between a letter and an ASCII digit or mark (an
 apostrophe apart), so a text's ids are those of its words and marks in order.  Words recur; each Python worker keeps the
-ids of those it has met, under 64-bit hashes, up to a fixed number.  Texts that hold the opening of a special token's
+ids of those it has met, under their bytes, up to a fixed size.  Texts that hold the opening of a special token's
 name go to the library whole.
 """
 
@@ -16,8 +16,6 @@ import pyarrow as pa
 
 from petrelspark.llm import words
 
-#: Words whose ids a worker keeps (some 20 bytes each) before it starts anew.
-REMEMBERED = 4_000_000
 _ASCII = np.arange(256) < 128
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 _MARK = _ASCII & ~_LETTER & ~words.IS_SPACE & (np.arange(256) != 39)
@@ -48,14 +46,11 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.forget()
+        self.known = words.Remembered()
 
-    def forget(self) -> None:
-        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def _ask(self, new: list[str]) -> list[list[int]]:
+    def _ask(self, found: list[bytes]) -> list[list[int]]:
         """The library's ids of each of the words.  Plain words go in one text, in which a closing token ends each."""
+        new = [w.decode() for w in found]
         plain = [k for k, w in enumerate(new) if w.isalpha()]
         out: list = [None] * len(new)
         for at in range(0, len(plain), 4096):
@@ -70,25 +65,6 @@ class WordEncoder:
                 out[k] = e.ids
         return out
 
-    def _numbers(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Where the ids of each word are kept; those of new words are asked for first."""
-        some, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
-            self.forget()
-        at = np.searchsorted(self.keys, some)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == some[known]
-        if not known.all():
-            raw, where = data.tobytes(), first[~known]
-            got = self._ask([raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-            lengths = np.fromiter(map(len, got), np.int32, len(got))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, int(lengths.sum()))])
-            self.keys, self.places = np.insert(self.keys, at[~known], some[~known]), np.insert(self.places, at[~known], np.arange(len(self.lengths), len(self.lengths) + len(got)))
-            self.lengths = np.concatenate([self.lengths, lengths])
-            at = np.searchsorted(self.keys, some)
-        return self.places[at][back]
-
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of each text's ids.  ``end`` is appended to each text's ids; a null text is empty."""
         n = len(column)
@@ -97,10 +73,7 @@ class WordEncoder:
         for texts, data, text_ends in words.pieces(column):
             low, at = _borders(data)
             starts, ends, counts = words.split(data, text_ends, at)
-            numbers = self._numbers(words.hashes(low, starts, ends), low, starts, ends) if len(starts) else np.zeros(0, np.int64)
-            lengths = self.lengths[numbers].astype(np.int64)
-            tops = np.cumsum(lengths)
-            flat = self.flat[np.repeat(self.starts[numbers] - (tops - lengths), lengths) + np.arange(int(lengths.sum()))]
+            flat, tops = self.known.ids(*words.distinct(low, starts, ends), self._ask)
             cuts = np.concatenate([[0], tops])[np.cumsum(counts)]
             for k, a, b in zip(texts, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
                 if k in special:

@@ -1,13 +1,12 @@
-"""Words of many texts at once, as numpy arrays: where they are, and a 64-bit hash of each.
+"""Words of many texts at once, as numpy arrays: where they are, which are equal, and a 64-bit hash of each.
 
-A word is a maximal run of bytes other than space and U+0009 to U+000D.  Hashes are polynomials modulo 2**64 over random
-byte values, followed by a mixing step; they depend on the word's bytes alone, so they are the same in every task.
+A word is a maximal run of bytes other than space and U+0009 to U+000D.  Which words of a chunk are equal is told by their
+bytes.  Hashes (XXH3, of each distinct word once) depend on the word's bytes alone, so they are the same in every task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +14,6 @@ import pyarrow as pa
 #: Bytes of text that are handled at a time; a longer text is cut at white space.
 CHUNK = 1 << 21
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FACTOR = 0x9E3779B97F4A7C15
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -36,23 +32,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (FACTOR, pow(FACTOR, -1, 1 << 64)):
-        p = np.full(n, base, np.uint64)
-        p[:1] = 1
-        out.append(np.multiply.accumulate(p, out=p))
-    return out[0], out[1]
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words among ``data[start:end]``, compared by bytes, and which of them each one is.
+
+    The words stand in order and leave out nothing but white space, or nothing at all."""
+    lengths = ends - starts
+    borders = np.concatenate([[0], np.cumsum(lengths)])
+    if borders[-1] != len(data):
+        data = data[~IS_SPACE[data]]
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = column.dictionary_encode()
+    _, ends_buffer, raw = coded.dictionary.buffers()
+    raw, at = raw.to_pybytes() if raw else b"", np.frombuffer(ends_buffer, np.int64)[: len(coded.dictionary) + 1].tolist()
+    return [raw[a:b] for a, b in zip(at, at[1:])], coded.indices.to_numpy()
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of ``data[start:end]`` for each start and end."""
-    up, down = _powers(1 << max(16, (len(data) + 1).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """The hash of each word, as for ``distinct``."""
+    from xxhash import xxh3_64_intdigest
+
+    words, codes = distinct(data, starts, ends)
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))[codes]
+
+
+class Remembered:
+    """Ids of words that recur, under the words' bytes; those a Python worker has met, up to a fixed number of bytes.
+
+    ``most``: bytes of words and ids, with what Python needs for each, before it starts anew; so a word of any length is
+    never kept for longer than until the next chunk."""
+
+    def __init__(self, most: int = 40 << 20):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.bytes = 0
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, words: list[bytes], codes: np.ndarray, ask) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all words in a row, where each word's end) for words given as by ``distinct``; ``ask`` gives the ids of new ones."""
+        if self.bytes > self.most:
+            self.forget()
+        known = self.numbers
+        new = [w for w in words if w not in known]
+        if new:
+            got = ask(new)
+            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            known.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, int(lengths.sum()))])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.bytes += sum(map(len, new)) + 150 * len(new) + 4 * int(lengths.sum())
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[codes] if words else np.zeros(0, np.int64)
+        lengths = self.lengths[at]
+        tops = np.cumsum(lengths)
+        return self.flat[np.repeat(self.starts[at] - (tops - lengths), lengths) + np.arange(int(lengths.sum()))], tops
 
 
 def pieces(column: pa.Array, most: int = CHUNK, joined: np.ndarray | None = None) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
