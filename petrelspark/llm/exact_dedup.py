@@ -1,9 +1,9 @@
 """Exact deduplication by progressive refinement, with DataFrame functions only.
 
 Rows are grouped by (length, hash of a prefix) of the normalised text; the full content is hashed only for rows
-whose group has company.  The surviving groups reach the second scan as a bitmap of fixed size (``2**bits`` bits,
-1 MiB at the default), so that neither texts nor unbounded key sets move: a set bit may be a false alarm, which
-costs one needless hash and nothing else, since the full hash decides.
+whose group has company.  The surviving groups are told by a bitmap of bounded size (``marks``), so that neither texts nor
+unbounded key sets move: a set bit may be a false alarm, which costs one needless hash and nothing else, since the full
+hash decides.
 
 Defined results: a null text is an empty text, and all empty texts are equal.  Of equal texts the row with the most
 code points in the original text stays, then the smallest id; a null id is larger than any other.  Of rows that are equal
@@ -17,10 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from petrelspark.llm import marks
 from petrelspark.llm.columns import SPACES, texts
-
-#: Bits of one row of the bitmap functions (4096 bytes).
-ROW_BITS = 32768
+from petrelspark.staging import stage
 
 
 def squeezed(text: Column) -> Column:
@@ -28,39 +27,40 @@ def squeezed(text: Column) -> Column:
     return reduce(lambda c, space: F.replace(c, F.lit(space), F.lit("")), SPACES, text)
 
 
-def _signature(df: DataFrame, prefix_chars: int) -> DataFrame:
-    norm = squeezed(F.col("text"))
-    return df.withColumn("norm", norm).withColumn("n_bytes", F.octet_length("norm")).withColumn("prefix_hash", F.xxhash64("n_bytes", F.substring("norm", 1, prefix_chars)))
-
+def prefix_key(norm: Column, prefix_chars: int) -> Column:
+    """Length and prefix of a normalised text in one 64-bit hash."""
+    return F.xxhash64(F.octet_length(norm), F.substring(norm, 1, prefix_chars))
 
-def survivors(docs: DataFrame, prefix_chars: int = 256, bits: int = 23) -> DataFrame:
-    """The bitmap of the (length, prefix hash) groups with two rows or more: rows (bucket, bitmap), ``2**bits / 32768`` at most."""
-    groups = _signature(docs, prefix_chars).groupBy("n_bytes", "prefix_hash").count().where("count > 1")
-    place = F.pmod(F.col("prefix_hash"), F.lit(1 << bits))
-    return groups.select(place.alias("place")).groupBy((F.col("place") / ROW_BITS).cast("int").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(place % {ROW_BITS})").alias("bitmap"))
 
+def survivors(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The bitmap of the prefix keys (``key``) that two rows or more have, and its bits."""
+    company = stage(keys.groupBy("key").count().where("count > 1").select("key"), "company")
+    bits = marks.bits_for(company.count())
+    return stage(marks.bitmap(company, F.col("key"), bits), "survivors"), bits
 
-def refined(docs: DataFrame, prefix_chars: int = 256, bits: int = 23, hash_all: bool = False) -> DataFrame:
-    """``docs`` (doc_id, text and any more) with the flag ``shared``, true where the row's group survived, and the digest ``text_sha256``.
 
-    The digest of the whole normalised text is computed for surviving rows; with ``hash_all`` for every row."""
-    marks = F.broadcast(survivors(docs.select("text"), prefix_chars, bits))  # 2**bits bits by construction
-    place = F.pmod(F.col("prefix_hash"), F.lit(1 << bits))
-    sought = _signature(docs, prefix_chars).withColumn("bucket", (place / ROW_BITS).cast("int")).withColumn("in_row", place % ROW_BITS)
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(in_row div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("shiftleft(1, cast(in_row % 8 as int))")
-    found = sought.join(marks, "bucket", "left").withColumn("shared", F.coalesce(byte.bitwiseAND(bit) > 0, F.lit(False)))
-    digest = F.sha2("norm", 256)
-    found = found.withColumn("text_sha256", digest if hash_all else F.when(F.col("shared"), digest))
-    return found.select(*docs.columns, "shared", "text_sha256")
+def refined(docs: DataFrame, prefix_chars: int = 256, hash_all: bool = False) -> DataFrame:
+    """(doc_id, n, shared, text_sha256) of each row: its code points, if its group survived, and the digest of the whole normalised text.
 
-
-def exact_groups(docs: DataFrame, prefix_chars: int = 256, bits: int = 23, hash_all: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    The digest is computed for surviving rows, in a second scan of the texts; with ``hash_all`` for every row, in the first."""
+    norm = squeezed(F.col("text"))
+    slim = docs.select("doc_id", F.length("text").alias("n"), "text", norm.alias("norm"))
+    key = prefix_key(F.col("norm"), prefix_chars).alias("key")
+    if hash_all:
+        rows = stage(slim.select("doc_id", "n", key, F.sha2("norm", 256).alias("text_sha256")), "digests")
+        found, bits = survivors(rows.select("key"))
+        return marks.marked(rows, F.col("key"), found, bits, "shared")
+    found, bits = survivors(slim.select(key))
+    flagged = marks.marked(slim.select("doc_id", "n", "norm", key), F.col("key"), found, bits, "shared")
+    return stage(flagged.select("doc_id", "n", "shared", F.when(F.col("shared"), F.sha2("norm", 256)).alias("text_sha256")), "refined")
+
+
+def exact_groups(docs: DataFrame, prefix_chars: int = 256, hash_all: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (null where no hash was needed).
 
     Copies are counted with partial sums before the shuffle; the join back is on the digest, and a hot digest is one that
     adaptive execution can split, since nothing above it needs a digest's rows together."""
-    rows = refined(texts(docs, id_col=id_col, text_col=text_col), prefix_chars, bits, hash_all).select("doc_id", F.length("text").alias("n"), "shared", "text_sha256")
+    rows = refined(texts(docs, id_col=id_col, text_col=text_col), prefix_chars, hash_all)
     best = F.max_by("doc_id", F.struct("n", F.col("doc_id").isNotNull(), -F.col("doc_id")))
     groups = rows.where("shared").groupBy(F.col("text_sha256").alias("of")).agg(best.alias("keep_id"), F.max("n").alias("most"), F.count("*").alias("group_size"))
     alone = rows.where("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -70,9 +70,13 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 256, bits: int = 23, hash_
     return alone.unionByName(many)
 
 
-def drop_copies(docs: DataFrame, prefix_chars: int = 256, bits: int = 23) -> DataFrame:
+def drop_copies(docs: DataFrame, prefix_chars: int = 256) -> DataFrame:
     """``docs`` with one row of each group of equal texts; all columns stay.  Rows proved alone do not move at all."""
-    flagged = refined(docs.select(F.struct("*").alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), prefix_chars, bits)
-    best = F.max_by("_row", F.struct(F.length("text"), F.col("doc_id").isNotNull(), -F.col("doc_id"), F.xxhash64("_row")))
-    many = flagged.where("shared").groupBy("text_sha256").agg(best.alias("_row"))
-    return flagged.where("not shared").select("_row.*").unionByName(many.select("_row.*"))
+    rows = docs.select(F.struct("*").alias("row"), squeezed(F.coalesce("text", F.lit(""))).alias("norm"))
+    rows = rows.withColumn("key", prefix_key(F.col("norm"), prefix_chars))
+    found, bits = survivors(rows.select("key"))
+    flagged = marks.marked(rows, F.col("key"), found, bits, "shared")
+    text, id_ = F.coalesce("row.text", F.lit("")), F.col("row.doc_id")
+    best = F.max_by("row", F.struct(F.length(text), id_.isNotNull(), -id_, F.xxhash64("row")))
+    many = flagged.where("shared").groupBy(F.sha2("norm", 256).alias("digest")).agg(best.alias("row"))
+    return flagged.where("not shared").select("row.*").unionByName(many.select("row.*"))
