@@ -2,21 +2,24 @@
 
 1. One pass over the texts gives each document's number of shingles, a digest of its whole shingle set, and its band keys.
    Documents of equal sets are one class from here on, so copies are never paired.
-2. In each bucket every class is a candidate of the bucket's smallest class only: as many edges as bucket members.
-3. Candidates are confirmed on full shingle sets, which are computed again from the texts of candidates alone.
+2. In each bucket every class is a candidate of the bucket's smallest class only: as many edges as bucket members.  Which
+   buckets have company is told by a bitmap of bounded size, so that most members never move.
+3. Candidates are confirmed on full shingle sets, which are computed again from the texts of candidates alone; another
+   bitmap keeps all other texts where they are.
 4. Where a bucket still holds classes of different components, those that its star did not compare are compared as well, so
    the star loses no link between different texts that share a bucket.  A profile of each set (how many of its hashes fall
    into each of 256 ranges) bounds the intersection of two sets from above; only pairs whose bound allows the similarity
    leave the task that compares them, and big buckets are compared in blocks of bounded size.
-5. Components come from confirmed links.
+5. Components come from confirmed links, and from ids that stand on rows of several classes.
 
 The number of bands follows from the threshold, the rows of a band and ``miss``, the accepted probability that a pair
 right at the threshold shares no bucket.  Shingles are compared by 64-bit hashes.
 
 Defined results: words are maximal runs of other bytes than space and U+0009 to U+000D, with A-Z in lower case.  A text
 with fewer words than a shingle has its whole word sequence as the one shingle; a null, empty or blank text has none and is
-linked with nothing.  Rows that repeat an id count as one document, linked if one of its texts is; a null id joins the
-component of its copies but makes no links.  An empty table gives an empty result.
+linked with nothing.  Rows that repeat an id are one document, whose texts all stand in its component, and it is linked if one
+of its texts is; a null id joins the component of its copies but makes no links.  Texts of any length are read whole.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from petrelspark.llm import words
-from petrelspark.llm.columns import small_batches, texts
+from petrelspark.llm import marks, words
+from petrelspark.llm.columns import fresh, small_batches, texts
 from petrelspark.operators.components import connected_components
 from petrelspark.staging import stage
 
@@ -42,9 +45,6 @@ _ODD = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64
 GROUP_SHINGLES = 1_500_000
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 800
-#: Requests for texts are broadcast to where the texts are if they are so few, and for a small share (one in so many) of the
-#: documents; else texts and requests meet by a shuffle.
-BROADCAST_REQUESTS, BROADCAST_SHARE = 25_000, 40
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -104,9 +104,10 @@ def signature(s: np.ndarray, bins: int) -> np.ndarray:
 
 
 def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit key for each band, of its number and its part of the signature."""
     sig = signature(s, bands * rows).reshape(bands, rows)
     with np.errstate(over="ignore"):
-        return words.mix((sig * _ODD[:rows]).sum(axis=1, dtype=np.uint64)).view(np.int64)
+        return words.mix((sig * _ODD[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _ODD[63]).view(np.int64)
 
 
 def bands_for(threshold: float, rows: int, miss: float) -> int:
@@ -131,7 +132,7 @@ def features(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, profile binary")
 
 
-def confirmed(docs: DataFrame, n_docs: int, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets have ``100 * intersection >= percent * union``.  ``pairs``: (a, b, nb), with b's set size.
 
     Leaves of one hub are dealt to groups of bounded total size, each with the hub's set."""
@@ -139,9 +140,9 @@ def confirmed(docs: DataFrame, n_docs: int, pairs: DataFrame, size: int, percent
     leaves = pairs.join(hubs, F.col("a") == F.col("hub")).select(F.col("b").alias("id"), "hub", F.pmod(F.xxhash64("b"), "groups").alias("part"), F.lit(False).alias("is_hub"))
     own = hubs.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(True).alias("is_hub"))
     requests = stage(leaves.union(own), "requests")
-    few = requests.count() <= min(BROADCAST_REQUESTS, n_docs // BROADCAST_SHARE)
-    requests = F.broadcast(requests) if few else requests.hint("merge")  # the same plan at every size
-    asked = docs.join(requests, F.col("doc_id") == F.col("id")).select("text", "id", "hub", "part", "is_hub")
+    bits = marks.bits_for(requests.count())
+    near = marks.marked(docs, F.xxhash64("doc_id"), stage(marks.bitmap(requests.select("id"), F.xxhash64("id"), bits), "wanted"), bits)
+    asked = near.join(requests.hint("merge"), F.col("doc_id") == F.col("id")).select("text", "id", "hub", "part", "is_hub")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 4 << 20):
@@ -168,12 +169,11 @@ def confirmed(docs: DataFrame, n_docs: int, pairs: DataFrame, size: int, percent
 
 
 def possible(rest: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, nb) of ``rest`` (band, key, rep, n, c) in one bucket with different ``c`` whose profiles (doc_id, profile) allow the similarity."""
-    sizes = rest.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).withColumnsRenamed({"band": "in_band", "key": "in_key"})
-    mine = F.pmod(F.xxhash64("rep"), "blocks")
-    dealt = rest.join(sizes, (F.col("band") == F.col("in_band")) & (F.col("key") == F.col("in_key"))).withColumn("block", mine)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("band", "key", "rep", "n", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    known = profiles.join(rest.select(F.col("rep").alias("of")).distinct(), F.col("doc_id") == F.col("of")).groupBy("of").agg(F.any_value("profile").alias("profile"))
+    """The pairs (a, b, nb) of ``rest`` (key, rep, n, c) in one bucket with different ``c`` whose profiles (doc_id, profile) allow the similarity."""
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).withColumnRenamed("key", "in_key")
+    dealt = rest.join(sizes, F.col("key") == F.col("in_key")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", "rep", "n", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    known = profiles.join(rest.select(F.col("rep").alias("of")).distinct(), F.col("doc_id") == F.col("of")).groupBy("of").agg(F.when(F.count("*") == 1, F.any_value("profile")).alias("profile"))  # an id with several texts has no bound
     rows = dealt.join(known, F.col("rep") == F.col("of")).drop("of")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -196,7 +196,7 @@ def possible(rest: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
         join = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
         return pa.table({"a": join(a), "b": join(b), "nb": join(nb)})
 
-    return rows.groupBy("band", "key", "lo", "hi").applyInArrow(compare, "a long, b long, nb long").distinct()
+    return rows.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long, nb long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,29 +205,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     bands = bands_for(percent / 100, rows, miss)
     found = stage(features(t, size, bands, rows), "minhash")
     classes = stage(found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "classes")
-    members = classes.where("rep is not null").select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min("rep").alias("centre"), F.min_by("n", "rep").alias("centre_n"), F.count("*").alias("many")).where("many > 1").withColumnsRenamed({"band": "in_band", "key": "in_key"})
-    rows_in = stage(members.join(buckets, (F.col("band") == F.col("in_band")) & (F.col("key") == F.col("in_key"))).select("band", "key", "rep", "n", "centre", "centre_n", "many"), "buckets")
+    members = classes.where("rep is not null").select("rep", "n", F.explode("bands").alias("key"))
+    company = stage(members.groupBy("key").count().where("count > 1").select("key"), "company")
+    bits = marks.bits_for(company.count())
+    members = marks.marked(members, F.col("key"), stage(marks.bitmap(company, F.col("key"), bits), "shared"), bits)
+    buckets = members.groupBy("key").agg(F.min("rep").alias("centre"), F.min_by("n", "rep").alias("centre_n"), F.count("*").alias("many")).where("many > 1").withColumnRenamed("key", "in_key")
+    rows_in = stage(members.join(buckets, F.col("key") == F.col("in_key")).select("key", "rep", "n", "centre", "centre_n", "many"), "buckets")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     stars = rows_in.where((F.col("rep") != F.col("centre")) & alike("n", "centre_n")).select(F.col("centre").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
-    n_docs = found.count()
-    links = stage(confirmed(t, n_docs, stars, size, percent), "links")
+    links = stage(confirmed(t, stars, size, percent).union(same_ids(found, classes)), "links")
     first = stage(connected_components(links), "first")
     label = first.select(F.col("node").alias("of"), "component")
     open_ = rows_in.where("many > 2").join(label, F.col("rep") == F.col("of"), "left").withColumn("c", F.coalesce("component", "rep"))
-    mixed = open_.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("band").alias("in_band"), F.col("key").alias("in_key"))
-    rest = stage(open_.where("rep != centre").join(mixed, (F.col("band") == F.col("in_band")) & (F.col("key") == F.col("in_key"))).select("band", "key", "rep", "n", "c"), "rest")
+    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("key").alias("in_key"))
+    rest = stage(open_.where("rep != centre").join(mixed, F.col("key") == F.col("in_key")).select("key", "rep", "n", "c"), "rest")
     missed = possible(rest, found.select("doc_id", "profile"), percent)
-    more = stage(confirmed(t, n_docs, stage(missed, "missed"), size, percent), "more-links")
+    more = stage(confirmed(t, stage(missed, "missed"), size, percent), "more-links")
     if not more.isEmpty():
         label = connected_components(links.union(more)).select(F.col("node").alias("of"), "component")
     of_class = classes.select(F.col("digest").alias("set"), "rep").join(label, F.col("rep") == F.col("of"), "left").select("set", F.coalesce("component", "rep").alias("component"))
     out = found.join(of_class, F.col("digest") == F.col("set"), "left")
-    # rows that repeat an id with several texts are one document
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"))
 
 
+def same_ids(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the representatives of the classes in which one id stands."""
+    h = F.xxhash64("digest")
+    several = found.where("doc_id is not null and digest is not null").groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo < hi").select(F.col("doc_id").alias("of"))
+    sets = found.join(several, F.col("doc_id") == F.col("of"), "left_semi").select("doc_id", F.col("digest").alias("set")).distinct()
+    reps = stage(sets.join(classes.select("digest", "rep"), F.col("set") == F.col("digest")).select("doc_id", "rep"), "same-ids")
+    least = reps.groupBy(F.col("doc_id").alias("of")).agg(F.min("rep").alias("a"))
+    return reps.join(least, F.col("doc_id") == F.col("of")).where("a != rep").select("a", F.col("rep").alias("b")).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **how) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; all columns stay.  Rows without an id stay."""
-    gone = near_duplicates(docs, size, percent, **how).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = near_duplicates(docs, size, percent, **how).where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
