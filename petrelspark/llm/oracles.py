@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from petrelspark.llm.licenses import MENTION, OTHER, RULES, SENTENCES
-from petrelspark.llm.quality import MEASURES
 
 OP9 = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
@@ -40,17 +39,25 @@ FROM cut c LEFT JOIN uniq USING (doc_id)
 """
 
 
-def op3(support: int = 200, reach: int = 3) -> str:
-    value = {m: sql.replace(" div ", " // ") for m, (sql, _, _) in MEASURES.items()}
-    low_bits = "greatest(length(bin(value)) - 6, 0)"
-    least = " ".join(f"WHEN '{m}' THEN {spread}" for m, (_, spread, _) in MEASURES.items())
-    lower = " ".join(f"WHEN '{m}' THEN {'true' if low else 'false'}" for m, (_, _, low) in MEASURES.items())
+def op3() -> str:
+    value = {
+        "word_length": "word_chars * 1000000 // greatest(n_words, 1)", "symbol_rate": "(n_symbols + 1) * 1000000 // (n_words + 1)",
+        "repeat_rate": "(n_repeat_words + 1) * 1000000 // (n_words + 1)", "dup_line_rate": "(n_dup_lines + 1) * 1000000 // (n_lines + 8)",
+    }
+    low_bits = "greatest(length(bin(value)) - 10, 0)"
+    reach = "CASE side.measure WHEN 'word_length' THEN 5 WHEN 'symbol_rate' THEN 4 WHEN 'repeat_rate' THEN 3 WHEN 'dup_line_rate' THEN 4 END"
+    times = lambda q, n: f"{q}{f' * ({q} / q50)' * n}"
 
     def quart(name: str, by: str) -> str:
         keys = ", ".join(x for x in (by, "measure") if x)
+        least = ", ".join(f"CAST(min(CASE WHEN 100 * upto >= {q} * total THEN greatest(bucket, 1) END) AS DOUBLE) AS q{q}" for q in (25, 50, 75))
         return f"""{name}_s AS (SELECT {keys}, bucket, sum(n) AS n FROM fine GROUP BY ALL),
 {name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM {name}_s),
-{name}_q AS (SELECT {keys}, max(total) AS n, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3 FROM {name}_r GROUP BY {keys})"""
+{name}_q AS (SELECT {keys}, CAST(max(total) AS BIGINT) AS n, {least} FROM {name}_r GROUP BY {keys})"""
+
+    def drawn(keys: str, a: str, b: str, on: str) -> str:
+        q = ", ".join(f"({a}.n * {a}.q{k} + 200 * {b}.q{k}) / ({a}.n + 200) AS q{k}" for k in (25, 50, 75))
+        return f"SELECT {keys}, {a}.measure, {a}.n, {q} FROM {a} JOIN {b} ON {a}.measure = {b}.measure{on}"
 
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -64,18 +71,16 @@ m AS (
   SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)),
-v AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS measure, {sql} AS value FROM m" for m, sql in value.items())}),
-fine AS (SELECT lang, source, measure, (value >> {low_bits}) << {low_bits} AS bucket, count(*) AS n FROM v GROUP BY ALL),
+raw AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS measure, {sql} AS value FROM m" for m, sql in value.items())}),
+v AS (SELECT doc_id, lang, source, measure, (value >> {low_bits}) << {low_bits} AS value FROM raw),
+fine AS (SELECT lang, source, measure, value AS bucket, count(*) AS n FROM v GROUP BY ALL),
 {quart("o", "lang, source")},
 {quart("g", "lang")},
 {quart("e", "")},
-pick AS (
-  SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= {support} THEN o.q1 WHEN g.n >= {support} THEN g.q1 ELSE e.q1 END AS q1,
-    CASE WHEN o.n >= {support} THEN o.q3 WHEN g.n >= {support} THEN g.q3 ELSE e.q3 END AS q3
-  FROM o_q o JOIN g_q g ON o.lang IS NOT DISTINCT FROM g.lang AND o.measure = g.measure JOIN e_q e ON o.measure = e.measure),
-side AS (SELECT *, {reach} * greatest(q3 - q1, CASE measure {least} END) AS s FROM pick),
+gd AS ({drawn("g_q.lang", "g_q", "e_q", "")}),
+side AS ({drawn("o_q.lang, o_q.source", "o_q", "gd", " AND o_q.lang IS NOT DISTINCT FROM gd.lang")}),
 bad AS (
-  SELECT v.doc_id, bool_or(v.value > side.q3 + s OR (CASE v.measure {lower} END AND v.value < side.q1 - s)) AS failed
+  SELECT v.doc_id, bool_or(v.value > CASE {reach} WHEN 3 THEN {times("q75", 3)} WHEN 4 THEN {times("q75", 4)} WHEN 5 THEN {times("q75", 5)} END OR (v.measure = 'word_length' AND v.value < {times("q25", 8)})) AS failed
   FROM v JOIN side ON v.lang IS NOT DISTINCT FROM side.lang AND v.source IS NOT DISTINCT FROM side.source AND v.measure = side.measure GROUP BY v.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT failed AS kept

@@ -1,13 +1,15 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-A sketch counts values by bucket: a whole number's bucket is the number with only its six leading bits kept, so quantiles
-are exact below 64 and within one part in 32 above.  Sketches are tables of counts, so they merge by adding: those of each
+A sketch counts values by bucket: a whole number's bucket is the number with only its ten leading bits kept, so quantiles
+are exact below 1,024 and within one part in 512 above.  Sketches are tables of counts, so they merge by adding: those of each
 (language, source) make those of each language, and those the sketch of the corpus.
 
-For each measure a document fails above ``Q3 + reach * spread`` of its group or, for measures with a lower side, below
-``Q1 - reach * spread``, where the spread is ``Q3 - Q1`` or the measure's least spread.  A group with fewer than
-``support`` documents takes the thresholds of its language, and a language with fewer those of the corpus.  The thresholds
-join the documents' measures, and the filter compares the two.
+Rates are in millionths and smoothed by one occurrence (and by some lines more, as texts have few), which is what a text of
+that length cannot tell from none; so they are never 0, and ratios of quantiles say how far a group's own texts spread.  For
+each measure a document fails above ``q75 * (q75 / q50) ** reach`` of its group or, for measures with a lower side, below
+``q25 * (q25 / q50) ** reach``: Tukey's fences in logarithms.  There are no fixed bounds.  A group's quantiles are drawn
+towards those of its language, and a language's towards those of the corpus, as if ``support`` documents more had them.  The
+thresholds join the documents' measures, and the filter compares a value's bucket with them.
 
 Defined results: words are maximal runs of other characters than space and U+0009 to U+000D.  A null text is empty: no
 words, and the fixed base rule fails it.  A null language or source is a value like any other.  Repeated rows are counted
@@ -17,24 +19,26 @@ and judged each.  An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petrelspark.llm import words
 from petrelspark.llm.columns import as_bytes, small_batches, texts
 from petrelspark.staging import stage
 
-#: The measures in thousandths: SQL for the value, the least spread, and if it has a lower side.
+#: The measures in millionths: SQL for the value, and the reach of the lower fence (none: no lower side) and of the upper one.
 MEASURES = {
-    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", 500, True),
-    "symbol_rate": ("n_symbols * 1000 div greatest(n_words, 1)", 30, False),
-    "repeat_rate": ("n_repeat_words * 1000 div greatest(n_words, 1)", 60, False),
-    "dup_line_rate": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 60, False),
+    "word_length": ("word_chars * 1000000 div greatest(n_words, 1)", 8, 5),
+    "symbol_rate": ("(n_symbols + 1) * 1000000 div (n_words + 1)", None, 4),
+    "repeat_rate": ("(n_repeat_words + 1) * 1000000 div (n_words + 1)", None, 3),
+    "dup_line_rate": ("(n_dup_lines + 1) * 1000000 div (n_lines + 8)", None, 4),
 }
+Measures = dict[str, tuple[str, int | None, int]]
 _SYMBOLS = b"#*$%&|<>"
 #: (language, source) groups up to which their thresholds are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 10_000
@@ -84,15 +88,15 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def bucket(value: str) -> str:
-    """SQL: the number with only its six leading bits kept."""
-    low = f"greatest(length(bin({value})) - 6, 0)"
-    return f"shiftleft(shiftright({value}, {low}), {low})"
+    """SQL: the number with only its ten leading bits kept."""
+    low = f"greatest(length(bin({value})) - 10, 0)"
+    return f"shiftleft(shiftright(({value}), {low}), {low})"
 
 
 def sketches(rows: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
-    """The sketch of each measure in each group: (by..., measure, bucket, n)."""
+    """The sketch of each measure, a column of buckets, in each group: (by..., measure, bucket, n)."""
     values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures]))
-    return rows.select(*by, values.alias("v")).select(*by, "v.measure", F.expr(bucket("v.value")).alias("bucket")).groupBy(*by, "measure", "bucket").agg(F.count("*").alias("n"))
+    return rows.select(*by, values.alias("v")).select(*by, "v.measure", F.col("v.value").alias("bucket")).groupBy(*by, "measure", "bucket").agg(F.count("*").alias("n"))
 
 
 def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
@@ -101,37 +105,46 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., measure, n, q1, q3): the least bucket with a quarter, or three, of the group's count at or below it.
+    """(by..., measure, n, q25, q50, q75): the least bucket with that share of the group's count at or below it.
 
-    A group's sketch has some hundreds of rows at most, so a window over it is bounded."""
+    A group's sketch has 512 rows for each doubling of the values at most, so a window over it is bounded."""
     keys = ", ".join(f"`{b}`" for b in [*by, "measure"])
     run = sketch.selectExpr("*", f"sum(n) over (partition by {keys} order by bucket) as upto", f"sum(n) over (partition by {keys}) as total")
-    return run.groupBy(*by, "measure").agg(F.max("total").alias("n"), F.min(F.expr("case when 4 * upto >= total then bucket end")).alias("q1"), F.min(F.expr("case when 4 * upto >= 3 * total then bucket end")).alias("q3"))
+    least = [F.min(F.expr(f"case when 100 * upto >= {q} * total then greatest(bucket, 1) end")).cast("double").alias(f"q{q}") for q in (25, 50, 75)]
+    return run.groupBy(*by, "measure").agg(F.max("total").alias("n"), *least)
 
 
-def thresholds(rows: DataFrame, measures: dict[str, tuple[str, int, bool]], support: int, reach: int) -> DataFrame:
+def drawn(own: DataFrame, wider: DataFrame, on: list[str], support: int) -> DataFrame:
+    """``own`` with its quantiles drawn towards those of the wider group that has the same ``on`` and measure."""
+    w = wider.select(*[F.col(c).alias(f"of_{c}") for c in [*on, "measure", "q25", "q50", "q75"]])
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in [*on, "measure"]]
+    q = {f"q{k}": (F.col("n") * F.col(f"q{k}") + support * F.col(f"of_q{k}")) / (F.col("n") + support) for k in (25, 50, 75)}
+    return own.join(w, reduce(lambda a, b: a & b, same)).select(*[q[c].alias(c) if c in q else F.col(c) for c in own.columns])
+
+
+def thresholds(rows: DataFrame, measures: Measures, support: int) -> DataFrame:
     """(lang, source, <measure>_low, <measure>_high): one row for each group."""
     fine = stage(sketches(rows, ["lang", "source"], list(measures)), "sketch")
     wide = merged(fine, ["lang"])
     own, lang, every = (quartiles(s, by) for s, by in ((fine, ["lang", "source"]), (wide, ["lang"]), (merged(wide, []), [])))
-    o, g, e = own.alias("o"), lang.alias("g"), F.broadcast(every.alias("e"))  # a row for each measure
-    pick = lambda q: F.when(F.col("o.n") >= support, F.col(f"o.{q}")).when(F.col("g.n") >= support, F.col(f"g.{q}")).otherwise(F.col(f"e.{q}"))
-    chosen = o.join(g, F.col("o.lang").eqNullSafe(F.col("g.lang")) & (F.col("o.measure") == F.col("g.measure"))).join(e, F.col("o.measure") == F.col("e.measure")).select("o.lang", "o.source", "o.measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    least = F.create_map(*[F.lit(x) for m, (_, spread, _) in measures.items() for x in (m, spread)])
-    spread = F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
-    sides = chosen.select("lang", "source", "measure", (F.col("q1") - reach * spread).alias("low"), (F.col("q3") + reach * spread).alias("high"))
-    at = lambda m, side: F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}")
-    return sides.groupBy("lang", "source").agg(*[at(m, side) for m in measures for side in ("low", "high")])
+    chosen = drawn(own, drawn(lang, F.broadcast(every), [], support), ["lang"], support)  # ``every`` has a row for each measure
+
+    def fence(m: str, q: str, reach: int | None) -> Column:
+        power = reduce(lambda x, _: x * (F.col(q) / F.col("q50")), range(reach or 0), F.col(q))
+        return F.max(F.when((F.col("measure") == m) & F.lit(reach is not None), power))
+
+    fences = [f for m, (_, low, high) in measures.items() for f in (fence(m, "q25", low).alias(f"{m}_low"), fence(m, "q75", high).alias(f"{m}_high"))]
+    return chosen.groupBy("lang", "source").agg(*fences)
 
 
-def adaptive_quality(docs: DataFrame, support: int = 200, reach: int = 3, measures: dict[str, tuple[str, int, bool]] = MEASURES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def adaptive_quality(docs: DataFrame, support: int = 200, measures: Measures = MEASURES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, kept and failed (the measures that failed, or null)."""
     rows = stage(measured(texts(docs, "lang", "source", id_col=id_col, text_col=text_col).withColumns({"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")})), "measures")
-    rows = rows.withColumns({m: F.expr(sql) for m, (sql, _, _) in measures.items()})
-    limits = stage(thresholds(rows, measures, support, reach), "thresholds").withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    rows = rows.withColumns({m: F.expr(bucket(sql)) for m, (sql, _, _) in measures.items()})
+    limits = stage(thresholds(rows, measures, support), "thresholds").withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     judged = rows.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")))
-    fails = [F.when((F.col(m) > F.col(f"{m}_high")) | (F.col(m) < F.col(f"{m}_low") if low else F.lit(False)), F.lit(m)) for m, (_, _, low) in measures.items()]
+    fails = [F.when((F.col(m) > F.col(f"{m}_high")) | (F.col(m) < F.col(f"{m}_low") if low is not None else F.lit(False)), F.lit(m)) for m, (_, low, _) in measures.items()]
     base = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(base).alias("base_failed"), F.nullif(F.concat_ws(",", *fails), F.lit("")).alias("failed")).withColumn("kept", ~F.col("base_failed") & F.col("failed").isNull())
