@@ -1,9 +1,10 @@
 """Secret scans with multipart linking.
 
 Base findings are reported as they are: assigned secrets, access keys and long hexadecimal runs.  Weaker parts of a credential
-(an access identifier, a secret that is only plausible, an endpoint) are reported only where parts of two kinds stand
-together: within one scope, a run of lines without an empty line between, and within ``reach`` characters.  Parts of a text
-are sorted by place, and the interval join is one sweep over them, so its cost grows with the parts and not with their pairs.
+(an access identifier, a secret that is only plausible, an endpoint) are reported only where a secret, found or plausible, stands
+together with an identifier or an endpoint: within one scope, a run of lines without an empty line between, and within
+``reach`` characters.  Parts of a text are sorted by place, and the interval join is a sweep over them in both directions, so
+its cost grows with the parts and not with their pairs.
 
 Defined results: a null text is empty and has no finding.  Places are code points, the end exclusive.  Of one kind findings
 do not overlap; those of different kinds may.  Texts are scanned whole.  Rows that repeat an id are scanned each.
@@ -14,14 +15,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
-from petrelspark.llm.columns import small_batches, texts
+from petrelspark.llm.columns import in_place, small_batches, texts
 
 Span = tuple[int, int, str]
 
@@ -61,7 +59,7 @@ def weak_parts(text: str) -> list[Span]:
 
 
 def linked(text: str, base: list[Span], reach: int = 200) -> tuple[list[Span], int]:
-    """The weak parts that stand with a part of another role, and the number of links that the sweep made."""
+    """The weak parts of a credential, of which one part is a secret, and the number of links: each part is linked to the nearest one of another role on either side."""
     weak = weak_parts(text)
     if not weak:
         return [], 0
@@ -80,26 +78,21 @@ def linked(text: str, base: list[Span], reach: int = 200) -> tuple[list[Span], i
     weak = [s for s in weak if not inside(s)]
     parts = sorted([*base, *weak])
     breaks = [m.start() for m in _EMPTY_LINE.finditer(text)] if weak else []
-    found: set[Span] = set()
-    links = 0
-    near: dict[str, Span] = {}  # of each role the part before that ends last
-    for s in parts:
-        scope = bisect_left(breaks, s[0])
-        for role, o in near.items():
-            if role != ROLE[s[2]] and s[0] - o[1] <= reach and bisect_left(breaks, o[0]) == scope:
-                links += 1
-                found.update(x for x in (s, o) if x[2] not in BASE)
-        role = ROLE[s[2]]
-        if role not in near or near[role][1] <= s[1]:
-            near[role] = s
-    near = {}  # and from the other side, so that a part also meets the next one after it
-    for s in reversed(parts):
-        scope = bisect_left(breaks, s[0])
-        for role, o in near.items():
-            if role != ROLE[s[2]] and o[0] - s[1] <= reach and bisect_left(breaks, o[0]) == scope:
-                found.update(x for x in (s, o) if x[2] not in BASE)
-        near[ROLE[s[2]]] = s
-    return sorted(found, key=lambda s: (s[0], ORDER[s[2]])), links
+    scope = [bisect_left(breaks, s[0]) for s in parts]
+    links: set[tuple[int, int]] = set()
+    for order, ahead in ((range(len(parts)), True), (range(len(parts) - 1, -1, -1), False)):
+        near: dict[str, int] = {}  # of each role the part met so far that reaches furthest
+        for k in order:
+            a, b, kind = parts[k]
+            for role, o in near.items():
+                gap = a - parts[o][1] if ahead else parts[o][0] - b
+                if role != ROLE[kind] and "what" in (role, ROLE[kind]) and gap <= reach and scope[o] == scope[k]:
+                    links.add((min(k, o), max(k, o)))
+            mine = near.get(ROLE[kind])
+            if mine is None or not ahead or parts[mine][1] <= b:
+                near[ROLE[kind]] = k
+    found = {parts[k] for pair in links for k in pair if parts[k][2] not in BASE}
+    return sorted(found, key=lambda s: (s[0], ORDER[s[2]])), len(links)
 
 
 def written(spans: list[Span]) -> str:
@@ -138,25 +131,22 @@ def find_secrets(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text
 
 def redact(docs: DataFrame, reach: int = 200) -> DataFrame:
     """``docs`` with the findings in ``text`` replaced, and ``n_chars`` (where there is one) set to the new length of changed texts.  No row goes."""
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            out, changed = [], []
-            for text in batch.column("text").to_pylist():
+        for batch in small_batches(batches, "text", 4 << 20):
+            out, lengths = [], {}
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 b = base_spans(text or "")
                 weak, _ = linked(text or "", b, reach)
-                new = redacted(text, b + weak) if b or weak else text
-                out.append(new)
-                changed.append(bool(b or weak))
-            columns = [pa.array(out, batch.column(c).type) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(changed)], [*names, "_changed"])
-
-    done = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_changed", BooleanType())]))
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*names)
-
-
-def digest(spans: list[Span]) -> str:
-    return sha256(written(spans).encode()).hexdigest()
+                out.append(redacted(text, b + weak) if b or weak else text)
+                if b or weak:
+                    lengths[k] = len(out[-1])
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            if lengths:
+                columns["text"] = pa.array(out, batch.column("text").type)
+                if "n_chars" in columns:
+                    n = columns["n_chars"]
+                    columns["n_chars"] = pa.array([lengths.get(k, v) for k, v in enumerate(n.to_pylist())], n.type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return in_place(docs, run)
