@@ -4,7 +4,10 @@ Documents go in ascending id order into shards of about ``shard_tokens`` ids.  I
 neighbouring ids are replaced by new symbols (nonterminals), again and again; a pair never spans two documents.  A round
 takes all of its frequent pairs at once, the more frequent ones first where two overlap, instead of one pair at a time.
 
-File format: Parquet, one row for each shard: part and place (their order), doc_ids, blob.  The blob, little-endian:
+Texts become ids where they are read; only ids then move into the order of documents.
+
+File format: Parquet, one row for each shard: part and place (their order), before (the ids of the part's shards before it),
+tokens, doc_ids, blob.  The blob, little-endian:
 
     magic "RPG1"; five u32: first nonterminal, rules, documents, symbols, bytes of a symbol (2 or 4)
     rules: left u32 each; right u32 each; expansion length u32 each
@@ -16,13 +19,13 @@ id of a document without expanding what comes before.  Spark's committer writes
 half-written shard behind.
 
 Defined results: a null or empty text has the end id alone.  A null doc_id comes first; rows that repeat an id stand in
-the order of their texts' hashes.  An empty table makes no shards.
+the order of their ids' hashes.  An empty table makes no shards.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
+import uuid
 from collections.abc import Iterator
 from itertools import count
 
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from petrelspark.llm.columns import small_batches, texts
 from petrelspark.llm.tokens import encoder
-from petrelspark.staging import shared_dir
+from petrelspark.staging import session_dir, stage
 
 _HEAD = struct.Struct("<4s5I")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -169,74 +172,85 @@ class Shard:
         return self.expand(self.symbols), np.diff(sums[self.ends], prepend=0)
 
 
-SHARDS = "part int, place long, doc_ids array<long>, tokens long, blob binary"
+SHARDS = "part int, place long, before long, tokens long, doc_ids array<long>, blob binary"
+#: Ranges of documents that files are written by, at most; a reader broadcasts a row for each.
+MOST_RANGES = 100_000
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first: int = 49408, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as Re-Pair shards to ``path``; ``tokenizer`` is the path of the tokenizer's file, ``first`` the size of its vocabulary."""
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, first: int) -> DataFrame:
+    """(doc_id, n, ids): the ids of each text and the end id, in two or four bytes each."""
+    kind = np.dtype("<u2" if first <= 1 << 16 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, place = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        kept: list[tuple[list, np.ndarray, np.ndarray]] = []
+        code = encoder(tokenizer)
+        for batch in small_batches(batches, "text", 4 << 20):
+            ids, sizes = code.encode(batch.column("text"), end_id)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]) * kind.itemsize
+            blobs = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), blobs], ["doc_id", "n", "ids"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, ids binary")
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first: int = 49408, shard_tokens: int = 1 << 20, range_tokens: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write ``docs`` as Re-Pair shards to ``path``; ``tokenizer`` is the path of the tokenizer's file, ``first`` the size of its vocabulary.
+
+    ``range_tokens``: ids of a range of documents, which one task writes, at least."""
+    kind = np.dtype("<u2" if first <= 1 << 16 else "<u4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place, before, have = TaskContext.get().partitionId(), 0, 0, 0
+        names: list[int | None] = []
+        kept: list[bytes] = []
+        sizes: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal place
-            names = [i for x in kept for i in x[0]]
-            ids, sizes = np.concatenate([x[1] for x in kept]), np.concatenate([x[2] for x in kept])
-            kept.clear()
-            place += 1
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([place - 1]), pa.array([names], pa.list_(pa.int64())), pa.array([len(ids)]), pa.array([pack(ids, sizes, first)])], ["part", "place", "doc_ids", "tokens", "blob"])
+            nonlocal place, before, have
+            ids = np.frombuffer(b"".join(kept), kind).astype(np.uint32)
+            out = [pa.array([part], pa.int32()), pa.array([place]), pa.array([before]), pa.array([len(ids)]), pa.array([names], pa.list_(pa.int64())), pa.array([pack(ids, np.array(sizes, np.int64), first)])]
+            place, before, have = place + 1, before + len(ids), 0
+            for x in (names, kept, sizes):
+                x.clear()
+            return pa.RecordBatch.from_arrays(out, ["part", "place", "before", "tokens", "doc_ids", "blob"])
 
-        for batch in small_batches(batches, "text", 4 << 20):
-            ids, sizes = code.encode(batch.column("text"), end_id)
-            names, at = batch.column("doc_id").to_pylist(), 0
-            tops = np.cumsum(sizes)
-            while at < len(names):
-                have = sum(len(x[1]) for x in kept)
-                base = int(tops[at - 1]) if at else 0
-                to = max(at + 1, int(np.searchsorted(tops, base + shard_tokens - have, "right")))
-                kept.append((names[at:to], ids[base : int(tops[to - 1])], sizes[at:to]))
-                at = to
-                if have + len(kept[-1][1]) >= shard_tokens or at < len(names):
+        for batch in batches:
+            for name, n, ids in zip(*(batch.column(c) for c in ("doc_id", "n", "ids")), strict=True):
+                n = n.as_py()
+                if have and have + n > shard_tokens:
                     yield flush()
+                names.append(name.as_py())
+                sizes.append(n)
+                kept.append(ids.as_py())
+                have += n
         if kept:
             yield flush()
 
-    spark = docs.sparkSession
-    t = texts(docs, id_col=id_col, text_col=text_col)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = t.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    tokens = stage(encoded(texts(docs, id_col=id_col, text_col=text_col), tokenizer, end_id, first), "ids")
+    ranges = min(MOST_RANGES, max(1, -(-(tokens.agg(F.sum("n")).first()[0] or 0) // range_tokens)))
+    ordered = tokens.repartitionByRange(ranges, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"))
     ordered.mapInArrow(run, SHARDS).write.parquet(path)
 
 
-def read_shards(docs_path: str, spark) -> DataFrame:
-    """One row per document of the files at ``docs_path``: doc_id, start, ids (binary, little-endian u32)."""
-    files = spark.read.schema(SHARDS).parquet(docs_path)
-    in_part = files.select("part", "place", "tokens").selectExpr("part as p", "place as q", "sum(tokens) over (partition by part order by place) - tokens as within")
-    parts = files.groupBy("part").agg(F.sum("tokens").alias("tokens")).selectExpr("part as o", "sum(tokens) over (order by part) - tokens as earlier")  # a row for each part
-    placed = files.join(in_part, (F.col("part") == F.col("p")) & (F.col("place") == F.col("q"))).join(parts, F.col("part") == F.col("o")).select("doc_ids", "blob", (F.col("within") + F.col("earlier")).alias("start"))
+def read_shards(path: str, spark) -> DataFrame:
+    """One row per document of the files at ``path``: doc_id, start, ids (binary, little-endian u32)."""
+    files = spark.read.schema(SHARDS).parquet(path)
+    parts = files.groupBy("part").agg(F.sum("tokens").alias("own")).selectExpr("part as of", "sum(own) over (order by part) - own as earlier")
+    placed = files.join(F.broadcast(parts), F.col("part") == F.col("of")).select("doc_ids", "blob", (F.col("before") + F.col("earlier")).alias("start"))  # MOST_RANGES rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, blob, start in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "blob", "start")), strict=True):
-                ids, sizes = Shard(blob).all()
+            for names, blob, start in zip(*(batch.column(c) for c in ("doc_ids", "blob", "start")), strict=True):
+                ids, sizes = Shard(blob.as_py()).all()
                 tops = np.cumsum(sizes)
-                raw = ids.astype("<u4").tobytes()
-                cut = [raw[4 * (b - n) : 4 * b] for n, b in zip(sizes.tolist(), tops.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start + tops - sizes), pa.array(cut, pa.binary())], ["doc_id", "start", "ids"])
+                offsets = np.concatenate([[0], tops]) * 4
+                cut = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(names.as_py(), pa.int64()), pa.array(start.as_py() + tops - sizes), cut], ["doc_id", "start", "ids"])
 
     return placed.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, **how) -> DataFrame:
-    """Write ``docs`` to the shared folder and read the files back: doc_id, start, ids."""
-    import uuid
-
-    path = f"{shared_dir(docs.sparkSession)}/petrelspark/token-files-{uuid.uuid4().hex}"
+    """Write ``docs`` to the session's part of the shared folder and read the files back: doc_id, start, ids."""
+    path = f"{session_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     write_shards(docs, path, tokenizer, **how)
     return read_shards(path, docs.sparkSession)
-
-
-def digest(ids: bytes) -> int:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(ids)
