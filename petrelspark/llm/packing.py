@@ -2,7 +2,7 @@
 
 Each task packs the pieces of its own part of the input best-fit, largest first, and emits the bins that are nearly full.
 The underfull bins are items of the next round: bins of several tasks meet in groups of bounded size and are packed
-best-fit again, until one group has them all or a round no longer helps.  Texts never move; a bin carries what its pieces
+best-fit again, until one group has them all or, with groups as large as they may be, a round fills 2 % of the bins at most.  Texts never move; a bin carries what its pieces
 are (ids, places, lengths, checksums), at most one entry for each of its tokens.
 
 Defined results: a null or empty text is one piece, the end id.  A document that fits is one piece; only longer ones are
@@ -135,7 +135,7 @@ def pack_tokens(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: i
         dealt = left.withColumn("to", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
         bins = stage(dealt.groupBy("to").applyInArrow(merge(step, last), BINS), "bins")
         now = bins.where("not done").count()
-        if now > 0.98 * count:  # another round would hardly help
+        if now > 0.98 * count and groups == -(-count // per_group):  # groups are as large as they may be, and another round would hardly help
             done, count = done.union(bins), 0
         else:
             done, left, count, groups = done.union(bins.where("done")), bins.where("not done"), now, max(1, groups // 2)

@@ -110,7 +110,7 @@ def _blocks(groups: DataFrame, bits: int) -> DataFrame:
     return groups.groupBy(F.shiftright("h", 64 - bits).alias("block")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("groups"))
 
 
-def cut_points(groups: DataFrame, shards: int, most_blocks: int = 1024, first_bits: int = 12, more_bits: int = 8) -> tuple[int, list[int | None]]:
+def cut_points(groups: DataFrame, shards: int, most_blocks: int = 256, first_bits: int = 16, more_bits: int = 10) -> tuple[int, list[int | None]]:
     """The smallest capacity, and for each shard but the first the hash of its first group (None: the shard is empty).
 
     ``groups`` has (h, bytes), a row for each group."""
