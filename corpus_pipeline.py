@@ -1,4 +1,9 @@
-"""A training corpus in five stages: toxic documents go, then exact copies, then near copies; secrets are replaced; what is left is packed."""
+"""A training corpus in five stages: toxic documents go, then exact copies, then near copies; secrets are replaced; what is left is packed.
+
+Defined results, in every stage: a null or empty text is a clean document without words, of which the exact stage keeps one, as
+of all equal texts; repeated rows are copies like any other.  Extra columns stay as they are up to the last stage, whatever
+their names.  Texts are read whole.  An empty table gives an empty result in each stage.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from petrelspark.llm import exact_dedup, minhash, packing, queries, secrets, toxicity
-from petrelspark.staging import shared_dir
+from petrelspark.staging import remove, session_dir
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each one's result is written as Parquet to the shared folder and read again."""
-    top = f"{shared_dir(spark)}/petrelspark/pipeline-{uuid.uuid4().hex}"
+    """Apply the stages to ``documents``; each one's result is written as Parquet to the session's part of the shared folder and read
+    again, and goes when the next one has been written."""
+    top = f"{session_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = queries.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
+        if k:
+            remove(spark, f"{top}/{k - 1}")
     return docs
-
