@@ -19,6 +19,7 @@ CHANNEL_RECV = [r"mpsc[:a-zA-Z0-9_#\{\}]*::recv"]
 ATOMIC_LOAD = ["atomic[:a-zA-Z0-9]*::load"]
 ATOMIC_STORE = ["atomic[:a-zA-Z0-9]*::store"]
 IGNORED = ["::serialize", "::serialize_", "::deserialize", "::deserialize_", "::serde", "::serde_json", "::serde_yaml", "::serde_with", "::__serde", "::__private", "::Serializer::", "::Deserializer::", "::Serialize::", "::Deserialize::", "::visit_", "::Visitor::visit", "::fmt::", "::Debug::fmt", "::core::fmt", "::alloc::fmt", "::tests::", "::test::", "::bench"]
+SERIALIZATION = ["::deserialize", "::serialize", "::visit_seq", "::visit_map"]
 RAYON_JOIN = ["rayon_core::join", "rayon::join"]
 ASYNC_SPAWN = ["tokio::task::spawn", "tokio::runtime::Runtime::spawn"]
 RMW = ["::compare_exchange", "::fetch_add", "::fetch_sub", "::fetch_and", "::fetch_or", "::fetch_xor", "::swap"]
@@ -133,6 +134,13 @@ def def_path(text: Column) -> Column:
     return F.regexp_replace(text, r"\[[0-9a-f]+\]|#\d+", "")
 
 
+def local_of(operand: Column) -> Column:
+    """The local that an operand such as ``move _4`` or ``copy _4.0`` names; null for constants and what is in parentheses."""
+    bare = F.trim(F.replace(F.replace(F.trim(operand), F.lit("move "), F.lit("")), F.lit("copy "), F.lit("")))
+    return F.nullif(F.regexp_extract(bare, "^_[0-9]+", 0), F.lit(""))
+
+
 def first_local(arguments: Column) -> Column:
     """The first local of an argument list, such as ``_4`` of ``move _4, const 1``; null without one."""
-    return F.nullif(F.regexp_extract(F.trim(arguments), r"(?:^|,)\s*(?:(?:move|copy)\s+)?(_\d+)\b", 1), F.lit(""))
+    named = F.filter(F.transform(F.split(arguments, ","), local_of), lambda x: x.isNotNull())
+    return F.try_element_at(named, F.lit(1))

@@ -6,28 +6,69 @@ over one file), and the terminator of a block is its last line of a terminator's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from petrelspark.functions.classify import first_local
 
-# The forms of heads and terminators in the text.
-FN = r"^fn\s+(\w+)\s*\([^)]*\)\s*->\s*[^{]*\{"
-LET = r"^let\s+(mut\s+)?(_\d+)\s*:\s*([^;]+);"
-REF = r"(_\d+)\s*=\s*&(_\d+)\s*;"
-BLOCK = r"^bb(\d+)\s*(?:\(cleanup\))?\s*:\s*\{"
-GOTO = r"goto\s*->\s*bb(\d+)\s*;"
-RETURN = r"return\s*;"
-SWITCH = r"switchInt\s*\([^)]+\)\s*->\s*\[([^\]]+)\]\s*;"
-_TAIL = {"compat": r"(?:,\s*unwind:\s*(?:bb(\d+)|continue|terminate[^\]]*))?", "strict": r"(?:,\s*unwind:?\s*(?:bb(\d+)|continue|unreachable|terminate[^\]]*))?"}
+_WORD = "^[A-Za-z0-9_]+$"
+_LOCAL = "^_[0-9]+$"
 
 
-def _drop(semantics: str) -> str:
-    return rf"drop\s*\(([^)]+)\)\s*->\s*\[return:\s*bb(\d+){_TAIL[semantics]}\]\s*;"
+def _before(s, mark: str) -> Column:
+    return F.trim(F.substring_index(s, mark, 1))
 
 
-def _call(semantics: str) -> str:
-    return rf"(?:(\w+)\s*=\s*)?([^(]+)\(([^)]*)\)\s*->\s*\[return:\s*bb(\d+){_TAIL[semantics]}\]\s*;"
+def _after(s, mark: str) -> Column:
+    """What follows the first ``mark``; empty without one."""
+    return F.trim(F.when(F.instr(s, mark) > 0, F.substring(s, F.instr(s, mark) + len(mark), F.length(s))).otherwise(""))
+
+
+def function_name(s: Column) -> Column:
+    """The name in ``fn name(arguments) -> type {``; null in any other line."""
+    name = _before(F.substring(s, F.lit(4), F.length(s)), "(")
+    return F.when(s.startswith("fn ") & s.endswith("{") & s.contains("->") & name.rlike(_WORD), name)
+
+
+def block_number(s: Column) -> Column:
+    """The number in ``bb4: {`` or ``bb4 (cleanup): {``; null in any other line."""
+    head = _before(s, ":")
+    name = F.replace(head, F.lit("(cleanup)"), F.lit(""))
+    return F.when(s.startswith("bb") & s.endswith("{"), F.substring(F.trim(name), F.lit(3), F.length(s)).try_cast("int"))
+
+
+def goal(s: Column) -> Column:
+    """The number of ``bb4``; null for anything else."""
+    return F.when(F.trim(s).startswith("bb"), F.substring(F.trim(s), F.lit(3), F.length(s)).try_cast("int"))
+
+
+def terminator(s: Column, semantics: str) -> Column:
+    """(kind, targets, callee, args, dest, dropped) of a line in a terminator's form, ``what -> target;`` or ``what -> [name: target, ...];``; null for any other line.
+
+    ``compat`` does not know an unwind action without a colon, nor the action ``unreachable``."""
+    bare = _before(s, " //")
+    line = F.substring(bare, F.lit(1), F.length(bare) - 1)
+    last = F.substring_index(line, "->", -1)
+    way, what = F.trim(last), F.trim(F.substring(line, F.lit(1), F.length(line) - F.length(last) - 2))
+    listed = way.startswith("[") & way.endswith("]")
+    items = F.transform(F.split(F.translate(way, "[]", ""), ","), lambda x: F.struct(_before(x, ":").alias("name"), F.when(x.contains(":"), F.trim(F.substring_index(x, ":", -1))).alias("to")))
+    unwinds = ["continue"] + (["unreachable"] if semantics == "strict" else [])
+    plain = ["unwind continue", "unwind unreachable"] if semantics == "strict" else []
+    fine = lambda i: (i["name"] == "return") | ((i["name"] == "unwind") & (goal(i["to"]).isNotNull() | i["to"].isin(unwinds) | i["to"].startswith("terminate"))) | i["name"].isin(plain) | i["name"].startswith("unwind terminate")
+    back = F.filter(items, lambda i: i["name"] == "return")
+    to = goal(F.try_element_at(back, F.lit(1))["to"])
+    returns = listed & (F.size(back) == 1) & F.forall(items, fine) & to.isNotNull()
+    inner = lambda c: F.trim(F.substring(c, F.instr(c, "(") + 1, F.length(c) - F.instr(c, "(") - 1))
+    gives = F.instr(what, " = ") > 0
+    call = F.when(gives, _after(what, " = ")).otherwise(what)
+    kind = (
+        F.when(~bare.endswith(";"), None).when(F.trim(line) == "return", "return").when((what == "goto") & goal(way).isNotNull(), "goto").when(what.startswith("switchInt(") & listed, "switch")
+        .when(what.startswith("drop(") & returns, "drop").when(returns & call.contains("(") & call.endswith(")"), "call")
+    )
+    targets = F.when(kind == "goto", F.array(goal(way))).when(kind.isin("drop", "call"), F.array(to)).when(kind == "switch", F.filter(F.transform(items, lambda i: goal(i["to"])), lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>"))
+    is_call = kind == "call"
+    dest = F.when(is_call & gives & _before(what, " = ").rlike(_WORD), _before(what, " = "))
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), targets.alias("targets"), F.when(is_call, _before(call, "(")).alias("callee"), F.when(is_call, inner(call)).alias("args"), dest.alias("dest"), F.when(kind == "drop", inner(what)).alias("dropped")))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -39,11 +80,9 @@ def lines(texts: DataFrame) -> DataFrame:
     """(path, line, raw, fn, fn_line, bb, cleanup, bb_line): every line with the function and block that it stands in."""
     at = texts.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("path", (F.col("pos") + 1).alias("line"), "raw", F.trim("raw").alias("s"))
     w = Window.partitionBy("path").orderBy("line")
-    some = lambda c: F.nullif(c, F.lit(""))
-    at = at.withColumn("fn_here", some(F.regexp_extract("s", FN, 1))).withColumn("fn", F.last("fn_here", True).over(w)).withColumn("fn_line", F.last(F.when(F.col("fn_here").isNotNull(), F.col("line")), True).over(w))
+    at = at.withColumn("fn_here", function_name(F.col("s"))).withColumn("fn", F.last("fn_here", True).over(w)).withColumn("fn_line", F.last(F.when(F.col("fn_here").isNotNull(), F.col("line")), True).over(w))
     own = Window.partitionBy("path", "fn_line").orderBy("line")
-    bb = some(F.regexp_extract("s", BLOCK, 1)).cast("int")
-    at = at.withColumn("bb_here", bb).withColumn("closes", F.col("s") == "}")
+    at = at.withColumn("bb_here", block_number(F.col("s"))).withColumn("closes", F.col("s") == "}")
     at = at.withColumn("bb", F.last("bb_here", True).over(own)).withColumn("bb_line", F.last(F.when(F.col("bb_here").isNotNull(), F.col("line")), True).over(own)).withColumn("cleanup", F.last(F.when(F.col("bb_here").isNotNull(), F.col("raw").contains("(cleanup)")), True).over(own))
     shut = Window.partitionBy("path", "fn_line", "bb_line").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     return at.withColumn("shut", F.coalesce(F.max("closes").over(shut), F.lit(False)) & F.col("bb").isNotNull()).where("fn is not null")
@@ -55,30 +94,26 @@ def functions(parsed: DataFrame) -> DataFrame:
 
 def local_decls(parsed: DataFrame) -> DataFrame:
     """(path, fn, local, ty, is_mut) of the declarations before the first block."""
-    d = parsed.where("bb is null").where(F.col("s").rlike(LET))
-    get = lambda k: F.regexp_extract("s", LET, k)
-    return d.select("path", "fn", get(2).alias("local"), F.trim(get(3)).alias("ty"), (get(1) != "").alias("is_mut"))
+    s = F.col("s")
+    what = F.trim(F.when(s.startswith("let mut "), _after(s, "let mut ")).otherwise(_after(s, "let ")))
+    local = _before(what, ":")
+    d = parsed.where("bb is null").where(s.startswith("let ") & s.endswith(";") & s.contains(":") & local.rlike(_LOCAL))
+    return d.select("path", "fn", local.alias("local"), _before(_after(what, ":"), ";").alias("ty"), s.startswith("let mut ").alias("is_mut"))
 
 
 def refs(parsed: DataFrame) -> DataFrame:
     """(path, fn, ref, base): the last ``ref = &base;`` of each local, in blocks."""
-    r = parsed.where("bb is not null and not shut").where(F.col("s").rlike(REF)).select("path", "fn", F.regexp_extract("s", REF, 1).alias("ref"), F.regexp_extract("s", REF, 2).alias("base"), "line")
+    s = F.col("s")
+    ref, base = _before(s, "="), _before(_after(s, "&"), ";")
+    form = s.endswith(";") & F.replace(s, F.lit(" "), F.lit("")).contains("=&") & ref.rlike(_LOCAL) & base.rlike(_LOCAL)
+    r = parsed.where("bb is not null and not shut").where(form).select("path", "fn", ref.alias("ref"), base.alias("base"), "line")
     return r.groupBy("path", "fn", "ref").agg(F.max_by("base", "line").alias("base"))
 
 
 def blocks(parsed: DataFrame, semantics: str = "strict") -> DataFrame:
     """(path, fn, bb, cleanup, bb_line, kind, targets, callee, args, dest, dropped): blocks with their terminators; kind is null without one."""
-    drop, call = _drop(semantics), _call(semantics)
-    s = F.col("s")
-    kind = F.when(s.rlike(GOTO), "goto").when(s.rlike(RETURN), "return").when(s.rlike(drop), "drop").when(s.rlike(SWITCH), "switch").when(s.rlike(call), "call")
-    inside = parsed.where("bb is not null and not shut and bb_here is null").withColumn("kind", kind).where("kind is not null")
-    last = inside.groupBy("path", "fn", "fn_line", "bb", "bb_line").agg(F.max_by(F.struct("kind", "s"), "line").alias("t"))
-    get = lambda p, k: F.regexp_extract("t.s", p, k)
-    k = F.col("t.kind")
-    one = lambda p, n: F.array(get(p, n).cast("int"))
-    targets = F.when(k == "goto", one(GOTO, 1)).when(k == "drop", one(drop, 2)).when(k == "call", one(call, 4)).when(k == "switch", F.transform(F.regexp_extract_all(get(SWITCH, 1), F.lit(r"bb(\d+)"), F.lit(1)), lambda x: x.cast("int"))).otherwise(F.array().cast("array<int>"))
-    is_call = k == "call"
-    last = last.select("path", "fn_line", "bb_line", k.alias("kind"), targets.alias("targets"), F.when(is_call, F.trim(get(call, 2))).alias("callee"), F.when(is_call, F.trim(get(call, 3))).alias("args"), F.when(is_call, F.nullif(get(call, 1), F.lit(""))).alias("dest"), F.when(k == "drop", F.trim(get(drop, 1))).alias("dropped"))
+    inside = parsed.where("bb is not null and not shut and bb_here is null").withColumn("t", terminator(F.col("s"), semantics)).where("t is not null")
+    last = inside.groupBy("path", "fn", "fn_line", "bb", "bb_line").agg(F.max_by("t", "line").alias("t")).select("path", "fn_line", "bb_line", "t.*")
     heads = parsed.where("bb_here is not null").select("path", "fn", "fn_line", "bb", "cleanup", "bb_line")
     return heads.join(last, ["path", "fn_line", "bb_line"], "left")
 
