@@ -2,7 +2,8 @@
 
 One step of the loop fires every enabled transition of the frontier (a join on ``net_id`` and array expressions), drops
 markings that are known (an anti-join on net and marking), and numbers the new ones by discovery: by the least (parent,
-transition) that leads to them.  Each step is cut with a reliable checkpoint.
+transition) that leads to them, in blocks of parents, so that no task orders a net's whole frontier.  Each step is written to the shared
+folder.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from petrelspark.functions import markings as M
 from petrelspark.plans.net import Net
-from petrelspark.staging import settle
+from petrelspark.staging import settle, stage
 
 
 @dataclass(frozen=True)
@@ -61,39 +62,59 @@ class StateGraph:
         return out
 
 
-def explore(net: Net, limit: int | None = 50_000) -> StateGraph:
-    """The state graph of each net.  Beyond ``limit`` states of a net no new ones are taken, and the net is marked truncated;
-    edges into known states still count, and two transitions between the same states are two edges.
+#: Parents whose new states are numbered together.
+BLOCK = 4096
 
-    Inhibitor and reset arcs take part.  A firing that would exceed a capacity is a failure and makes no state."""
-    # a net's transitions and capacities are read in every step
-    firing = settle(net.firing().join(net.initial().select("net_id", "capacity"), "net_id")).withColumnRenamed("net_id", "of")
-    start = settle(net.initial().select("net_id", F.lit(0).cast("long").alias("state_id"), F.lit(0).alias("level"), "marking"))
-    known, front, level, tried, cut = start, start, 0, None, None
+
+def _numbered(fresh: DataFrame, front: DataFrame, level: int) -> DataFrame:
+    """New states (net_id, marking, by) with their numbers, which go on from the last ones of the frontier."""
+    f = fresh.withColumn("block", F.floor(F.col("by.src") / BLOCK))
+    have = front.groupBy(F.col("net_id").alias("of")).agg((F.max("state_id") + 1).alias("have"))
+    before = f.groupBy("net_id", "block").count().selectExpr("net_id as of2", "block as of_block", "sum(count) over (partition by net_id order by block) - count as before")
+    ranked = f.withColumn("rank", F.row_number().over(Window.partitionBy("net_id", "block").orderBy("by")) - 1)
+    ranked = ranked.join(before, (F.col("net_id") == F.col("of2")) & (F.col("block") == F.col("of_block"))).join(have, F.col("net_id") == F.col("of"))
+    return stage(ranked.select("net_id", (F.col("have") + F.col("before") + F.col("rank")).alias("state_id"), F.lit(level).alias("level"), "marking"), "level")
+
+
+def _explored(net: Net, firing: DataFrame, chosen, limit: int | None) -> StateGraph:
+    """The loop of ``explore``; ``chosen`` filters the enabled transitions of each state."""
+    start = stage(net.initial().select("net_id", F.lit(0).cast("long").alias("state_id"), F.lit(0).alias("level"), "marking"), "level")
+    known, front, level, tried, cut = start, start, 0, None, start.where("false").select("net_id")
+    after = M.fire(F.col("marking"), F.col("pre"), F.col("post"), F.col("reset"))
     while True:
         level += 1
-        may = front.join(firing, F.col("net_id") == F.col("of")).where(M.enabled(F.col("marking"), F.col("pre"), F.col("inhibitor")))
-        after = M.fire(F.col("marking"), F.col("pre"), F.col("post"), F.col("reset"))
-        step = settle(may.select("net_id", F.col("state_id").alias("src"), "trans_id", after.alias("after"), M.within(after, F.col("capacity")).alias("fits")))
+        may = chosen(front.join(firing, F.col("net_id") == F.col("of")).where(M.enabled(F.col("marking"), F.col("pre"), F.col("inhibitor"))))
+        step = stage(may.select("net_id", F.col("state_id").alias("src"), "trans_id", after.alias("after"), M.within(after, F.col("capacity")).alias("fits")), "step")
         tried = step if tried is None else tried.union(step)
         fresh = step.where("fits").groupBy("net_id", F.col("after").alias("marking")).agg(F.min(F.struct("src", "trans_id")).alias("by")).join(known, ["net_id", "marking"], "left_anti")
-        counts = known.groupBy("net_id").agg(F.count("*").alias("have"))
-        ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("net_id").orderBy("by"))).join(counts, "net_id").withColumn("state_id", F.col("have") + F.col("rank") - 1)
-        ranked = settle(ranked.select("net_id", "state_id", F.lit(level).alias("level"), "marking"))
-        refused = ranked.where(F.col("state_id") >= limit).select("net_id") if limit is not None else ranked.where("false").select("net_id")
-        cut = refused if cut is None else cut.union(refused)
-        front = ranked if limit is None else ranked.where(F.col("state_id") < limit)
-        if front.isEmpty():
+        front = _numbered(fresh, front, level)
+        found, refused = front.agg(F.count("*"), F.count_if(F.col("state_id") >= limit) if limit is not None else F.lit(0)).first()
+        if refused:
+            cut = cut.union(front.where(F.col("state_id") >= limit).select("net_id"))
+            front = front.where(F.col("state_id") < limit)
+        if found == refused:
             break
         known = known.union(front)
-    on = lambda d: d.withColumnsRenamed({"net_id": "n", "state_id": "dst", "marking": "reached"}).select("n", "dst", "reached")
-    edges = settle(tried.where("fits").join(on(known), (F.col("net_id") == F.col("n")) & (F.col("after") == F.col("reached"))).select("net_id", "src", "trans_id", "dst"))
+        if level % 16 == 0:  # a scan of few files in the rounds that follow
+            known = stage(known, "known")
+    on = known.withColumnsRenamed({"net_id": "n", "state_id": "dst", "marking": "reached"}).select("n", "dst", "reached")
+    edges = stage(tried.where("fits").join(on, (F.col("net_id") == F.col("n")) & (F.col("after") == F.col("reached"))).select("net_id", "src", "trans_id", "dst"), "edges")
     enabled = tried.groupBy("net_id", F.col("src").alias("state_id")).agg(F.array_sort(F.collect_set("trans_id")).alias("enabled"))
-    states = settle(known.join(enabled, ["net_id", "state_id"], "left").select("net_id", "state_id", "level", "marking", F.coalesce("enabled", F.array().cast("array<int>")).alias("enabled")))
+    states = stage(known.join(enabled, ["net_id", "state_id"], "left").select("net_id", "state_id", "level", "marking", F.coalesce("enabled", F.array().cast("array<int>")).alias("enabled")), "states")
     failures = tried.where("not fits").select("net_id", "src", "trans_id", F.lit("capacity").alias("reason"))
     return StateGraph(net, states, edges, failures, cut)
 
 
+def explore(net: Net, limit: int | None = 50_000) -> StateGraph:
+    """The state graph of each net.  Beyond ``limit`` states of a net no new ones are taken, and the net is marked truncated;
+    edges into known states still count, and two transitions between the same states are two edges.
+
+    Inhibitor and reset arcs take part.  A firing that would exceed a capacity is a failure and makes no state."""
+    # a net's transitions and capacities are read in every step
+    firing = stage(net.firing().join(net.initial().select("net_id", "capacity"), "net_id"), "firing").withColumnRenamed("net_id", "of")
+    return _explored(net, firing, lambda may: may, limit)
+
+
 def explore_reduced(net: Net, limit: int | None = 50_000) -> StateGraph:
     """The state graph with fewer states by a persistent-set rule that keeps every terminal marking.
 
@@ -109,29 +130,7 @@ def explore_reduced(net: Net, limit: int | None = 50_000) -> StateGraph:
     bad = ((F.col("direction") == "in") & (F.col("users") > 1)) | F.col("special").isNotNull() | ((F.col("direction") == "out") & F.col("bounded").isNotNull())
     moves = net.incidence().groupBy("net_id", "trans_id").agg(F.count("*").alias("n"))
     consuming = net.incidence().where("change < 0").select("net_id", "trans_id").distinct()
-    free = settle(arcs.groupBy("net_id", "trans_id").agg(F.max(bad.cast("int")).alias("bad")).where("bad = 0").join(moves, ["net_id", "trans_id"], "left_semi").join(consuming, ["net_id", "trans_id"], "left_semi").groupBy("net_id").agg(F.array_sort(F.collect_set("trans_id")).alias("free")))
-    firing = settle(net.firing().join(net.initial().select("net_id", "capacity"), "net_id").join(free, "net_id", "left").withColumn("free", F.coalesce("free", F.array().cast("array<int>")))).withColumnRenamed("net_id", "of")
-    start = settle(net.initial().select("net_id", F.lit(0).cast("long").alias("state_id"), F.lit(0).alias("level"), "marking"))
-    known, front, level, tried = start, start, 0, None
-    cut = start.where("false").select("net_id")
-    while True:
-        level += 1
-        may = front.join(firing, F.col("net_id") == F.col("of")).where(M.enabled(F.col("marking"), F.col("pre"), F.col("inhibitor")))
-        alone = F.min(F.when(F.array_contains("free", F.col("trans_id")), F.col("trans_id"))).over(Window.partitionBy("net_id", "state_id"))
-        after = M.fire(F.col("marking"), F.col("pre"), F.col("post"), F.col("reset"))
-        step = settle(may.withColumn("alone", alone).where("alone is null or alone = trans_id").select("net_id", F.col("state_id").alias("src"), "trans_id", after.alias("after"), M.within(after, F.col("capacity")).alias("fits")))
-        tried = step if tried is None else tried.union(step)
-        fresh = step.where("fits").groupBy("net_id", F.col("after").alias("marking")).agg(F.min(F.struct("src", "trans_id")).alias("by")).join(known, ["net_id", "marking"], "left_anti")
-        counts = known.groupBy("net_id").agg(F.count("*").alias("have"))
-        ranked = settle(fresh.withColumn("rank", F.row_number().over(Window.partitionBy("net_id").orderBy("by"))).join(counts, "net_id").select("net_id", (F.col("have") + F.col("rank") - 1).alias("state_id"), F.lit(level).alias("level"), "marking"))
-        if limit is not None:
-            cut = cut.union(ranked.where(F.col("state_id") >= limit).select("net_id"))
-            ranked = ranked.where(F.col("state_id") < limit)
-        if ranked.isEmpty():
-            break
-        front, known = ranked, known.union(ranked)
-    on = known.withColumnsRenamed({"net_id": "n", "state_id": "dst", "marking": "reached"}).select("n", "dst", "reached")
-    edges = settle(tried.where("fits").join(on, (F.col("net_id") == F.col("n")) & (F.col("after") == F.col("reached"))).select("net_id", "src", "trans_id", "dst"))
-    enabled = tried.groupBy("net_id", F.col("src").alias("state_id")).agg(F.array_sort(F.collect_set("trans_id")).alias("enabled"))
-    states = settle(known.join(enabled, ["net_id", "state_id"], "left").select("net_id", "state_id", "level", "marking", F.coalesce("enabled", F.array().cast("array<int>")).alias("enabled")))
-    return StateGraph(net, states, edges, tried.where("not fits").select("net_id", "src", "trans_id", F.lit("capacity").alias("reason")), cut)
+    free = arcs.groupBy("net_id", "trans_id").agg(F.max(bad.cast("int")).alias("bad")).where("bad = 0").join(moves, ["net_id", "trans_id"], "left_semi").join(consuming, ["net_id", "trans_id"], "left_semi").groupBy("net_id").agg(F.array_sort(F.collect_set("trans_id")).alias("free"))
+    firing = net.firing().join(net.initial().select("net_id", "capacity"), "net_id").join(free, "net_id", "left").withColumn("free", F.coalesce("free", F.array().cast("array<int>")))
+    alone = F.min(F.when(F.array_contains("free", F.col("trans_id")), F.col("trans_id"))).over(Window.partitionBy("net_id", "state_id"))
+    return _explored(net, stage(firing, "firing").withColumnRenamed("net_id", "of"), lambda may: may.withColumn("alone", alone).where("alone is null or alone = trans_id"), limit)

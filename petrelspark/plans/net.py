@@ -56,13 +56,17 @@ class Net:
         return self.places.groupBy("net_id").agg(rows.alias("p")).select("net_id", F.transform("p", lambda x: x["tokens"]).alias("marking"), F.transform("p", lambda x: x["capacity"]).alias("capacity"))
 
     def firing(self) -> DataFrame:
-        """(net_id, trans_id, pre, post, inhibitor, reset): weights by place, in place order."""
-        w = self.weights().groupBy("net_id", "place_id", "trans_id").pivot("direction", ["in", "out", "inhibitor", "reset"]).sum("weight")
-        every = self.places.select("net_id", "place_id").join(self.transitions.select("net_id", "trans_id"), "net_id")
-        full = every.join(w, ["net_id", "place_id", "trans_id"], "left").na.fill(0, ["in", "out", "inhibitor", "reset"])
-        rows = F.array_sort(F.collect_list(F.struct("place_id", "in", "out", "inhibitor", "reset"))).alias("r")
-        pick = lambda k, name: F.transform("r", lambda x: x[k]).alias(name)
-        return full.groupBy("net_id", "trans_id").agg(rows).select("net_id", "trans_id", pick("in", "pre"), pick("out", "post"), pick("inhibitor", "inhibitor"), pick("reset", "reset"))
+        """(net_id, trans_id, pre, post, inhibitor, reset): weights by place, in place order.
+
+        Only arcs are joined; the zeros between them are filled in by each row itself."""
+        ids = self.places.groupBy("net_id").agg(F.array_sort(F.collect_list("place_id")).alias("ids"))
+        at = ids.select("net_id", F.posexplode("ids").alias("pos", "place_id"))
+        names = {"in": "pre", "out": "post", "inhibitor": "inhibitor", "reset": "reset"}
+        own = [F.map_from_entries(F.collect_list(F.when(F.col("direction") == d, F.struct("pos", "weight")))).alias(n) for d, n in names.items()]
+        arcs = self.weights().join(at, ["net_id", "place_id"]).groupBy("net_id", "trans_id").agg(*own)
+        full = self.transitions.select("net_id", "trans_id").join(ids, "net_id").join(arcs, ["net_id", "trans_id"], "left")
+        dense = lambda n: F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.coalesce(F.try_element_at(n, i), F.lit(0).cast("long"))).alias(n)
+        return full.select("net_id", "trans_id", *[dense(n) for n in names.values()])
 
     def diagnosis(self) -> DataFrame:
         """Places and transitions that stand alone or lack inputs or outputs: (net_id, kind, id, name, issue).
