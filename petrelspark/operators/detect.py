@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petrelspark.functions.classify import ALLOWED_STORES
 from petrelspark.operators.closure import reachable
 from petrelspark.operators.explore import StateGraph
-from petrelspark.staging import settle
+from petrelspark.plans.net import Net
+from petrelspark.staging import settle, stage
 
 
 def _ended(graph: StateGraph, semantics: str, entry: str) -> DataFrame:
@@ -39,24 +40,47 @@ def deadlock_report(graph: StateGraph, semantics: str = "strict", entry: str = "
     return deadlocks(graph, semantics, entry).join(path, ["net_id", "state_id"], "left")
 
 
+def closed_sets(graph: StateGraph, max_rounds: int = 100_000) -> DataFrame:
+    """(net_id, state, set): the states of closed sets, which reach each other and nothing else; ``set`` is the largest state of each.
+
+    Each state is labelled with the largest state that it reaches.  A state with its own label reaches a closed set and no more exactly if all that it
+    reaches has its label, so the walk from such states stays within one label and takes no state twice."""
+    e = stage(graph.edges.select("net_id", "src", "dst").distinct(), "arrows")
+    labels = stage(graph.states.select("net_id", F.col("state_id").alias("state"), F.col("state_id").alias("label")), "labels")
+    for _ in range(max_rounds):
+        ahead = e.join(labels.withColumnRenamed("state", "dst"), ["net_id", "dst"]).groupBy("net_id", F.col("src").alias("state")).agg(F.max("label").alias("far"))
+        moved = stage(labels.join(ahead, ["net_id", "state"], "left").select("net_id", "state", F.greatest("label", F.coalesce("far", "label")).alias("label"), (F.col("far") > F.col("label")).alias("new")), "labels")
+        labels = moved.drop("new")
+        if moved.where("new").isEmpty():
+            break
+    on = lambda c: labels.select("net_id", F.col("state").alias(c), F.col("label").alias(f"{c}_label"))
+    arrows = stage(e.join(on("src"), ["net_id", "src"]).join(on("dst"), ["net_id", "dst"]), "arrows")
+    inside = arrows.where("src_label = dst_label").select("net_id", "src", "dst")
+    roots = labels.where("state = label").select("net_id", F.col("state").alias("root"), F.col("state").alias("node"))
+    reached = stage(reachable(inside, roots, ["net_id"]).select("net_id", F.col("node").alias("state"), F.col("root").alias("set")), "reached")
+    leaves = arrows.where("src_label != dst_label").select("net_id", F.col("src").alias("state")).distinct()
+    open_ = reached.join(leaves, ["net_id", "state"]).select("net_id", "set").distinct()
+    idle = labels.where("state = label").join(e.select("net_id", F.col("src").alias("state")).distinct(), ["net_id", "state"], "left_anti").select("net_id", F.col("state").alias("set"))
+    return reached.join(open_, ["net_id", "set"], "left_anti").join(idle, ["net_id", "set"], "left_anti").select("net_id", "state", "set")
+
+
 def blocked_cycles(graph: StateGraph) -> DataFrame:
     """(net_id, state_id, locks, states): closed sets of states that reach each other and nothing else, in which some but not
     all locks can never be taken; ``state_id`` is the least state of a set.  Sets of one state without an edge are no cycle.
 
-    It is meant for nets in which no state is a deadlock, and needs Lock, RwLockRead or RwLockWrite labels."""
-    e = graph.edges.select("net_id", "src", "dst")
-    roots = graph.states.select("net_id", F.col("state_id").alias("root"), F.col("state_id").alias("node"))
-    to = reachable(e, roots, ["net_id"]).where("depth > 0 or root = node").select("net_id", F.col("root").alias("a"), F.col("node").alias("b"))
-    mutual = to.join(to.select("net_id", F.col("a").alias("b"), F.col("b").alias("a")), ["net_id", "a", "b"])
-    sets = settle(mutual.groupBy("net_id", F.col("a").alias("state")).agg(F.min("b").alias("set"), F.count("*").alias("n")))
-    inside = e.join(sets.select("net_id", F.col("state").alias("src"), F.col("set").alias("s")), ["net_id", "src"]).join(sets.select("net_id", F.col("state").alias("dst"), F.col("set").alias("d")), ["net_id", "dst"], "left")
-    closed = inside.groupBy("net_id", F.col("s").alias("set")).agg(F.max(F.when(F.col("s") != F.col("d"), 1).otherwise(0)).alias("leaves")).where("leaves = 0").select("net_id", "set")
-    members = sets.join(closed, ["net_id", "set"])
+    It is meant for nets in which no state is a deadlock (see ``of_nets``), and needs Lock, RwLockRead or RwLockWrite labels."""
+    members = stage(closed_sets(graph), "closed")
     locks = graph.net.transitions.where("ttype in ('Lock', 'RwLockRead', 'RwLockWrite')").select("net_id", "trans_id", F.col("res_place").alias("lock"))
     every = locks.groupBy("net_id").agg(F.array_sort(F.collect_set("lock")).alias("every"))
-    can = members.join(graph.states.select("net_id", F.col("state_id").alias("state"), F.explode_outer("enabled").alias("trans_id")), ["net_id", "state"]).join(locks, ["net_id", "trans_id"], "left").groupBy("net_id", "set").agg(F.collect_set("lock").alias("can"), F.countDistinct("state").alias("states"))
+    can = members.join(graph.states.select("net_id", F.col("state_id").alias("state"), F.explode_outer("enabled").alias("trans_id")), ["net_id", "state"]).join(locks, ["net_id", "trans_id"], "left").groupBy("net_id", "set").agg(F.collect_set("lock").alias("can"), F.countDistinct("state").alias("states"), F.min("state").alias("least"))
     blocked = can.join(every, "net_id").withColumn("locks", F.array_except("every", "can"))
-    return blocked.where("size(locks) > 0 and size(array_except(every, locks)) > 0").groupBy("net_id", "locks").agg(F.min("set").alias("state_id"), F.min_by("states", "set").alias("states"))
+    return blocked.where("size(locks) > 0 and size(array_except(every, locks)) > 0").groupBy("net_id", "locks").agg(F.min("least").alias("state_id"), F.min_by("states", "least").alias("states"))
+
+
+def of_nets(graph: StateGraph, nets: DataFrame, but: bool = False) -> StateGraph:
+    """The graph of some nets (net_id), or of all others."""
+    keep = lambda d: d.join(nets.select("net_id").distinct(), "net_id", "left_anti" if but else "left_semi")
+    return StateGraph(Net(keep(graph.net.places), keep(graph.net.transitions), keep(graph.net.arcs)), keep(graph.states), keep(graph.edges), keep(graph.failures), keep(graph.truncated))
 
 
 def accesses(graph: StateGraph) -> DataFrame:
@@ -84,6 +108,18 @@ def race_pairs(access: DataFrame, keys: list[str] | None = None, different_threa
     return pairs.select(*keys, *[side(c, "x", "y").alias(f"a_{c}") for c in rest], *[side(c, "y", "x").alias(f"b_{c}") for c in rest])
 
 
+def race_counts(access: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(location, pairs, states): how many pairs of ``race_pairs`` by different threads each location has, and in how many states.
+
+    Of n accesses with r reads, n(n-1)/2 - r(r-1)/2 pairs have a write; those within one thread are taken off.  So no pair is made."""
+    keys = keys or []
+    pairs = lambda n, r: (F.col(n) * (F.col(n) - 1) - F.col(r) * (F.col(r) - 1)) / 2
+    a = access.where("location is not null and ord is not null and thread is not null")
+    own = a.groupBy(*keys, "state", "location", "thread").agg(F.count("*").alias("n"), F.count_if(~F.col("write")).alias("r"))
+    of = own.groupBy(*keys, "state", "location").agg(F.sum("n").alias("n"), F.sum("r").alias("r"), F.sum(pairs("n", "r")).alias("same"))
+    return of.withColumn("k", (pairs("n", "r") - F.col("same")).cast("long")).where("k > 0").groupBy(*keys, "location").agg(F.sum("k").alias("pairs"), F.countDistinct("state").alias("states"))
+
+
 def merged_races(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One race for each location, block and span of the first access: its number of pairs, and of each type of operation the
     first that took part, by (state, order)."""
@@ -105,19 +141,18 @@ def compatible(load: Column, store: Column) -> Column:
 
 
 def atomicity(graph: StateGraph) -> DataFrame:
-    """(net_id, var, load, stores): loads that may see two or more different stores, with the spans of both.
+    """(net_id, var, load, stores): loads that may see two or more different stores of a compatible ordering, with the spans of both.
 
-    From each state in which a load fires, edges are walked backwards; stores of its variable with a compatible ordering are
-    collected.  A walk goes no further back than an edge that starts the load's own function."""
+    A store is seen where a walk over edges leads from it to the load without a step that starts a function; each store, of which
+    there are few, walks on from the states that it leads to."""
     t = graph.net.transitions
-    e = graph.edges.join(t.select("net_id", "trans_id", "ttype", "var", "ordering", "span", "tid"), ["net_id", "trans_id"])
-    loads = e.where("ttype = 'AtomicLoad'").select("net_id", F.col("trans_id").alias("load_id"), F.col("src").alias("node"), F.col("var").alias("v"), F.col("ordering").alias("load_order"), F.col("span").alias("load_span"), F.col("tid").alias("load_tid")).distinct()
-    back = e.where("ttype != 'Start'").select("net_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    roots = loads.select("net_id", "node").distinct().select("net_id", F.col("node").alias("root"), "node")
-    seen = reachable(back, roots, ["net_id"]).select("net_id", "root", F.col("node").alias("at"))
-    stores = e.where("ttype in ('AtomicStore', 'AtomicCmpXchg')").select("net_id", F.col("dst").alias("at"), F.col("var").alias("v"), "ordering", "span")
-    hits = loads.withColumnRenamed("node", "root").join(seen, ["net_id", "root"]).join(stores, ["net_id", "at", "v"]).where(compatible(F.col("load_order"), F.col("ordering")))
-    found = hits.groupBy("net_id", F.col("v").alias("var"), F.col("load_span").alias("load"), "root").agg(F.array_sort(F.collect_set("span")).alias("stores")).where("size(stores) >= 2")
+    e = graph.edges.join(t.select("net_id", "trans_id", "ttype", "var", "ordering", "span"), ["net_id", "trans_id"])
+    loads = e.where("ttype = 'AtomicLoad'").select("net_id", F.col("trans_id").alias("load_id"), F.col("src").alias("node"), F.col("var").alias("v"), F.col("ordering").alias("load_order"), F.col("span").alias("load_span")).distinct()
+    stores = e.where("ttype in ('AtomicStore', 'AtomicCmpXchg')").select("net_id", F.col("trans_id").alias("root"), F.col("dst").alias("node")).distinct()
+    seen = reachable(e.where("ttype != 'Start'").select("net_id", "src", "dst"), stores, ["net_id"]).select("net_id", "root", "node")
+    about = t.select("net_id", F.col("trans_id").alias("root"), F.col("var").alias("v"), "ordering", "span")
+    hits = loads.join(seen, ["net_id", "node"]).join(about, ["net_id", "root", "v"]).where(compatible(F.col("load_order"), F.col("ordering")))
+    found = hits.groupBy("net_id", F.col("v").alias("var"), F.col("load_span").alias("load"), "node").agg(F.array_sort(F.collect_set("span")).alias("stores")).where("size(stores) >= 2")
     return found.select("net_id", "var", "load", "stores").distinct()
 
 
@@ -129,10 +164,12 @@ def store_sets(ops: DataFrame) -> DataFrame:
     return hits.groupBy("state", "var", "load").agg(F.array_sort(F.collect_set("span")).alias("stores")).where("size(stores) >= 2")
 
 
-def net_witnesses(graph: StateGraph) -> DataFrame:
+def net_witnesses(graph: StateGraph, max_states: int | None = None, max_depth: int | None = None) -> DataFrame:
     """Pattern search on the net: (net_id, rule, var, start, mid, end), transitions that fire in this order along some path, with nothing
     of the rule between that would replace them.
 
+    ``max_states`` and ``max_depth`` end the search once it has so many (state, automaton) nodes, or steps.
+
     The frontier is over (state, automaton): the automaton of a rule, variable and thread keeps the start and the middle transition
     seen last, by transition id, so the space is finite."""
     from petrelspark.operators.sequence import RULES, event_kind
@@ -148,18 +185,23 @@ def net_witnesses(graph: StateGraph) -> DataFrame:
     other = F.coalesce((F.col("v") == F.col("var")) & (F.col("tid") != F.col("i")), F.lit(False))
     ends = mine & (F.col("kind") == F.col("e")) & (F.col("first") >= 0)
     starts, mids = mine & (F.col("kind") == F.col("s")), other & (F.col("kind") == F.col("m")) & (F.col("first") >= 0)
-    out = None
-    while not front.isEmpty():
+    out, depth, size = None, 0, front.count()
+    while not front.isEmpty() and (max_depth is None or depth < max_depth) and (max_states is None or size < max_states):
+        depth += 1
         step = front.join(e, (F.col("net_id") == F.col("net")) & (F.col("state") == F.col("src")))
         hit = settle(step.where(ends & (F.col("mid") >= 0)).select("net_id", "rule", "var", F.col("first").alias("start"), "mid", F.col("trans_id").alias("end")).distinct())
         moved = step.select("net_id", "var", "i", "rule", "s", "m", "e", F.col("dst").alias("to"), F.when(starts, F.col("trans_id")).otherwise(F.col("first")).alias("f2"), F.when(starts | ends, F.lit(-1)).when(mids, F.col("trans_id")).otherwise(F.col("mid")).alias("m2"))
         moved = settle(moved.distinct().toDF(*key))
         out = hit if out is None else out.union(hit)
         front = settle(moved.join(seen, key, "left_anti"))
-        seen = seen.union(front)
+        seen, size = seen.union(front), size + front.count()
     return (out if out is not None else start.select("net_id", "rule", "var", F.col("first").alias("start"), "mid", F.col("mid").alias("end")).where("false")).distinct()
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+def pattern_records(witnesses: DataFrame, transitions: DataFrame) -> DataFrame:
+    """``net_witnesses`` with the variable's data type and, of each of the three operations, its name, kind, thread, ordering and place in the text."""
+    out = witnesses
+    for part in ("start", "mid", "end"):
+        t = transitions.select("net_id", F.col("trans_id").alias(part), F.struct("name", "ttype", "tid", "ordering", "span").alias(f"{part}_op"), *([F.col("data_type")] if part == "start" else []))
+        out = out.join(t, ["net_id", part])
+    return out.select("net_id", "rule", "var", "data_type", "start_op", "mid_op", "end_op")

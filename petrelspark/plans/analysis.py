@@ -27,9 +27,9 @@ def analyse(net: Net, mode: str = "deadlock", settings: Settings | None = None,
         return out
     if mode in ("deadlock", "all"):
         out["deadlocks"] = detect.deadlock_report(graph, semantics, entry)
-        out["blocked_cycles"] = detect.blocked_cycles(graph).join(out["deadlocks"].select("net_id").distinct(), "net_id", "left_anti")
+        out["blocked_cycles"] = detect.blocked_cycles(detect.of_nets(graph, out["deadlocks"], but=True))
     if mode in ("datarace", "all"):
         out["races"] = detect.merged_races(detect.race_pairs(detect.accesses(graph), ["net_id"]), ["net_id"])
     if mode == "atomic":
-        out["violations"], out["witnesses"] = detect.atomicity(graph), detect.net_witnesses(graph)
+        out["violations"], out["witnesses"] = detect.atomicity(graph), detect.net_witnesses(graph, settings.search_states, settings.search_depth)
     return out
