@@ -1,7 +1,7 @@
 """Three-event patterns in interleavings: a start and an end by one thread, and another thread's event on the same variable between.
 
 For an end event the start is the last one of its thread before it, and the other thread's event is its last one after both
-the start and the thread's previous end.  Windows find start and previous end; the rest is an equi-join on the variable
+the start and the thread's previous end.  Windows within bins of the trace find start and previous end; the rest is an equi-join on the variable
 with a range condition.  A hot variable is a join key that adaptive execution can split.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from petrelspark.staging import stage
+
 #: Rule -> kinds of start, middle and end.
 RULES = {1: ("load", "store", "store"), 2: ("store", "store", "load"), 3: ("load", "store", "load")}
 
@@ -23,17 +25,32 @@ def event_kind(ttype: Column) -> Column:
     return F.when(ttype == "AtomicLoad", "load").when(ttype.isin("AtomicStore", "AtomicCmpXchg"), "store")
 
 
-def witnesses(trace: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def _ends(t: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(keys, rule, var, tid_i, m, start_idx, after, end_idx) of the events that end a rule's pattern for their thread.
+
+    What a thread last did to a variable before an event is found in bins of ``width`` indices, and else carried over from the bins before, of
+    which there is one row for each; so no window holds all events of a hot variable."""
+    at = F.floor(F.col("idx") / width)
+    lasts = lambda w: [F.max(F.when(F.col("kind") == k, F.col("idx"))).over(w).alias(f"own_{k}") for k in ("load", "store")]
+    own = Window.partitionBy(*keys, "var", "tid", "bin").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    inside = t.withColumn("bin", at).select("*", *lasts(own))
+    bins = t.groupBy(*keys, "var", "tid", at.alias("bin")).agg(*[F.max(F.when(F.col("kind") == k, F.col("idx"))).alias(k) for k in ("load", "store")])
+    past = Window.partitionBy(*keys, "var", "tid").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.select(*keys, "var", "tid", "bin", *[F.max(k).over(past).alias(f"past_{k}") for k in ("load", "store")])
+    last = inside.join(carried, [*keys, "var", "tid", "bin"])
+    of = {k: F.coalesce(f"own_{k}", f"past_{k}") for k in ("load", "store")}
+    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(m).alias("m"), F.lit(e).alias("e"), of[s].alias("start"), of[e].alias("prev")) for rule, (s, m, e) in RULES.items()])
+    ruled = last.select(*keys, "var", "tid", "idx", F.explode(F.filter(each, lambda r: (r["e"] == F.col("kind")) & r["start"].isNotNull())).alias("r"))
+    return ruled.select(*keys, "r.rule", "var", F.col("tid").alias("tid_i"), "r.m", F.col("r.start").alias("start_idx"), F.greatest("r.start", "r.prev").alias("after"), F.col("idx").alias("end_idx"))
+
+
+def witnesses(trace: DataFrame, keys: list[str] | None = None, width: int = 65_536) -> DataFrame:
     """(rule, var, tid_i, tid_j, start_idx, mid_idx, end_idx) of a trace (idx, tid, var, kind).
 
     ``keys``: columns of the interleaving, such as trace_id.  Events with a null variable, thread, kind or index are left out."""
     keys = keys or []
     t = trace.select(*keys, "idx", "tid", "var", "kind").where("idx is not null and tid is not null and var is not null and kind is not null")
-    own = Window.partitionBy(*keys, "rule", "var", "tid").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), *[F.lit(x).alias(n) for x, n in zip(v, ("s", "m", "e"), strict=True)]) for k, v in RULES.items()]))
-    ruled = t.select("*", kinds.alias("r")).select("*", "r.*").drop("r")
-    ends = ruled.withColumn("start", F.max(F.when(F.col("kind") == F.col("s"), F.col("idx"))).over(own)).withColumn("prev", F.max(F.when(F.col("kind") == F.col("e"), F.col("idx"))).over(own))
-    ends = ends.where("kind = e and start is not null").select(*keys, "rule", "var", F.col("tid").alias("tid_i"), "m", F.col("start").alias("start_idx"), F.greatest("start", "prev").alias("after"), F.col("idx").alias("end_idx"))
+    ends = _ends(t, keys, width)
     mids = t.select(*keys, "var", F.col("tid").alias("tid_j"), F.col("kind").alias("m"), F.col("idx").alias("mid"))
     # the open interval from the later of start and previous end to the end
     joined = ends.join(mids, [*keys, "var", "m"]).where("tid_i != tid_j and mid > after and mid < end_idx")
@@ -44,12 +61,8 @@ def binned_witnesses(trace: DataFrame, width: int = 4096) -> DataFrame:
     """``witnesses`` of one interleaving, with the range condition turned into an equi-join on bins of ``width`` indices, so that a hot
     variable's events meet only those near by.  An interval of many bins needs only its last events: each thread's
     last event of a kind in a bin stands for the bin."""
-    t = trace.select("idx", "tid", "var", "kind").where("idx is not null and tid is not null and var is not null and kind is not null")
-    own = Window.partitionBy("rule", "var", "tid").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), *[F.lit(x).alias(n) for x, n in zip(v, ("s", "m", "e"), strict=True)]) for k, v in RULES.items()]))
-    ruled = t.select("*", kinds.alias("r")).select("*", "r.*").drop("r")
-    ends = ruled.withColumn("start", F.max(F.when(F.col("kind") == F.col("s"), F.col("idx"))).over(own)).withColumn("prev", F.max(F.when(F.col("kind") == F.col("e"), F.col("idx"))).over(own))
-    ends = ends.where("kind = e and start is not null").select("rule", "var", F.col("tid").alias("tid_i"), "m", F.col("start").alias("start_idx"), F.greatest("start", "prev").alias("after"), F.col("idx").alias("end_idx"))
+    t = stage(trace.select("idx", "tid", "var", "kind").where("idx is not null and tid is not null and var is not null and kind is not null"), "trace")
+    ends = _ends(t, [], 16 * width)
     bin_of = lambda c: F.floor(c / width)
     spread = ends.withColumn("bin", F.explode(F.sequence(bin_of(F.col("after")), bin_of(F.col("end_idx")))))
     edge = (F.col("bin") == bin_of(F.col("after"))) | (F.col("bin") == bin_of(F.col("end_idx")))
