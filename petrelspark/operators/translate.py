@@ -88,12 +88,12 @@ def resource_rows(resources: DataFrame, semantics: str = "strict") -> DataFrame:
     return _emit(resources, _place(F.col("net_id"), F.col("res"), pick(tokens, 0), pick(most, 1), "Resources"))
 
 
-def call_rows(calls: DataFrame, semantics: str = "strict") -> DataFrame:
+def call_rows(calls: DataFrame, semantics: str = "strict", entry: str = "main") -> DataFrame:
     """Transitions of calls (net_id, func, bb, target, action, callee, callees, res, res2, ordering, span, tid).
 
     ``action`` is normal, mutex_lock, read_lock, write_lock, unlock_mutex, unlock_read, unlock_write, notify, wait, send, recv, spawn, join, scope_spawn,
-    scope_join, rayon_join, async_spawn, async_join, atomic_load, atomic_store, atomic_cas, unsafe_read, unsafe_write or plain; null is plain.  A write lock
-    takes and gives 10 (compat: takes 1 and gives 10)."""
+    scope_join, rayon_join, async_spawn, async_join, atomic_load, atomic_store, atomic_cas, unsafe_read, unsafe_write, panic or plain; null is plain.  A write lock
+    takes and gives 10 (compat: takes 1 and gives 10).  A panic ends the entry function."""
     n, f = F.col("net_id"), F.col("func")
     at, to = _p(f, "_bb", F.col("bb").cast("string")), _p(f, "_bb", F.col("target").cast("string"))
     base = calls.withColumn("action", F.coalesce("action", F.lit("plain")))
@@ -109,6 +109,8 @@ def call_rows(calls: DataFrame, semantics: str = "strict") -> DataFrame:
         parts.append(_emit(has_target(d), _arc(n, t, to)))
 
     step(of("plain"), "Goto")
+    d = of("panic")
+    parts.append(_emit(d, _trans(n, t, "Panic", span=F.col("span")), _arc(n, at, t), _arc(n, t, F.lit(f"{entry}_end"))))
     step(of("mutex_lock"), "Lock", [(res, 1)])
     step(of("read_lock"), "RwLockRead", [(res, 1)])
     step(of("write_lock"), "RwLockWrite", [(res, 1 if semantics == "compat" else 10)])
@@ -175,7 +177,7 @@ def translate(functions: DataFrame, blocks: DataFrame, calls: DataFrame, resourc
     """The net of a program, or of its functions in ``only`` (net_id, func), such as those that are reachable from the entry."""
     if only is not None:
         functions, blocks, calls = (d.join(only, ["net_id", "func"], "left_semi") for d in (functions, blocks, calls))
-    rows = function_rows(functions).union(block_rows(blocks)).union(flow_rows(blocks, semantics, entry)).union(call_rows(calls, semantics)).union(resource_rows(resources, semantics))
+    rows = function_rows(functions).union(block_rows(blocks)).union(flow_rows(blocks, semantics, entry)).union(call_rows(calls, semantics, entry)).union(resource_rows(resources, semantics))
     return as_net(rows.union(task_rows(tasks)) if tasks is not None else rows)
 
 

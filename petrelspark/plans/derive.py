@@ -35,18 +35,13 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lock_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urgent orders in progress link a customer's guard with one for each two orders."""
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").selectExpr("o_custkey as a", "10000000000 + o_orderkey div 2 as b")
+    """Every order links a customer's guard with another: urgent orders in progress share one for each two orders, any other has its own."""
+    return table(spark, sf_dir, "orders").selectExpr("o_custkey as a", "case when o_orderstatus = 'P' and o_orderpriority = '1-URGENT' then 10000000000 + o_orderkey div 2 else 20000000000 + o_orderkey end as b")
 
 
-def constraints(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("Address", "Copy", "Load", "Store")) -> DataFrame:
-    """Orders in progress as pointer constraints over 211 variables; the priority gives the kind."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
-    kind = F.expr("case o_orderpriority when '1-URGENT' then 'Address' when '2-HIGH' then 'Copy' when '3-MEDIUM' then 'Load' when '5-LOW' then 'Store' end")
-    v, w = F.concat(F.lit("v"), (F.col("o_custkey") % 211).cast("string")), F.concat(F.lit("v"), (F.col("o_orderkey") % 211).cast("string"))
-    a = F.concat(F.lit("a"), (F.col("o_orderkey") % 211).cast("string"))
-    c = o.select(F.lit("f").alias("func"), F.when(kind == "Address", a).otherwise(v).alias("src"), F.when(kind == "Address", v).otherwise(w).alias("dst"), kind.alias("kind"))
-    return c.where(F.col("kind").isin(*kinds))
+def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a pointer constraint over 211 variables: finished ones take an address, all others copy."""
+    return table(spark, sf_dir, "orders").selectExpr("'f' as func", "if(o_orderstatus = 'F', concat('a', o_orderkey % 211), concat('v', o_custkey % 211)) as src", "concat('v', if(o_orderstatus = 'F', o_custkey % 211, o_orderkey % 211)) as dst", "if(o_orderstatus = 'F', 'Address', 'Copy') as kind")
 
 
 def all_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +74,8 @@ SQL = {
     "trace": f"trace AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS idx, CAST(user_id % 8 AS INTEGER) AS tid, CAST({K} % 16 AS VARCHAR) AS var, CASE WHEN event_type IN ('view', 'click') THEN 'load' ELSE 'store' END AS kind FROM events WHERE event_type <> 'error')",
     "access": "access AS (SELECT l_orderkey AS state, CAST(l_partkey % 64 AS VARCHAR) AS location, l_suppkey AS thread, l_returnflag = 'R' AS write, l_linenumber AS block, concat(l_partkey, ':', l_suppkey) AS span, CASE WHEN l_returnflag = 'R' THEN 'UnsafeWrite' ELSE 'UnsafeRead' END AS op, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ord FROM lineitem)",
     "calls": "calls AS (SELECT CAST(o_custkey % 997 AS INTEGER) AS caller, CAST((o_orderkey * 31 + o_custkey) % 997 AS INTEGER) AS callee, CASE o_orderpriority WHEN '1-URGENT' THEN 'spawn' WHEN '2-HIGH' THEN 'scope_spawn' ELSE 'direct' END AS site_kind, CAST(o_orderkey AS VARCHAR) AS location, CAST(o_orderkey % 3 AS INTEGER) AS dest_local FROM orders)",
-    "lock_links": "lock_links AS (SELECT o_custkey AS a, 10000000000 + o_orderkey // 2 AS b FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')",
-    "constraints": "cons AS (SELECT * FROM (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'Address' WHEN '2-HIGH' THEN 'Copy' END AS kind, CASE WHEN o_orderpriority = '1-URGENT' THEN 'a' || (o_orderkey % 211) ELSE 'v' || (o_custkey % 211) END AS src, CASE WHEN o_orderpriority = '1-URGENT' THEN 'v' || (o_custkey % 211) ELSE 'v' || (o_orderkey % 211) END AS dst FROM orders WHERE o_orderstatus = 'P') WHERE kind IS NOT NULL)",
+    "lock_links": "lock_links AS (SELECT o_custkey AS a, CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 10000000000 + o_orderkey // 2 ELSE 20000000000 + o_orderkey END AS b FROM orders)",
+    "constraints": "cons AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'Address' ELSE 'Copy' END AS kind, CASE o_orderstatus WHEN 'F' THEN 'a' || (o_orderkey % 211) ELSE 'v' || (o_custkey % 211) END AS src, CASE o_orderstatus WHEN 'F' THEN 'v' || (o_custkey % 211) ELSE 'v' || (o_orderkey % 211) END AS dst FROM orders)",
     "memory_ops": f"memory_ops AS (SELECT user_id AS state, {K} % 16 AS var, CASE WHEN event_type IN ('view', 'click') THEN 'load' ELSE 'store' END AS kind, (['Relaxed', 'Release', 'Acquire', 'AcqRel', 'SeqCst'])[CAST(event_id % 5 AS INTEGER) + 1] AS ordering, lpad(CAST(event_id AS VARCHAR), 12, '0') AS span FROM events WHERE event_type <> 'error')",
     "endpoints": f"endpoints AS (SELECT user_id * 1000 + {K} AS site, event_id AS endpoint, CASE WHEN event_type IN ('view', 'click') THEN 'sender' ELSE 'receiver' END AS role FROM events)",
 }

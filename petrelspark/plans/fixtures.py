@@ -33,6 +33,12 @@ REDUCIBLE = {
     "resource_chain": (["p0:1/1", "p1:0/1!Resources", "p2:0/1", "p3:0/1"], ["t0: p0 -> p1", "t1: p1 -> p2", "t2: p2 -> p3"]),
     "locks": NETS["N7"],
 }
+#: A thread spins while the owner of a lock waits for one that nobody gives back, and the same with a lock that comes back.
+SPINNING = {
+    "spin": (["s0:1/1", "s1:0/1", "A:0/1!Resources", "B:1/1!Resources", "w:1/1"], ["go: s0 -> s1", "back: s1 -> s0", "lockA!Lock@2: w + A -> w + A", "lockB!Lock@3: s1 + B -> s1 + B"]),
+    "two_sets": (["s:1/1", "x0:0/1", "x1:0/1", "y:0/1", "A:0/1!Resources", "B:1/1!Resources"], ["left: s -> x0", "right: s -> y", "go: x0 -> x1", "back!Lock@5: x1 + B -> x0 + B", "stay!Lock@5: y + B -> y + B", "never!Lock@4: x0 + A -> x1 + A"]),
+    "freed": (["s0:1/1", "s1:0/1", "A:1/1!Resources", "B:1/1!Resources"], ["a!Lock@2: s0 + A -> s1 + A", "b!Lock@3: s1 + B -> s0 + B"]),
+}
 #: Nets with inhibitor ("~p") and reset ("^p") arcs.
 SPECIAL = {
     "inhibited": (["p:1/-", "q:1/-", "r:0/-"], ["t0: p + ~q -> r", "t1: q -> r", "t2: p + ~r -> q"]),
@@ -75,15 +81,8 @@ def _literal(x) -> str:
     return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
 
 
-def sql_tables(nets: dict[str, tuple[list[str], list[str]]] = NETS) -> str:
-    """Common table expressions of the same rows: places, transitions, arcs, and the dense forms initial and firing."""
-    p, t, a = rows(nets)
-    values = lambda some: ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in some)
-    return f"""places(net_id, place_id, name, tokens, capacity, place_type, span) AS (VALUES {values(p)}),
-transitions(net_id, trans_id, name, ttype, res_place, var, ordering, span, tid, basic_block, data_type) AS (VALUES {values(t)}),
-arcs(net_id, place_id, trans_id, direction, weight) AS (VALUES {values(a)}),
-weights AS (SELECT net_id, place_id, trans_id, direction, CAST(sum(weight) AS BIGINT) AS weight FROM arcs WHERE weight > 0 GROUP BY ALL),
-initial AS (SELECT net_id, list(CAST(tokens AS BIGINT) ORDER BY place_id) AS m, list(CAST(capacity AS BIGINT) ORDER BY place_id) AS cap FROM places GROUP BY net_id),
+#: The dense forms of places, transitions and weights.
+DENSE = """initial AS (SELECT net_id, list(CAST(tokens AS BIGINT) ORDER BY place_id) AS m, list(CAST(capacity AS BIGINT) ORDER BY place_id) AS cap FROM places GROUP BY net_id),
 firing AS (
   SELECT p.net_id, t.trans_id, list(coalesce(i.weight, 0) ORDER BY p.place_id) AS pre, list(coalesce(o.weight, 0) ORDER BY p.place_id) AS post,
     list(coalesce(h.weight, 0) ORDER BY p.place_id) AS inh, list(coalesce(z.weight, 0) ORDER BY p.place_id) AS rst
@@ -93,3 +92,14 @@ firing AS (
     LEFT JOIN weights h ON h.net_id = p.net_id AND h.place_id = p.place_id AND h.trans_id = t.trans_id AND h.direction = 'inhibitor'
     LEFT JOIN weights z ON z.net_id = p.net_id AND z.place_id = p.place_id AND z.trans_id = t.trans_id AND z.direction = 'reset'
   GROUP BY p.net_id, t.trans_id)"""
+
+
+def sql_tables(nets: dict[str, tuple[list[str], list[str]]] = NETS) -> str:
+    """Common table expressions of the same rows: places, transitions, arcs, and the dense forms initial and firing."""
+    p, t, a = rows(nets)
+    values = lambda some: ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in some)
+    return f"""places(net_id, place_id, name, tokens, capacity, place_type, span) AS (VALUES {values(p)}),
+transitions(net_id, trans_id, name, ttype, res_place, var, ordering, span, tid, basic_block, data_type) AS (VALUES {values(t)}),
+arcs(net_id, place_id, trans_id, direction, weight) AS (VALUES {values(a)}),
+weights AS (SELECT net_id, place_id, trans_id, direction, CAST(sum(weight) AS BIGINT) AS weight FROM arcs WHERE weight > 0 GROUP BY ALL),
+{DENSE}"""

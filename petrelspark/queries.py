@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from petrelspark.functions import classify as C
 from petrelspark.functions import markings as M
-from petrelspark.operators import boundness, closure, detect, explore, pointsto, reduce, sequence, translate
-from petrelspark.plans import derive, fixtures, samples
+from petrelspark.operators import boundness, closure, collect, detect, explore, pointsto, reduce, sequence, translate
+from petrelspark.plans import derive, expected, fixtures, programs, samples
 from petrelspark.plans.net import Net
 from petrelspark.sources import mir, sinks
+from petrelspark.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,14 +38,22 @@ SPECIAL = "WITH " + fixtures.sql_tables(fixtures.SPECIAL)
 _ENABLED = "len(list_filter(list_zip(m, pre), lambda x: x[1] < x[2])) = 0"
 _AFTER = "list_transform(list_zip(m, pre, post), lambda x: x[1] - x[2] + x[3])"
 _FITS = "len(list_filter(list_zip(a, cap), lambda x: x[2] IS NOT NULL AND x[1] > x[2])) = 0"
-#: Reachable markings, and every firing from them.
-REACH = f"""{NETS},
+
+
+def reach_sql(tables: str) -> str:
+    """Reachable markings, and every firing from them."""
+    return f"""{tables},
 caps AS (SELECT net_id, cap FROM initial),
 reach(net_id, m) AS (
   SELECT net_id, m FROM initial UNION
   SELECT net_id, a FROM (SELECT r.net_id, {_AFTER} AS a, i.cap FROM reach r JOIN firing f ON f.net_id = r.net_id JOIN caps i ON i.net_id = r.net_id WHERE {_ENABLED}) WHERE {_FITS}),
 fired AS (SELECT *, {_FITS} AS fits FROM (SELECT r.net_id, r.m, f.trans_id, {_AFTER} AS a, i.cap FROM reach r JOIN firing f ON f.net_id = r.net_id JOIN caps i ON i.net_id = r.net_id WHERE {_ENABLED}))"""
 
+
+REACH = reach_sql(NETS)
+PROGRAM = f"WITH RECURSIVE {programs.sql_facts()},\n{programs.SQL}"
+PROGRAM_REACH = reach_sql(f"{PROGRAM},\n{fixtures.DENSE}")
+
 _graphs: dict[str, explore.StateGraph] = {}
 
 
@@ -137,29 +146,34 @@ def reach_stats(spark, sf_dir):
     return _graph(spark).stats()
 
 
-@query()
+@query(expected.sql("reach_truncated"))
 def reach_truncated(spark, sf_dir):
     return explore.explore(fixtures.net(spark), limit=3).stats()
 
 
-@query()
+@query(expected.sql("reach_reduced"))
 def reach_reduced(spark, sf_dir):
     return explore.explore_reduced(fixtures.net(spark)).stats()
 
 
-@query()
+@query(REACH + " SELECT f.net_id, array_to_string(f.m, ',') AS marking, f.trans_id, CAST(k AS INTEGER) AS place_id, f.m[k + 1] AS before, f.a[k + 1] AS after FROM (SELECT *, unnest(range(len(m))) AS k FROM fired WHERE fits) f WHERE f.m[k + 1] <> f.a[k + 1]")
 def reach_changes(spark, sf_dir):
-    return _graph(spark).changes()
+    g = _graph(spark)
+    at = g.states.select("net_id", F.col("state_id").alias("src"), _csv("marking").alias("marking"))
+    return g.changes().join(at, ["net_id", "src"]).select("net_id", "marking", "trans_id", "place_id", "before", "after")
 
 
-@query()
+@query(REACH + ", step(net_id, m, path) AS (SELECT net_id, m, CAST([] AS INTEGER[]) FROM initial UNION SELECT s.net_id, f.a, list_append(s.path, f.trans_id) FROM step s JOIN fired f ON f.net_id = s.net_id AND f.m = s.m AND f.fits WHERE len(s.path) < 12), best AS (SELECT net_id, m, min((len(path), path)) AS b FROM step GROUP BY net_id, m) SELECT net_id, array_to_string(m, ',') AS marking, array_to_string(b[2], ',') AS path FROM best")
 def reach_paths(spark, sf_dir):
-    return _graph(spark).paths().select("net_id", "state_id", _csv("path").alias("path"))
+    g = _graph(spark)
+    at = g.states.select("net_id", "state_id", _csv("marking").alias("marking"))
+    return g.paths().join(at, ["net_id", "state_id"]).select("net_id", "marking", _csv("path").alias("path"))
 
 
-_DEAD = REACH + """, ends AS (SELECT net_id, list(place_id ORDER BY place_id) FILTER (place_type = 'FunctionEnd' AND name LIKE '%main_end%') AS e FROM places GROUP BY net_id),
+_ENDED = """, ends AS (SELECT net_id, list(place_id ORDER BY place_id) FILTER (place_type = 'FunctionEnd' AND name LIKE '%main_end%') AS e FROM places GROUP BY net_id),
 dead AS (SELECT r.net_id, r.m FROM reach r JOIN ends USING (net_id) WHERE NOT EXISTS (SELECT 1 FROM fired f WHERE f.net_id = r.net_id AND f.m = r.m AND f.fits) AND (e IS NULL OR len(list_filter(e, lambda x: r.m[x + 1] > 0)) = 0)),
 marks AS (SELECT d.net_id, d.m, string_agg(p.name || ':' || d.m[p.place_id + 1], ',' ORDER BY p.name) FILTER (d.m[p.place_id + 1] > 0) AS marking FROM dead d JOIN places p ON p.net_id = d.net_id GROUP BY d.net_id, d.m)"""
+_DEAD = REACH + _ENDED
 
 
 @query(_DEAD + " SELECT net_id, coalesce(marking, '') AS marking FROM marks")
@@ -173,14 +187,14 @@ def deadlock_none(spark, sf_dir):
     return g.net.places.select("net_id").distinct().join(detect.deadlocks(g).select("net_id"), "net_id", "left_anti")
 
 
-@query()
+@query(expected.sql("deadlock_report"))
 def deadlock_report(spark, sf_dir):
     return detect.deadlock_report(_graph(spark)).withColumn("path", F.array_join("path", ","))
 
 
-@query()
+@query(expected.sql("deadlock_cycles"))
 def deadlock_cycles(spark, sf_dir):
-    return detect.blocked_cycles(_graph(spark)).withColumn("locks", _csv("locks"))
+    return detect.blocked_cycles(explore.explore(fixtures.net(spark, fixtures.SPINNING))).select("net_id", _csv("locks").alias("locks"), "states")
 
 
 @query(REACH + ", acc AS (SELECT DISTINCT f.net_id, array_to_string(f.m, ',') AS state, t.var AS location, t.ttype = 'UnsafeWrite' AS write, t.trans_id FROM fired f JOIN transitions t ON t.net_id = f.net_id AND t.trans_id = f.trans_id WHERE f.fits AND t.ttype IN ('UnsafeRead', 'UnsafeWrite')) SELECT a.net_id, a.location, count(*) AS pairs FROM acc a JOIN acc b ON a.net_id = b.net_id AND a.state = b.state AND a.location = b.location AND a.trans_id < b.trans_id AND (a.write OR b.write) GROUP BY ALL")
@@ -203,7 +217,7 @@ def race_merged(spark, sf_dir):
 
 @query(_PAIRS + " SELECT location, count(*) AS pairs, count(DISTINCT state) AS states FROM pairs WHERE cross_thread GROUP BY location")
 def race_by_location(spark, sf_dir):
-    return detect.race_pairs(derive.access(spark, sf_dir), different_threads=True).groupBy("location").agg(F.count("*").alias("pairs"), F.countDistinct("state").alias("states"))
+    return detect.race_counts(derive.access(spark, sf_dir))
 
 
 _TRACE = "WITH " + derive.SQL["trace"] + """, rules(rule, s, m, e) AS (VALUES (1, 'load', 'store', 'store'), (2, 'store', 'store', 'load'), (3, 'load', 'store', 'load')),
@@ -249,12 +263,12 @@ def atomic_store_sets(spark, sf_dir):
     return detect.store_sets(derive.memory_ops(spark, sf_dir)).withColumn("stores", F.array_join("stores", ","))
 
 
-@query()
+@query(expected.sql("atomicity_on_net"))
 def atomicity_on_net(spark, sf_dir):
     return detect.atomicity(_graph(spark)).withColumn("stores", F.array_join("stores", ","))
 
 
-@query()
+@query(expected.sql("atomicity_search"))
 def atomicity_search(spark, sf_dir):
     return detect.net_witnesses(_graph(spark))
 
@@ -305,7 +319,7 @@ _PTS = "WITH RECURSIVE " + derive.SQL["constraints"] + ", nodes AS (SELECT src A
 
 
 def _pts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pointsto.points_to(derive.constraints(spark, sf_dir, ("Address", "Copy")))
+    return pointsto.points_to(derive.constraints(spark, sf_dir))
 
 
 @query(_PTS + " SELECT node, target FROM pts")
@@ -315,7 +329,7 @@ def points_to_small(spark, sf_dir):
 
 @query()
 def points_to_full(spark, sf_dir):
-    return pointsto.points_to(derive.all_constraints(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("n"))
+    return pointsto.points_to(derive.all_constraints(spark, sf_dir)).select("node", "target")
 
 
 _KIND = ", q AS (SELECT DISTINCT 'v' || (c_custkey % 211) AS a, 'v' || c_nationkey AS b FROM customer), k AS (SELECT a, b, CASE WHEN NOT EXISTS (SELECT 1 FROM pts WHERE node = a) OR NOT EXISTS (SELECT 1 FROM pts WHERE node = b) THEN 'Unknown' WHEN EXISTS (SELECT 1 FROM pts x JOIN pts y ON x.target = y.target WHERE x.node = a AND y.node = b) THEN 'Probably' ELSE 'Unlikely' END AS kind FROM q)"
@@ -410,22 +424,22 @@ def _stage(spark: SparkSession, name: str) -> DataFrame:
     return n.transitions.groupBy("net_id").agg(F.count("*").alias("transitions")).join(n.places.groupBy("net_id").agg(F.count("*").alias("places")), "net_id", "outer").na.fill(0)
 
 
-@query()
+@query(expected.sql("reduce_loops"))
 def reduce_loops(spark, sf_dir):
     return _stage(spark, "loops")
 
 
-@query()
+@query(expected.sql("reduce_sequences"))
 def reduce_sequences(spark, sf_dir):
     return _stage(spark, "sequences")
 
 
-@query()
+@query(expected.sql("reduce_intermediate"))
 def reduce_intermediate(spark, sf_dir):
     return _stage(spark, "intermediate")
 
 
-@query()
+@query(expected.sql("reduce_trace"))
 def reduce_trace(spark, sf_dir):
     return reduce.reduced(fixtures.net(spark, fixtures.REDUCIBLE))["result"].transitions.select("net_id", "trans_id", "name", "ttype", _csv("orig_ids").alias("orig_ids"))
 
@@ -437,29 +451,29 @@ def _programs(spark: SparkSession) -> DataFrame:
 _LINES = "WITH texts(path, text) AS (VALUES " + ", ".join(f"('{p}', '" + t.replace("'", "''") + "')" for p, t in samples.PROGRAMS) + "), l AS (SELECT path, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM texts), s AS (SELECT path, line, trim(raw) AS s FROM l)"
 
 
-@query(_LINES + r", f AS (SELECT *, last_value(nullif(regexp_extract(s, '^fn\s+(\w+)\s*\([^)]*\)\s*->\s*[^{]*\{', 1), '') IGNORE NULLS) OVER (PARTITION BY path ORDER BY line) AS fn FROM s) SELECT path, fn, line AS bb_line, CAST(regexp_extract(s, '^bb(\d+)', 1) AS INTEGER) AS bb, contains(s, '(cleanup)') AS cleanup FROM f WHERE regexp_matches(s, '^bb(\d+)\s*(?:\(cleanup\))?\s*:\s*\{')")
+@query(_LINES + ", f AS (SELECT *, last_value(CASE WHEN starts_with(s, 'fn ') AND ends_with(s, '{') THEN split_part(substr(s, 4), '(', 1) END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line) AS fn FROM s) SELECT path, fn, line AS bb_line, CAST(replace(split_part(split_part(s, ':', 1), ' ', 1), 'bb', '') AS INTEGER) AS bb, contains(s, '(cleanup)') AS cleanup FROM f WHERE starts_with(s, 'bb') AND ends_with(s, '{')")
 def mir_blocks(spark, sf_dir):
     return mir.blocks(mir.lines(_programs(spark))).select("path", "fn", "bb_line", "bb", "cleanup")
 
 
-@query()
+@query(expected.sql("mir_terminators"))
 def mir_terminators(spark, sf_dir):
     return mir.blocks(mir.lines(_programs(spark))).select("path", "fn", "bb", "kind", _csv("targets").alias("targets"), "callee", "dest", "dropped")
 
 
-@query(_LINES + r" SELECT path, regexp_extract(s, '^let\s+(mut\s+)?(_\d+)\s*:\s*([^;]+);', 2) AS local, trim(regexp_extract(s, '^let\s+(mut\s+)?(_\d+)\s*:\s*([^;]+);', 3)) AS ty, regexp_matches(s, '^let\s+mut\s') AS is_mut FROM s WHERE regexp_matches(s, '^let\s+(mut\s+)?(_\d+)\s*:')")
+@query(_LINES + " SELECT path, trim(split_part(replace(replace(s, 'let mut ', ''), 'let ', ''), ':', 1)) AS local, trim(replace(substr(s, strpos(s, ':') + 1), ';', '')) AS ty, starts_with(s, 'let mut ') AS is_mut FROM s WHERE starts_with(s, 'let ')")
 def mir_locals(spark, sf_dir):
     return mir.local_decls(mir.lines(_programs(spark))).select("path", "local", "ty", "is_mut")
 
 
-@query()
+@query(expected.sql("mir_net"))
 def mir_net(spark, sf_dir):
     r = mir.net_rows(_programs(spark))
     n = lambda d, k: d.groupBy("path").agg(F.count("*").alias(k))
     return n(r["places"], "places").join(n(r["transitions"], "transitions"), "path").join(n(r["arcs"], "arcs"), "path")
 
 
-@query()
+@query(expected.sql("mir_warnings"))
 def mir_warnings(spark, sf_dir):
     return mir.net_rows(_programs(spark))["warnings"]
 
@@ -483,18 +497,18 @@ def _unbounded(spark: SparkSession) -> Net:
     return fixtures.net(spark, fixtures.GENERATOR | {"N2": fixtures.NETS["N2"], "N7": fixtures.NETS["N7"]})
 
 
-@query()
+@query(expected.sql("coverability"))
 def coverability(spark, sf_dir):
     omega = F.array_join(F.transform("marking", lambda x: x.cast("string")), ",", "w")
     return boundness.coverability(_unbounded(spark)).select("net_id", "depth", omega.alias("marking"), _csv("path").alias("path"))
 
 
-@query()
+@query(expected.sql("boundedness"))
 def boundedness(spark, sf_dir):
     return boundness.boundedness(_unbounded(spark)).withColumn("witness", _csv("witness"))
 
 
-@query()
+@query(expected.sql("invariants"))
 def invariants(spark, sf_dir):
     return boundness.invariants(fixtures.net(spark))
 
@@ -503,3 +517,93 @@ def invariants(spark, sf_dir):
 def summary_metrics(spark, sf_dir):
     g = _graph(spark)
     return sinks.summary(g, detect.deadlocks(g)).select("net_id", "places", "transitions", "arcs", "states", "edges")
+
+
+_translated: dict[str, Net] = {}
+
+
+def _program(spark: SparkSession) -> Net:
+    """The net of the literal programs, made once in a session."""
+    key = spark.sparkContext.applicationId
+    if key not in _translated:
+        n = translate.translate(*programs.facts(spark))
+        _translated[key] = Net(stage(n.places, "places"), stage(n.transitions, "transitions"), stage(n.arcs, "arcs"))
+    return _translated[key]
+
+
+def _program_graph(spark: SparkSession) -> explore.StateGraph:
+    key = f"programs of {spark.sparkContext.applicationId}"
+    if key not in _graphs:
+        _graphs[key] = explore.explore(_program(spark))
+    return _graphs[key]
+
+
+@query(PROGRAM + " SELECT net_id, name, CAST(tokens AS BIGINT) AS tokens, CAST(capacity AS BIGINT) AS capacity, place_type FROM places")
+def translate_places(spark, sf_dir):
+    return _program(spark).places.select("net_id", "name", "tokens", "capacity", "place_type")
+
+
+@query(PROGRAM + " SELECT net_id, name, ttype, var, ordering FROM transitions")
+def translate_transitions(spark, sf_dir):
+    return _program(spark).transitions.select("net_id", "name", "ttype", "var", "ordering")
+
+
+@query(PROGRAM + " SELECT net_id, place_id, trans_id, direction, weight FROM weights")
+def translate_arcs(spark, sf_dir):
+    return _program(spark).weights()
+
+
+@query(PROGRAM_REACH + " SELECT r.net_id, count(*) AS states, (SELECT count(*) FROM fired f WHERE f.net_id = r.net_id AND f.fits) AS edges FROM reach r GROUP BY r.net_id")
+def translate_states(spark, sf_dir):
+    return _program_graph(spark).stats().select("net_id", "states", "edges")
+
+
+@query(PROGRAM_REACH + _ENDED + " SELECT net_id, coalesce(marking, '') AS marking FROM marks")
+def translate_deadlock(spark, sf_dir):
+    return detect.deadlocks(_program_graph(spark)).select("net_id", "marking")
+
+
+@query(PROGRAM_REACH + ", acc AS (SELECT DISTINCT f.net_id, array_to_string(f.m, ',') AS state, t.var AS location, t.ttype = 'UnsafeWrite' AS write, t.trans_id FROM fired f JOIN transitions t ON t.net_id = f.net_id AND t.trans_id = f.trans_id WHERE f.fits AND t.ttype IN ('UnsafeRead', 'UnsafeWrite')) SELECT a.net_id, a.location, count(*) AS pairs FROM acc a JOIN acc b ON a.net_id = b.net_id AND a.state = b.state AND a.location = b.location AND a.trans_id < b.trans_id AND (a.write OR b.write) GROUP BY ALL")
+def translate_race(spark, sf_dir):
+    return detect.race_pairs(detect.accesses(_program_graph(spark)), ["net_id"]).groupBy("net_id", "location").agg(F.count("*").alias("pairs"))
+
+
+@query(expected.sql("translate_atomicity"))
+def translate_atomicity(spark, sf_dir):
+    return detect.atomicity(_program_graph(spark)).withColumn("stores", F.array_join("stores", ","))
+
+
+@query(expected.sql("translate_tasks"))
+def translate_tasks(spark, sf_dir):
+    tasks = spark.createDataFrame([("jobs", "a", 0), ("jobs", "b", 1)], "net_id string, task string, awaits int")
+    starts = spark.createDataFrame([("jobs", f"{k}_ready") for k in "ab"], "net_id string, name string")
+    net = translate.as_net(translate.task_rows(tasks))
+    places = net.places.join(starts.withColumn("on", F.lit(1)), ["net_id", "name"], "left").withColumn("tokens", F.coalesce(F.col("on").cast("long"), "tokens")).drop("on")
+    return explore.explore(Net(places.select(*net.places.columns), net.transitions, net.arcs)).stats()
+
+
+def _app(spark: SparkSession) -> dict[str, DataFrame]:
+    return {k: spark.createDataFrame(r, s) for k, (s, r) in samples.APP.items()}
+
+
+@query(expected.sql("collect_calls"))
+def collect_calls(spark, sf_dir):
+    a = _app(spark)
+    return collect.dispatched(a["sites"], a["locals"], a["owners"], a["functions"]).select("func", "bb", "action", "callee", "res", "res2", "ordering", F.array_join("callees", "+").alias("callees"))
+
+
+@query(expected.sql("collect_call_edges"))
+def collect_call_edges(spark, sf_dir):
+    a = _app(spark)
+    return collect.call_sites(a["sites"], a["locals"], a["functions"]).select("caller", "callee", "site_kind", "location")
+
+
+@query(expected.sql("collect_resources"))
+def collect_resources(spark, sf_dir):
+    a = _app(spark)
+    local = a["locals"]
+    guards = collect.lock_guards(local).select("func", "local", F.concat_ws(" ", F.lit("guard"), "maker", "kind").alias("what"))
+    ends = collect.channel_ends(local).select("func", "local", F.concat_ws(" ", "kind", "data").alias("what"))
+    ops = collect.atomic_variables(collect.atomic_operations(a["sites"])).select("func", "local", F.concat_ws(" ", F.lit("atomic"), "ordering", F.array_join("operations", "+")).alias("what"))
+    unsafe = collect.unsafe_blocks(collect.unsafe_accesses(a["statements"])).select("func", F.concat(F.lit("bb"), F.col("bb").cast("string")).alias("local"), F.concat_ws(" ", F.lit("unsafe"), F.array_join("spans", "+")).alias("what"))
+    return guards.union(collect.condvars(local).select("func", "local", F.lit("condvar"))).union(ends).union(ops).union(unsafe)

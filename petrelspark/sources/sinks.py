@@ -4,12 +4,14 @@ A document is put together from sorted rows of one net, so its size is that of t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from petrelspark.functions.markings import dot_escape, xml_escape
 from petrelspark.operators.explore import StateGraph
-from petrelspark.plans.net import Net
+from petrelspark.plans.net import ARCS, PLACES, TRANSITIONS, Net
 
 
 def _text(df: DataFrame, by: str, order: list[str], line: Column, name: str) -> DataFrame:
@@ -102,3 +104,48 @@ def summary(graph: StateGraph, problems: DataFrame) -> DataFrame:
 def write_report(report: DataFrame, path: str) -> None:
     """A report as JSON lines."""
     report.write.mode("error").json(path)
+
+
+def race_report(races: DataFrame, by: str = "net_id") -> DataFrame:
+    """(net_id, text): the text form of ``merged_races``."""
+    line = banner("Data race", ("location", F.col("location")), ("block", F.col("block")), ("span", F.col("span")), ("pairs", F.col("pairs")), ("operations", F.array_join("operations", ", ")))
+    return _text(races, by, ["location", "block", "span"], line, "text")
+
+
+def atomicity_report(found: DataFrame, by: str = "net_id") -> DataFrame:
+    """(net_id, text): the text form of ``atomicity``."""
+    line = banner("Atomicity violation", ("variable", F.col("var")), ("load", F.col("load")), ("stores", F.array_join("stores", ", ")))
+    return _text(found, by, ["var", "load"], line, "text")
+
+
+def write_net(net: Net, path: str) -> None:
+    """A net as JSON lines: one folder for each of its tables."""
+    for name in ("places", "transitions", "arcs"):
+        getattr(net, name).write.mode("error").json(f"{path}/{name}")
+
+
+def read_net(spark: SparkSession, path: str) -> Net:
+    """The net that ``write_net`` wrote."""
+    return Net(*(spark.read.schema(s).json(f"{path}/{name}") for name, s in (("places", PLACES), ("transitions", TRANSITIONS), ("arcs", ARCS))))
+
+
+def collected_json(tables: dict[str, DataFrame]) -> DataFrame:
+    """(kind, json): the rows of collectors, such as atomics or channels, as JSON."""
+    parts = [d.select(F.lit(k).alias("kind"), F.to_json(F.struct("*")).alias("json")) for k, d in tables.items()]
+    return reduce(DataFrame.union, parts)
+
+
+def write_points_to(report: DataFrame, path: str) -> None:
+    """The report of points-to sets as text, a line for each set."""
+    report.select(F.concat_ws(" ", "func", "node", F.concat(F.lit("-> {"), F.array_join("targets", ", "), F.lit("}"))).alias("value")).write.mode("error").text(path)
+
+
+def write_bench(table: DataFrame, path: str) -> None:
+    """The benchmark table as CSV with a header."""
+    table.write.mode("error").option("header", True).csv(path)
+
+
+def bench_tex(table: DataFrame) -> DataFrame:
+    """(detector, case, tex): rows of a TeX table."""
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in table.columns]
+    return table.select("detector", "case", F.concat(F.concat_ws(" & ", *rest), F.lit(" \\\\")).alias("tex"))
