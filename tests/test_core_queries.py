@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from petrelspark import queries
@@ -20,7 +21,7 @@ def duck():
 
 
 def cell(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     return int(v) if isinstance(v, float) and v.is_integer() else v.item() if hasattr(v, "item") else v
 

@@ -118,7 +118,7 @@ def test_points_to_of_every_order(spark, tmp_path):
             else:
                 for place in [x for x in pts[src] if x in pts]:
                     pts[dst] |= pts[place]
-    assert {tuple(r) for r in queries.points_to_full(spark, str(tmp_path)).collect()} == {(n, len(t)) for n, t in pts.items()}
+    assert {tuple(r) for r in queries.points_to_full(spark, str(tmp_path)).collect()} == {(n, x) for n, t in pts.items() for x in t}
 
 
 def test_names(spark):
@@ -185,20 +185,20 @@ def count(rows, path):
 def test_ir_text(spark):
     t = spark.createDataFrame(samples.PROGRAMS, "path string, text string")
     rows = mir.net_rows(t)
-    assert count(rows, "lock_only.mir") == {"places": 7, "transitions": 4, "arcs": 12, "warnings": 0}
-    kinds = sorted((r["kind"], r["op"]) for r in rows["transitions"].where("path = 'lock_only.mir' and kind != 'cfg'").collect())
-    assert kinds == [("lock", "_1"), ("unlock", "_1")]
+    assert count(rows, "ledger.mir") == {"places": 8, "transitions": 5, "arcs": 14, "warnings": 1}
+    kinds = sorted((r["kind"], r["op"]) for r in rows["transitions"].where("path = 'ledger.mir' and kind != 'cfg'").collect())
+    assert kinds == [("lock", "_2"), ("unlock", "_2")]
     counter = mir.net_rows(t)["transitions"].where("path = 'counter.mir' and kind = 'unlock'").collect()
     assert [r["op"] for r in counter] == ["_1"]
     compat = {(r["basic_block"], r["reason"]) for r in mir.net_rows(t, semantics="compat")["warnings"].where("function = 'main'").collect()}
     assert ("bb0", "no terminator found") in compat
     assert mir.net_rows(t, max_fns=1)["places"].where("path = 'counter.mir' and name = 'main_entry'").count() == 0
-    xml = {r["path"]: r["xml"] for r in sinks.pnml(rows).collect()}["lock_only.mir"]
+    xml = {r["path"]: r["xml"] for r in sinks.pnml(rows).collect()}["ledger.mir"]
     import xml.etree.ElementTree as ET
 
     tree = ET.fromstring(xml)
-    assert xml.count("<initialMarking>") == 2 and "inscription" not in xml and len(tree.findall(".//{*}place")) == 7
-    doc = json.loads({r["path"]: r["json"] for r in sinks.net_json(rows).collect()}["lock_only.mir"])
+    assert xml.count("<initialMarking>") == 2 and "inscription" not in xml and len(tree.findall(".//{*}place")) == 8
+    doc = json.loads({r["path"]: r["json"] for r in sinks.net_json(rows).collect()}["ledger.mir"])
     assert set(doc) >= {"places", "transitions", "arcs", "initial_marking"} and len(doc["initial_marking"]) == 2
     assert mir.net_rows(t.where("false"))["places"].count() == 0
 
