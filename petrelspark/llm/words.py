@@ -6,7 +6,9 @@ bytes.  Hashes (XXH3, of each distinct word once) depend on the word's bytes alo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,39 +57,78 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))[codes]
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the system, as its Python worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 class Remembered:
-    """Ids of words that recur, under the words' bytes; those a Python worker has met, up to a fixed number of bytes.
+    """Ids of words that recur: those a Python worker has met, up to a fixed number of bytes, in arrays.
 
-    ``most``: bytes of words and ids, with what Python needs for each, before it starts anew; so a word of any length is
-    never kept for longer than until the next chunk."""
+    Words are found by their hashes and then compared by their bytes; of two with one hash the second is asked for each time.
+    ``most``: bytes of what is kept before it starts anew, so a word of any length stays no longer than until the next chunk."""
 
-    def __init__(self, most: int = 40 << 20):
+    def __init__(self, most: int = 24 << 20):
         self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.bytes = 0
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.letters, self.words = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    @property
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.places, self.letters, self.words, self.flat, self.ends))
+
+    def _find(self, words: list[bytes], hashed: np.ndarray) -> np.ndarray:
+        """Where each word is kept; -1 where it isn't."""
+        at = np.minimum(np.searchsorted(self.keys, hashed), max(0, len(self.keys) - 1))
+        found = np.full(len(words), -1, np.int64)
+        if not len(self.keys):
+            return found
+        hit = np.flatnonzero(self.keys[at] == hashed)
+        kept = self.places[at[hit]].astype(np.int64)
+        lengths = np.fromiter((len(words[k]) for k in hit), np.int64, len(hit))
+        same = self.words[kept + 1] - self.words[kept] == lengths
+        hit, kept, lengths = hit[same], kept[same], lengths[same]
+        ends = np.cumsum(lengths)
+        mine = np.frombuffer(b"".join([words[k] for k in hit]), np.uint8)
+        other = self.letters[np.repeat(self.words[kept] - (ends - lengths), lengths) + np.arange(len(mine))]
+        apart = np.concatenate([[0], np.cumsum(mine != other)])
+        equal = apart[ends] == apart[ends - lengths]
+        found[hit[equal]] = kept[equal]
+        return found
 
     def ids(self, words: list[bytes], codes: np.ndarray, ask) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all words in a row, where each word's end) for words given as by ``distinct``; ``ask`` gives the ids of new ones."""
+        from xxhash import xxh3_64_intdigest
+
         if self.bytes > self.most:
             self.forget()
-        known = self.numbers
-        new = [w for w in words if w not in known]
-        if new:
+        hashed = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+        at = self._find(words, hashed)
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new = [words[k] for k in fresh]
             got = ask(new)
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            known.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, int(lengths.sum()))])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.bytes += sum(map(len, new)) + 150 * len(new) + 4 * int(lengths.sum())
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[codes] if words else np.zeros(0, np.int64)
-        lengths = self.lengths[at]
+            at[fresh] = len(self.ends) - 1 + np.arange(len(fresh))
+            total = lambda x: np.cumsum(np.fromiter(map(len, x), np.int64, len(x)))
+            self.words, self.ends = np.concatenate([self.words, self.words[-1] + total(new)]), np.concatenate([self.ends, self.ends[-1] + total(got)])
+            self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(new), np.uint8)])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(self.ends[-1]) - len(self.flat))])
+            some, first = np.unique(hashed[fresh], return_index=True)
+            where = np.searchsorted(self.keys, some)
+            own = np.ones(len(some), bool) if not len(self.keys) else self.keys[np.minimum(where, len(self.keys) - 1)] != some
+            self.keys, self.places = np.insert(self.keys, where[own], some[own]), np.insert(self.places, where[own], at[fresh][first[own]].astype(np.int32))
+        each = at[codes]
+        lengths = self.ends[each + 1] - self.ends[each]
         tops = np.cumsum(lengths)
-        return self.flat[np.repeat(self.starts[at] - (tops - lengths), lengths) + np.arange(int(lengths.sum()))], tops
+        return self.flat[np.repeat(self.ends[each] - (tops - lengths), lengths) + np.arange(int(lengths.sum()))], tops
 
 
 def pieces(column: pa.Array, most: int = CHUNK, joined: np.ndarray | None = None) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
