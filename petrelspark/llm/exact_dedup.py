@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petrelspark.llm import marks
-from petrelspark.llm.columns import SPACES, texts
+from petrelspark.llm.columns import SPACES, texts, with_groups
 from petrelspark.staging import stage
 
 
@@ -58,15 +58,15 @@ def refined(docs: DataFrame, prefix_chars: int = 256, hash_all: bool = False) ->
 def exact_groups(docs: DataFrame, prefix_chars: int = 256, hash_all: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (null where no hash was needed).
 
-    Copies are counted with partial sums before the shuffle; the join back is on the digest, and a hot digest is one that
-    adaptive execution can split, since nothing above it needs a digest's rows together."""
+    Copies are counted with partial sums before the shuffle; the rows of very large groups get their group by broadcast."""
     rows = refined(texts(docs, id_col=id_col, text_col=text_col), prefix_chars, hash_all)
     best = F.max_by("doc_id", F.struct("n", F.col("doc_id").isNotNull(), -F.col("doc_id")))
-    groups = rows.where("shared").groupBy(F.col("text_sha256").alias("of")).agg(best.alias("keep_id"), F.max("n").alias("most"), F.count("*").alias("group_size"))
+    groups = stage(rows.where("shared").groupBy(F.col("text_sha256").alias("of")).agg(best.alias("keep_id"), F.max("n").alias("most"), F.count("*").alias("group_size")), "groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
     alone = rows.where("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     same = rows.where("shared").groupBy("text_sha256", "doc_id", "n").agg(F.count("*").alias("times"))  # rows that nothing tells apart
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("most")) & (F.col("time") == 1)
-    many = same.join(groups, F.col("text_sha256") == F.col("of")).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc_id", "keep_id", "group_size", first.alias("kept"), "text_sha256")
+    many = with_groups(same, groups, "text_sha256", "of", "group_size", total).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc_id", "keep_id", "group_size", first.alias("kept"), "text_sha256")
     return alone.unionByName(many)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from petrelspark.llm import marks, words
-from petrelspark.llm.columns import fresh, small_batches, texts
+from petrelspark.llm.columns import fresh, small_batches, texts, with_groups
 from petrelspark.operators.components import connected_components
 from petrelspark.staging import stage
 
@@ -136,8 +136,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     """The pairs (a, b) of ids whose full sets have ``100 * intersection >= percent * union``.  ``pairs``: (a, b, nb), with b's set size.
 
     Leaves of one hub are dealt to groups of bounded total size, each with the hub's set."""
-    hubs = pairs.groupBy("a").agg(F.sum("nb").alias("all")).select(F.col("a").alias("hub"), F.ceil(F.col("all") / GROUP_SHINGLES).cast("long").alias("groups"))
-    leaves = pairs.join(hubs, F.col("a") == F.col("hub")).select(F.col("b").alias("id"), "hub", F.pmod(F.xxhash64("b"), "groups").alias("part"), F.lit(False).alias("is_hub"))
+    hubs = stage(pairs.groupBy("a").agg(F.sum("nb").alias("all"), F.count("*").alias("n_leaves")).select(F.col("a").alias("hub"), F.ceil(F.col("all") / GROUP_SHINGLES).cast("long").alias("groups"), "n_leaves"), "hubs")
+    leaves = with_groups(pairs, hubs, "a", "hub", "n_leaves", pairs.count()).select(F.col("b").alias("id"), "hub", F.pmod(F.xxhash64("b"), "groups").alias("part"), F.lit(False).alias("is_hub"))
     own = hubs.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(True).alias("is_hub"))
     requests = stage(leaves.union(own), "requests")
     bits = marks.bits_for(requests.count())
@@ -145,7 +145,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     asked = near.join(requests.hint("merge"), F.col("doc_id") == F.col("id")).select("text", "id", "hub", "part", "is_hub")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text"):
             binary = pa.array((s.tobytes() for s in shingle_sets(batch.column("text"), size)), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "hub", "part", "is_hub")] + [binary], ["id", "hub", "part", "is_hub", "hashes"])
 
@@ -169,9 +169,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
 
 
 def possible(rest: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, nb) of ``rest`` (key, rep, n, c) in one bucket with different ``c`` whose profiles (doc_id, profile) allow the similarity."""
-    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).withColumnRenamed("key", "in_key")
-    dealt = rest.join(sizes, F.col("key") == F.col("in_key")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    """The pairs (a, b, nb) of ``rest`` (key, rep, n, c, many) in one bucket of ``many`` with different ``c`` whose profiles (doc_id, profile) allow the similarity."""
+    dealt = rest.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", "rep", "n", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     known = profiles.join(rest.select(F.col("rep").alias("of")).distinct(), F.col("doc_id") == F.col("of")).groupBy("of").agg(F.when(F.count("*") == 1, F.any_value("profile")).alias("profile"))  # an id with several texts has no bound
     rows = dealt.join(known, F.col("rep") == F.col("of")).drop("of")
@@ -204,27 +203,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     t = texts(docs, id_col=id_col, text_col=text_col)
     bands = bands_for(percent / 100, rows, miss)
     found = stage(features(t, size, bands, rows), "minhash")
-    classes = stage(found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "classes")
+    classes = stage(found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.count("*").alias("copies")), "classes")
     members = classes.where("rep is not null").select("rep", "n", F.explode("bands").alias("key"))
     company = stage(members.groupBy("key").count().where("count > 1").select("key"), "company")
     bits = marks.bits_for(company.count())
-    members = marks.marked(members, F.col("key"), stage(marks.bitmap(company, F.col("key"), bits), "shared"), bits)
-    buckets = members.groupBy("key").agg(F.min("rep").alias("centre"), F.min_by("n", "rep").alias("centre_n"), F.count("*").alias("many")).where("many > 1").withColumnRenamed("key", "in_key")
-    rows_in = stage(members.join(buckets, F.col("key") == F.col("in_key")).select("key", "rep", "n", "centre", "centre_n", "many"), "buckets")
+    members = stage(marks.marked(members, F.col("key"), stage(marks.bitmap(company, F.col("key"), bits), "shared"), bits), "members")
+    buckets = stage(members.groupBy(F.col("key").alias("in_key")).agg(F.min("rep").alias("centre"), F.min_by("n", "rep").alias("centre_n"), F.count("*").alias("many")).where("many > 1"), "buckets")
+    rows_in = stage(with_groups(members, buckets, "key", "in_key", "many", members.count()).select("key", "rep", "n", "centre", "centre_n", "many"), "in-buckets")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    stars = rows_in.where((F.col("rep") != F.col("centre")) & alike("n", "centre_n")).select(F.col("centre").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
+    stars = stage(rows_in.where((F.col("rep") != F.col("centre")) & alike("n", "centre_n")).select(F.col("centre").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct(), "stars")
     links = stage(confirmed(t, stars, size, percent).union(same_ids(found, classes)), "links")
     first = stage(connected_components(links), "first")
     label = first.select(F.col("node").alias("of"), "component")
-    open_ = rows_in.where("many > 2").join(label, F.col("rep") == F.col("of"), "left").withColumn("c", F.coalesce("component", "rep"))
-    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("key").alias("in_key"))
-    rest = stage(open_.where("rep != centre").join(mixed, F.col("key") == F.col("in_key")).select("key", "rep", "n", "c"), "rest")
+    open_ = stage(rows_in.where("many > 2").join(label, F.col("rep") == F.col("of"), "left").select("key", "rep", "n", "many", "centre", F.coalesce("component", "rep").alias("c")), "open")
+    mixed = stage(open_.groupBy(F.col("key").alias("in_key")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n_in")).where("lo < hi").select("in_key", "n_in"), "mixed")
+    rest = stage(with_groups(open_.where("rep != centre"), mixed, "key", "in_key", "n_in", open_.count()).select("key", "rep", "n", "c", "many"), "rest")
     missed = possible(rest, found.select("doc_id", "profile"), percent)
     more = stage(confirmed(t, stage(missed, "missed"), size, percent), "more-links")
     if not more.isEmpty():
         label = connected_components(links.union(more)).select(F.col("node").alias("of"), "component")
-    of_class = classes.select(F.col("digest").alias("set"), "rep").join(label, F.col("rep") == F.col("of"), "left").select("set", F.coalesce("component", "rep").alias("component"))
-    out = found.join(of_class, F.col("digest") == F.col("set"), "left")
+    of_class = stage(classes.select(F.col("digest").alias("set"), "rep", "copies").join(label, F.col("rep") == F.col("of"), "left").select("set", "copies", F.coalesce("component", "rep").alias("component")), "of-class")
+    found = found.select("doc_id", "n_shingles", "digest")
+    out = with_groups(found, of_class, "digest", "set", "copies", found.count()).select("doc_id", "n_shingles", "component").unionByName(found.where("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"))
 
 
@@ -239,7 +239,11 @@ def same_ids(found: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **how) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns stay.  Rows without an id stay."""
+    """``docs`` with one document of each component, the one with the smallest id; all columns stay.
+
+    A row without an id takes part under a number from its text's hash, above all ids; so it goes where a near copy of it stays."""
+    stand_in = F.shiftleft(F.lit(1).cast("long"), 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 62))
+    key = F.coalesce(F.col("doc_id").cast("long"), stand_in)
     name = fresh(docs, "gone")
-    gone = near_duplicates(docs, size, percent, **how).where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+    gone = near_duplicates(docs.select(key.alias("doc_id"), "text"), size, percent, **how).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, key == gone[name], "left_anti")
