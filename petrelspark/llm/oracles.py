@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from petrelspark.llm.licenses import MENTION, OTHER, RULES, SENTENCES
+import re
 
 OP9 = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
@@ -15,18 +15,90 @@ def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+#: Known sentences in words, notices as written, and rules in order, stated here anew so that a slip in the operator's shows.
+OP7_SENTENCES = [
+    ('licensed under the apache license version 2 0', 'ApacheRef'),
+    ('licensed under the apache license version 2 0 the license', 'ApacheRef'),
+    ('you may not use this file except in compliance with the license', 'ApacheUse'),
+    ('you may obtain a copy of the license at http www apache org licenses license 2 0', 'ApacheUrl'),
+    ('released under the mit license', 'MitRef'),
+    ('licensed under the mit license', 'MitRef'),
+    ('this software is released under the mit license', 'MitRef'),
+    ('permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions', 'MitGrant'),
+    ('the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software', 'MitNotice'),
+    ('the software is provided as is without warranty of any kind', 'AsIs'),
+    ('redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met', 'BsdPre'),
+    ('redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer', 'BsdSource'),
+    ('redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution', 'BsdBinary'),
+    ('neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission', 'BsdEndorse'),
+    ('this software is provided by the copyright holders and contributors as is', 'BsdAsIs'),
+    ('released under the bsd license', 'BsdRef'),
+    ('licensed under the bsd 3 clause license', 'Bsd3Ref'),
+    ('this work is licensed under the gnu general public license version 2', 'Gpl2Ref'),
+    ('this work is licensed under the gnu general public license version 3', 'Gpl3Ref'),
+    ('licensed under the gnu general public license version 2', 'Gpl2Ref'),
+    ('licensed under the gnu general public license version 3', 'Gpl3Ref'),
+    ('this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version', 'Gpl2Plus'),
+    ('this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version', 'Gpl3Plus'),
+    ('this program is distributed in the hope that it will be useful but without any warranty', 'GplHope'),
+    ('this source code form is subject to the terms of the mozilla public license v 2 0', 'MplRef'),
+    ('if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0', 'MplUrl'),
+    ('licensed under cc by 4 0', 'CcByRef'),
+    ('licensed under cc by sa 4 0', 'CcBySaRef'),
+    ('licensed under cc by nc 4 0', 'CcByNcRef'),
+    ('this work is licensed under a creative commons attribution 4 0 international license', 'CcByRef'),
+    ('this work is licensed under a creative commons attribution sharealike 4 0 international license', 'CcBySaRef'),
+    ('all rights reserved', 'AllRights'),
+    ('You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0', 'ApacheUrl'),
+    ('You may obtain a copy of the License at\n\nhttps://www.apache.org/licenses/LICENSE-2.0', 'ApacheUrl'),
+    ('You may obtain a copy of the License at: http://www.apache.org/licenses/LICENSE-2.0', 'ApacheUrl'),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', 'AsIs'),
+    ('THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.', 'BsdAsIs'),
+    ('This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.', 'Gpl2Plus'),
+    ('This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.', 'Gpl3Plus'),
+    ('This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.', 'Gpl3Plus'),
+    ('This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.', 'MplRef'),
+    ('If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.', 'MplUrl'),
+]
+OP7_RULES = """
+    MIT: MitGrant MitNotice AsIs; MIT: MitGrant MitNotice; MIT: MitRef; BSD-3-Clause: BsdPre BsdSource BsdBinary BsdEndorse BsdAsIs;
+    BSD-3-Clause: BsdPre BsdSource BsdBinary BsdEndorse; BSD-2-Clause: BsdPre BsdSource BsdBinary BsdAsIs; BSD-2-Clause: BsdPre BsdSource BsdBinary; BSD-3-Clause: Bsd3Ref;
+    BSD: BsdRef; Apache-2.0: ApacheRef ApacheUse ApacheUrl; Apache-2.0: ApacheRef; GPL-2.0-or-later: Gpl2Plus GplHope;
+    GPL-2.0-or-later: Gpl2Plus; GPL-3.0-or-later: Gpl3Plus GplHope; GPL-3.0-or-later: Gpl3Plus; GPL-2.0-only: Gpl2Ref;
+    GPL-3.0-only: Gpl3Ref; MPL-2.0: MplRef MplUrl; MPL-2.0: MplRef; CC-BY-SA-4.0: CcBySaRef;
+    CC-BY-NC-4.0: CcByNcRef; CC-BY-4.0: CcByRef;
+"""
+
+
 def op7() -> str:
-    known = ", ".join(f"({_text(s)}, {_text(i)})" for s, i in SENTENCES.items())
+    """A break of the laid-out text is doubled, so that each of two neighbouring sentences has one on its side."""
+    steps = [(r"\n[^a-z0-9]*\n[^a-z0-9]*", "P"), (r"\n[^a-z0-9P]*", "\n"), (r"[.!?;:]+(\s|$)", r"S\1"), (r"\n", "L"), (r"[^a-z0-9SLP]+", " "), (r"S[ S]*", "S"), (r" ?S?P", "P"), (r" ?SL?", "S"), (r" ?L", "L")]
+
+    def keyed(s: str) -> str:
+        s = s.lower()
+        for pattern, by in steps:
+            s = re.sub(pattern, by, s, flags=re.ASCII)
+        return s.strip(" SLP")
+
+    laid = "low"
+    for pattern, by in steps:
+        laid = f"regexp_replace({laid}, '{pattern}', {'chr(10)' if by == chr(10) else _text(by)}, 'g')"
+    keys = {keyed(s): i for s, i in OP7_SENTENCES}
+    breaks = {" ": "(?: |LL)", "S": "(?: |LL|SS)", "P": "(?: |LL|SS|PP)"}
+    some = "|".join("".join(breaks.get(c, c) for c in k) for k in sorted(keys, key=len, reverse=True))
+    known = ", ".join(f"({_text(re.sub('[SLP]', ' ', k))}, {_text(i)})" for k, i in keys.items())
     read = "seq"
-    for name, ids in RULES:
-        read = f"replace({read}, '{''.join(f',{i},' for i in ids)}', '={name}=')"
+    for rule in OP7_RULES.replace("\n", " ").split(";"):
+        if rule.strip():
+            name, ids = rule.strip().split(": ")
+            read = f"replace({read}, '{''.join(f',{i},' for i in ids.split(' '))}', '={name}=')"
+    mention = "licen[sc]e|permission|copyright|redistribut|warranty|software|mpl|rights reserved"
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}),
-cut AS (
-  SELECT doc_id, lower(coalesce(text, '')) AS low,
-    CASE WHEN regexp_matches(lower(coalesce(text, '')), '{MENTION}') THEN string_split_regex(regexp_replace(lower(text), '[.!?;:]+(\s|$)', chr(10) || '\1', 'g'), '\n') ELSE [] END AS parts
-  FROM documents),
-part AS (SELECT doc_id, generate_subscripts(parts, 1) AS k, trim(regexp_replace(unnest(parts), '{OTHER}', ' ', 'g')) AS sentence FROM cut),
+WITH known(sentence, id) AS (SELECT DISTINCT * FROM (VALUES {known}) v(a, b)),
+cut AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
+out AS (SELECT doc_id, low, 'P' || regexp_replace(trim({laid}), '([SLP])', '\1\1', 'g') || 'P' AS t FROM cut WHERE regexp_matches(low, '{mention}')),
+hit AS (SELECT doc_id, regexp_extract_all(t, '[SLP]({some})[SLP]', 1) AS h FROM out),
+part AS (SELECT doc_id, generate_subscripts(h, 1) AS k, regexp_replace(unnest(h), '(SS|LL|PP)', ' ', 'g') AS sentence FROM hit),
 seqs AS (SELECT doc_id, string_agg(id, ',' ORDER BY k) AS sentence_ids, string_agg(',' || id || ',', '' ORDER BY k) AS seq, count(*) AS n FROM part JOIN known USING (sentence) GROUP BY doc_id),
 ruled AS (SELECT doc_id, sentence_ids, n, {read} AS r FROM seqs),
 named AS (SELECT doc_id, sentence_ids, n, r, regexp_extract_all(r, '=([^=,]+)=', 1) AS hits FROM ruled),
@@ -56,7 +128,7 @@ def op3() -> str:
 {name}_q AS (SELECT {keys}, CAST(max(total) AS BIGINT) AS n, {least} FROM {name}_r GROUP BY {keys})"""
 
     def drawn(keys: str, a: str, b: str, on: str) -> str:
-        q = ", ".join(f"({a}.n * {a}.q{k} + 200 * {b}.q{k}) / ({a}.n + 200) AS q{k}" for k in (25, 50, 75))
+        q = ", ".join(f"({a}.n * {a}.q{k} + 50 * {b}.q{k}) / ({a}.n + 50) AS q{k}" for k in (25, 50, 75))
         return f"SELECT {keys}, {a}.measure, {a}.n, {q} FROM {a} JOIN {b} ON {a}.measure = {b}.measure{on}"
 
     return rf"""

@@ -67,7 +67,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of each text: n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text"):
             column = batch.column("text")
             hashed: list[list[np.ndarray]] = [[] for _ in range(len(column))]
             for numbers, data, text_ends in words.pieces(column):
@@ -137,7 +137,7 @@ def thresholds(rows: DataFrame, measures: Measures, support: int) -> DataFrame:
     return chosen.groupBy("lang", "source").agg(*fences)
 
 
-def adaptive_quality(docs: DataFrame, support: int = 200, measures: Measures = MEASURES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def adaptive_quality(docs: DataFrame, support: int = 50, measures: Measures = MEASURES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, kept and failed (the measures that failed, or null)."""
     rows = stage(measured(texts(docs, "lang", "source", id_col=id_col, text_col=text_col).withColumns({"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")})), "measures")
     rows = rows.withColumns({m: F.expr(bucket(sql)) for m, (sql, _, _) in measures.items()})
