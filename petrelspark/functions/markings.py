@@ -59,6 +59,21 @@ def independent(touched_a: Column, touched_b: Column) -> Column:
     return ~F.arrays_overlap(touched_a, touched_b)
 
 
+def asleep_after(sleep: Column, awake: Column) -> Column:
+    """Transitions (array) that still sleep once those that depend on the fired one are ``awake``."""
+    return F.array_except(sleep, awake)
+
+
+def asleep_in_both(a: Column, b: Column) -> Column:
+    """What sleeps on two ways to one state; only that may be left out there."""
+    return F.array_intersect(a, b)
+
+
+def asleep_with(sleep: Column, fired: Column) -> Column:
+    """The sleeping transitions with those that brothers have fired before."""
+    return F.array_sort(F.array_union(sleep, fired))
+
+
 def dot_escape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
 

@@ -81,11 +81,13 @@ def spawned_by(sites: DataFrame, local_types: DataFrame) -> DataFrame:
     return found.groupBy(*HERE, "bb").agg(F.array_sort(F.collect_list(F.struct("pos", "callee"))).alias("c")).select(*HERE, "bb", F.transform("c", lambda x: x["callee"]).alias("callees"))
 
 
-def dispatched(sites: DataFrame, local_types: DataFrame, owners: DataFrame, functions: DataFrame) -> DataFrame:
+def dispatched(sites: DataFrame, local_types: DataFrame, owners: DataFrame, functions: DataFrame, handles: DataFrame | None = None) -> DataFrame:
     """The call facts of ``translate``: (net_id, func, bb, target, action, callee, callees, res, res2, ordering, span, tid).
 
     The first that holds: a lock (the destination is a guard), a condition variable's call, a drop of a guard, a channel's, a thread's
-    or an atomic variable's call, a panic, a call of a known function.  All else, function pointers included, only goes on."""
+    or an atomic variable's call, a panic, a call of a known function or else of a known closure among its arguments.  All else, function pointers
+    included, only goes on.  A join waits for what the spawn into its argument started, or for what ``handles`` (net_id, func, local, callee)
+    says, such as the handles that ``translate.handle_flow`` follows."""
     guards = lock_guards(local_types).select(*HERE, "local", F.col("kind").alias("guard"))
     of = lambda d, key, *names: d.select(*HERE, F.col("local").alias(key), *[F.col(x).alias(f"{key}_{x}") for x in names])
     s = sites.withColumns({"arg0": C.local_of(F.try_element_at("args", F.lit(1))), "arg1": C.local_of(F.try_element_at("args", F.lit(2)))})
@@ -93,18 +95,24 @@ def dispatched(sites: DataFrame, local_types: DataFrame, owners: DataFrame, func
     for key in ("dest", "arg0", "arg1"):
         s = s.join(of(owners, key, "res"), [*HERE, key], "left")
     known = functions.select("net_id", F.col("func").alias("name"), F.lit(True).alias("known")).distinct()
-    s = s.join(known, ["net_id", "name"], "left").join(spawned_by(sites, local_types), [*HERE, "bb"], "left")
+    s = s.join(known, ["net_id", "name"], "left").join(spawned_by(sites, local_types), [*HERE, "bb"], "left").withColumn("first", F.try_element_at("callees", F.lit(1)))
+    s = s.join(known.select("net_id", F.col("name").alias("first"), F.col("known").alias("runs")), ["net_id", "first"], "left")
     sync, thread, api = C.synchronization(F.col("name")), C.thread_control(F.col("name")), C.atomic_api(F.col("name"))
     release = F.concat(F.lit("unlock_"), F.col("arg0_guard"))
     atomic = F.when(F.lower("name").contains("atomic"), F.when(api == "read", "atomic_load").when(api == "write", "atomic_store").when(api == "read_write", "atomic_cas"))
     takes = F.when(F.col("name").contains("::lock") | F.col("name").contains("::read") | F.col("name").contains("::write"), F.concat("dest_guard", F.lit("_lock")))
     action = F.when(F.col("name").isNull(), "plain").otherwise(
         F.coalesce(takes, F.when(sync == "condvar_notify", "notify").when(sync == "condvar_wait", "wait"), F.when(F.col("name").contains("::drop"), F.coalesce(release, F.lit("plain"))),
-                   F.when(sync == "channel_send", "send").when(sync == "channel_recv", "recv"), thread, atomic, F.when(F.col("name").contains("core::panic"), "panic"), F.when(F.col("known"), "normal"), F.lit("plain"))
+                   F.when(sync == "channel_send", "send").when(sync == "channel_recv", "recv"), thread, atomic, F.when(F.col("name").contains("core::panic"), "panic"), F.when(F.coalesce("known", "runs"), "normal"), F.lit("plain"))
     )
     s = s.withColumn("action", action)
     res = F.when(F.col("action").endswith("_lock"), F.col("dest_res")).when(F.col("action") != "plain", F.col("arg0_res"))
-    one = F.when(F.col("action") == "normal", F.col("name")).when(F.col("action").isin("spawn", "scope_spawn", "async_spawn"), F.try_element_at("callees", F.lit(1)))
+    started = F.col("action").isin("spawn", "scope_spawn", "async_spawn")
+    own = s.where(started & F.col("dest").isNotNull()).select(*HERE, F.col("dest").alias("arg0"), F.col("first").alias("waits"))
+    if handles is not None:
+        own = own.unionByName(handles.select(*HERE, F.col("local").alias("arg0"), F.col("callee").alias("waits")))
+    s = s.join(own.groupBy(*HERE, "arg0").agg(F.min("waits").alias("waits")), [*HERE, "arg0"], "left")
+    one = F.when(F.col("action") == "normal", F.when(F.col("known"), F.col("name")).otherwise(F.col("first"))).when(started, F.col("first")).when(F.col("action").isin("join", "scope_join", "async_join"), F.col("waits"))
     ops = atomic_operations(sites).select(*HERE, "bb", "ordering")
     out = s.join(ops, [*HERE, "bb"], "left")
     return out.select(*HERE, "bb", "target", "action", one.alias("callee"), F.when(F.col("action") == "rayon_join", F.col("callees")).alias("callees"), res.alias("res"), F.when(F.col("action") == "wait", F.col("arg1_res")).alias("res2"), "ordering", "span", F.lit(0).alias("tid"))
@@ -126,6 +134,15 @@ def closure_upvars(edges: DataFrame) -> DataFrame:
     return edges.where("site_kind = 'closure_def'").select("net_id", F.col("callee").alias("closure"), F.col("caller").alias("func"), F.col("location").alias("local"))
 
 
+def needed(functions: DataFrame, edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(net_id, func): the functions that call edges (net_id, caller, callee) lead to from the entries, and from ``roots`` (net_id, func), such as
+    those that use locks, condition variables, atomics or channels."""
+    start = functions.where("is_entry").select("net_id", "func")
+    start = (start if roots is None else start.union(roots.select("net_id", "func"))).select("net_id", F.col("func").alias("root"), F.col("func").alias("node"))
+    to = reachable(edges.select("net_id", F.col("caller").alias("src"), F.col("callee").alias("dst")), start, ["net_id"])
+    return to.select("net_id", F.col("node").alias("func")).distinct().join(functions.select("net_id", "func"), ["net_id", "func"], "left_semi")
+
+
 def serialization(name: Column) -> Column:
     """Calls that translation skips."""
     return C.has_any(name, C.SERIALIZATION)

@@ -23,12 +23,12 @@ def deadlocks(graph: StateGraph, semantics: str = "strict", entry: str = "main")
     """(net_id, state_id, reason, marking): states without an outgoing edge that are not normal termination.
 
     ``reason``: no_enabled, capacity (every firing would overflow) or truncated (successors were refused).  ``marking``: the marked
-    places as ``name:tokens``, by name."""
+    places as ``name:tokens``, by name; compat shows 255 tokens at most."""
     left = graph.states.join(graph.edges.select("net_id", F.col("src").alias("state_id")).distinct(), ["net_id", "state_id"], "left_anti")
     left = left.join(_ended(graph, semantics, entry), ["net_id", "state_id"], "left_anti")
     failed = graph.failures.select("net_id", F.col("src").alias("state_id")).distinct().withColumn("failed", F.lit(True))
     reason = F.when(F.size("enabled") == 0, "no_enabled").when(F.col("failed"), "capacity").otherwise("truncated")
-    marked = graph.snapshots().groupBy("net_id", "state_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", F.col("tokens").cast("string")))), ",").alias("marks"))
+    marked = graph.snapshots().groupBy("net_id", "state_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", (F.least("tokens", F.lit(255)) if semantics == "compat" else F.col("tokens")).cast("string")))), ",").alias("marks"))
     return left.join(failed, ["net_id", "state_id"], "left").join(marked, ["net_id", "state_id"], "left").select("net_id", "state_id", reason.alias("reason"), F.coalesce("marks", F.lit("")).alias("marking"))
 
 

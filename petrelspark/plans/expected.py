@@ -190,7 +190,7 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         ('main', 0, 'spawn', 'app::work', None, None, None, None),
         ('main', 1, 'normal', 'app::helper', None, None, None, None),
         ('main', 2, 'notify', None, 'C', None, None, None),
-        ('main', 3, 'join', None, None, None, None, None),
+        ('main', 3, 'join', 'app::work', None, None, None, None),
         ('main', 4, 'plain', None, None, None, None, None),
         ('main', 5, 'panic', None, None, None, None, None),
         ('main', 6, 'rayon_join', None, None, None, None, 'app::work+app::helper'),

@@ -49,3 +49,14 @@ class Settings:
 def goes_past(until: str | None, stage: str) -> bool:
     """If an analysis that stops after ``until`` goes on after ``stage``."""
     return until is None or STAGES.index(stage) < STAGES.index(until)
+
+
+def crate_name(arguments: list[str]) -> str | None:
+    """The crate that a compiler's command line names: ``--crate-name``, else the stem of its first source."""
+    for k, x in enumerate(arguments):
+        if x == "--crate-name" and k + 1 < len(arguments):
+            return arguments[k + 1]
+        if x.startswith("--crate-name="):
+            return x.partition("=")[2]
+    sources = [Path(x).stem for x in arguments if x.endswith(".rs")]
+    return sources[0] if sources else None

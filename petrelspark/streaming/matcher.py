@@ -38,15 +38,17 @@ def online_witnesses(events: DataFrame) -> DataFrame:
     """Witnesses of a streaming trace (idx, tid, var, kind), each when its end arrives.  Events with a null in any of these are left out."""
 
     def run(key: tuple, batches, state: GroupState):
+        import numpy as np
         import pandas as pd
 
         held = json.loads(state.get[0]) if state.exists else {}
-        rows = []
-        for pdf in [pd.concat(list(batches))]:
-            for r in pdf.sort_values("idx").itertuples(index=False):
-                rows += [(rule, key[0], int(r.tid), other, start, mid, int(r.idx)) for rule, other, start, mid in _step(held, int(r.idx), int(r.tid), r.kind)]
+        # three numbers of each event are kept, as a variable's events may come in several batches in any order
+        parts = [(b["idx"].to_numpy(np.int64), b["tid"].to_numpy(np.int64), (b["kind"] == "load").to_numpy()) for b in batches]
+        idx, tid, load = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(idx, kind="stable")
+        found = [(rule, key[0], t, other, start, mid, i) for i, t, is_load in zip(idx[order].tolist(), tid[order].tolist(), load[order].tolist(), strict=True) for rule, other, start, mid in _step(held, i, t, "load" if is_load else "store")]
         state.update((json.dumps(held),))
-        yield pd.DataFrame(rows, columns=["rule", "var", "tid_i", "tid_j", "start_idx", "mid_idx", "end_idx"])
+        yield pd.DataFrame(found, columns=["rule", "var", "tid_i", "tid_j", "start_idx", "mid_idx", "end_idx"])
 
-    whole = events.select("idx", "tid", "var", "kind").where("idx is not null and tid is not null and var is not null and kind is not null")
+    whole = events.select("idx", "tid", "var", "kind").where("idx is not null and tid is not null and var is not null and kind in ('load', 'store')")
     return whole.groupBy("var").applyInPandasWithState(run, WITNESS, "held string", "append", GroupStateTimeout.NoTimeout)

@@ -136,3 +136,38 @@ def test_text_documents(spark, name, column, parts):
     by = {r[0]: r[column] for r in queries.QUERIES[name](spark, "").collect()}
     text = by["ledger.mir" if name == "mir_pnml" else "N1"]
     assert all(p in text for p in parts)
+
+
+def test_command_line(spark, tmp_path):
+    from petrelspark.__main__ import main
+    from petrelspark.plans import samples
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.mir").write_text(samples.LEDGER)
+    main([str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--settings", str(tmp_path / "none.toml")])
+    stats = spark.read.json(f"{tmp_path}/out/stats").first()
+    assert stats["deadlocks"] == 1 and spark.read.json(f"{tmp_path}/out/deadlocks").count() == 0
+    main([f"{tmp_path}/out/net", "--net", "--until", "net", "--out", str(tmp_path / "again")])
+    assert {p.name for p in (tmp_path / "again").iterdir()} == {"diagnosis", "net"}
+
+
+def test_joins_closures_and_needed_functions(spark):
+    local = spark.createDataFrame([("p", "main", "_2", "{closure@job}")], "net_id string, func string, local string, ty string")
+    functions = spark.createDataFrame([("p", "main", True), ("p", "job", False), ("p", "idle", False), ("p", "locks", False)], programs.FUNCTIONS)
+    sites = [("p", "main", 0, 1, "std::thread::spawn", ["move _2"], "_3", ""), ("p", "main", 1, 2, "std::thread::JoinHandle::join", ["move _5"], "_4", ""), ("p", "main", 2, 3, "core::ops::FnOnce::call_once", ["move _2"], "_6", "")]
+    s = spark.createDataFrame(sites, "net_id string, func string, bb int, target int, name string, args array<string>, dest string, span string")
+    handles = spark.createDataFrame([("p", "main", "_5", "job")], "net_id string, func string, local string, callee string")
+    owners = spark.createDataFrame([], "net_id string, func string, local string, res string")
+    assert [(r["action"], r["callee"]) for r in collect.dispatched(s, local, owners, functions, handles).orderBy("bb").collect()] == [("spawn", "job"), ("join", "job"), ("normal", "job")]
+    edges = collect.call_sites(s, local, functions)
+    assert rows(collect.needed(functions, edges)) == [("p", "job"), ("p", "main")]
+    assert rows(collect.needed(functions, edges, functions.where("func = 'locks'"))) == [("p", "job"), ("p", "locks"), ("p", "main")]
+
+
+def test_sleep_sets_and_crate_names(spark):
+    from petrelspark.functions import markings as M
+    from petrelspark.plans.settings import crate_name
+
+    d = spark.createDataFrame([([1, 2, 3], [2, 4])], "a array<int>, b array<int>")
+    assert d.select(M.asleep_after(F.col("a"), F.col("b")), M.asleep_in_both(F.col("a"), F.col("b")), M.asleep_with(F.col("a"), F.col("b"))).first()[:] == ([1, 3], [2], [1, 2, 3, 4])
+    assert [crate_name(x) for x in (["rustc", "--crate-name", "app", "m.rs"], ["--crate-name=lib"], ["src/tool.rs"], [])] == ["app", "lib", "tool", None]
