@@ -288,6 +288,9 @@ def test_near_duplicates(docs, rows, empty, size, percent):
     assert minhash.near_duplicates(empty).count() == 0
     kept = minhash.drop_near_duplicates(docs, size, percent)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {None} | {i for i, c in want.items() if i == c}
+    one = [(5, "a b c d e f g"), (None, "A b c d e f g"), (None, "other words here entirely new"), (None, "")]
+    left = minhash.drop_near_duplicates(docs.sparkSession.createDataFrame(one, "doc_id long, text string"), size, percent)
+    assert sorted(r["text"] for r in left.collect()) == ["", "a b c d e f g", "other words here entirely new"]
 
 
 def test_second_round_loses_no_pair(spark):
@@ -296,7 +299,7 @@ def test_second_round_loses_no_pair(spark):
     base = np.unique(r.integers(0, 1 << 63, 120, dtype=np.uint64) * np.uint64(2))
     sets = [np.unique(np.concatenate([r.choice(base, 100, replace=False), r.integers(0, 1 << 63, int(r.integers(0, 30)), dtype=np.uint64)])) for _ in range(60)]
     profile = lambda s: bytearray(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint8).tobytes())
-    rest = spark.createDataFrame([(7, k, len(s), k) for k, s in enumerate(sets)], "key long, rep long, n long, c long")
+    rest = spark.createDataFrame([(7, k, len(s), k, 60) for k, s in enumerate(sets)], "key long, rep long, n long, c long, many long")
     profiles = spark.createDataFrame([(k, profile(s)) for k, s in enumerate(sets)], "doc_id long, profile binary")
     old, minhash.BLOCK = minhash.BLOCK, 20
     try:
