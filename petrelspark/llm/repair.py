@@ -27,6 +27,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -40,13 +41,13 @@ from petrelspark.llm.tokens import encoder
 from petrelspark.staging import session_dir, stage
 
 _HEAD = struct.Struct("<4s5I")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _MIX32 = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
 
 
 def _frequent(keys: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys that occur ``least`` times or more, ``most`` of them at most: sorted, and the rank by frequency of each."""
     run = np.sort(keys)
-    heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(run)), bool), run[1:] != run[:-1]]))
     counts = np.diff(heads, append=len(run))
     full = np.flatnonzero(counts >= least)
     order = np.argsort(-counts[full], kind="stable")[:most]
@@ -69,10 +70,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int | None =
         inside = np.ones(len(seq) - 1, bool)
         inside[ends[(ends > 0) & (ends < len(seq))] - 1] = False
         keys = (seq[:-1] << shift) | seq[1:]
-        chosen, ranks = _frequent(keys[inside], least, room) if inside.any() else (keys[:0], keys[:0])
+        chosen, ranks = _frequent(keys[inside], least, room)
         if not len(chosen):
             break
-        slot = lambda k: ((k.astype(np.uint64) * _MIX) >> np.uint64(44)).astype(np.int64)
+        slot = (lambda k: (k * _MIX32) >> np.uint32(12)) if width == 16 else lambda k: (k * _MIX) >> np.uint64(44)
         maybe = np.zeros(1 << 20, bool)
         maybe[slot(chosen)] = True
         at = np.flatnonzero(inside & maybe[slot(keys)])
@@ -97,6 +98,7 @@ def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which of the places hold pairs that don't overlap: the lower rank first, of equals in a run every second one."""
     taken = np.zeros(len(at), bool)
     open_ = np.arange(len(at))
+    covered = np.zeros(int(at[-1]) + 3 if len(at) else 0, bool)  # by one, so that the place before the first has room
     for _ in range(3):  # what still overlaps then waits for the next round
         a, r = at[open_], rank[open_]
         touches = a[1:] == a[:-1] + 1
@@ -110,9 +112,9 @@ def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
         wins[1:] &= ~(wins[:-1] & touches)  # after a run of equals whose last one was beaten or taken
         now = open_[wins]
         taken[now] = True
-        places = at[now]
-        clash = np.isin(at[open_], np.concatenate([places - 1, places, places + 1]))
-        open_ = open_[~clash]
+        places = at[now] + 1
+        covered[places - 1] = covered[places] = covered[places + 1] = True
+        open_ = open_[~covered[at[open_] + 1]]
         if not len(open_):
             break
     return taken
@@ -130,6 +132,10 @@ def pack(ids: np.ndarray, sizes: np.ndarray, first: int, **how) -> bytes:
     return _HEAD.pack(b"RPG1", first, len(rules), len(sizes), len(symbols), kind.itemsize) + u4(rules[:, 0]) + u4(rules[:, 1]) + u4(lengths[first:]) + u4(ends) + symbols.astype(kind).tobytes()
 
 
+#: Ids of a nonterminal that a reader keeps expanded.
+SHORT = 64
+
+
 class Shard:
     """A reader of a blob."""
 
@@ -144,10 +150,9 @@ class Shard:
         self.symbols = np.frombuffer(blob, "<u2" if width == 2 else "<u4", n_symbols, at + 12 * n_rules + 4 * self.documents)
         self.lengths = np.concatenate([np.ones(self.first, np.int64), self.grown.astype(np.int64)])
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that the symbols stand for."""
-        out = symbols.astype(np.uint32)
-        while len(at := np.flatnonzero(out >= self.first)):
+    def _opened(self, out: np.ndarray, which) -> np.ndarray:
+        """Replace the symbols that ``which`` tells by the two that they stand for, until there is none."""
+        while len(at := np.flatnonzero(which(out))):
             rule = out[at] - self.first
             wider = np.ones(len(out), np.int64)
             wider[at] = 2
@@ -157,6 +162,26 @@ class Shard:
             out = grown
         return out
 
+    @cached_property
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all nonterminals of ``SHORT`` ids at most in a row, and where each one's begin."""
+        short = np.flatnonzero(self.grown <= SHORT)
+        starts = np.zeros(len(self.lengths), np.int64)
+        starts[self.first + short] = np.cumsum(self.grown[short].astype(np.int64)) - self.grown[short]
+        return self._opened((self.first + short).astype(np.uint32), lambda x: x >= self.first), starts
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that the symbols stand for: long ones are opened step by step, short ones looked up."""
+        out = self._opened(symbols.astype(np.uint32), lambda x: self.lengths[x] > SHORT)
+        ids, starts = self._table
+        lengths = self.lengths[out]
+        tops = np.cumsum(lengths)
+        whole = np.repeat(out, lengths)
+        inner = np.flatnonzero(whole >= self.first)
+        at = np.repeat(starts[out] - (tops - lengths), lengths)[inner] + inner
+        whole[inner] = ids[at]
+        return whole
+
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids of document ``k``, or those from ``start`` to ``stop``: only symbols that reach into the range are expanded."""
         own = self.symbols[self.ends[k - 1] if k else 0 : self.ends[k]]
@@ -183,7 +208,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, first: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text"):
             ids, sizes = code.encode(batch.column("text"), end_id)
             offsets = np.concatenate([[0], np.cumsum(sizes)]) * kind.itemsize
             blobs = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
