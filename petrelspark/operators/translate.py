@@ -99,7 +99,7 @@ def call_rows(calls: DataFrame, semantics: str = "strict", entry: str = "main")
     at, to = _p(f, "_bb", F.col("bb").cast("string")), _p(f, "_bb", F.col("target").cast("string"))
     base = calls.withColumn("action", F.coalesce("action", F.lit("plain")))
     t = _p(f, "_bb", F.col("bb").cast("string"), "_", F.col("action"))
-    res, callee, wait, ret = F.col("res"), F.col("callee"), _p(at, "_wait"), _p(t, "_ret")
+    res, callee, wait, ret = F.col("res"), F.col("callee"), _p(at, "_waiting"), _p(t, "_ret")
     of = lambda *actions: base.where(F.col("action").isin(*actions))
     has_target = lambda d: d.where("target is not null")
     about = {"span": F.col("span"), "thread": F.col("tid"), "res": res}

@@ -85,7 +85,7 @@ named_places AS (
   SELECT net_id, func || '_start' AS name, CAST(is_entry AS INTEGER) AS tokens, 1 AS capacity, 'FunctionStart' AS place_type FROM functions
   UNION ALL SELECT net_id, func || '_end', 0, 1, 'FunctionEnd' FROM functions
   UNION ALL SELECT net_id, p, 0, 1, 'BasicBlock' FROM live
-  UNION ALL SELECT net_id, p || '_wait', 0, 1, 'BasicBlock' FROM c WHERE action IN ('normal', 'wait', 'rayon_join')
+  UNION ALL SELECT net_id, p || '_waiting', 0, 1, 'BasicBlock' FROM c WHERE action IN ('normal', 'wait', 'rayon_join')
   UNION ALL SELECT net_id, res, CASE kind WHEN 'rwlock' THEN 10 WHEN 'condvar' THEN 0 WHEN 'channel' THEN 0 ELSE 1 END, CASE kind WHEN 'rwlock' THEN 10 WHEN 'channel' THEN 100 ELSE 1 END, 'Resources' FROM resources),
 named_trans AS (
   SELECT net_id, func || '_enter' AS name, 'Start' AS ttype, func AS var, NULL AS ordering, NULL AS span FROM live WHERE bb = 0
@@ -103,8 +103,8 @@ named_arcs AS (
   UNION ALL SELECT net_id, q, CASE WHEN action IN ('normal', 'wait', 'rayon_join') THEN t || '_ret' ELSE t END, 'out', 1 FROM c
   UNION ALL SELECT net_id, res, t, 'in', takes FROM c JOIN steps s USING (action) WHERE takes > 0
   UNION ALL SELECT net_id, res, t, 'out', gives FROM c JOIN steps s USING (action) WHERE gives > 0
-  UNION ALL SELECT net_id, p || '_wait', t, 'out', 1 FROM c WHERE action IN ('normal', 'wait', 'rayon_join')
-  UNION ALL SELECT net_id, p || '_wait', t || '_ret', 'in', 1 FROM c WHERE action IN ('normal', 'wait', 'rayon_join')
+  UNION ALL SELECT net_id, p || '_waiting', t, 'out', 1 FROM c WHERE action IN ('normal', 'wait', 'rayon_join')
+  UNION ALL SELECT net_id, p || '_waiting', t || '_ret', 'in', 1 FROM c WHERE action IN ('normal', 'wait', 'rayon_join')
   UNION ALL SELECT net_id, callee || '_start', t, 'out', 1 FROM c WHERE action IN ('normal', 'spawn')
   UNION ALL SELECT net_id, callee || '_end', t || '_ret', 'in', 1 FROM c WHERE action = 'normal'
   UNION ALL SELECT net_id, callee || '_end', t, 'in', 1 FROM c WHERE action = 'join'
