@@ -161,3 +161,61 @@ FROM m JOIN bad USING (doc_id)
 
 
 ORACLES = {"op3_adaptive_quality": op3(), "op7_license_rules": op7(), "op9_exact_dedup": OP9}
+
+OP11 = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+"""
+
+#: CRC-32 of an ASCII text: eight steps of the division for each character.
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(8 * len({s})), lambda i: CASE WHEN i % 8 = 0 THEN CAST(ascii({s}[i // 8 + 1]) AS BIGINT) ELSE 0 END)), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS own FROM t GROUP BY conv_id),
+s AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s FROM n),
+h AS (SELECT conv_id, {_CRC.format(s="s")} % 9 AS h FROM s),
+c AS (SELECT n.conv_id, n.conv_id - n.conv_id % 5 AS base, h, least(h, coalesce(b.own, 0)) AS taken FROM n JOIN h USING (conv_id) LEFT JOIN n b ON b.conv_id = n.conv_id - n.conv_id % 5),
+r AS (
+  SELECT c.conv_id, t.pos AS d, said, bytes FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos - c.h + c.taken, said, bytes FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+m AS (SELECT conv_id, max(d) AS n FROM r GROUP BY conv_id),
+p AS (SELECT conv_id, d, bytes, sha256(list(said) OVER w :: VARCHAR) AS digest FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+g AS (SELECT p.d, p.digest, min(p.conv_id) AS conv_id, count(*) AS n_convs, max(p.bytes) AS bytes, coalesce(string_agg(p.conv_id, ',' ORDER BY p.conv_id) FILTER (p.d = coalesce(m.n, 0)), '') AS ends FROM p LEFT JOIN m USING (conv_id) GROUP BY p.d, p.digest),
+up AS (SELECT g.d, g.digest, u.digest AS parent FROM g JOIN p u ON u.conv_id = g.conv_id AND u.d = g.d - 1),
+k AS (SELECT d - 1 AS d, parent AS digest, count(*) AS n_children FROM up GROUP BY ALL),
+v AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * bytes AS saved FROM g LEFT JOIN k USING (d, digest)),
+below AS (SELECT a.d, a.digest, sum(v.leaf) AS n_leaves, sum(v.saved) AS saved_tokens FROM v JOIN p a ON a.conv_id = v.conv_id AND a.d <= v.d GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN below USING (d, digest) LEFT JOIN up USING (d, digest) LEFT JOIN g o ON o.d = v.d - 1 AND o.digest = up.parent
+"""
+
+
+def _op13(rounds: int = 3, k: int = 16) -> str:
+    parts = [
+        "v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, v AS c FROM v QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id)) <= {k})",
+    ]
+    near = lambda r: f"a{r} AS (SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min((d, k)) AS b FROM (SELECT row, vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{r}) GROUP BY row)"
+    for r in range(rounds):
+        parts += [
+            near(r), f"u{r} AS (SELECT b[2] AS k, unnest(range(1, 65)) AS j, unnest(v) AS x FROM a{r})",
+            f"s{r} AS (SELECT k, j, sum(x) AS s, count(*) AS n FROM u{r} GROUP BY k, j)",
+            f"m{r} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM s{r} GROUP BY k)", f"c{r + 1} AS (SELECT k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))",
+        ]
+    parts.append(near(rounds))
+    last = f"SELECT vec_id, CAST(b[2] AS INTEGER) AS cluster, CAST(b[1] AS BIGINT) AS distance, CAST(sum(b[1]) OVER (PARTITION BY b[2]) AS BIGINT) AS cluster_inertia, CAST(sum(b[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON k = b[2]"
+    return "WITH " + ", ".join(parts) + " " + last
+
+
+ORACLES |= {"op11_vantage_neighbours": OP11, "op12_conversation_trie": OP12, "op13_lloyd_clusters": _op13()}

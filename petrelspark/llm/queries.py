@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrelspark.llm import exact_dedup, licenses, minhash, packing, piece_bpe, quality, repair, secrets, sharding, toxicity
+from petrelspark.llm import exact_dedup, licenses, lloyd, minhash, packing, piece_bpe, prefix_trie, quality, repair, secrets, sharding, toxicity, vantage
 from petrelspark.llm.columns import as_bytes, small_batches, texts
 
 
@@ -83,7 +83,19 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op11_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, factor=1.0)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), family=5, heads=9).drop("digest")
+
+
+def op13_lloyd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, dim=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_linking, op2_minimax_shards, op3_adaptive_quality, op4_repair_tokens, op5_ordinal_toxicity, op6_minhash_components, op7_license_rules, op8_piece_round_trip, op9_exact_dedup, op10_residual_packing)
+    for f in (op1_secret_linking, op2_minimax_shards, op3_adaptive_quality, op4_repair_tokens, op5_ordinal_toxicity, op6_minhash_components, op7_license_rules, op8_piece_round_trip, op9_exact_dedup, op10_residual_packing, op11_vantage_neighbours, op12_conversation_trie, op13_lloyd_clusters)
 }
