@@ -22,6 +22,18 @@ def fire(marking: Column, pre: Column, post: Column, reset: Column | None = None
     return after if reset is None else F.zip_with(after, reset, lambda m, r: F.when(r > 0, F.lit(0).cast("long")).otherwise(m))
 
 
+def enabled_at(marking: Column, takes: Column, stops: Column) -> Column:
+    """``enabled`` from arcs alone: ``takes`` and ``stops`` are (pos, weight) of the input and inhibitor arcs, null or empty where there are none."""
+    has = F.forall(F.coalesce(takes, F.array()), lambda a: F.element_at(marking, a["pos"] + 1) >= a["weight"])
+    return has & F.forall(F.coalesce(stops, F.array()), lambda a: F.element_at(marking, a["pos"] + 1) < a["weight"])
+
+
+def fired(marking: Column, gains: Column, resets: Column) -> Column:
+    """``fire`` from arcs alone: ``gains`` maps places to what they win or lose, ``resets`` are the places that are empty then; both may be null."""
+    after = F.transform(marking, lambda m, i: m + F.coalesce(F.try_element_at(gains, i), F.lit(0).cast("long")))
+    return F.when(resets.isNull(), after).otherwise(F.transform(after, lambda m, i: F.when(F.array_contains(resets, i), F.lit(0).cast("long")).otherwise(m)))
+
+
 def within(marking: Column, capacity: Column) -> Column:
     """No place holds more than its capacity; a null capacity is none."""
     return F.forall(F.zip_with(marking, capacity, lambda m, c: c.isNull() | (m <= c)), lambda x: x)

@@ -1,7 +1,7 @@
 """Reachable markings, breadth first, of any number of nets in one loop.
 
 One step of the loop fires every enabled transition of the frontier (a join on ``net_id`` and array expressions), drops
-markings that are known (an anti-join on net and marking), and numbers the new ones by discovery: by the least (parent,
+markings that are known (a lookup by hash, see ``statestore``), and numbers the new ones by discovery: by the least (parent,
 transition) that leads to them, in blocks of parents, so that no task orders a net's whole frontier.  Each step is written to the shared
 folder.
 """
@@ -9,11 +9,13 @@ folder.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from petrelspark.functions import markings as M
+from petrelspark.operators.statestore import SOUGHT, StateStore, hashed
 from petrelspark.plans.net import Net
 from petrelspark.staging import settle, stage
 
@@ -66,43 +68,55 @@ class StateGraph:
 BLOCK = 4096
 
 
-def _numbered(fresh: DataFrame, front: DataFrame, level: int) -> DataFrame:
-    """New states (net_id, marking, by) with their numbers, which go on from the last ones of the frontier."""
+def _numbered(fresh: DataFrame, level: int, limit: int | None) -> tuple[DataFrame, int, int]:
+    """New states (net_id, marking, h1, h2, by, next) with their numbers, which go on from ``next``; how many there are, and how many of them are refused."""
     f = fresh.withColumn("block", F.floor(F.col("by.src") / BLOCK))
-    have = front.groupBy(F.col("net_id").alias("of")).agg((F.max("state_id") + 1).alias("have"))
-    before = f.groupBy("net_id", "block").count().selectExpr("net_id as of2", "block as of_block", "sum(count) over (partition by net_id order by block) - count as before")
+    sums = f.groupBy("net_id", "block").count()
+    before = sums.selectExpr("net_id as of", "block as of_block", "sum(count) over (partition by net_id order by block) - count as before", "sum(count) over (partition by net_id) as found")
     ranked = f.withColumn("rank", F.row_number().over(Window.partitionBy("net_id", "block").orderBy("by")) - 1)
-    ranked = ranked.join(before, (F.col("net_id") == F.col("of2")) & (F.col("block") == F.col("of_block"))).join(have, F.col("net_id") == F.col("of"))
-    return stage(ranked.select("net_id", (F.col("have") + F.col("before") + F.col("rank")).alias("state_id"), F.lit(level).alias("level"), "marking"), "level")
-
-
-def _explored(net: Net, firing: DataFrame, chosen, limit: int | None) -> StateGraph:
-    """The loop of ``explore``; ``chosen`` filters the enabled transitions of each state."""
-    start = stage(net.initial().select("net_id", F.lit(0).cast("long").alias("state_id"), F.lit(0).alias("level"), "marking"), "level")
-    known, front, level, tried, cut = start, start, 0, None, start.where("false").select("net_id")
-    after = M.fire(F.col("marking"), F.col("pre"), F.col("post"), F.col("reset"))
+    ranked = ranked.join(before, (F.col("net_id") == F.col("of")) & (F.col("block") == F.col("of_block")))
+    rows = ranked.select("net_id", (F.col("next") + F.col("before") + F.col("rank")).alias("state_id"), F.lit(level).alias("level"), "marking", "h1", "h2", (F.col("next") + F.col("found")).alias("next"))
+    seen = Observation()
+    refused = F.lit(False) if limit is None else F.col("state_id") >= limit
+    out = stage(rows.observe(seen, F.count(F.lit(1)).alias("found"), F.count_if(refused).alias("refused")), "level")
+    return out, seen.get["found"], seen.get["refused"]
+
+
+def _explored(net: Net, moves: DataFrame, chosen, limit: int | None) -> StateGraph:
+    """The loop of ``explore``; ``chosen`` filters the enabled transitions of each state.  A round is two jobs: the firings, and the numbered new states."""
+    known_as = hashed(F.col("net_id"), F.col("marking"))
+    first = net.initial().select("net_id", F.lit(0).cast("long").alias("state_id"), F.lit(0).alias("level"), "marking", *known_as, F.lit(1).cast("long").alias("next"))
+    seen = Observation()
+    front, level, cut = stage(first.observe(seen, F.count(F.lit(1)).alias("n")), "level"), 0, None
+    store, steps = StateStore(net.places.sparkSession), []
+    store.add(front, seen.get["n"])
+    after = M.fired(F.col("marking"), F.col("gains"), F.col("resets"))
     while True:
         level += 1
-        may = chosen(front.join(firing, F.col("net_id") == F.col("of")).where(M.enabled(F.col("marking"), F.col("pre"), F.col("inhibitor"))))
-        step = stage(may.select("net_id", F.col("state_id").alias("src"), "trans_id", after.alias("after"), M.within(after, F.col("capacity")).alias("fits")), "step")
-        tried = step if tried is None else tried.union(step)
-        fresh = step.where("fits").groupBy("net_id", F.col("after").alias("marking")).agg(F.min(F.struct("src", "trans_id")).alias("by")).join(known, ["net_id", "marking"], "left_anti")
-        front = _numbered(fresh, front, level)
-        found, refused = front.agg(F.count("*"), F.count_if(F.col("state_id") >= limit) if limit is not None else F.lit(0)).first()
+        may = chosen(front.join(moves, F.col("net_id") == F.col("of")).where(M.enabled_at(F.col("marking"), F.col("takes"), F.col("stops"))))
+        fired = may.select("net_id", F.col("state_id").alias("src"), "trans_id", after.alias("marking"), "capacity", "next")
+        step = stage(fired.select("net_id", "src", "trans_id", "marking", M.within(F.col("marking"), F.col("capacity")).alias("fits"), *known_as, "next"), "step")
+        steps.append(step.select("net_id", "src", "trans_id", "fits", "h1", "h2"))
+        fresh = step.where("fits").groupBy(*SOUGHT).agg(F.min(F.struct("src", "trans_id")).alias("by"), F.max("next").alias("next")).join(store.near(step), SOUGHT, "left_anti")
+        front, found, refused = _numbered(fresh, level, limit)
         if refused:
-            cut = cut.union(front.where(F.col("state_id") >= limit).select("net_id"))
+            over = front.where(F.col("state_id") >= limit).select("net_id")
+            cut = over if cut is None else cut.union(over)
             front = front.where(F.col("state_id") < limit)
         if found == refused:
             break
-        known = known.union(front)
-        if level % 16 == 0:  # a scan of few files in the rounds that follow
-            known = stage(known, "known")
-    on = known.withColumnsRenamed({"net_id": "n", "state_id": "dst", "marking": "reached"}).select("n", "dst", "reached")
-    edges = stage(tried.where("fits").join(on, (F.col("net_id") == F.col("n")) & (F.col("after") == F.col("reached"))).select("net_id", "src", "trans_id", "dst"), "edges")
+        store.add(front, found - refused)
+    tried, known = reduce(DataFrame.union, steps), stage(store.every(), "known")
+    # states of one net that share both hashes would have to be told apart by their markings; that none do is counted, not supposed
+    if known.groupBy("net_id", "h1", "h2").count().where("count > 1").isEmpty():
+        on = known.select("net_id", "h1", "h2", F.col("state_id").alias("dst"))
+        edges = stage(tried.where("fits").join(on, ["h1", "h2", "net_id"]).select("net_id", "src", "trans_id", "dst"), "edges")
+    else:
+        raise RuntimeError("two markings of a net share 128 bits of hash")
     enabled = tried.groupBy("net_id", F.col("src").alias("state_id")).agg(F.array_sort(F.collect_set("trans_id")).alias("enabled"))
     states = stage(known.join(enabled, ["net_id", "state_id"], "left").select("net_id", "state_id", "level", "marking", F.coalesce("enabled", F.array().cast("array<int>")).alias("enabled")), "states")
     failures = tried.where("not fits").select("net_id", "src", "trans_id", F.lit("capacity").alias("reason"))
-    return StateGraph(net, states, edges, failures, cut)
+    return StateGraph(net, states, edges, failures, cut if cut is not None else states.where("false").select("net_id"))
 
 
 def explore(net: Net, limit: int | None = 50_000) -> StateGraph:
@@ -111,8 +125,8 @@ def explore(net: Net, limit: int | None = 50_000) -> StateGraph:
 
     Inhibitor and reset arcs take part.  A firing that would exceed a capacity is a failure and makes no state."""
     # a net's transitions and capacities are read in every step
-    firing = stage(net.firing().join(net.initial().select("net_id", "capacity"), "net_id"), "firing").withColumnRenamed("net_id", "of")
-    return _explored(net, firing, lambda may: may, limit)
+    moves = stage(net.moves().join(net.initial().select("net_id", "capacity"), "net_id"), "moves").withColumnRenamed("net_id", "of")
+    return _explored(net, moves, lambda may: may, limit)
 
 
 def explore_reduced(net: Net, limit: int | None = 50_000) -> StateGraph:
@@ -131,6 +145,6 @@ def explore_reduced(net: Net, limit: int | None = 50_000) -> StateGraph:
     moves = net.incidence().groupBy("net_id", "trans_id").agg(F.count("*").alias("n"))
     consuming = net.incidence().where("change < 0").select("net_id", "trans_id").distinct()
     free = arcs.groupBy("net_id", "trans_id").agg(F.max(bad.cast("int")).alias("bad")).where("bad = 0").join(moves, ["net_id", "trans_id"], "left_semi").join(consuming, ["net_id", "trans_id"], "left_semi").groupBy("net_id").agg(F.array_sort(F.collect_set("trans_id")).alias("free"))
-    firing = net.firing().join(net.initial().select("net_id", "capacity"), "net_id").join(free, "net_id", "left").withColumn("free", F.coalesce("free", F.array().cast("array<int>")))
+    moves = net.moves().join(net.initial().select("net_id", "capacity"), "net_id").join(free, "net_id", "left").withColumn("free", F.coalesce("free", F.array().cast("array<int>")))
     alone = F.min(F.when(F.array_contains("free", F.col("trans_id")), F.col("trans_id"))).over(Window.partitionBy("net_id", "state_id"))
-    return _explored(net, stage(firing, "firing").withColumnRenamed("net_id", "of"), lambda may: may.withColumn("alone", alone).where("alone is null or alone = trans_id"), limit)
+    return _explored(net, stage(moves, "moves").withColumnRenamed("net_id", "of"), lambda may: may.withColumn("alone", alone).where("alone is null or alone = trans_id"), limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PLACES = "net_id string, place_id int, name string, tokens long, capacity long, place_type string, span string"
@@ -68,6 +68,20 @@ class Net:
         dense = lambda n: F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.coalesce(F.try_element_at(n, i), F.lit(0).cast("long"))).alias(n)
         return full.select("net_id", "trans_id", *[dense(n) for n in names.values()])
 
+    def moves(self) -> DataFrame:
+        """(net_id, trans_id, takes, stops, gains, resets): what each transition needs and does, by the positions of its places; see ``markings``.
+
+        A row has as many entries as the transition has arcs, however many places the net has."""
+        at = self.places.select("net_id", "place_id", (F.row_number().over(Window.partitionBy("net_id").orderBy("place_id")) - 1).alias("pos"))
+        arcs = self.weights().join(at, ["net_id", "place_id"])
+        of = lambda d: F.collect_list(F.when(F.col("direction") == d, F.struct("pos", "weight")))
+        by_arc = arcs.groupBy("net_id", "trans_id").agg(of("in").alias("takes"), of("inhibitor").alias("stops"), F.collect_list(F.when(F.col("direction") == "reset", F.col("pos"))).alias("resets"))
+        change = F.sum(F.when(F.col("direction") == "out", F.col("weight")).otherwise(-F.col("weight")))
+        gains = arcs.where("direction in ('in', 'out')").groupBy("net_id", "trans_id", "pos").agg(change.alias("change")).where("change != 0")
+        gains = gains.groupBy("net_id", "trans_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "change"))).alias("gains"))
+        every = self.transitions.select("net_id", "trans_id").join(by_arc, ["net_id", "trans_id"], "left").join(gains, ["net_id", "trans_id"], "left")
+        return every.select("net_id", "trans_id", "takes", "stops", "gains", F.when(F.size("resets") > 0, F.col("resets")).alias("resets"))
+
     def diagnosis(self) -> DataFrame:
         """Places and transitions that stand alone or lack inputs or outputs: (net_id, kind, id, name, issue).
 
