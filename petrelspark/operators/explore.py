@@ -64,17 +64,23 @@ class StateGraph:
         return out
 
 
-#: Parents whose new states are numbered together.
-BLOCK = 4096
+#: Parents whose new states are numbered together, where a frontier is larger than ``WHOLE``.
+BLOCK, WHOLE = 4096, 500_000
 
 
-def _numbered(fresh: DataFrame, level: int, limit: int | None) -> tuple[DataFrame, int, int]:
-    """New states (net_id, marking, h1, h2, by, next) with their numbers, which go on from ``next``; how many there are, and how many of them are refused."""
-    f = fresh.withColumn("block", F.floor(F.col("by.src") / BLOCK))
-    sums = f.groupBy("net_id", "block").count()
-    before = sums.selectExpr("net_id as of", "block as of_block", "sum(count) over (partition by net_id order by block) - count as before", "sum(count) over (partition by net_id) as found")
-    ranked = f.withColumn("rank", F.row_number().over(Window.partitionBy("net_id", "block").orderBy("by")) - 1)
-    ranked = ranked.join(before, (F.col("net_id") == F.col("of")) & (F.col("block") == F.col("of_block")))
+def _numbered(fresh: DataFrame, level: int, limit: int | None, whole: bool) -> tuple[DataFrame, int, int]:
+    """New states (net_id, marking, h1, h2, by, next) with their numbers, which go on from ``next``; how many there are, and how many of them are refused.
+
+    ``whole``: the frontier is so small that a task may order all of a net's part."""
+    if whole:
+        of = Window.partitionBy("net_id")
+        ranked = fresh.withColumns({"rank": F.row_number().over(of.orderBy("by")) - 1, "found": F.count(F.lit(1)).over(of), "before": F.lit(0)})
+    else:
+        f = fresh.withColumn("block", F.floor(F.col("by.src") / BLOCK))
+        sums = f.groupBy("net_id", "block").count()
+        before = sums.selectExpr("net_id as of", "block as of_block", "sum(count) over (partition by net_id order by block) - count as before", "sum(count) over (partition by net_id) as found")
+        ranked = f.withColumn("rank", F.row_number().over(Window.partitionBy("net_id", "block").orderBy("by")) - 1)
+        ranked = ranked.join(before, (F.col("net_id") == F.col("of")) & (F.col("block") == F.col("of_block")))
     rows = ranked.select("net_id", (F.col("next") + F.col("before") + F.col("rank")).alias("state_id"), F.lit(level).alias("level"), "marking", "h1", "h2", (F.col("next") + F.col("found")).alias("next"))
     seen = Observation()
     refused = F.lit(False) if limit is None else F.col("state_id") >= limit
@@ -83,36 +89,42 @@ def _numbered(fresh: DataFrame, level: int, limit: int | None) -> tuple[DataFram
 
 
 def _explored(net: Net, moves: DataFrame, chosen, limit: int | None) -> StateGraph:
-    """The loop of ``explore``; ``chosen`` filters the enabled transitions of each state.  A round is two jobs: the firings, and the numbered new states."""
+    """The loop of ``explore``; ``chosen`` filters the enabled transitions of each state.
+
+    A round is one job, which gives the numbered new states; the firings themselves are worked out for all states at once at the end."""
     known_as = hashed(F.col("net_id"), F.col("marking"))
+    after = M.fired(F.col("marking"), F.col("gains"), F.col("resets"))
+
+    def firings(states: DataFrame, *more: str) -> DataFrame:
+        may = chosen(states.join(moves, F.col("net_id") == F.col("of")).where(M.enabled_at(F.col("marking"), F.col("takes"), F.col("stops"))))
+        fired = may.select("net_id", F.col("state_id").alias("src"), "trans_id", after.alias("marking"), "capacity", *more)
+        return fired.select("net_id", "src", "trans_id", "marking", M.within(F.col("marking"), F.col("capacity")).alias("fits"), *known_as, *more)
+
     first = net.initial().select("net_id", F.lit(0).cast("long").alias("state_id"), F.lit(0).alias("level"), "marking", *known_as, F.lit(1).cast("long").alias("next"))
     seen = Observation()
     front, level, cut = stage(first.observe(seen, F.count(F.lit(1)).alias("n")), "level"), 0, None
-    store, steps = StateStore(net.places.sparkSession), []
-    store.add(front, seen.get["n"])
-    after = M.fired(F.col("marking"), F.col("gains"), F.col("resets"))
-    while True:
+    size, store = seen.get["n"], StateStore(net.places.sparkSession)
+    store.add(front, size)
+    while size:
         level += 1
-        may = chosen(front.join(moves, F.col("net_id") == F.col("of")).where(M.enabled_at(F.col("marking"), F.col("takes"), F.col("stops"))))
-        fired = may.select("net_id", F.col("state_id").alias("src"), "trans_id", after.alias("marking"), "capacity", "next")
-        step = stage(fired.select("net_id", "src", "trans_id", "marking", M.within(F.col("marking"), F.col("capacity")).alias("fits"), *known_as, "next"), "step")
-        steps.append(step.select("net_id", "src", "trans_id", "fits", "h1", "h2"))
-        fresh = step.where("fits").groupBy(*SOUGHT).agg(F.min(F.struct("src", "trans_id")).alias("by"), F.max("next").alias("next")).join(store.near(step), SOUGHT, "left_anti")
-        front, found, refused = _numbered(fresh, level, limit)
+        reached = firings(front, "next").where("fits")
+        found = reached.groupBy(*SOUGHT).agg(F.min(F.struct("src", "trans_id")).alias("by"), F.max("next").alias("next"))
+        fresh = found.join(store.near(reached), SOUGHT, "left_anti")
+        front, found, refused = _numbered(fresh, level, limit, size <= WHOLE)
         if refused:
             over = front.where(F.col("state_id") >= limit).select("net_id")
             cut = over if cut is None else cut.union(over)
             front = front.where(F.col("state_id") < limit)
-        if found == refused:
-            break
-        store.add(front, found - refused)
-    tried, known = reduce(DataFrame.union, steps), stage(store.every(), "known")
+        size = found - refused
+        if size:
+            store.add(front, size)
+    known = stage(store.every(), "known")
     # states of one net that share both hashes would have to be told apart by their markings; that none do is counted, not supposed
-    if known.groupBy("net_id", "h1", "h2").count().where("count > 1").isEmpty():
-        on = known.select("net_id", "h1", "h2", F.col("state_id").alias("dst"))
-        edges = stage(tried.where("fits").join(on, ["h1", "h2", "net_id"]).select("net_id", "src", "trans_id", "dst"), "edges")
-    else:
+    if not known.groupBy("net_id", "h1", "h2").count().where("count > 1").isEmpty():
         raise RuntimeError("two markings of a net share 128 bits of hash")
+    on = known.select("net_id", "h1", "h2", F.col("state_id").alias("dst"))
+    tried = stage(firings(known).drop("marking").join(on, ["h1", "h2", "net_id"], "left").select("net_id", "src", "trans_id", "fits", "dst"), "tried")
+    edges = tried.where("fits and dst is not null").select("net_id", "src", "trans_id", "dst")
     enabled = tried.groupBy("net_id", F.col("src").alias("state_id")).agg(F.array_sort(F.collect_set("trans_id")).alias("enabled"))
     states = stage(known.join(enabled, ["net_id", "state_id"], "left").select("net_id", "state_id", "level", "marking", F.coalesce("enabled", F.array().cast("array<int>")).alias("enabled")), "states")
     failures = tried.where("not fits").select("net_id", "src", "trans_id", F.lit("capacity").alias("reason"))

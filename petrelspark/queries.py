@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from petrelspark.functions import classify as C
 from petrelspark.functions import markings as M
 from petrelspark.operators import boundness, closure, collect, detect, explore, pointsto, reduce, sequence, translate
-from petrelspark.plans import derive, expected, fixtures, programs, samples
+from petrelspark.plans import derive, expected, fixtures, order_nets, programs, samples
 from petrelspark.plans.net import Net
 from petrelspark.sources import mir, sinks
 from petrelspark.staging import stage
@@ -29,12 +29,15 @@ def query(sql: str | None = None):
     return add
 
 
+_ALLOWED = ", ".join(f"('{k}', '{s}')" for k, v in C.ALLOWED_STORES.items() for s in v)
+
+
 def _csv(c) -> F.Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-NETS = "WITH RECURSIVE " + fixtures.sql_tables()
-SPECIAL = "WITH " + fixtures.sql_tables(fixtures.SPECIAL)
+NETS = "WITH RECURSIVE " + order_nets.sql()
+SPECIAL = "WITH " + order_nets.sql(special=True)
 _ENABLED = "len(list_filter(list_zip(m, pre), lambda x: x[1] < x[2])) = 0"
 _AFTER = "list_transform(list_zip(m, pre, post), lambda x: x[1] - x[2] + x[3])"
 _FITS = "len(list_filter(list_zip(a, cap), lambda x: x[2] IS NOT NULL AND x[1] > x[2])) = 0"
@@ -47,67 +50,77 @@ caps AS (SELECT net_id, cap FROM initial),
 reach(net_id, m) AS (
   SELECT net_id, m FROM initial UNION
   SELECT net_id, a FROM (SELECT r.net_id, {_AFTER} AS a, i.cap FROM reach r JOIN firing f ON f.net_id = r.net_id JOIN caps i ON i.net_id = r.net_id WHERE {_ENABLED}) WHERE {_FITS}),
-fired AS (SELECT *, {_FITS} AS fits FROM (SELECT r.net_id, r.m, f.trans_id, {_AFTER} AS a, i.cap FROM reach r JOIN firing f ON f.net_id = r.net_id JOIN caps i ON i.net_id = r.net_id WHERE {_ENABLED}))"""
+fired AS MATERIALIZED (SELECT *, {_FITS} AS fits FROM (SELECT r.net_id, r.m, f.trans_id, {_AFTER} AS a, i.cap FROM reach r JOIN firing f ON f.net_id = r.net_id JOIN caps i ON i.net_id = r.net_id WHERE {_ENABLED}))"""
 
 
 REACH = reach_sql(NETS)
 PROGRAM = f"WITH RECURSIVE {programs.sql_facts()},\n{programs.SQL}"
 PROGRAM_REACH = reach_sql(f"{PROGRAM},\n{fixtures.DENSE}")
 
-_graphs: dict[str, explore.StateGraph] = {}
+#: Every state with the transitions that first lead to it, and its number.  A walk keeps the least path to each marking it meets in a step; no state is
+#: so many steps away.
+PATHS = REACH + """,
+walk(net_id, m, path) AS (
+  SELECT net_id, m, CAST([] AS INTEGER[]) FROM initial UNION ALL
+  SELECT net_id, a, list_append(path, trans_id) FROM (SELECT w.net_id, f.a, w.path, f.trans_id FROM walk w JOIN fired f ON f.net_id = w.net_id AND f.m = w.m WHERE f.fits AND len(w.path) < 40)
+  QUALIFY row_number() OVER (PARTITION BY net_id, a ORDER BY path, trans_id) = 1),
+best AS (SELECT net_id, m, min((len(path), path)) AS b FROM walk GROUP BY net_id, m),
+numbered AS MATERIALIZED (SELECT net_id, m, row_number() OVER (PARTITION BY net_id ORDER BY b) - 1 AS state_id, b[2] AS path FROM best),
+arrows AS MATERIALIZED (SELECT f.net_id, s.state_id AS src, f.trans_id, d.state_id AS dst FROM fired f JOIN numbered s ON s.net_id = f.net_id AND s.m = f.m JOIN numbered d ON d.net_id = f.net_id AND d.m = f.a WHERE f.fits)"""
+
+
+def _net(spark: SparkSession, sf_dir: str) -> Net:
+    return order_nets.nets(spark, sf_dir)
 
 
-def _graph(spark: SparkSession) -> explore.StateGraph:
-    """The state graphs of the literal nets, explored once in a session."""
-    key = spark.sparkContext.applicationId
-    if key not in _graphs:
-        _graphs[key] = explore.explore(fixtures.net(spark))
-    return _graphs[key]
+def _graph(spark: SparkSession, sf_dir: str) -> explore.StateGraph:
+    """The state graphs of all orders' nets."""
+    return explore.explore(_net(spark, sf_dir))
 
 
 @query(NETS + " SELECT net_id, array_to_string(m, ',') AS marking FROM initial")
 def net_initial_marking(spark, sf_dir):
-    return fixtures.net(spark).initial().select("net_id", _csv("marking").alias("marking"))
+    return _net(spark, sf_dir).initial().select("net_id", _csv("marking").alias("marking"))
 
 
 @query(NETS + " SELECT net_id, place_id, trans_id, CAST(sum(CASE direction WHEN 'out' THEN weight WHEN 'in' THEN -weight ELSE 0 END) AS BIGINT) AS change FROM arcs GROUP BY ALL HAVING sum(CASE direction WHEN 'out' THEN weight WHEN 'in' THEN -weight ELSE 0 END) <> 0")
 def net_incidence(spark, sf_dir):
-    return fixtures.net(spark).incidence()
+    return _net(spark, sf_dir).incidence()
 
 
 @query(NETS + " SELECT net_id, place_id, trans_id, direction, weight FROM weights")
 def net_arc_weights(spark, sf_dir):
-    return fixtures.net(spark).weights()
+    return _net(spark, sf_dir).weights()
 
 
 @query(NETS + f" SELECT i.net_id, trans_id FROM initial i JOIN firing f ON f.net_id = i.net_id WHERE {_ENABLED}")
 def net_enabled(spark, sf_dir):
-    n = fixtures.net(spark)
+    n = _net(spark, sf_dir)
     return n.initial().join(n.firing(), "net_id").where(M.enabled(F.col("marking"), F.col("pre"))).select("net_id", "trans_id")
 
 
 @query(NETS + f" SELECT i.net_id, trans_id, array_to_string({_AFTER}, ',') AS marking FROM initial i JOIN firing f ON f.net_id = i.net_id WHERE {_ENABLED}")
 def net_fire(spark, sf_dir):
-    n = fixtures.net(spark)
+    n = _net(spark, sf_dir)
     on = n.initial().join(n.firing(), "net_id").where(M.enabled(F.col("marking"), F.col("pre")))
     return on.select("net_id", "trans_id", _csv(M.fire(F.col("marking"), F.col("pre"), F.col("post"))).alias("marking"))
 
 
 @query(REACH + " SELECT net_id, array_to_string(m, ',') AS marking, trans_id, 'capacity' AS reason FROM fired WHERE NOT fits")
 def net_fire_failures(spark, sf_dir):
-    g = _graph(spark)
+    g = _graph(spark, sf_dir)
     return g.failures.join(g.states, (g.failures["net_id"] == g.states["net_id"]) & (F.col("src") == F.col("state_id"))).select(g.failures["net_id"], _csv("marking").alias("marking"), "trans_id", "reason")
 
 
 @query(SPECIAL + f" SELECT i.net_id, trans_id FROM initial i JOIN firing f ON f.net_id = i.net_id WHERE {_ENABLED} AND len(list_filter(list_zip(m, inh), lambda x: x[2] > 0 AND x[1] >= x[2])) = 0")
 def net_inhibitor_enabled(spark, sf_dir):
-    n = fixtures.net(spark, fixtures.SPECIAL)
+    n = order_nets.nets(spark, sf_dir, special=True)
     return n.initial().join(n.firing(), "net_id").where(M.enabled(F.col("marking"), F.col("pre"), F.col("inhibitor"))).select("net_id", "trans_id")
 
 
 @query(SPECIAL + f" SELECT i.net_id, trans_id, array_to_string(list_transform(list_zip({_AFTER}, rst), lambda x: CASE WHEN x[2] > 0 THEN 0 ELSE x[1] END), ',') AS marking FROM initial i JOIN firing f ON f.net_id = i.net_id WHERE {_ENABLED}")
 def net_reset_fire(spark, sf_dir):
-    n = fixtures.net(spark, fixtures.SPECIAL)
+    n = order_nets.nets(spark, sf_dir, special=True)
     on = n.initial().join(n.firing(), "net_id").where(M.enabled(F.col("marking"), F.col("pre")))
     return on.select("net_id", "trans_id", _csv(M.fire(F.col("marking"), F.col("pre"), F.col("post"), F.col("reset"))).alias("marking"))
 
@@ -118,7 +131,7 @@ UNION ALL SELECT net_id, 'transition', trans_id, name, issue FROM (SELECT x.net_
 
 @query(NETS + _DIAG)
 def net_diagnostics(spark, sf_dir):
-    return fixtures.net(spark).diagnosis()
+    return _net(spark, sf_dir).diagnosis()
 
 
 _TOUCH = "list_filter(list_transform(list_zip(pre, post), lambda x, i: CASE WHEN x[1] > 0 OR x[2] > 0 THEN i END), lambda x: x IS NOT NULL)"
@@ -126,46 +139,61 @@ _TOUCH = "list_filter(list_transform(list_zip(pre, post), lambda x, i: CASE WHEN
 
 @query(NETS + f", touch AS (SELECT net_id, trans_id, {_TOUCH} AS t FROM firing) SELECT a.net_id, a.trans_id AS t1, b.trans_id AS t2 FROM touch a JOIN touch b ON a.net_id = b.net_id AND a.trans_id < b.trans_id WHERE NOT list_has_any(a.t, b.t)")
 def independence_matrix(spark, sf_dir):
-    t = fixtures.net(spark).firing().select("net_id", "trans_id", M.touched(F.col("pre"), F.col("post")).alias("t"))
+    t = _net(spark, sf_dir).firing().select("net_id", "trans_id", M.touched(F.col("pre"), F.col("post")).alias("t"))
     a, b = t.alias("a"), t.alias("b")
     return a.join(b, (F.col("a.net_id") == F.col("b.net_id")) & (F.col("a.trans_id") < F.col("b.trans_id"))).where(M.independent(F.col("a.t"), F.col("b.t"))).select("a.net_id", F.col("a.trans_id").alias("t1"), F.col("b.trans_id").alias("t2"))
 
 
 @query(REACH + " SELECT net_id, array_to_string(m, ',') AS marking FROM reach")
 def reach_markings(spark, sf_dir):
-    return _graph(spark).states.select("net_id", _csv("marking").alias("marking"))
+    return _graph(spark, sf_dir).states.select("net_id", _csv("marking").alias("marking"))
 
 
 @query(REACH + " SELECT net_id, count(*) AS edges FROM fired WHERE fits GROUP BY net_id")
 def reach_edge_count(spark, sf_dir):
-    return _graph(spark).edges.groupBy("net_id").agg(F.count("*").alias("edges"))
+    return _graph(spark, sf_dir).edges.groupBy("net_id").agg(F.count("*").alias("edges"))
 
 
 @query(REACH + " SELECT net_id, count(*) AS states, CAST(sum((SELECT count(*) FROM fired f WHERE f.net_id = r.net_id AND f.m = r.m AND f.fits)) AS BIGINT) AS edges, CAST(sum(CASE WHEN NOT EXISTS (SELECT 1 FROM fired f WHERE f.net_id = r.net_id AND f.m = r.m) THEN 1 ELSE 0 END) AS BIGINT) AS deadlocks, false AS truncated FROM reach r GROUP BY net_id")
 def reach_stats(spark, sf_dir):
-    return _graph(spark).stats()
+    return _graph(spark, sf_dir).stats()
 
 
-@query(expected.sql("reach_truncated"))
+@query(PATHS + """, kept AS (SELECT * FROM numbered WHERE state_id < 3),
+tried AS (SELECT k.net_id, k.state_id, f.fits AND d.m IS NOT NULL AS edge FROM kept k JOIN fired f ON f.net_id = k.net_id AND f.m = k.m LEFT JOIN kept d ON d.net_id = f.net_id AND d.m = f.a),
+of AS (SELECT net_id, state_id, count(*) FILTER (edge) AS edges FROM tried GROUP BY net_id, state_id)
+SELECT k.net_id, count(*) AS states, CAST(coalesce(sum(edges), 0) AS BIGINT) AS edges, count(*) FILTER (of.state_id IS NULL) AS deadlocks, any_value(n > 3) AS truncated
+FROM kept k LEFT JOIN of USING (net_id, state_id) JOIN (SELECT net_id, count(*) AS n FROM numbered GROUP BY net_id) USING (net_id) GROUP BY k.net_id""")
 def reach_truncated(spark, sf_dir):
-    return explore.explore(fixtures.net(spark), limit=3).stats()
+    return explore.explore(_net(spark, sf_dir), limit=3).stats()
 
 
-@query(expected.sql("reach_reduced"))
+#: Transitions that may go alone: they share no input place, nothing bounds what they give, and they take something.
+_FREE = """free AS (
+  SELECT w.net_id, w.trans_id FROM weights w JOIN places p USING (net_id, place_id) LEFT JOIN (SELECT net_id, place_id, count(DISTINCT trans_id) AS users, bool_or(direction <> 'in') AS special FROM weights WHERE direction <> 'out' GROUP BY ALL) u USING (net_id, place_id)
+  WHERE w.direction IN ('in', 'out') GROUP BY w.net_id, w.trans_id HAVING NOT bool_or((w.direction = 'in' AND users > 1) OR coalesce(special, false) OR (w.direction = 'out' AND capacity IS NOT NULL))
+  INTERSECT SELECT net_id, trans_id FROM (SELECT net_id, trans_id, place_id, sum(CASE direction WHEN 'out' THEN weight WHEN 'in' THEN -weight ELSE 0 END) AS change FROM weights GROUP BY ALL) WHERE change < 0),
+moves AS (SELECT f.net_id, f.trans_id, pre, post, f.trans_id IN (SELECT trans_id FROM free x WHERE x.net_id = f.net_id) AS alone FROM firing f)"""
+_CHOSEN = f"SELECT r.net_id, r.m, v.trans_id, {_AFTER} AS a, i.cap FROM less r JOIN moves v ON v.net_id = r.net_id JOIN caps i ON i.net_id = r.net_id WHERE {_ENABLED} QUALIFY coalesce(v.trans_id = min(CASE WHEN alone THEN v.trans_id END) OVER (PARTITION BY r.net_id, r.m), true)"
+
+
+@query(REACH + f""", {_FREE}, less(net_id, m) AS (SELECT net_id, m FROM initial UNION SELECT net_id, a FROM ({_CHOSEN}) WHERE {_FITS}),
+done AS (SELECT net_id, m, count(*) FILTER ({_FITS}) AS edges FROM ({_CHOSEN}) GROUP BY net_id, m)
+SELECT l.net_id, count(*) AS states, CAST(coalesce(sum(edges), 0) AS BIGINT) AS edges, count(*) FILTER (done.m IS NULL) AS deadlocks, false AS truncated FROM less l LEFT JOIN done ON done.net_id = l.net_id AND done.m = l.m GROUP BY l.net_id""")
 def reach_reduced(spark, sf_dir):
-    return explore.explore_reduced(fixtures.net(spark)).stats()
+    return explore.explore_reduced(_net(spark, sf_dir)).stats()
 
 
 @query(REACH + " SELECT f.net_id, array_to_string(f.m, ',') AS marking, f.trans_id, CAST(k AS INTEGER) AS place_id, f.m[k + 1] AS before, f.a[k + 1] AS after FROM (SELECT *, unnest(range(len(m))) AS k FROM fired WHERE fits) f WHERE f.m[k + 1] <> f.a[k + 1]")
 def reach_changes(spark, sf_dir):
-    g = _graph(spark)
+    g = _graph(spark, sf_dir)
     at = g.states.select("net_id", F.col("state_id").alias("src"), _csv("marking").alias("marking"))
     return g.changes().join(at, ["net_id", "src"]).select("net_id", "marking", "trans_id", "place_id", "before", "after")
 
 
-@query(REACH + ", step(net_id, m, path) AS (SELECT net_id, m, CAST([] AS INTEGER[]) FROM initial UNION SELECT s.net_id, f.a, list_append(s.path, f.trans_id) FROM step s JOIN fired f ON f.net_id = s.net_id AND f.m = s.m AND f.fits WHERE len(s.path) < 12), best AS (SELECT net_id, m, min((len(path), path)) AS b FROM step GROUP BY net_id, m) SELECT net_id, array_to_string(m, ',') AS marking, array_to_string(b[2], ',') AS path FROM best")
+@query(PATHS + " SELECT net_id, array_to_string(m, ',') AS marking, array_to_string(path, ',') AS path FROM numbered")
 def reach_paths(spark, sf_dir):
-    g = _graph(spark)
+    g = _graph(spark, sf_dir)
     at = g.states.select("net_id", "state_id", _csv("marking").alias("marking"))
     return g.paths().join(at, ["net_id", "state_id"]).select("net_id", "marking", _csv("path").alias("path"))
 
@@ -178,28 +206,36 @@ _DEAD = REACH + _ENDED
 
 @query(_DEAD + " SELECT net_id, coalesce(marking, '') AS marking FROM marks")
 def deadlock_states(spark, sf_dir):
-    return detect.deadlocks(_graph(spark)).select("net_id", "marking")
+    return detect.deadlocks(_graph(spark, sf_dir)).select("net_id", "marking")
 
 
 @query(_DEAD + " SELECT net_id FROM initial WHERE net_id NOT IN (SELECT net_id FROM dead)")
 def deadlock_none(spark, sf_dir):
-    g = _graph(spark)
+    g = _graph(spark, sf_dir)
     return g.net.places.select("net_id").distinct().join(detect.deadlocks(g).select("net_id"), "net_id", "left_anti")
 
 
-@query(expected.sql("deadlock_report"))
+@query(PATHS + _ENDED + """ SELECT k.net_id, n.state_id, CASE WHEN EXISTS (SELECT 1 FROM fired f WHERE f.net_id = k.net_id AND f.m = k.m) THEN 'capacity' ELSE 'no_enabled' END AS reason, coalesce(k.marking, '') AS marking, p.path
+FROM marks k JOIN numbered n ON n.net_id = k.net_id AND n.m = k.m LEFT JOIN (SELECT s.net_id, state_id, string_agg(t.name, ',' ORDER BY pos) AS path FROM (SELECT net_id, state_id, unnest(path) AS trans_id, generate_subscripts(path, 1) AS pos FROM numbered) s JOIN transitions t USING (net_id, trans_id) GROUP BY s.net_id, state_id) p ON p.net_id = k.net_id AND p.state_id = n.state_id""")
 def deadlock_report(spark, sf_dir):
-    return detect.deadlock_report(_graph(spark)).withColumn("path", F.array_join("path", ","))
+    return detect.deadlock_report(_graph(spark, sf_dir)).withColumn("path", F.array_join("path", ","))
 
 
-@query(expected.sql("deadlock_cycles"))
+@query(PATHS + """, far(net_id, a, b) AS (SELECT DISTINCT net_id, src, dst FROM arrows UNION SELECT f.net_id, f.a, w.dst FROM far f JOIN arrows w ON w.net_id = f.net_id AND w.src = f.b),
+bottom AS (SELECT p.net_id, p.a FROM far p LEFT JOIN far q ON q.net_id = p.net_id AND q.a = p.b AND q.b = p.a GROUP BY p.net_id, p.a HAVING count(*) = count(q.a)),
+sets AS (SELECT net_id, a AS state_id, max(b) AS set FROM far JOIN bottom USING (net_id, a) GROUP BY net_id, a),
+locks AS (SELECT net_id, trans_id, res_place AS lock FROM transitions WHERE ttype IN ('Lock', 'RwLockRead', 'RwLockWrite')),
+can AS (SELECT s.net_id, set, count(DISTINCT s.state_id) AS states, min(s.state_id) AS least, coalesce(list(DISTINCT lock) FILTER (lock IS NOT NULL), []) AS can
+  FROM sets s JOIN numbered n USING (net_id, state_id) LEFT JOIN fired f ON f.net_id = n.net_id AND f.m = n.m LEFT JOIN locks l ON l.net_id = s.net_id AND l.trans_id = f.trans_id GROUP BY s.net_id, set),
+blocked AS (SELECT c.net_id, least, states, e.every, list_filter(e.every, lambda x: NOT list_contains(can, x)) AS locks FROM can c JOIN (SELECT net_id, list_sort(list(DISTINCT lock)) AS every FROM locks GROUP BY net_id) e USING (net_id))
+SELECT net_id, array_to_string(locks, ',') AS locks, arg_min(states, least) AS states FROM blocked WHERE len(locks) > 0 AND len(locks) < len(every) GROUP BY net_id, locks""")
 def deadlock_cycles(spark, sf_dir):
-    return detect.blocked_cycles(explore.explore(fixtures.net(spark, fixtures.SPINNING))).select("net_id", _csv("locks").alias("locks"), "states")
+    return detect.blocked_cycles(_graph(spark, sf_dir)).select("net_id", _csv("locks").alias("locks"), "states")
 
 
 @query(REACH + ", acc AS (SELECT DISTINCT f.net_id, array_to_string(f.m, ',') AS state, t.var AS location, t.ttype = 'UnsafeWrite' AS write, t.trans_id FROM fired f JOIN transitions t ON t.net_id = f.net_id AND t.trans_id = f.trans_id WHERE f.fits AND t.ttype IN ('UnsafeRead', 'UnsafeWrite')) SELECT a.net_id, a.location, count(*) AS pairs FROM acc a JOIN acc b ON a.net_id = b.net_id AND a.state = b.state AND a.location = b.location AND a.trans_id < b.trans_id AND (a.write OR b.write) GROUP BY ALL")
 def race_states_on_net(spark, sf_dir):
-    return detect.race_pairs(detect.accesses(_graph(spark)), ["net_id"]).groupBy("net_id", "location").agg(F.count("*").alias("pairs"))
+    return detect.race_pairs(detect.accesses(_graph(spark, sf_dir)), ["net_id"]).groupBy("net_id", "location").agg(F.count("*").alias("pairs"))
 
 
 _PAIRS = "WITH " + derive.SQL["access"] + ", pairs AS (SELECT a.state, a.location, a.ord AS a_ord, b.ord AS b_ord, a.op AS a_op, b.op AS b_op, a.block AS a_block, a.span AS a_span, b.span AS b_span, a.thread <> b.thread AS cross_thread FROM access a JOIN access b ON a.state = b.state AND a.location = b.location AND a.ord < b.ord AND (a.write OR b.write))"
@@ -249,7 +285,6 @@ def trace_slice(spark, sf_dir):
     return sequence.slices(t, sequence.binned_witnesses(t)).withColumn("slice", F.array_join("slice", ","))
 
 
-_ALLOWED = ", ".join(f"('{k}', '{s}')" for k, v in C.ALLOWED_STORES.items() for s in v)
 
 
 @query(f"SELECT * FROM (VALUES {_ALLOWED}) v(load, store)")
@@ -263,14 +298,24 @@ def atomic_store_sets(spark, sf_dir):
     return detect.store_sets(derive.memory_ops(spark, sf_dir)).withColumn("stores", F.array_join("stores", ","))
 
 
-@query(expected.sql("atomicity_on_net"))
+@query(PATHS + f""", e AS MATERIALIZED (SELECT a.*, ttype, var, ordering, span FROM arrows a JOIN transitions USING (net_id, trans_id)),
+seen(net_id, root, node) AS (SELECT DISTINCT net_id, trans_id, dst FROM e WHERE ttype IN ('AtomicStore', 'AtomicCmpXchg') UNION SELECT s.net_id, s.root, e.dst FROM seen s JOIN e ON e.net_id = s.net_id AND e.src = s.node WHERE e.ttype <> 'Start'),
+ok(l, s) AS (VALUES {_ALLOWED}),
+hits AS (SELECT l.net_id, l.var, l.span AS load, l.src, t.span FROM (SELECT DISTINCT net_id, trans_id, src, var, ordering, span FROM e WHERE ttype = 'AtomicLoad') l JOIN seen ON seen.net_id = l.net_id AND seen.node = l.src JOIN transitions t ON t.net_id = l.net_id AND t.trans_id = seen.root AND t.var = l.var JOIN ok ON ok.l = l.ordering AND ok.s = t.ordering)
+SELECT DISTINCT net_id, var, load, stores FROM (SELECT net_id, var, load, src, string_agg(DISTINCT span, ',' ORDER BY span) AS stores, count(DISTINCT span) AS n FROM hits GROUP BY net_id, var, load, src) WHERE n >= 2""")
 def atomicity_on_net(spark, sf_dir):
-    return detect.atomicity(_graph(spark)).withColumn("stores", F.array_join("stores", ","))
+    return detect.atomicity(_graph(spark, sf_dir)).withColumn("stores", F.array_join("stores", ","))
 
 
-@query(expected.sql("atomicity_search"))
+@query(PATHS + """, e AS MATERIALIZED (SELECT a.*, var, tid, CASE WHEN ttype = 'AtomicLoad' THEN 'load' WHEN ttype IN ('AtomicStore', 'AtomicCmpXchg') THEN 'store' END AS kind FROM arrows a JOIN transitions USING (net_id, trans_id)),
+rules(rule, s, m, e) AS (VALUES (1, 'load', 'store', 'store'), (2, 'store', 'store', 'load'), (3, 'load', 'store', 'load')),
+search(net_id, v, i, rule, s, m, e, state, first, mid) AS (
+  SELECT DISTINCT net_id, var, tid, rule, s, m, rules.e, CAST(0 AS BIGINT), -1, -1 FROM e, rules WHERE kind IS NOT NULL
+  UNION SELECT net_id, v, i, rule, s, m, e, dst, CASE WHEN mine AND kind = s THEN trans_id ELSE first END, CASE WHEN mine AND (kind = s OR (kind = e AND first >= 0)) THEN -1 WHEN other AND kind = m AND first >= 0 THEN trans_id ELSE mid END
+  FROM (SELECT x.*, w.dst, w.trans_id, w.kind, coalesce(w.var = x.v AND w.tid = x.i, false) AS mine, coalesce(w.var = x.v AND w.tid <> x.i, false) AS other FROM search x JOIN e w ON w.net_id = x.net_id AND w.src = x.state))
+SELECT DISTINCT x.net_id, rule, v AS var, first AS start, mid, w.trans_id AS "end" FROM search x JOIN e w ON w.net_id = x.net_id AND w.src = x.state WHERE w.var = v AND w.tid = i AND w.kind = x.e AND first >= 0 AND mid >= 0""")
 def atomicity_search(spark, sf_dir):
-    return detect.net_witnesses(_graph(spark))
+    return detect.net_witnesses(_graph(spark, sf_dir))
 
 
 _CALLS = "WITH RECURSIVE " + derive.SQL["calls"]
@@ -485,12 +530,12 @@ def mir_pnml(spark, sf_dir):
 
 @query()
 def net_dot(spark, sf_dir):
-    return sinks.net_dot(fixtures.net(spark))
+    return sinks.net_dot(_net(spark, sf_dir))
 
 
 @query()
 def state_graph_dot(spark, sf_dir):
-    return sinks.graph_dot(_graph(spark))
+    return sinks.graph_dot(_graph(spark, sf_dir))
 
 
 def _unbounded(spark: SparkSession) -> Net:
@@ -515,27 +560,18 @@ def invariants(spark, sf_dir):
 
 @query(REACH + " SELECT p.net_id, count(DISTINCT p.place_id) AS places, (SELECT count(*) FROM transitions t WHERE t.net_id = p.net_id) AS transitions, (SELECT count(*) FROM weights w WHERE w.net_id = p.net_id) AS arcs, (SELECT count(*) FROM reach r WHERE r.net_id = p.net_id) AS states, (SELECT count(*) FROM fired f WHERE f.net_id = p.net_id AND f.fits) AS edges FROM places p GROUP BY p.net_id")
 def summary_metrics(spark, sf_dir):
-    g = _graph(spark)
+    g = _graph(spark, sf_dir)
     return sinks.summary(g, detect.deadlocks(g)).select("net_id", "places", "transitions", "arcs", "states", "edges")
 
 
-_translated: dict[str, Net] = {}
-
-
 def _program(spark: SparkSession) -> Net:
-    """The net of the literal programs, made once in a session."""
-    key = spark.sparkContext.applicationId
-    if key not in _translated:
-        n = translate.translate(*programs.facts(spark))
-        _translated[key] = Net(stage(n.places, "places"), stage(n.transitions, "transitions"), stage(n.arcs, "arcs"))
-    return _translated[key]
+    """The net of the literal programs."""
+    return translate.translate(*programs.facts(spark))
 
 
 def _program_graph(spark: SparkSession) -> explore.StateGraph:
-    key = f"programs of {spark.sparkContext.applicationId}"
-    if key not in _graphs:
-        _graphs[key] = explore.explore(_program(spark))
-    return _graphs[key]
+    n = _program(spark)
+    return explore.explore(Net(stage(n.places, "places"), stage(n.transitions, "transitions"), stage(n.arcs, "arcs")))
 
 
 @query(PROGRAM + " SELECT net_id, name, CAST(tokens AS BIGINT) AS tokens, CAST(capacity AS BIGINT) AS capacity, place_type FROM places")

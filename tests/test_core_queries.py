@@ -20,6 +20,15 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_graph():
+    """The graphs of all orders' nets, of which many queries show a part, are explored once in these tests."""
+    plain, made = queries._graph, {}
+    queries._graph = lambda spark, sf_dir: made[sf_dir] if sf_dir in made else made.setdefault(sf_dir, plain(spark, sf_dir))
+    yield
+    queries._graph = plain
+
+
 def cell(v):
     if v is None or v is pd.NA or v != v:
         return None
