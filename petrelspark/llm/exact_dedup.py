@@ -40,19 +40,19 @@ def survivors(keys: DataFrame) -> tuple[DataFrame, int]:
 
 
 def refined(docs: DataFrame, prefix_chars: int = 256, hash_all: bool = False) -> DataFrame:
-    """(doc_id, n, shared, text_sha256) of each row: its code points, if its group survived, and the digest of the whole normalised text.
+    """(doc_id, n, shared, text_sha256, at) of each row: its code points, if its group survived, the digest of the whole normalised text, and a number that no other row has.
 
     The digest is computed for surviving rows, in a second scan of the texts; with ``hash_all`` for every row, in the first."""
-    norm = squeezed(F.col("text"))
+    norm, at = squeezed(F.col("text")), F.monotonically_increasing_id().alias("at")
     slim = docs.select("doc_id", F.length("text").alias("n"), "text", norm.alias("norm"))
     key = prefix_key(F.col("norm"), prefix_chars).alias("key")
     if hash_all:
-        rows = stage(slim.select("doc_id", "n", key, F.sha2("norm", 256).alias("text_sha256")), "digests")
+        rows = stage(slim.select("doc_id", "n", key, F.sha2("norm", 256).alias("text_sha256"), at), "digests")
         found, bits = survivors(rows.select("key"))
         return marks.marked(rows, F.col("key"), found, bits, "shared")
     found, bits = survivors(slim.select(key))
     flagged = marks.marked(slim.select("doc_id", "n", "norm", key), F.col("key"), found, bits, "shared")
-    return stage(flagged.select("doc_id", "n", "shared", F.when(F.col("shared"), F.sha2("norm", 256)).alias("text_sha256")), "refined")
+    return stage(flagged.select("doc_id", "n", "shared", F.when(F.col("shared"), F.sha2("norm", 256)).alias("text_sha256"), at), "refined")
 
 
 def exact_groups(docs: DataFrame, prefix_chars: int = 256, hash_all: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,14 +60,13 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 256, hash_all: bool = Fals
 
     Copies are counted with partial sums before the shuffle; the rows of very large groups get their group by broadcast."""
     rows = refined(texts(docs, id_col=id_col, text_col=text_col), prefix_chars, hash_all)
-    best = F.max_by("doc_id", F.struct("n", F.col("doc_id").isNotNull(), -F.col("doc_id")))
-    groups = stage(rows.where("shared").groupBy(F.col("text_sha256").alias("of")).agg(best.alias("keep_id"), F.max("n").alias("most"), F.count("*").alias("group_size")), "groups")
+    # a larger id is a smaller complement, and the complement of no id runs over
+    best = F.max_by(F.struct("doc_id", "at"), F.struct("n", F.col("doc_id").isNotNull(), F.bitwise_not("doc_id"), F.bitwise_not("at")))
+    groups = stage(rows.where("shared").groupBy(F.col("text_sha256").alias("of")).agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     total = groups.agg(F.sum("group_size")).first()[0] or 0
     alone = rows.where("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    same = rows.where("shared").groupBy("text_sha256", "doc_id", "n").agg(F.count("*").alias("times"))  # rows that nothing tells apart
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("most")) & (F.col("time") == 1)
-    many = with_groups(same, groups, "text_sha256", "of", "group_size", total).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc_id", "keep_id", "group_size", first.alias("kept"), "text_sha256")
-    return alone.unionByName(many)
+    many = with_groups(rows.where("shared").drop("shared"), groups, "text_sha256", "of", "group_size", total)
+    return alone.unionByName(many.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("at") == F.col("best.at")).alias("kept"), "text_sha256"))
 
 
 def drop_copies(docs: DataFrame, prefix_chars: int = 256) -> DataFrame:
@@ -77,6 +76,6 @@ def drop_copies(docs: DataFrame, prefix_chars: int = 256) -> DataFrame:
     found, bits = survivors(rows.select("key"))
     flagged = marks.marked(rows, F.col("key"), found, bits, "shared")
     text, id_ = F.coalesce("row.text", F.lit("")), F.col("row.doc_id")
-    best = F.max_by("row", F.struct(F.length(text), id_.isNotNull(), -id_, F.xxhash64("row")))
+    best = F.max_by("row", F.struct(F.length(text), id_.isNotNull(), F.bitwise_not(id_.cast("long")), F.xxhash64(F.to_json("row"))))  # as JSON: a hash refuses maps
     many = flagged.where("shared").groupBy(F.sha2("norm", 256).alias("digest")).agg(best.alias("row"))
     return flagged.where("not shared").select("row.*").unionByName(many.select("row.*"))

@@ -241,7 +241,12 @@ def same_ids(found: DataFrame, classes: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **how) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; all columns stay.
 
-    A row without an id takes part under a number from its text's hash, above all ids; so it goes where a near copy of it stays."""
+    A row without an id takes part under a number from its text's hash, above all ids; so it goes where a near copy of it stays, and of
+    rows without an id that have one text one stays."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    text = F.coalesce("row.text", F.lit(""))
+    nameless = docs.where("doc_id is null").select(row).groupBy(F.sha2(text, 256)).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
+    docs = docs.where("doc_id is not null").unionByName(nameless)
     stand_in = F.shiftleft(F.lit(1).cast("long"), 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 62))
     key = F.coalesce(F.col("doc_id").cast("long"), stand_in)
     name = fresh(docs, "gone")

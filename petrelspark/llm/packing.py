@@ -2,10 +2,12 @@
 
 Each task packs the pieces of its own part of the input best-fit, largest first, and emits the bins that are nearly full.
 The underfull bins are items of the next round: bins of several tasks meet in groups of bounded size and are packed
-best-fit again, until one group has them all or, with groups as large as they may be, a round fills 2 % of the bins at most.  Texts never move; a bin carries what its pieces
-are (ids, places, lengths, checksums), at most one entry for each of its tokens.
+best-fit again, until one group has them all.  Where there are more than a group may have, and dealing them at random hardly helps any
+more, those meet whose fills complement each other, and at last the emptiest, until no two bins fit into one; how many bins have which fill, at most
+one number for each, tells who meets.  Texts never move; a bin carries what its pieces are (ids, places, lengths, checksums), at most one entry for each
+of its tokens.
 
-Defined results: a null or empty text is one piece, the end id.  A document that fits is one piece; only longer ones are
+Defined results: a null or empty text is one piece, the end id; which of equally long pieces goes first is left open.  A document that fits is one piece; only longer ones are
 cut, into pieces of the capacity, the last one shorter or not.  Rows that repeat an id are packed each.  An empty table
 gives an empty result.
 """
@@ -125,19 +127,62 @@ def pack_tokens(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: i
         return run
 
     bins = stage(texts(docs, id_col=id_col, text_col=text_col).mapInArrow(local, BINS), "bins")
-    done, left, step, groups = bins.where("done"), bins.where("not done"), 0, None
-    count = left.count()
-    while count:
-        step += 1
-        groups = min(-(-count // per_group), groups or count)
-        last = groups == 1
-        # bins of several groups meet: dealt anew by their numbers, at most about per_group to a group
-        dealt = left.withColumn("to", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
-        bins = stage(dealt.groupBy("to").applyInArrow(merge(step, last), BINS), "bins")
-        now = bins.where("not done").count()
-        if now > 0.98 * count and groups == -(-count // per_group):  # groups are as large as they may be, and another round would hardly help
-            done, count = done.union(bins), 0
+    done, left, step, groups, way, before = bins.where("done"), bins.where("not done"), 0, None, "random", None
+    while fills := {r["fill"]: r["count"] for r in left.groupBy("fill").count().collect()}:  # at most the capacity's number of rows
+        count, step = sum(fills.values()), step + 1
+        need = -(-count // per_group)
+        slow = before is not None and count > 0.98 * before
+        if need == 1:
+            groups, way = 1 if groups is None or way != "random" else max(1, groups // 2), "random"
+        elif way == "random" and not (slow and groups == need_before):
+            groups = need if groups is None else max(need, groups // 2)
         else:
-            done, left, count, groups = done.union(bins.where("done")), bins.where("not done"), now, max(1, groups // 2)
-            groups = max(groups, -(-count // per_group))
-    return done.select("sequence_id", F.explode(F.arrays_zip(*FIELDS, "offset")).alias("p")).select(*[f"p.{k}" for k in FIELDS], "sequence_id", "p.offset")
+            way = "complement" if way == "random" or way == "complement" and not slow else "emptiest"
+            if way == "emptiest" and not two_fit(fills, capacity):
+                break
+        number = F.xxhash64("sequence_id", F.lit(step))
+        if way == "random":
+            meet, apart = left.withColumn("to", F.pmod(number, F.lit(groups))), None
+        else:
+            table = left.sparkSession.createDataFrame((by_complement if way == "complement" else emptiest)(fills, capacity, per_group), "of_fill long, first long, parts long")
+            dealt = left.join(F.broadcast(table), F.col("fill") == F.col("of_fill"), "left").drop("of_fill")
+            meet = dealt.where("first is not null").withColumn("to", F.col("first") + F.pmod(number, F.col("parts"))).drop("first", "parts")
+            apart = dealt.where("first is null").drop("first", "parts")
+        bins = meet.groupBy("to").applyInArrow(merge(step, way == "random" and groups == 1), BINS)
+        bins = stage(bins if apart is None else bins.unionByName(apart), "bins")
+        done, left, before, need_before = done.unionByName(bins.where("done")), bins.where("not done"), count, need
+    return done.unionByName(left).select("sequence_id", F.explode(F.arrays_zip(*FIELDS, "offset")).alias("p")).select(*[f"p.{k}" for k in FIELDS], "sequence_id", "p.offset")
+
+
+def two_fit(fills: dict[int, int], capacity: int) -> bool:
+    """If the two emptiest bins fit into one; ``fills`` has the number of bins of each fill."""
+    least = sorted(fills)
+    a = least[0]
+    b = a if fills[a] > 1 else least[1] if len(least) > 1 else capacity + 1
+    return a + b <= capacity
+
+
+def by_complement(fills: dict[int, int], capacity: int, per_group: int) -> list[tuple[int, int, int]]:
+    """(fill, first group, groups): fills in groups of about ``per_group`` bins, those together whose sum is near the capacity.  A fill that
+    more bins have than a group takes is dealt over several."""
+    out, group, room = [], 0, per_group
+    for f in sorted(fills, key=lambda f: (-abs(2 * f - capacity), f)):
+        parts = -(-fills[f] // per_group)
+        if fills[f] > room and room < per_group:
+            group, room = group + 1, per_group
+        out.append((f, group, parts))
+        room -= fills[f]
+        if room <= 0:
+            group, room = group + parts, per_group
+    return out
+
+
+def emptiest(fills: dict[int, int], capacity: int, per_group: int) -> list[tuple[int, int, int]]:
+    """(fill, first group, groups) for the emptiest bins alone, which meet in one group; the last fill that has a place there may go on in more."""
+    out, room = [], per_group
+    for f in sorted(fills):
+        if fills[f] > room:
+            return [*out, (f, 0, 1 + -(-fills[f] // per_group))]
+        out.append((f, 0, 1))
+        room -= fills[f]
+    return out

@@ -6,14 +6,14 @@ together with an identifier or an endpoint: within one scope, a run of lines wit
 ``reach`` characters.  Parts of a text are sorted by place, and the interval join is a sweep over them in both directions, so
 its cost grows with the parts and not with their pairs.
 
-Defined results: a null text is empty and has no finding.  Places are code points, the end exclusive.  Of one kind findings
+Defined results: an empty table gives an empty result; a null text is empty and has no finding.  Places are code points, the end exclusive.  Of one kind findings
 do not overlap; those of different kinds may.  Texts are scanned whole.  Rows that repeat an id are scanned each.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,13 +28,16 @@ BASE = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Weaker parts: an access identifier, an endpoint, a plausible secret, of any length.
-IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"""\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}""", re.ASCII)
-PLAUSIBLE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+#: Weaker parts, of any length: an access identifier, an endpoint, the password inside an endpoint, a value under a name that passwords have, and a
+#: plausible secret.  Names may stand at the end of a longer one (``DB_USER``), and any run of blanks around ``=`` or ``:``.
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name)?|login|client_?id|account|access_?key(?:_?id)?)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
+ENDPOINT = re.compile(r"""\b(?:https?|ftp|wss?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|rediss?|amqps?|ldaps?|smtps?)://[^\s"'<>]{3,}""", re.ASCII)
+USERINFO = re.compile(r"""(?<=://)[^\s"'<>/:@]*:([^\s"'<>/@]+)@""", re.ASCII)
+NAMED = re.compile(r"""(?<![A-Za-z0-9])(?:pass|pwd|pass(?:phrase|code)|(?:access|secret|private|account|shared)_?(?:access_?)?key|auth|credentials?)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,})""", re.IGNORECASE | re.ASCII)
+PLAUSIBLE = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 #: The roles that weak kinds and base kinds play in a credential.
-ROLE = {"identifier": "who", "access": "who", "plausible": "what", "assign": "what", "hex": "what", "endpoint": "where"}
-ORDER = {k: n for n, k in enumerate((*BASE, "identifier", "plausible", "endpoint"))}
+ROLE = {"identifier": "who", "access": "who", "plausible": "what", "assign": "what", "hex": "what", "named": "what", "userinfo": "what", "endpoint": "where"}
+ORDER = {k: n for n, k in enumerate((*BASE, "identifier", "named", "plausible", "endpoint", "userinfo"))}
 _EMPTY_LINE = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -52,10 +55,21 @@ def _looks_random(s: str) -> bool:
 
 
 def weak_parts(text: str) -> list[Span]:
-    """What may be part of a credential, whether or not another part is near."""
-    out = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else []
-    out += [(m.start(), m.end(), "identifier") for m in IDENTIFIER.finditer(text)] if "=" in text or ":" in text else []
-    return out + [(m.start(), m.end(), "plausible") for m in PLAUSIBLE.finditer(text) if _looks_random(m[0])]
+    """What may be part of a credential, whether or not another part is near; of two secrets at one place the first in ``ORDER`` stands."""
+    urls = "://" in text
+    out = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if urls else []
+    out += [(m.start(1), m.end(1), "userinfo") for m in USERINFO.finditer(text)] if urls else []
+    secrets: list[Span] = []
+    if "=" in text or ":" in text:
+        out += [(m.start(), m.end(), "identifier") for m in IDENTIFIER.finditer(text) if not ACCESS.fullmatch(m[1])]
+        secrets = [(m.start(1), m.end(1), "named") for m in NAMED.finditer(text) if not m[1].startswith("AKIA")]
+    ends = [s[1] for s in secrets]
+    for m in PLAUSIBLE.finditer(text):
+        if _looks_random(m[0]):
+            k = bisect_right(ends, m.start())
+            if k == len(secrets) or secrets[k][0] >= m.end():
+                out.append((m.start(), m.end(), "plausible"))
+    return out + secrets
 
 
 def linked(text: str, base: list[Span], reach: int = 200) -> tuple[list[Span], int]:
