@@ -81,41 +81,62 @@ def spawned_by(sites: DataFrame, local_types: DataFrame) -> DataFrame:
     return found.groupBy(*HERE, "bb").agg(F.array_sort(F.collect_list(F.struct("pos", "callee"))).alias("c")).select(*HERE, "bb", F.transform("c", lambda x: x["callee"]).alias("callees"))
 
 
-def dispatched(sites: DataFrame, local_types: DataFrame, owners: DataFrame, functions: DataFrame, handles: DataFrame | None = None) -> DataFrame:
+def dispatched(sites: DataFrame, local_types: DataFrame, owners: DataFrame, functions: DataFrame, handles: DataFrame | None = None, blocks: DataFrame | None = None, semantics: str = "strict") -> DataFrame:
     """The call facts of ``translate``: (net_id, func, bb, target, action, callee, callees, res, res2, ordering, span, tid).
 
-    The first that holds: a lock (the destination is a guard), a condition variable's call, a drop of a guard, a channel's, a thread's
-    or an atomic variable's call, a panic, a call of a known function or else of a known closure among its arguments.  All else, function pointers
-    included, only goes on.  A join waits for what the spawn into its argument started, or for what ``handles`` (net_id, func, local, callee)
-    says, such as the handles that ``translate.handle_flow`` follows."""
+    The first that holds: a call that goes on in a cleanup block of ``blocks`` (net_id, func, bb, is_cleanup) is a panic; a call whose destination is a guard
+    is a lock, whatever its name (in compiled programs the guard comes from the ``unwrap`` of what ``lock`` gives); then a condition
+    variable's call, a drop of a guard, a channel's, a thread's or an atomic variable's call, a panic, a call of a known function or else of a known
+    closure among its arguments.  All else, function pointers included, only goes on, or is a panic if it never returns.  A guard that is
+    handed on (an argument is a guard, or what a condition variable's wait gave) is not locked again; compat locks it.
+
+    A join waits for what the spawn into its argument started, or for what ``handles`` (net_id, func, local, callee) says, such as
+    the handles that ``translate.handle_flow`` follows."""
     guards = lock_guards(local_types).select(*HERE, "local", F.col("kind").alias("guard"))
     of = lambda d, key, *names: d.select(*HERE, F.col("local").alias(key), *[F.col(x).alias(f"{key}_{x}") for x in names])
     s = sites.withColumns({"arg0": C.local_of(F.try_element_at("args", F.lit(1))), "arg1": C.local_of(F.try_element_at("args", F.lit(2)))})
     s = s.join(of(guards, "dest", "guard"), [*HERE, "dest"], "left").join(of(guards, "arg0", "guard"), [*HERE, "arg0"], "left")
     for key in ("dest", "arg0", "arg1"):
         s = s.join(of(owners, key, "res"), [*HERE, key], "left")
+    sync, thread, api = C.synchronization(F.col("name")), C.thread_control(F.col("name")), C.atomic_api(F.col("name"))
+    waited = sites.where(C.synchronization(F.col("name")) == "condvar_wait").select(*HERE, F.col("dest").alias("arg0"), F.lit(True).alias("waited")).where("arg0 is not null").distinct()
+    s = s.join(waited, [*HERE, "arg0"], "left")
     known = functions.select("net_id", F.col("func").alias("name"), F.lit(True).alias("known")).distinct()
     s = s.join(known, ["net_id", "name"], "left").join(spawned_by(sites, local_types), [*HERE, "bb"], "left").withColumn("first", F.try_element_at("callees", F.lit(1)))
     s = s.join(known.select("net_id", F.col("name").alias("first"), F.col("known").alias("runs")), ["net_id", "first"], "left")
-    sync, thread, api = C.synchronization(F.col("name")), C.thread_control(F.col("name")), C.atomic_api(F.col("name"))
+    if blocks is not None:
+        cleanup = blocks.where("is_cleanup").select(*HERE, F.col("bb").alias("target"), F.lit(True).alias("unwinds")).distinct()
+        s = s.join(cleanup, [*HERE, "target"], "left")
     release = F.concat(F.lit("unlock_"), F.col("arg0_guard"))
     atomic = F.when(F.lower("name").contains("atomic"), F.when(api == "read", "atomic_load").when(api == "write", "atomic_store").when(api == "read_write", "atomic_cas"))
-    takes = F.when(F.col("name").contains("::lock") | F.col("name").contains("::read") | F.col("name").contains("::write"), F.concat("dest_guard", F.lit("_lock")))
-    action = F.when(F.col("name").isNull(), "plain").otherwise(
-        F.coalesce(takes, F.when(sync == "condvar_notify", "notify").when(sync == "condvar_wait", "wait"), F.when(F.col("name").contains("::drop"), F.coalesce(release, F.lit("plain"))),
-                   F.when(sync == "channel_send", "send").when(sync == "channel_recv", "recv"), thread, atomic, F.when(F.col("name").contains("core::panic"), "panic"), F.when(F.coalesce("known", "runs"), "normal"), F.lit("plain"))
+    handed_on = F.lit(semantics != "compat") & (F.col("arg0_guard").isNotNull() | F.col("waited").isNotNull() | F.coalesce(sync == "condvar_wait", F.lit(False)))
+    takes = F.when(~handed_on, F.concat("dest_guard", F.lit("_lock")))
+    goes_on = F.when(F.col("target").isNull(), "panic").otherwise("plain")
+    panics = F.when(F.col("unwinds"), "panic") if blocks is not None else F.lit(None).cast("string")
+    action = F.coalesce(
+        panics, takes,
+        F.when(sync == "condvar_notify", "notify").when(sync == "condvar_wait", "wait"),
+        F.when(F.col("name").contains("::drop"), F.coalesce(release, F.lit("plain"))),
+        F.when(sync == "channel_send", "send").when(sync == "channel_recv", "recv"),
+        thread, atomic,
+        F.when(F.col("name").contains("core::panic"), "panic"),
+        F.when(F.coalesce("known", "runs"), "normal"),
+        goes_on,
     )
-    s = s.withColumn("action", action)
-    res = F.when(F.col("action").endswith("_lock"), F.col("dest_res")).when(F.col("action") != "plain", F.col("arg0_res"))
+    s = s.withColumn("action", F.when(F.col("name").isNull(), F.coalesce(panics, takes, goes_on)).otherwise(action))
+    res = F.when(F.col("action").endswith("_lock"), F.col("dest_res")).when(~F.col("action").isin("plain", "panic"), F.col("arg0_res"))
     started = F.col("action").isin("spawn", "scope_spawn", "async_spawn")
     own = s.where(started & F.col("dest").isNotNull()).select(*HERE, F.col("dest").alias("arg0"), F.col("first").alias("waits"))
     if handles is not None:
         own = own.unionByName(handles.select(*HERE, F.col("local").alias("arg0"), F.col("callee").alias("waits")))
     s = s.join(own.groupBy(*HERE, "arg0").agg(F.min("waits").alias("waits")), [*HERE, "arg0"], "left")
-    one = F.when(F.col("action") == "normal", F.when(F.col("known"), F.col("name")).otherwise(F.col("first"))).when(started, F.col("first")).when(F.col("action").isin("join", "scope_join", "async_join"), F.col("waits"))
-    ops = atomic_operations(sites).select(*HERE, "bb", "ordering")
-    out = s.join(ops, [*HERE, "bb"], "left")
-    return out.select(*HERE, "bb", "target", "action", one.alias("callee"), F.when(F.col("action") == "rayon_join", F.col("callees")).alias("callees"), res.alias("res"), F.when(F.col("action") == "wait", F.col("arg1_res")).alias("res2"), "ordering", "span", F.lit(0).alias("tid"))
+    called = F.when(F.col("known"), F.col("name")).otherwise(F.col("first"))
+    joins = F.col("action").isin("join", "scope_join", "async_join")
+    one = F.when(F.col("action") == "normal", called).when(started, F.col("first")).when(joins, F.col("waits"))
+    out = s.join(atomic_operations(sites).select(*HERE, "bb", "ordering"), [*HERE, "bb"], "left")
+    several = F.when(F.col("action") == "rayon_join", F.col("callees")).alias("callees")
+    res2 = F.when(F.col("action") == "wait", F.col("arg1_res")).alias("res2")
+    return out.select(*HERE, "bb", "target", "action", one.alias("callee"), several, res.alias("res"), res2, "ordering", "span", F.lit(0).alias("tid"))
 
 
 def call_sites(sites: DataFrame, local_types: DataFrame, functions: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def deadlocks(graph: StateGraph, semantics: str = "strict", entry: str = "main")
 
     ``reason``: no_enabled, capacity (every firing would overflow) or truncated (successors were refused).  ``marking``: the marked
     places as ``name:tokens``, by name; compat shows 255 tokens at most."""
-    left = graph.states.join(graph.edges.select("net_id", F.col("src").alias("state_id")).distinct(), ["net_id", "state_id"], "left_anti")
+    left = graph.states.join(graph.moving(), ["net_id", "state_id"], "left_anti")
     left = left.join(_ended(graph, semantics, entry), ["net_id", "state_id"], "left_anti")
     failed = graph.failures.select("net_id", F.col("src").alias("state_id")).distinct().withColumn("failed", F.lit(True))
     reason = F.when(F.size("enabled") == 0, "no_enabled").when(F.col("failed"), "capacity").otherwise("truncated")
@@ -80,7 +80,7 @@ def blocked_cycles(graph: StateGraph) -> DataFrame:
 def of_nets(graph: StateGraph, nets: DataFrame, but: bool = False) -> StateGraph:
     """The graph of some nets (net_id), or of all others."""
     keep = lambda d: d.join(nets.select("net_id").distinct(), "net_id", "left_anti" if but else "left_semi")
-    return StateGraph(Net(keep(graph.net.places), keep(graph.net.transitions), keep(graph.net.arcs)), keep(graph.states), keep(graph.edges), keep(graph.failures), keep(graph.truncated))
+    return StateGraph(Net(keep(graph.net.places), keep(graph.net.transitions), keep(graph.net.arcs)), keep(graph.states), keep(graph.edges), keep(graph.failures), keep(graph.truncated), graph.every_edge)
 
 
 def accesses(graph: StateGraph) -> DataFrame:

@@ -22,18 +22,28 @@ from petrelspark.staging import settle, stage
 
 @dataclass(frozen=True)
 class StateGraph:
-    """states(net_id, state_id, level, marking, enabled), edges(net_id, src, trans_id, dst), failures(net_id, src, trans_id, reason), stats."""
+    """states(net_id, state_id, level, marking, enabled), edges(net_id, src, trans_id, dst), failures(net_id, src, trans_id, reason), stats.
+
+    ``every_edge``: false where some firings were left out on purpose, so that a state without an edge need not be stuck."""
 
     net: Net
     states: DataFrame
     edges: DataFrame
     failures: DataFrame
     truncated: DataFrame
+    every_edge: bool = True
 
     def terminal(self) -> DataFrame:
         """States in which no transition is enabled."""
         return self.states.where(F.size("enabled") == 0)
 
+    def moving(self) -> DataFrame:
+        """(net_id, state_id) of the states that some firing leaves."""
+        if self.every_edge:
+            return self.edges.select("net_id", F.col("src").alias("state_id")).distinct()
+        on = self.states.select("net_id", "state_id", F.explode("enabled").alias("trans_id"))
+        return on.join(self.failures.select("net_id", F.col("src").alias("state_id"), "trans_id"), ["net_id", "state_id", "trans_id"], "left_anti").select("net_id", "state_id").distinct()
+
     def stats(self) -> DataFrame:
         """net_id, states, edges, deadlocks (terminal states), truncated."""
         s = self.states.groupBy("net_id").agg(F.count("*").alias("states"), F.count_if(F.size("enabled") == 0).alias("deadlocks"))

@@ -21,6 +21,7 @@ from petrelspark.staging import remove, session_dir
 FOLDER_ROWS, MOST_FOLDERS, RUNS = 262_144, 1024, 8
 #: Columns by which states are found.
 SOUGHT = ["h1", "h2", "net_id", "marking"]
+COLUMNS = ["net_id", "state_id", "level", "marking", "h1", "h2"]
 
 
 def hashed(net: Column, marking: Column) -> list[Column]:
@@ -53,7 +54,7 @@ class StateStore:
     def _merged(self, runs: list[_Run]) -> _Run:
         n = sum(r.rows for r in runs)
         folders = min(MOST_FOLDERS, 1 << max(0, (n // FOLDER_ROWS)).bit_length()) if n >= 2 * FOLDER_ROWS else 1
-        rows = reduce(DataFrame.unionByName, [r.at for r in runs])
+        rows = reduce(DataFrame.union, [r.at.select(*COLUMNS) for r in runs])
         path, schema = f"{session_dir(self.spark)}/store-{uuid.uuid4().hex}", rows.schema
         if folders == 1:
             rows.write.parquet(path)
@@ -68,17 +69,16 @@ class StateStore:
         return _Run(n, folders, at, path)
 
     def near(self, sought: DataFrame) -> DataFrame:
-        """The known rows among which those with the hashes of ``sought`` (h1) are."""
+        """The known rows (``SOUGHT`` and state_id) among which those with the hashes of ``sought`` (h1) are."""
         most = max(r.folders for r in self.runs)
         hit = [r[0] for r in sought.select(F.pmod("h1", F.lit(most)).cast("int").alias("at")).distinct().collect()] if most > 1 else []  # MOST_FOLDERS numbers at most
         parts = []
         for r in self.runs:
             mine = {h % r.folders for h in hit}
             at = r.at.where(F.col("folder").isin(sorted(mine))) if 1 < r.folders and len(mine) < r.folders else r.at
-            parts.append(at.select(*SOUGHT))
+            parts.append(at.select(*SOUGHT, "state_id"))
         return reduce(DataFrame.union, parts)
 
     def every(self) -> DataFrame:
         """All known rows."""
-        columns = ["net_id", "state_id", "level", "marking", "h1", "h2"]
-        return reduce(DataFrame.union, [r.at.select(*columns) for r in self.runs])
+        return reduce(DataFrame.union, [r.at.select(*COLUMNS) for r in self.runs])

@@ -94,10 +94,12 @@ def call_rows(calls: DataFrame, semantics: str = "strict", entry: str = "main")
 
     ``action`` is normal, mutex_lock, read_lock, write_lock, unlock_mutex, unlock_read, unlock_write, notify, wait, send, recv, spawn, join, scope_spawn,
     scope_join, rayon_join, async_spawn, async_join, atomic_load, atomic_store, atomic_cas, unsafe_read, unsafe_write, panic or plain; null is plain.  A write lock
-    takes and gives 10 (compat: takes 1 and gives 10).  A panic ends the entry function."""
+    takes and gives 10 (compat: takes 1 and gives 10).  A panic, and a plain call without a target, ends the entry function."""
     n, f = F.col("net_id"), F.col("func")
     at, to = _p(f, "_bb", F.col("bb").cast("string")), _p(f, "_bb", F.col("target").cast("string"))
+    # a call that does nothing else and never returns ends the program, as a panic does
     base = calls.withColumn("action", F.coalesce("action", F.lit("plain")))
+    base = base.withColumn("action", F.when((F.col("action") == "plain") & F.col("target").isNull(), "panic").otherwise(F.col("action")))
     t = _p(f, "_bb", F.col("bb").cast("string"), "_", F.col("action"))
     res, callee, wait, ret = F.col("res"), F.col("callee"), _p(at, "_waiting"), _p(t, "_ret")
     of = lambda *actions: base.where(F.col("action").isin(*actions))
