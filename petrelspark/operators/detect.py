@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrelspark.functions.classify import ALLOWED_STORES
@@ -168,7 +170,8 @@ def net_witnesses(graph: StateGraph, max_states: int | None = None, max_depth: i
     """Pattern search on the net: (net_id, rule, var, start, mid, end), transitions that fire in this order along some path, with nothing
     of the rule between that would replace them.
 
-    ``max_states`` and ``max_depth`` end the search once it has so many (state, automaton) nodes, or steps.
+    ``max_states``: how many (state, automaton) nodes a net may have; beyond that the least ones of a step are taken, and none later.  ``max_depth``:
+    the steps that are followed.  Both hold for each net by itself, so a net alone gives what it gives among others.
 
     The frontier is over (state, automaton): the automaton of a rule, variable and thread keeps the start and the middle transition
     seen last, by transition id, so the space is finite."""
@@ -180,22 +183,40 @@ def net_witnesses(graph: StateGraph, max_states: int | None = None, max_depth: i
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), *[F.lit(x).alias(n) for x, n in zip(v, ("s", "m", "e"), strict=True)]) for k, v in RULES.items()]))
     start = threads.select("*", kinds.alias("r")).select("net_id", "var", "i", "r.*", F.lit(0).cast("long").alias("state"), F.lit(-1).alias("first"), F.lit(-1).alias("mid"))
     key = ["net_id", "var", "i", "rule", "s", "m", "e", "state", "first", "mid"]
-    front = seen = settle(start.select(*key))
+    node = ["net_id", "var", "i", "rule", "state", "first", "mid"]  # the rule has the rest
+
+    def admitted(fresh: DataFrame, had: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """The new nodes that the nets' budgets take, in the order of the nodes, and how many each net has then."""
+        if max_states is None:
+            return settle(fresh.select(*key)), None
+        order = Window.partitionBy("net_id").orderBy("rule", "var", "i", "state", "first", "mid")
+        ranked = fresh.withColumn("rank", F.row_number().over(order))
+        if had is not None:
+            ranked = ranked.join(had, "net_id", "left")
+        before = F.coalesce("n", F.lit(0)) if had is not None else F.lit(0)
+        new = settle(ranked.where(F.col("rank") + before <= max_states).select(*key))
+        sums = new.groupBy("net_id").agg(F.count("*").alias("n"))
+        return new, settle(sums if had is None else had.union(sums).groupBy("net_id").agg(F.sum("n").alias("n")))
+
+    front, had = admitted(start.select(*key), None)
+    seen, rounds = [front], 0
     mine = F.coalesce((F.col("v") == F.col("var")) & (F.col("tid") == F.col("i")), F.lit(False))
     other = F.coalesce((F.col("v") == F.col("var")) & (F.col("tid") != F.col("i")), F.lit(False))
     ends = mine & (F.col("kind") == F.col("e")) & (F.col("first") >= 0)
     starts, mids = mine & (F.col("kind") == F.col("s")), other & (F.col("kind") == F.col("m")) & (F.col("first") >= 0)
-    out, depth, size = None, 0, front.count()
-    while not front.isEmpty() and (max_depth is None or depth < max_depth) and (max_states is None or size < max_states):
-        depth += 1
+    out = []
+    while not front.isEmpty() and (max_depth is None or rounds < max_depth):
+        rounds += 1
         step = front.join(e, (F.col("net_id") == F.col("net")) & (F.col("state") == F.col("src")))
-        hit = settle(step.where(ends & (F.col("mid") >= 0)).select("net_id", "rule", "var", F.col("first").alias("start"), "mid", F.col("trans_id").alias("end")).distinct())
+        out.append(settle(step.where(ends & (F.col("mid") >= 0)).select("net_id", "rule", "var", F.col("first").alias("start"), "mid", F.col("trans_id").alias("end")).distinct()))
         moved = step.select("net_id", "var", "i", "rule", "s", "m", "e", F.col("dst").alias("to"), F.when(starts, F.col("trans_id")).otherwise(F.col("first")).alias("f2"), F.when(starts | ends, F.lit(-1)).when(mids, F.col("trans_id")).otherwise(F.col("mid")).alias("m2"))
-        moved = settle(moved.distinct().toDF(*key))
-        out = hit if out is None else out.union(hit)
-        front = settle(moved.join(seen, key, "left_anti"))
-        seen, size = seen.union(front), size + front.count()
-    return (out if out is not None else start.select("net_id", "rule", "var", F.col("first").alias("start"), "mid", F.col("mid").alias("end")).where("false")).distinct()
+        fresh = moved.distinct().toDF(*key).join(reduce(DataFrame.union, seen), node, "left_anti")
+        front, had = admitted(fresh, had)
+        seen.append(front)
+        if len(seen) >= 16:
+            seen = [settle(reduce(DataFrame.union, seen))]
+    none = start.select("net_id", "rule", "var", F.col("first").alias("start"), "mid", F.col("mid").alias("end")).where("false")
+    return reduce(DataFrame.union, out, none).distinct()
 
 
 def pattern_records(witnesses: DataFrame, transitions: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Known states by hash, sleep sets, components and calls, against plain versions in one process."""
 
 import random
+from math import gcd
 
 import pytest
 from pyspark.sql import functions as F
 
-from petrelspark.operators import antichain, boundness, collect, cycles, detect, explore, sleep, statestore, translate
+from petrelspark.operators import antichain, boundness, collect, cycles, detect, elimination, explore, sleep, statestore, translate
 from petrelspark.plans import fixtures, programs
 
 from test_nets import by_net, random_nets
@@ -154,3 +155,64 @@ def test_maximal_markings(spark):
     verdicts = {(r["net_id"], r["place_id"]): (r["verdict"], r["bound"]) for r in antichain.bounds(few).collect()}
     assert verdicts == {(r["net_id"], r["place_id"]): (r["verdict"], r["bound"]) for r in boundness.boundedness(few).collect()}
     assert antichain.bounds(few, limit=0).where("verdict = 'Unknown'").count() > 0
+
+
+def plain_farkas(matrix):
+    """Least-support combinations of rows, none negative, that make every column zero."""
+    rows = [(list(r), [int(i == k) for i in range(len(matrix))]) for k, r in enumerate(matrix)]
+    for c in range(len(matrix[0]) if matrix else 0):
+        up, down = [r for r in rows if r[0][c] > 0], [r for r in rows if r[0][c] < 0]
+        rows = [r for r in rows if r[0][c] == 0] + [tuple([-d[0][c] * x + u[0][c] * y for x, y in zip(u[k], d[k], strict=True)] for k in (0, 1)) for u in up for d in down]
+    out = set()
+    for _, own in rows:
+        g = gcd(*own)
+        out.add(tuple(x // g for x in own))
+    return {o for o in out if not any(p != o and {i for i, x in enumerate(p) if x} < {i for i, x in enumerate(o) if x} for p in out)}
+
+
+def incidence(net):
+    places, trans, arcs = fixtures.rows({"x": net})
+    c = [[0] * len(trans) for _ in places]
+    for _, p, t, way, w in arcs:
+        c[p][t] += w if way == "out" else -w if way == "in" else 0
+    return c
+
+
+def test_invariants_by_joins(spark):
+    nets = random_nets(31, n=8) | {k: fixtures.NETS[k] for k in ("N2", "N7", "N10", "N5")} | fixtures.GENERATOR
+    net = fixtures.net(spark, nets)
+    for kind in ("place", "transition"):
+        found = by_net(elimination.null_spaces(net, kind).collect(), "own")
+        for k, n in nets.items():
+            c = incidence(n)
+            c = c if kind == "place" else [list(x) for x in zip(*c, strict=True)]
+            want = boundness.null_space([list(x) for x in zip(*c, strict=True)], len(c))
+            got = [[own.get(i, 0) for i in range(len(c))] for own, in found.get(k, [])]
+            assert len(got) == len(want) and all(sum(x * r[j] for x, r in zip(v, c, strict=True)) == 0 for v in got for j in range(len(c[0])))
+            rank = len(got) - len(boundness.null_space([list(x) for x in zip(*got, strict=True)], len(got))) if got else 0
+            assert rank == len(got), (k, kind)
+    least = by_net(elimination.semi_positive(net).where("not cut").collect(), "own")
+    for k, n in nets.items():
+        assert {tuple(own.get(i, 0) for i in range(len(n[0]))) for own, in least.get(k, [])} == plain_farkas(incidence(n)), k
+    assert elimination.semi_positive(net, limit=0).where("cut").count() > 0
+    bounds = {(r["net_id"], r["place_id"]): r["bound"] for r in elimination.covered(net).collect()}
+    assert bounds["N7", 2] == 1 and ("N3", 1) not in bounds
+
+
+def test_a_long_net_takes_few_rounds(spark, monkeypatch):
+    n = 400
+    long = {"long": ([f"p{k}:{int(k == 0)}/-" for k in range(n)], [f"t{k}: p{k} -> p{k + 1}" for k in range(n - 1)])}
+    rounds, plain = [], elimination._taken
+    monkeypatch.setattr(elimination, "_taken", lambda rows, step: rounds.append(step) or plain(rows, step))
+    got = elimination.null_spaces(fixtures.net(spark, long)).collect()
+    assert [dict(r["own"]) for r in got] == [{k: 1 for k in range(n)}] and len(rounds) < 40
+
+
+def test_a_net_alone_and_among_others(spark):
+    nets = random_nets(3, n=2) | {"N6": fixtures.NETS["N6"], "N7": fixtures.NETS["N7"]}
+    two = fixtures.NETS["N6"][0] + ["q0:1/1", "q1:0/1"], fixtures.NETS["N6"][1] + ["go: q0 -> q1", "back: q1 -> q0"]
+    nets["N6q"] = two
+    search = lambda some, n: {(r["net_id"], *r[1:]) for r in detect.net_witnesses(explore.explore(fixtures.net(spark, some)), max_states=n).collect()}
+    for n in (5, 9, 14):
+        assert {x for x in search(nets, n) if x[0] == "N6q"} == search({"N6q": two}, n)
+    assert search(nets, 10_000) == search(nets, None) and len(search({"N6q": two}, 5)) <= len(search({"N6q": two}, None))
