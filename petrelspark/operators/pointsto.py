@@ -1,4 +1,4 @@
-"""Inclusion-based points-to sets by semi-naive rounds, and alias queries on them.
+"""Inclusion-based points-to sets by semi-naive rounds with collapsed cycles, and alias queries on them.
 
 Constraints (func, src, dst, kind): Address ``dst = &src``, Copy and AliasCopy ``dst = src``, Load ``dst = *src``, Store ``*dst = src``.
 Every place also points to its own allocation, written ``Alloc(place)``.  A place pointed to by name receives what is stored
@@ -11,33 +11,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from petrelspark.functions.classify import ALIAS_RANK
+from petrelspark.operators.cycles import strong_components
 from petrelspark.staging import settle
 
 
 def points_to(constraints: DataFrame, allocations: bool = True, max_rounds: int = 10_000) -> DataFrame:
-    """(func, node, target): the least solution.  Rows with a null end are left out."""
+    """(func, node, target): the least solution.  Rows with a null end are left out.
+
+    Nodes that copy to each other have one set, so while solving they are one (``strong_components`` of the copies); facts move along the edges between
+    them.  Loads and stores make new copies from the facts of the last round, and what those close to a cycle becomes one in turn."""
     c = settle(constraints.select("func", "src", "dst", "kind").where("src is not null and dst is not null").distinct())
+    ends = c.select("func", F.col("src").alias("node")).union(c.select("func", "dst")).distinct()
+    of = lambda kind: c.where(F.col("kind") == kind).select("func", "src", "dst")
+    loads, stores = of("Load"), of("Store")
     copies = settle(c.where("kind in ('Copy', 'AliasCopy')").select("func", "src", "dst").distinct())
-    loads, stores = c.where("kind = 'Load'").select("func", "src", "dst"), c.where("kind = 'Store'").select("func", "src", "dst")
-    nodes = c.select("func", F.col("src").alias("node")).union(c.select("func", "dst")).distinct()
-    facts = c.where("kind = 'Address'").select("func", F.col("dst").alias("node"), F.col("src").alias("target"))
+    one = settle(strong_components(copies, ["func"], ends).toDF("func", "node", "rep"))
+
+    def on(d: DataFrame, column: str) -> DataFrame:
+        return d.join(one.withColumnsRenamed({"node": column, "rep": f"{column}_rep"}), ["func", column])
+
+    def between(d: DataFrame) -> DataFrame:
+        return on(on(d, "src"), "dst").where("src_rep != dst_rep").select("func", F.col("src_rep").alias("src"), F.col("dst_rep").alias("dst")).distinct()
+
+    def along(facts: DataFrame, edges: DataFrame) -> DataFrame:
+        return facts.join(edges.withColumnRenamed("src", "rep"), ["func", "rep"]).select("func", F.col("dst").alias("rep"), "target")
+
+    facts = on(of("Address").select("func", F.col("dst").alias("node"), F.col("src").alias("target")), "node").select("func", F.col("node_rep").alias("rep"), "target")
     if allocations:
-        facts = facts.union(nodes.select("func", "node", F.concat(F.lit("Alloc("), "node", F.lit(")"))))
-    fresh = known = settle(facts.distinct())
-    new_copies = copies
+        facts = facts.union(one.select("func", "rep", F.concat(F.lit("Alloc("), "node", F.lit(")"))))
+    edges = settle(between(copies))
+    known = fresh = settle(facts.distinct())
+    since = fresh  # the facts that loads and stores haven't seen
     for _ in range(max_rounds):
-        places = fresh.where(~F.col("target").startswith("Alloc("))
-        by_load = places.join(loads.withColumnRenamed("src", "node"), ["func", "node"]).select("func", F.col("target").alias("src"), "dst")
-        by_store = places.join(stores.withColumnRenamed("dst", "node"), ["func", "node"]).select("func", "src", F.col("target").alias("dst"))
-        made = settle(by_load.union(by_store).where("src != dst").distinct().join(copies, ["func", "src", "dst"], "left_anti"))
-        old = fresh.join(copies.withColumnRenamed("src", "node"), ["func", "node"]).select("func", F.col("dst").alias("node"), "target")
-        late = known.join(made.withColumnRenamed("src", "node"), ["func", "node"]).select("func", F.col("dst").alias("node"), "target")
-        copies = copies.union(made)
-        fresh = settle(old.union(late).distinct().join(known, ["func", "node", "target"], "left_anti"))
-        if fresh.isEmpty():
-            return known
-        known = known.union(fresh)
-    raise RuntimeError(f"points-to sets did not settle in {max_rounds} rounds")
+        while not fresh.isEmpty():
+            fresh = settle(along(fresh, edges).distinct().join(known, ["func", "rep", "target"], "left_anti"))
+            known, since = known.union(fresh), since.union(fresh)
+        places = since.where(~F.col("target").startswith("Alloc("))
+        by_load = places.join(on(loads, "src").withColumnRenamed("src_rep", "rep"), ["func", "rep"]).select("func", F.col("target").alias("src"), "dst")
+        by_store = places.join(on(stores, "dst").withColumnRenamed("dst_rep", "rep"), ["func", "rep"]).select("func", "src", F.col("target").alias("dst"))
+        made = by_load.union(by_store).where("src != dst").distinct().join(copies, ["func", "src", "dst"], "left_anti")
+        made = settle(made)
+        if made.isEmpty():
+            break
+        copies = settle(copies.union(made))
+        merged = strong_components(edges.union(between(made)), ["func"]).toDF("func", "rep", "now").where("rep != now")
+        merged = settle(merged)
+        one = settle(one.join(merged, ["func", "rep"], "left").select("func", "node", F.coalesce("now", "rep").alias("rep")))
+        known = settle(known.join(merged, ["func", "rep"], "left").select("func", F.coalesce("now", "rep").alias("rep"), "target").distinct())
+        edges = settle(between(copies))
+        since = known.join(merged.select("func", F.col("now").alias("rep")).distinct(), ["func", "rep"], "left_semi")  # each part of a merged node has to see the others' facts
+        fresh = settle(along(known, edges).distinct().join(known, ["func", "rep", "target"], "left_anti"))
+        known, since = known.union(fresh), since.union(fresh)
+    else:
+        raise RuntimeError(f"points-to sets did not settle in {max_rounds} rounds")
+    return settle(one.join(known, ["func", "rep"]).select("func", "node", "target").distinct())
 
 
 def with_parents(pts: DataFrame) -> DataFrame:

@@ -102,49 +102,52 @@ def call_rows(calls: DataFrame, semantics: str = "strict", entry: str = "main")
     base = base.withColumn("action", F.when((F.col("action") == "plain") & F.col("target").isNull(), "panic").otherwise(F.col("action")))
     t = _p(f, "_bb", F.col("bb").cast("string"), "_", F.col("action"))
     res, callee, wait, ret = F.col("res"), F.col("callee"), _p(at, "_waiting"), _p(t, "_ret")
-    of = lambda *actions: base.where(F.col("action").isin(*actions))
-    has_target = lambda d: d.where("target is not null")
+    action = F.col("action")
     about = {"span": F.col("span"), "thread": F.col("tid"), "res": res}
-    parts = []
-
-    def step(d: DataFrame, label, takes: list = (), gives: list = (), **more) -> None:
-        parts.append(_emit(d, _trans(n, t, label, **{**about, **more}), _arc(n, at, t), *[_arc(n, p, t, w) for p, w in takes], *[_arc(n, t, p, w) for p, w in gives]))
-        parts.append(_emit(has_target(d), _arc(n, t, to)))
-
-    step(of("plain"), "Goto")
-    d = of("panic")
-    parts.append(_emit(d, _trans(n, t, "Panic", span=F.col("span")), _arc(n, at, t), _arc(n, t, F.lit(f"{entry}_end"))))
-    step(of("mutex_lock"), "Lock", [(res, 1)])
-    step(of("read_lock"), "RwLockRead", [(res, 1)])
-    step(of("write_lock"), "RwLockWrite", [(res, 1 if semantics == "compat" else 10)])
-    step(of("unlock_mutex", "unlock_read"), "Unlock", gives=[(res, 1)])
-    step(of("unlock_write"), "Unlock", gives=[(res, 10)])
-    step(of("notify"), "Notify", gives=[(res, 1)])
-    step(of("send"), "Function", gives=[(res, 1)])
-    step(of("recv"), "Function", [(res, 1)])
-    # a normal call waits for its callee's end
-    d = of("normal")
-    parts.append(_emit(d, _place(n, wait), _trans(n, t, "Function", span=F.col("span")), _arc(n, at, t), _arc(n, t, _p(callee, "_start")), _arc(n, t, wait), _trans(n, ret, "Function"), _arc(n, _p(callee, "_end"), ret), _arc(n, wait, ret)))
-    parts.append(_emit(has_target(d), _arc(n, ret, to)))
-    # waiting gives the lock back and takes it again with the notification
-    d = of("wait")
-    parts.append(_emit(d, _place(n, wait), _trans(n, t, "Wait", res=res), _arc(n, at, t), _arc(n, t, F.col("res2")), _arc(n, t, wait), _trans(n, ret, "Wait", res=res), _arc(n, wait, ret), _arc(n, res, ret), _arc(n, F.col("res2"), ret)))
-    parts.append(_emit(has_target(d), _arc(n, ret, to)))
-    step(of("spawn", "scope_spawn"), "Spawn", gives=[(_p(callee, "_start"), 1)], var=callee)
-    step(of("join", "scope_join"), "Join", [(_p(callee, "_end"), 1)], var=callee)
+    only = lambda when, *rows: [F.when(when, r) for r in rows]
+    rows: list[Column] = []
+
+    def step(actions: list[str], label, takes: list = (), gives: list = (), goes_on: bool = True, **more) -> None:
+        """One transition from the call's block, with what it takes and gives besides, and on to the target."""
+        when = action.isin(*actions)
+        rows.extend(only(when, _trans(n, t, label, **{**about, **more}), _arc(n, at, t), *[_arc(n, p, t, w) for p, w in takes], *[_arc(n, t, p, w) for p, w in gives]))
+        if goes_on:
+            rows.extend(only(when & F.col("target").isNotNull(), _arc(n, t, to)))
+
+    def waiting(name: str, go: Column, back: Column, out: list, into: list) -> None:
+        """Two transitions, with a place between in which the caller waits; ``out`` is given by the first one, ``into`` taken by the second."""
+        when = action == name
+        rows.extend(only(when, _place(n, wait), go, _arc(n, at, t), _arc(n, t, wait), *[_arc(n, t, p) for p in out], back, _arc(n, wait, ret), *[_arc(n, p, ret) for p in into]))
+        rows.extend(only(when & F.col("target").isNotNull(), _arc(n, ret, to)))
+
+    step(["plain"], "Goto")
+    step(["panic"], "Panic", gives=[(F.lit(f"{entry}_end"), 1)], goes_on=False, res=None, thread=None)
+    step(["mutex_lock"], "Lock", [(res, 1)])
+    step(["read_lock"], "RwLockRead", [(res, 1)])
+    step(["write_lock"], "RwLockWrite", [(res, 1 if semantics == "compat" else 10)])
+    step(["unlock_mutex", "unlock_read"], "Unlock", gives=[(res, 1)])
+    step(["unlock_write"], "Unlock", gives=[(res, 10)])
+    step(["notify"], "Notify", gives=[(res, 1)])
+    step(["send"], "Function", gives=[(res, 1)])
+    step(["recv"], "Function", [(res, 1)])
+    # a normal call waits for its callee's end; waiting gives the lock back and takes it again with the notification
+    waiting("normal", _trans(n, t, "Function", span=F.col("span")), _trans(n, ret, "Function"), [_p(callee, "_start")], [_p(callee, "_end")])
+    waiting("wait", _trans(n, t, "Wait", res=res), _trans(n, ret, "Wait", res=res), [F.col("res2")], [res, F.col("res2")])
     # all of several callees start at once, and the join waits for all of their ends
-    d = of("rayon_join")
-    parts.append(_emit(d, _place(n, wait), _trans(n, t, "Spawn"), _arc(n, at, t), _arc(n, t, wait), _trans(n, ret, "Join"), _arc(n, wait, ret)))
-    each = d.select("*", F.explode("callees").alias("c"))
-    parts.append(_emit(each, _arc(n, t, _p(F.col("c"), "_start")), _arc(n, _p(F.col("c"), "_end"), ret)))
-    parts.append(_emit(has_target(d), _arc(n, ret, to)))
-    step(of("async_spawn"), "AsyncSpawn", gives=[(_p(callee, "_ready"), 1)], var=callee)
-    step(of("async_join"), "AsyncJoin", [(_p(callee, "_completed"), 1)], var=callee)
-    label = F.when(F.col("action") == "atomic_load", "AtomicLoad").when(F.col("action") == "atomic_store", "AtomicStore").otherwise("AtomicCmpXchg")
-    step(of("atomic_load", "atomic_store", "atomic_cas"), label, [(res, 1)], [(res, 1)], var=res, ordering=F.col("ordering"))
-    step(of("unsafe_read"), "UnsafeRead", [(res, 1)], [(res, 1)], var=res)
-    step(of("unsafe_write"), "UnsafeWrite", [(res, 1)], [(res, 1)], var=res)
-    return reduce(DataFrame.union, parts)
+    waiting("rayon_join", _trans(n, t, "Spawn"), _trans(n, ret, "Join"), [], [])
+    step(["spawn", "scope_spawn"], "Spawn", gives=[(_p(callee, "_start"), 1)], var=callee)
+    step(["join", "scope_join"], "Join", [(_p(callee, "_end"), 1)], var=callee)
+    step(["async_spawn"], "AsyncSpawn", gives=[(_p(callee, "_ready"), 1)], var=callee)
+    step(["async_join"], "AsyncJoin", [(_p(callee, "_completed"), 1)], var=callee)
+    label = F.when(action == "atomic_load", "AtomicLoad").when(action == "atomic_store", "AtomicStore").otherwise("AtomicCmpXchg")
+    step(["atomic_load", "atomic_store", "atomic_cas"], label, [(res, 1)], [(res, 1)], var=res, ordering=F.col("ordering"))
+    step(["unsafe_read"], "UnsafeRead", [(res, 1)], [(res, 1)], var=res)
+    step(["unsafe_write"], "UnsafeWrite", [(res, 1)], [(res, 1)], var=res)
+    several = F.when(action == "rayon_join", F.coalesce("callees", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    starts = F.transform(several, lambda c: _arc(n, t, F.concat(c, F.lit("_start"))))
+    ends = F.transform(several, lambda c: _arc(n, F.concat(c, F.lit("_end")), ret))
+    # one pass over the calls: each row gives the rows of its own action
+    return base.select(F.inline(F.concat(F.filter(F.array(*rows), lambda r: r.isNotNull()), starts, ends)))
 
 
 def task_rows(tasks: DataFrame) -> DataFrame:

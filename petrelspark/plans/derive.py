@@ -69,6 +69,33 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select((F.col("user_id") * 1000 + _k()).alias("site"), F.col("event_id").alias("endpoint"), F.when(F.col("event_type").isin("view", "click"), "sender").otherwise("receiver").alias("role"))
 
 
+def spread(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """(key, name): every order with one of the names, in turn by its key; so inputs that are texts or programs grow with the table."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("o_orderkey") % len(names) + 1).cast("int")).alias("name"))
+
+
+def spread_sql(names: list[str]) -> str:
+    return "spread AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, ([" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + "])[CAST(o_orderkey % " + str(len(names)) + " + 1 AS INTEGER)] AS name FROM orders)"
+
+
+def renamed(rows: DataFrame, given: DataFrame, column: str = "net_id") -> DataFrame:
+    """The rows of what has the name in ``column``, once for each key that has it; the key takes the name's place."""
+    keys = given.withColumnsRenamed({"key": "given_key", "name": "given_name"})
+    return keys.join(F.broadcast(rows), F.col("given_name") == F.col(column)).select(*[F.col("given_key").alias(c) if c == column else F.col(c) for c in rows.columns])
+
+
+def function_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a pointer constraint in its customer's function, of all four kinds, over five variables."""
+    kind = "case o_orderstatus when 'F' then 'Address' when 'O' then 'Copy' else if(o_orderkey % 2 = 0, 'Load', 'Store') end as kind"
+    return table(spark, sf_dir, "orders").selectExpr("concat('c', o_custkey) as func", "concat('v', o_orderkey % 5) as src", "concat('v', (o_orderkey div 5) % 5) as dst", kind)
+
+
+def customer_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a call from its customer to another one: (src, dst)."""
+    n = max(1, table(spark, sf_dir, "customer").count())
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 31 + F.col("o_custkey")) % n).alias("dst"))
+
+
 K = "CAST(regexp_extract(props, '\"k\": *(\\d+)', 1) AS INTEGER)"
 SQL = {
     "trace": f"trace AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS idx, CAST(user_id % 8 AS INTEGER) AS tid, CAST({K} % 16 AS VARCHAR) AS var, CASE WHEN event_type IN ('view', 'click') THEN 'load' ELSE 'store' END AS kind FROM events WHERE event_type <> 'error')",
@@ -76,6 +103,8 @@ SQL = {
     "calls": "calls AS (SELECT CAST(o_custkey % 997 AS INTEGER) AS caller, CAST((o_orderkey * 31 + o_custkey) % 997 AS INTEGER) AS callee, CASE o_orderpriority WHEN '1-URGENT' THEN 'spawn' WHEN '2-HIGH' THEN 'scope_spawn' ELSE 'direct' END AS site_kind, CAST(o_orderkey AS VARCHAR) AS location, CAST(o_orderkey % 3 AS INTEGER) AS dest_local FROM orders)",
     "lock_links": "lock_links AS (SELECT o_custkey AS a, CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 10000000000 + o_orderkey // 2 ELSE 20000000000 + o_orderkey END AS b FROM orders)",
     "constraints": "cons AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'Address' ELSE 'Copy' END AS kind, CASE o_orderstatus WHEN 'F' THEN 'a' || (o_orderkey % 211) ELSE 'v' || (o_custkey % 211) END AS src, CASE o_orderstatus WHEN 'F' THEN 'v' || (o_custkey % 211) ELSE 'v' || (o_orderkey % 211) END AS dst FROM orders)",
+    "function_constraints": "cons AS (SELECT 'c' || o_custkey AS func, 'v' || (o_orderkey % 5) AS src, 'v' || ((o_orderkey // 5) % 5) AS dst, CASE o_orderstatus WHEN 'F' THEN 'Address' WHEN 'O' THEN 'Copy' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'Load' ELSE 'Store' END END AS kind FROM orders)",
+    "customer_calls": "edges AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31 + o_custkey) % greatest((SELECT count(*) FROM customer), 1) AS dst FROM orders)",
     "memory_ops": f"memory_ops AS (SELECT user_id AS state, {K} % 16 AS var, CASE WHEN event_type IN ('view', 'click') THEN 'load' ELSE 'store' END AS kind, (['Relaxed', 'Release', 'Acquire', 'AcqRel', 'SeqCst'])[CAST(event_id % 5 AS INTEGER) + 1] AS ordering, lpad(CAST(event_id AS VARCHAR), 12, '0') AS span FROM events WHERE event_type <> 'error')",
     "endpoints": f"endpoints AS (SELECT user_id * 1000 + {K} AS site, event_id AS endpoint, CASE WHEN event_type IN ('view', 'click') THEN 'sender' ELSE 'receiver' END AS role FROM events)",
 }

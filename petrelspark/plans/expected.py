@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from petrelspark.plans import derive
+
 #: query -> columns, rows.
 ROWS: dict[str, tuple[str, list[tuple]]] = {
     "reach_truncated": ("net_id, states, edges, deadlocks, truncated", [
@@ -204,6 +206,9 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         ('app::work', 7, 'plain', None, None, None, None, None),
         ('app::work', 8, 'plain', None, None, None, None, None),
         ('app::work', 9, 'recv', None, 'ch', None, None, None),
+        ('app::work', 10, 'plain', None, None, None, None, None),
+        ('app::work', 11, 'mutex_lock', None, 'A', None, None, None),
+        ('app::work', 12, 'panic', None, None, None, None, None),
     ]),
     "collect_call_edges": ("caller, callee, site_kind, location", [
         ('main', 'app::helper', 'direct', 'bb1'),
@@ -215,6 +220,7 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
     "collect_resources": ("func, local, what", [
         ('app::work', '_4', 'guard Std mutex'),
         ('app::work', '_5', 'guard ParkingLot write'),
+        ('app::work', '_21', 'guard Std mutex'),
         ('main', '_8', 'condvar'),
         ('app::work', '_6', 'mpsc.sender u32'),
         ('app::work', '_9', 'mpsc.receiver u32'),
@@ -232,3 +238,10 @@ def sql(name: str) -> str:
     """The rows of a query as ``VALUES``."""
     columns, rows = ROWS[name]
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) v({columns.replace('end', chr(34) + 'end' + chr(34))})"
+
+
+def spread(name: str, names: list[str], column: str = "net_id") -> str:
+    """The rows of a query whose inputs are dealt to the orders by ``derive.spread``; without ``column`` among them they hold for every order."""
+    own = column in [c.strip() for c in ROWS[name][0].split(",")]
+    rest = f"e.* EXCLUDE ({column})" if own else "e.*"
+    return f"WITH {derive.spread_sql(names)}, e AS ({sql(name)}) SELECT key AS {column}, {rest} FROM e JOIN spread ON {f'e.{column} = spread.name' if own else 'true'}"

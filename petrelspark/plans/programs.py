@@ -63,11 +63,11 @@ def _literal(x) -> str:
     return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
 
 
-def sql_facts(programs: dict[str, tuple[list[str], dict[str, list[str]]]] = PROGRAMS) -> str:
-    """Common table expressions of the same rows: functions, blocks, calls, resources."""
+def sql_facts(programs: dict[str, tuple[list[str], dict[str, list[str]]]] = PROGRAMS, prefix: str = "") -> str:
+    """Common table expressions of the same rows: functions, blocks, calls, resources, with a prefix before their names."""
     names = [[c.strip().split(" ")[0] for c in s.split(", ")] for s in (FUNCTIONS, BLOCKS, CALLS, RESOURCES)]
     values = lambda some: ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in some)
-    return ",\n".join(f"{t}({', '.join(n)}) AS (VALUES {values(r)})" for t, n, r in zip(("functions", "blocks", "calls", "resources"), names, rows(programs), strict=True))
+    return ",\n".join(f"{prefix}{t}({', '.join(n)}) AS (VALUES {values(r)})" for t, n, r in zip(("functions", "blocks", "calls", "resources"), names, rows(programs), strict=True))
 
 
 #: The net of the facts, by text ids: what each kind of step takes and gives, as a table.

@@ -105,8 +105,9 @@ APP = {
     "locals": ("net_id string, func string, local string, ty string", [
         ("app", "main", "_1", "std::sync::Arc<std::sync::Mutex<i32>>"), ("app", "main", "_2", "{closure@app::work}"), ("app", "main", "_3", "std::thread::JoinHandle<()>"), ("app", "main", "_8", "std::sync::Condvar"),
         ("app", "app::work", "_4", "std::sync::MutexGuard<'_, i32>"), ("app", "app::work", "_5", "parking_lot::RwLockWriteGuard<'_, u8>"), ("app", "app::work", "_6", "std::sync::mpsc::Sender<u32>"), ("app", "app::work", "_7", "tokio::sync::MutexGuard<'_, i32>"), ("app", "app::work", "_9", "std::sync::mpsc::Receiver<u32>"),
+        ("app", "app::work", "_20", "std::result::Result<std::sync::MutexGuard<'_, i32>, std::sync::PoisonError<std::sync::MutexGuard<'_, i32>>>"), ("app", "app::work", "_21", "std::sync::MutexGuard<'_, i32>"),
     ]),
-    "owners": ("net_id string, func string, local string, res string", [("app", "main", "_8", "C"), ("app", "app::work", "_4", "A"), ("app", "app::work", "_5", "R"), ("app", "app::work", "_6", "ch"), ("app", "app::work", "_9", "ch"), ("app", "app::work", "_1", "flag"), ("app", "main", "_4", "A")]),
+    "owners": ("net_id string, func string, local string, res string", [("app", "main", "_8", "C"), ("app", "app::work", "_4", "A"), ("app", "app::work", "_5", "R"), ("app", "app::work", "_6", "ch"), ("app", "app::work", "_9", "ch"), ("app", "app::work", "_1", "flag"), ("app", "main", "_4", "A"), ("app", "app::work", "_21", "A")]),
     "sites": ("net_id string, func string, bb int, target int, name string, args array<string>, dest string, span string", [
         ("app", "main", 0, 1, "std::thread::spawn", ["move _2"], "_3", "m:0"), ("app", "main", 1, 2, "app::helper", ["copy _1"], "_9", "m:1"), ("app", "main", 2, 3, "std::sync::Condvar::notify_one", ["copy _8"], "_10", "m:2"),
         ("app", "main", 3, 4, "std::thread::JoinHandle::join", ["move _3"], "_11", "m:3"), ("app", "main", 4, 5, None, ["copy _1"], "_12", "m:4"), ("app", "main", 5, None, "core::panicking::panic", ["const 1"], "_13", "m:5"),
@@ -115,6 +116,7 @@ APP = {
         ("app", "app::work", 3, 4, "std::sync::atomic::AtomicUsize::store", ["copy _1", "const 7", "Ordering::Release"], "_11", "w:3"), ("app", "app::work", 4, 5, "std::sync::atomic::AtomicUsize::load", ["copy _1", "Ordering::Relaxed"], "_12", "w:4"),
         ("app", "app::work", 5, 6, "std::mem::drop", ["move _4"], "_13", "w:5"), ("app", "app::work", 6, 7, "std::mem::drop", ["move _5"], "_14", "w:6"), ("app", "app::work", 7, 8, "std::mem::drop", ["move _6"], "_15", "w:7"), ("app", "app::work", 8, 9, "app::unknown", [], "_16", "w:8"),
         ("app", "app::work", 9, 10, "std::sync::mpsc::Receiver::recv", ["copy _9"], "_17", "w:9"),
+        ("app", "app::work", 10, 11, "std::sync::Mutex::<i32>::lock", ["copy _1"], "_20", "w:10"), ("app", "app::work", 11, 12, "std::result::Result::<T, E>::unwrap", ["move _20"], "_21", "w:11"), ("app", "app::work", 12, None, "std::process::exit", ["const 1"], "_22", "w:12"),
     ]),
     "statements": ("net_id string, func string, bb int, seq int, local string, deref boolean, raw boolean, write boolean, span string", [("app", "app::helper", 0, 0, "_1", True, True, False, "h:0"), ("app", "app::helper", 0, 1, "_1", True, True, True, "h:1"), ("app", "app::helper", 1, 0, "_2", True, False, True, "h:2"), ("app", "app::helper", 2, 0, "_1", False, True, True, "h:3")]),
 }
