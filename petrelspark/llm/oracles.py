@@ -59,15 +59,72 @@ OP7_SENTENCES = [
     ('This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.', 'Gpl3Plus'),
     ('This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.', 'MplRef'),
     ('If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.', 'MplUrl'),
+    ('This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.', 'Lgpl21Plus'),
+    ('This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.', 'Lgpl3Plus'),
+    ('This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.', 'Lgpl3Plus'),
+    ('This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.', 'Agpl3Plus'),
+    ('This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.', 'Agpl3Ref'),
+    ('This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.', 'GplHope'),
+    ('This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.', 'GplHope'),
+    ('Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.', 'IscGrant'),
+    ('Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.', 'IscGrant'),
+    ('Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.', 'ZeroBsdGrant'),
+    ('This is free and unencumbered software released into the public domain.', 'UnlicenseDomain'),
+    ('Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.', 'UnlicenseFree'),
+    ('Distributed under the Boost Software License, Version 1.0.', 'BoostRef'),
+    ('This software is provided \'as-is\', without any express or implied warranty.', 'ZlibAsIs'),
+    ('Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:', 'ZlibGrant'),
+    ('This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0', 'Epl1Ref'),
+    ('This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0', 'Epl2Ref'),
+    ('Licensed under the Apache License, Version 2.0 or the MIT license, at your option.', 'MitOrApache'),
+    ('Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.', 'BsdEndorse'),
+    ('The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.', 'BsdEndorse'),
+    ('To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.', 'Cc0Waiver'),
 ]
 OP7_RULES = """
     MIT: MitGrant MitNotice AsIs; MIT: MitGrant MitNotice; MIT: MitRef; BSD-3-Clause: BsdPre BsdSource BsdBinary BsdEndorse BsdAsIs;
-    BSD-3-Clause: BsdPre BsdSource BsdBinary BsdEndorse; BSD-2-Clause: BsdPre BsdSource BsdBinary BsdAsIs; BSD-2-Clause: BsdPre BsdSource BsdBinary; BSD-3-Clause: Bsd3Ref;
+    BSD-3-Clause: BsdPre BsdSource BsdBinary BsdEndorse; BSD-2-Clause: BsdPre BsdSource BsdBinary BsdAsIs; UNMATCHED: BsdPre BsdSource BsdBinary Other; BSD-2-Clause: BsdPre BsdSource BsdBinary; BSD-3-Clause: Bsd3Ref;
     BSD: BsdRef; Apache-2.0: ApacheRef ApacheUse ApacheUrl; Apache-2.0: ApacheRef; GPL-2.0-or-later: Gpl2Plus GplHope;
     GPL-2.0-or-later: Gpl2Plus; GPL-3.0-or-later: Gpl3Plus GplHope; GPL-3.0-or-later: Gpl3Plus; GPL-2.0-only: Gpl2Ref;
     GPL-3.0-only: Gpl3Ref; MPL-2.0: MplRef MplUrl; MPL-2.0: MplRef; CC-BY-SA-4.0: CcBySaRef;
     CC-BY-NC-4.0: CcByNcRef; CC-BY-4.0: CcByRef;
+    ISC: IscGrant AsIs; ISC: IscGrant; 0BSD: ZeroBsdGrant; Unlicense: UnlicenseDomain UnlicenseFree; Unlicense: UnlicenseDomain; BSL-1.0: BoostRef; Zlib: ZlibAsIs ZlibGrant; EPL-1.0: Epl1Ref; EPL-2.0: Epl2Ref; LGPL-2.1-or-later: Lgpl21Plus GplHope; LGPL-2.1-or-later: Lgpl21Plus; LGPL-3.0-or-later: Lgpl3Plus GplHope; LGPL-3.0-or-later: Lgpl3Plus; AGPL-3.0-or-later: Agpl3Plus GplHope; AGPL-3.0-or-later: Agpl3Plus; AGPL-3.0-only: Agpl3Ref GplHope; AGPL-3.0-only: Agpl3Ref; MIT OR Apache-2.0: MitOrApache; CC0-1.0: Cc0Waiver;
 """
+OP7_SPDX = [
+    ('MIT', 'MIT'),
+    ('Apache-2.0', 'Apache-2.0'),
+    ('BSD-2-Clause', 'BSD-2-Clause'),
+    ('BSD-3-Clause', 'BSD-3-Clause'),
+    ('0BSD', '0BSD'),
+    ('ISC', 'ISC'),
+    ('Zlib', 'Zlib'),
+    ('BSL-1.0', 'BSL-1.0'),
+    ('Unlicense', 'Unlicense'),
+    ('CC0-1.0', 'CC0-1.0'),
+    ('CC-BY-4.0', 'CC-BY-4.0'),
+    ('CC-BY-SA-4.0', 'CC-BY-SA-4.0'),
+    ('GPL-2.0', 'GPL-2.0'),
+    ('GPL-2.0-only', 'GPL-2.0-only'),
+    ('GPL-2.0-or-later', 'GPL-2.0-or-later'),
+    ('GPL-3.0', 'GPL-3.0'),
+    ('GPL-3.0-only', 'GPL-3.0-only'),
+    ('GPL-3.0-or-later', 'GPL-3.0-or-later'),
+    ('LGPL-2.1', 'LGPL-2.1'),
+    ('LGPL-2.1-only', 'LGPL-2.1-only'),
+    ('LGPL-2.1-or-later', 'LGPL-2.1-or-later'),
+    ('LGPL-3.0', 'LGPL-3.0'),
+    ('LGPL-3.0-only', 'LGPL-3.0-only'),
+    ('LGPL-3.0-or-later', 'LGPL-3.0-or-later'),
+    ('AGPL-3.0', 'AGPL-3.0'),
+    ('AGPL-3.0-only', 'AGPL-3.0-only'),
+    ('AGPL-3.0-or-later', 'AGPL-3.0-or-later'),
+    ('MPL-2.0', 'MPL-2.0'),
+    ('EPL-1.0', 'EPL-1.0'),
+    ('EPL-2.0', 'EPL-2.0'),
+    ('WTFPL', 'WTFPL'),
+    ('MIT OR Apache-2.0', 'MIT OR Apache-2.0'),
+    ('Apache-2.0 OR MIT', 'MIT OR Apache-2.0'),
+]
 
 
 def op7() -> str:
@@ -83,7 +140,16 @@ def op7() -> str:
     laid = "low"
     for pattern, by in steps:
         laid = f"regexp_replace({laid}, '{pattern}', {'chr(10)' if by == chr(10) else _text(by)}, 'g')"
-    keys = {keyed(s): i for s, i in OP7_SENTENCES}
+    keys = {keyed(s): i for s, i in OP7_SENTENCES} | {keyed("SPDX-License-Identifier: " + x): f"Spdx{n}" for n, (x, _) in enumerate(OP7_SPDX)}
+    word = "(?: |L)[a-z0-9]+"
+    slots = [
+        (f"neither( |L)the( |L)names?( |L)of(?:{word}){{1,16}}?( |L)nor( |L)the( |L)names( |L)of( |L)(its|their|any)( |L)contributors", "neither the name of the copyright holder nor the names of its contributors"),
+        (f"this( |L)software( |L)is( |L)provided( |L)by(?:{word}){{1,12}}?( |L)as( |L)is( |L)and( |L)any", "this software is provided by the copyright holders and contributors as is and any"),
+        (f"the( |L)authors?(?:{word}){{0,8}}?( |L)(has|have)( |L)waived", "the author has waived"),
+    ]
+    laid = f"trim({laid})"
+    for pattern, by in slots:
+        laid = f"regexp_replace({laid}, '{pattern}', '{by}', 'g')"
     breaks = {" ": "(?: |LL)", "S": "(?: |LL|SS)", "P": "(?: |LL|SS|PP)"}
     some = "|".join("".join(breaks.get(c, c) for c in k) for k in sorted(keys, key=len, reverse=True))
     known = ", ".join(f"({_text(re.sub('[SLP]', ' ', k))}, {_text(i)})" for k, i in keys.items())
@@ -92,20 +158,24 @@ def op7() -> str:
         if rule.strip():
             name, ids = rule.strip().split(": ")
             read = f"replace({read}, '{''.join(f',{i},' for i in ids.split(' '))}', '={name}=')"
+    for n, (_, name) in enumerate(OP7_SPDX):
+        read = f"replace({read}, ',Spdx{n},', '={name}=')"
+    read = f"replace({read}, ',Other,', '')"
     mention = "licen[sc]e|permission|copyright|redistribut|warranty|software|mpl|rights reserved"
     return rf"""
 WITH known(sentence, id) AS (SELECT DISTINCT * FROM (VALUES {known}) v(a, b)),
 cut AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
-out AS (SELECT doc_id, low, 'P' || regexp_replace(trim({laid}), '([SLP])', '\1\1', 'g') || 'P' AS t FROM cut WHERE regexp_matches(low, '{mention}')),
-hit AS (SELECT doc_id, regexp_extract_all(t, '[SLP]({some})[SLP]', 1) AS h FROM out),
-part AS (SELECT doc_id, generate_subscripts(h, 1) AS k, regexp_replace(unnest(h), '(SS|LL|PP)', ' ', 'g') AS sentence FROM hit),
-seqs AS (SELECT doc_id, string_agg(id, ',' ORDER BY k) AS sentence_ids, string_agg(',' || id || ',', '' ORDER BY k) AS seq, count(*) AS n FROM part JOIN known USING (sentence) GROUP BY doc_id),
+out AS (SELECT doc_id, low, 'P' || regexp_replace({laid}, '([SLP])', '\1\1', 'g') || 'P' AS t FROM cut WHERE regexp_matches(low, '{mention}')),
+hit AS (SELECT doc_id, string_split(regexp_replace(t, '[SLP]({some})[SLP]', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS h FROM out),
+part AS (SELECT doc_id, generate_subscripts(h, 1) AS k, unnest(h) AS p FROM hit),
+told AS (SELECT doc_id, k, CASE WHEN k % 2 = 0 THEN id WHEN regexp_matches(p, '[a-z][a-z0-9]*( |LL)[a-z0-9]+( |LL)[a-z0-9]+') THEN 'Other' END AS id FROM part LEFT JOIN known ON sentence = regexp_replace(p, '(SS|LL|PP)', ' ', 'g')),
+seqs AS (SELECT doc_id, string_agg(id, ',' ORDER BY k) FILTER (id <> 'Other') AS sentence_ids, string_agg(',' || id || ',', '' ORDER BY k) AS seq, nullif(count(*) FILTER (id <> 'Other'), 0) AS n FROM told WHERE id IS NOT NULL GROUP BY doc_id),
 ruled AS (SELECT doc_id, sentence_ids, n, {read} AS r FROM seqs),
 named AS (SELECT doc_id, sentence_ids, n, r, regexp_extract_all(r, '=([^=,]+)=', 1) AS hits FROM ruled),
 uniq AS (SELECT *, list_filter(hits, lambda x, i: list_position(hits, x) = i) AS names FROM named)
 SELECT c.doc_id, coalesce(sentence_ids, '') AS sentence_ids,
   CASE WHEN n IS NULL THEN CASE WHEN regexp_matches(low, 'licen[sc]e') THEN 'UNKNOWN' ELSE '' END
-    WHEN regexp_matches(r, ',[A-Za-z0-9]+,') THEN array_to_string(list_append(names, 'UNMATCHED'), ',') ELSE array_to_string(names, ',') END AS licenses,
+    WHEN regexp_matches(r, ',[A-Za-z0-9]+,') AND NOT list_contains(names, 'UNMATCHED') THEN array_to_string(list_append(names, 'UNMATCHED'), ',') ELSE array_to_string(names, ',') END AS licenses,
   CAST(coalesce(n, 0) AS BIGINT) AS n_sentences
 FROM cut c LEFT JOIN uniq USING (doc_id)
 """

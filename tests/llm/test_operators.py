@@ -474,6 +474,13 @@ def test_every_license_from_its_notice(spark):
         apache: ("ApacheRef,ApacheUse,ApacheUrl", "Apache-2.0"), comment(apache, " *"): ("ApacheRef,ApacheUse,ApacheUrl", "Apache-2.0"), apache.replace("http:", "https:"): ("ApacheRef,ApacheUse,ApacheUrl", "Apache-2.0"),
         mpl: ("MplRef", "MPL-2.0"), mpl + mpl_url.format("http"): ("MplRef,MplUrl", "MPL-2.0"), comment(mpl + mpl_url.format("https"), "//"): ("MplRef,MplUrl", "MPL-2.0"),
     }
+    cases |= {f"SPDX-License-Identifier: {x}": (f"Spdx{k}", name) for k, (x, name) in enumerate(licenses.SPDX.items())}
+    by_first = {rule: name for name, rule in licenses.RULES for rule in [tuple(rule)]}
+    written = {i: n for n, i in reversed(licenses.NOTICES)}
+    for rule, name in by_first.items():  # notices that have come since, alone and in the sequences of their rules
+        if not any(i in licenses.SENTENCES.values() or i.startswith("Spdx") for i in rule[:1]):
+            cases["\n".join(written[i] for i in rule)] = (",".join(rule), name)
+    cases[BSD_TEXT + "\nAnd one more condition that nobody knows."] = ("BsdPre,BsdSource,BsdBinary", "UNMATCHED")
     assert scanned(spark, cases) == list(cases.values())
     fired = {i for ids, _ in cases.values() for i in ids.split(",")}
-    assert fired == set(licenses.SENTENCES.values()) and {tuple(r) for _, r in licenses.RULES} <= {tuple(ids.split(",")) for ids, _ in cases.values()}
+    assert fired >= set(licenses.SENTENCES.values()) | {i for _, i in licenses.NOTICES} and {tuple(i for i in r if i != "Other") for _, r in licenses.RULES} <= {tuple(ids.split(",")) for ids, _ in cases.values()}
