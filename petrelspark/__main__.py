@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from petrelspark.plans.analysis import analyse
 from petrelspark.plans.net import Net
 from petrelspark.plans.settings import MODES, STAGES, Settings
-from petrelspark.sources import mir, sinks
+from petrelspark.sources import mir, mir_program, sinks
+from petrelspark.staging import scope, stage
 
 
 def net_of(rows: dict[str, DataFrame]) -> Net:
@@ -42,10 +43,18 @@ def main(arguments: list[str] | None = None) -> None:
     a = p.parse_args(arguments)
     spark = SparkSession.builder.appName("petrelspark").getOrCreate()
     semantics = "compat" if a.compat else "strict"
-    net = sinks.read_net(spark, a.path) if a.net else net_of(mir.net_rows(mir.read(spark, a.path), semantics=semantics))
-    for name, report in analyse(net, a.mode, Settings.load(a.settings), a.until, semantics).items():
-        sinks.write_report(report, f"{a.out}/{name}")
-    sinks.write_net(net, f"{a.out}/net")
+    with scope(spark):
+        if a.net:
+            net = sinks.read_net(spark, a.path)
+        else:
+            texts = mir.read(spark, a.path)
+            # compat: locks within functions; else all functions with spawns, calls, locks, channels and atomic variables
+            net = net_of(mir.net_rows(texts, semantics=semantics)) if a.compat else mir_program.program_net(texts, semantics=semantics)
+            net = Net(stage(net.places, "places"), stage(net.transitions, "transitions"), stage(net.arcs, "arcs"))
+            sinks.write_report(mir.unknown_heads(texts, semantics), f"{a.out}/warnings")
+        for name, report in analyse(net, a.mode, Settings.load(a.settings), a.until, semantics).items():
+            sinks.write_report(report, f"{a.out}/{name}")
+        sinks.write_net(net, f"{a.out}/net")
 
 
 if __name__ == "__main__":

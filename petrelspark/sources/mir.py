@@ -24,10 +24,16 @@ def _after(s, mark: str) -> Column:
     return F.trim(F.when(F.instr(s, mark) > 0, F.substring(s, F.instr(s, mark) + len(mark), F.length(s))).otherwise(""))
 
 
-def function_name(s: Column) -> Column:
-    """The name in ``fn name(arguments) -> type {``; null in any other line."""
+def function_name(s: Column, semantics: str = "strict") -> Column:
+    """The name in ``fn name(arguments) -> type {``, also of methods and closures; null in any other line.  ``compat`` knows plain words alone."""
     name = _before(F.substring(s, F.lit(4), F.length(s)), "(")
-    return F.when(s.startswith("fn ") & s.endswith("{") & s.contains("->") & name.rlike(_WORD), name)
+    return F.when(s.startswith("fn ") & s.endswith("{") & s.contains("->") & (name.rlike(_WORD) if semantics == "compat" else name != ""), name)
+
+
+def unknown_heads(texts: DataFrame, semantics: str = "strict") -> DataFrame:
+    """(path, line, s): lines that begin a function and are not understood, such as heads over several lines."""
+    at = texts.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("path", (F.col("pos") + 1).alias("line"), F.trim("raw").alias("s"))
+    return at.where(F.col("s").startswith("fn ") & function_name(F.col("s"), semantics).isNull())
 
 
 def block_number(s: Column) -> Column:
@@ -76,11 +82,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def lines(texts: DataFrame) -> DataFrame:
+def lines(texts: DataFrame, semantics: str = "strict") -> DataFrame:
     """(path, line, raw, fn, fn_line, bb, cleanup, bb_line): every line with the function and block that it stands in."""
     at = texts.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("path", (F.col("pos") + 1).alias("line"), "raw", F.trim("raw").alias("s"))
     w = Window.partitionBy("path").orderBy("line")
-    at = at.withColumn("fn_here", function_name(F.col("s"))).withColumn("fn", F.last("fn_here", True).over(w)).withColumn("fn_line", F.last(F.when(F.col("fn_here").isNotNull(), F.col("line")), True).over(w))
+    at = at.withColumn("fn_here", function_name(F.col("s"), semantics)).withColumn("fn", F.last("fn_here", True).over(w)).withColumn("fn_line", F.last(F.when(F.col("fn_here").isNotNull(), F.col("line")), True).over(w))
     own = Window.partitionBy("path", "fn_line").orderBy("line")
     at = at.withColumn("bb_here", block_number(F.col("s"))).withColumn("closes", F.col("s") == "}")
     at = at.withColumn("bb", F.last("bb_here", True).over(own)).withColumn("bb_line", F.last(F.when(F.col("bb_here").isNotNull(), F.col("line")), True).over(own)).withColumn("cleanup", F.last(F.when(F.col("bb_here").isNotNull(), F.col("raw").contains("(cleanup)")), True).over(own))
@@ -148,7 +154,7 @@ def net_rows(texts: DataFrame, entry: str = "main", semantics: str = "strict", m
     drop of its guard gives it back.  ``max_fns``: the first so many functions of each file."""
     from petrelspark.staging import settle
 
-    parsed = settle(lines(texts))
+    parsed = settle(lines(texts, semantics))
     if max_fns is not None:
         order = functions(parsed).withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("fn_line"))).where(F.col("k") <= max_fns)
         parsed = parsed.join(order.select("path", "fn_line"), ["path", "fn_line"], "left_semi")
@@ -181,4 +187,7 @@ def net_rows(texts: DataFrame, entry: str = "main", semantics: str = "strict", m
     places = places.union(place(used, name("p_mutex_", "$m", "_free"), name("mutex_", "$m", "_free"), "mutex_free", F.lit(1))).union(place(used, name("p_mutex_", "$m", "_held"), name("mutex_", "$m", "_held"), "mutex_held", none)).distinct()
     reason = F.when(F.col("kind").isNull(), "no terminator found").when((F.col("kind") == "drop") & F.col("held").isNull(), F.concat(F.lit("drop("), "dropped", F.lit(") not in guard binding table"))).when((F.col("kind") == "call") & F.col("locks") & F.col("arg").isNull(), "Mutex::lock call but no local in args").when((F.col("kind") == "call") & ~F.col("locks"), "unrecognized call, treated as CFG edge")
     warnings = t.select("path", F.col("fn").alias("function"), name("bb", "$bb").alias("basic_block"), F.col("bb_line").alias("line"), reason.alias("reason"), F.when(F.col("kind") == "drop", "drop").otherwise(F.col("callee")).alias("callee")).where("reason is not null")
+    none_ = F.lit(None).cast("string")
+    heads = unknown_heads(texts, semantics).select("path", none_.alias("function"), none_.alias("basic_block"), "line", F.lit("function head not understood").alias("reason"), F.substring("s", 1, 200).alias("callee"))
+    warnings = warnings.unionByName(heads)
     return {"places": places, "transitions": trans, "arcs": arcs, "warnings": warnings}

@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +35,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+_scopes: list[str] = []
+
+
 def session_dir(spark: SparkSession) -> str:
-    """The part of the shared folder that holds this session's tables."""
-    return f"{shared_dir(spark)}/petrelspark/{spark.sparkContext.applicationId}"
+    """The part of the shared folder that holds this session's tables, or those of the scope that is open."""
+    return "/".join([f"{shared_dir(spark)}/petrelspark/{spark.sparkContext.applicationId}", *_scopes])
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables that are staged inside go at its end, so a result that reads them has to be written before::
+
+        with scope(spark):
+            deadlocks(explore(net)).write.parquet(path)
+    """
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        try:
+            remove(spark, session_dir(spark))
+        finally:
+            _scopes.pop()
 
 
 def remove(spark: SparkSession, path: str) -> None:
