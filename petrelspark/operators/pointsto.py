@@ -15,13 +15,17 @@ from petrelspark.operators.cycles import strong_components
 from petrelspark.staging import settle
 
 
-def points_to(constraints: DataFrame, allocations: bool = True, max_rounds: int = 10_000) -> DataFrame:
+def points_to(constraints: DataFrame, allocations: bool = True, max_rounds: int = 10_000, fields: bool = False) -> DataFrame:
     """(func, node, target): the least solution.  Rows with a null end are left out.
 
+    ``fields``: a place such as ``_1.0.2`` also points where ``_1.0`` and ``_1`` do, while solving: what they get later reaches it, and is loaded and stored through it.
+
     Nodes that copy to each other have one set, so while solving they are one (``strong_components`` of the copies); facts move along the edges between
     them.  Loads and stores make new copies from the facts of the last round, and what those close to a cycle becomes one in turn."""
     c = settle(constraints.select("func", "src", "dst", "kind").where("src is not null and dst is not null").distinct())
     ends = c.select("func", F.col("src").alias("node")).union(c.select("func", "dst")).distinct()
+    if fields:
+        c = settle(c.unionByName(field_copies(ends)).distinct())
     of = lambda kind: c.where(F.col("kind") == kind).select("func", "src", "dst")
     loads, stores = of("Load"), of("Store")
     copies = settle(c.where("kind in ('Copy', 'AliasCopy')").select("func", "src", "dst").distinct())
@@ -75,11 +79,14 @@ def with_parents(pts: DataFrame) -> DataFrame:
 
 
 def field_copies(places: DataFrame) -> DataFrame:
-    """Copy constraints between places (func, node) of one local whose projections are prefixes of each other."""
-    a, b = places.alias("a"), places.alias("b")
-    local = lambda s: F.substring_index(F.col(f"{s}.node"), ".", 1)
-    same = (F.col("a.func") == F.col("b.func")) & (local("a") == local("b"))
-    return a.join(b, same).where(F.col("b.node").startswith(F.concat(F.col("a.node"), F.lit(".")))).select("a.func", F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.lit("AliasCopy").alias("kind"))
+    """Copy constraints from a place (func, node) to the places of its fields, however deep.
+
+    Every place looks its prefixes up, of which it has as many as fields, so no two places of a local are compared."""
+    parts = F.split("node", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    known = places.select("func", "node").distinct()
+    up = known.where(F.size(parts) > 1).select("func", F.explode(prefixes).alias("src"), F.col("node").alias("dst"))
+    return up.join(known.withColumnRenamed("node", "src"), ["func", "src"], "left_semi").select("func", "src", "dst", F.lit("AliasCopy").alias("kind"))
 
 
 def constraints_of(statements: DataFrame) -> DataFrame:

@@ -90,6 +90,22 @@ def function_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("concat('c', o_custkey) as func", "concat('v', o_orderkey % 5) as src", "concat('v', (o_orderkey div 5) % 5) as dst", kind)
 
 
+def field_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a pointer constraint in its order's function, between places with up to two fields."""
+    place = lambda a, b: f"concat('_', {a} % 3, case l_linenumber % 3 when 0 then '' when 1 then concat('.', {b} % 2) else concat('.', {b} % 2, '.', {a} % 2) end)"
+    kind = "case l_returnflag when 'A' then 'Address' when 'N' then 'Copy' else if(l_linestatus = 'O', 'Load', 'Store') end as kind"
+    return table(spark, sf_dir, "lineitem").selectExpr("concat('o', l_orderkey) as func", f"{place('l_partkey', 'l_suppkey')} as src", f"{place('l_suppkey', 'l_partkey')} as dst", kind)
+
+
+def flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """copies, calls and parameters: customers are functions of two parameters; their orders copy, or call another customer's function."""
+    n = max(1, table(spark, sf_dir, "customer").count())
+    o = table(spark, sf_dir, "orders").selectExpr("concat('c', o_custkey) as func", "o_orderstatus", f"concat('c', (o_orderkey * 31 + o_custkey) % {n}) as callee", "concat('_', o_orderkey % 4) as src", "concat('_', (o_orderkey div 4) % 4) as dst", "concat('_', (o_orderkey div 16) % 4) as dest")
+    calls = o.where("o_orderstatus = 'P'").select("func", "callee", F.array("src", "dst").alias("args"), "dest")
+    functions = o.select("func").union(o.select("callee")).distinct()
+    return o.where("o_orderstatus != 'P'").select("func", "src", "dst"), calls, functions.select("func", F.explode(F.array(F.lit("_1"), F.lit("_2"))).alias("local"))
+
+
 def customer_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a call from its customer to another one: (src, dst)."""
     n = max(1, table(spark, sf_dir, "customer").count())
@@ -104,6 +120,8 @@ SQL = {
     "lock_links": "lock_links AS (SELECT o_custkey AS a, CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 10000000000 + o_orderkey // 2 ELSE 20000000000 + o_orderkey END AS b FROM orders)",
     "constraints": "cons AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'Address' ELSE 'Copy' END AS kind, CASE o_orderstatus WHEN 'F' THEN 'a' || (o_orderkey % 211) ELSE 'v' || (o_custkey % 211) END AS src, CASE o_orderstatus WHEN 'F' THEN 'v' || (o_custkey % 211) ELSE 'v' || (o_orderkey % 211) END AS dst FROM orders)",
     "function_constraints": "cons AS (SELECT 'c' || o_custkey AS func, 'v' || (o_orderkey % 5) AS src, 'v' || ((o_orderkey // 5) % 5) AS dst, CASE o_orderstatus WHEN 'F' THEN 'Address' WHEN 'O' THEN 'Copy' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'Load' ELSE 'Store' END END AS kind FROM orders)",
+    "field_constraints": "cons AS (SELECT DISTINCT 'o' || l_orderkey AS func, '_' || (l_partkey % 3) || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '.' || (l_suppkey % 2) ELSE '.' || (l_suppkey % 2) || '.' || (l_partkey % 2) END AS src, '_' || (l_suppkey % 3) || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '.' || (l_partkey % 2) ELSE '.' || (l_partkey % 2) || '.' || (l_suppkey % 2) END AS dst, CASE l_returnflag WHEN 'A' THEN 'Address' WHEN 'N' THEN 'Copy' ELSE CASE WHEN l_linestatus = 'O' THEN 'Load' ELSE 'Store' END END AS kind FROM lineitem)",
+    "flows": "o AS (SELECT 'c' || o_custkey AS func, o_orderstatus AS status, 'c' || ((o_orderkey * 31 + o_custkey) % greatest((SELECT count(*) FROM customer), 1)) AS callee, '_' || (o_orderkey % 4) AS src, '_' || ((o_orderkey // 4) % 4) AS dst, '_' || ((o_orderkey // 16) % 4) AS dest FROM orders), calls AS (SELECT DISTINCT func, callee, src, dst, dest FROM o WHERE status = 'P'), copies AS (SELECT DISTINCT func, src, dst FROM o WHERE status <> 'P' AND src <> dst), functions AS (SELECT func FROM o UNION SELECT callee FROM o)",
     "customer_calls": "edges AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31 + o_custkey) % greatest((SELECT count(*) FROM customer), 1) AS dst FROM orders)",
     "memory_ops": f"memory_ops AS (SELECT user_id AS state, {K} % 16 AS var, CASE WHEN event_type IN ('view', 'click') THEN 'load' ELSE 'store' END AS kind, (['Relaxed', 'Release', 'Acquire', 'AcqRel', 'SeqCst'])[CAST(event_id % 5 AS INTEGER) + 1] AS ordering, lpad(CAST(event_id AS VARCHAR), 12, '0') AS span FROM events WHERE event_type <> 'error')",
     "endpoints": f"endpoints AS (SELECT user_id * 1000 + {K} AS site, event_id AS endpoint, CASE WHEN event_type IN ('view', 'click') THEN 'sender' ELSE 'receiver' END AS role FROM events)",

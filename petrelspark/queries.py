@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from petrelspark.functions import classify as C
 from petrelspark.functions import markings as M
-from petrelspark.operators import antichain, boundness, closure, collect, cycles, detect, elimination, explore, pointsto, reduce, sequence, sleep, translate
+from petrelspark.operators import antichain, boundness, closure, collect, cycles, detect, elimination, explore, pointsto, reduce, sequence, sleep, summaries, translate
 from petrelspark.plans import derive, expected, fixtures, order_nets, programs, samples
 from petrelspark.plans.net import Net
 from petrelspark.sources import mir, sinks
@@ -680,17 +680,38 @@ def call_components(spark, sf_dir):
     return cycles.strong_components(derive.customer_calls(spark, sf_dir))
 
 
-@query("WITH RECURSIVE " + derive.SQL["function_constraints"] + """, nodes AS (SELECT func, src AS n FROM cons UNION SELECT func, dst FROM cons),
+def _points_to_sql(constraints: str, fields: str = "") -> str:
+    """The least solution by a recursion over facts (p) and copies (c), which join all that is known with all that is known."""
+    return f"""WITH RECURSIVE {constraints}, nodes AS (SELECT func, src AS n FROM cons UNION SELECT func, dst FROM cons),
 t(tag, func, a, b) USING KEY (tag, func, a, b) AS (
-  SELECT 'p', func, n, 'Alloc(' || n || ')' FROM nodes UNION SELECT 'p', func, dst, src FROM cons WHERE kind = 'Address' UNION SELECT 'c', func, src, dst FROM cons WHERE kind = 'Copy'
+  SELECT 'p', func, n, 'Alloc(' || n || ')' FROM nodes UNION SELECT 'p', func, dst, src FROM cons WHERE kind = 'Address' UNION SELECT 'c', func, src, dst FROM cons WHERE kind = 'Copy'{fields}
   UNION (SELECT 'p', r.func, c.b, r.b FROM recurring.t r JOIN recurring.t c ON c.func = r.func AND c.a = r.a WHERE r.tag = 'p' AND c.tag = 'c'
     UNION SELECT 'c', r.func, r.b, l.dst FROM recurring.t r JOIN cons l ON l.func = r.func AND l.src = r.a WHERE r.tag = 'p' AND l.kind = 'Load' AND NOT starts_with(r.b, 'Alloc(')
     UNION SELECT 'c', r.func, l.src, r.b FROM recurring.t r JOIN cons l ON l.func = r.func AND l.dst = r.a WHERE r.tag = 'p' AND l.kind = 'Store' AND NOT starts_with(r.b, 'Alloc(')))
-SELECT func, a AS node, b AS target FROM t WHERE tag = 'p'""")
+SELECT func, a AS node, b AS target FROM t WHERE tag = 'p'"""
+
+
+@query(_points_to_sql(derive.SQL["function_constraints"]))
 def points_to_functions(spark, sf_dir):
     return pointsto.points_to(derive.function_constraints(spark, sf_dir))
 
 
+@query(_points_to_sql(derive.SQL["field_constraints"], " UNION SELECT 'c', a.func, a.n, b.n FROM nodes a JOIN nodes b ON b.func = a.func AND starts_with(b.n, a.n || '.')"))
+def points_to_fields(spark, sf_dir):
+    return pointsto.points_to(derive.field_constraints(spark, sf_dir), fields=True)
+
+
+@query("WITH RECURSIVE " + derive.SQL["flows"] + """, spots AS (SELECT row_number() OVER () AS site, * FROM calls), spot AS (SELECT site, func, callee, '_1' AS inner_, src AS outer_ FROM spots UNION ALL SELECT site, func, callee, '_2', dst FROM spots UNION ALL SELECT site, func, callee, '_0', dest FROM spots),
+sites AS (SELECT a.func, a.callee, a.inner_ AS i, b.inner_ AS j, a.outer_ AS x, b.outer_ AS y FROM spot a JOIN spot b USING (site) WHERE a.inner_ <> '_0' AND a.inner_ <> b.inner_ AND a.outer_ <> b.outer_),
+t(tag, func, a, b) USING KEY (tag, func, a, b) AS (
+  SELECT 'e', func, src, dst FROM copies UNION SELECT 'r', func, p, p FROM functions, (VALUES ('_1'), ('_2')) v(p)
+  UNION (SELECT 'r', r.func, r.a, e.b FROM recurring.t r JOIN recurring.t e ON e.func = r.func AND e.a = r.b WHERE r.tag = 'r' AND e.tag = 'e'
+    UNION SELECT 'e', s.func, s.x, s.y FROM recurring.t r JOIN sites s ON s.callee = r.func AND s.i = r.a AND s.j = r.b WHERE r.tag = 'r'))
+SELECT func, a AS source, b AS goal FROM t WHERE tag = 'r' AND a <> b AND b IN ('_0', '_1', '_2')""")
+def flow_summaries(spark, sf_dir):
+    return summaries.summaries(*derive.flows(spark, sf_dir))
+
+
 @query()
 def coverability_maximal(spark, sf_dir):
     top = antichain.minimal_coverability(_net(spark, sf_dir)).where("maximal")

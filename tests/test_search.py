@@ -6,7 +6,7 @@ from math import gcd
 import pytest
 from pyspark.sql import functions as F
 
-from petrelspark.operators import antichain, boundness, collect, cycles, detect, elimination, explore, sleep, statestore, translate
+from petrelspark.operators import antichain, boundness, collect, cycles, detect, elimination, explore, pointsto, sleep, statestore, summaries, translate
 from petrelspark.plans import fixtures, programs
 
 from test_nets import by_net, random_nets
@@ -216,3 +216,44 @@ def test_a_net_alone_and_among_others(spark):
     for n in (5, 9, 14):
         assert {x for x in search(nets, n) if x[0] == "N6q"} == search({"N6q": two}, n)
     assert search(nets, 10_000) == search(nets, None) and len(search({"N6q": two}, 5)) <= len(search({"N6q": two}, None))
+
+
+def test_flow_summaries(spark):
+    r = random.Random(8)
+    names = [f"f{k}" for k in range(7)]
+    copies = [(r.choice(names), f"_{r.randrange(5)}", f"_{r.randrange(5)}") for _ in range(14)] + [("f0", None, "_1")]
+    calls = [(r.choice(names), r.choice(names), [f"_{r.randrange(5)}" if r.random() < 0.9 else None for _ in range(2)], f"_{r.randrange(5)}" if r.random() < 0.8 else None) for _ in range(9)]
+    edges = {f: {(a, b) for g, a, b in copies if g == f and a and b} for f in names}
+    found, changed = set(), True
+    while changed:
+        changed = False
+        for f in names:
+            for p in ("_1", "_2"):
+                seen, todo = {p}, [p]
+                while todo:
+                    x = todo.pop()
+                    for a, b in edges[f]:
+                        if a == x and b not in seen:
+                            seen.add(b)
+                            todo.append(b)
+                found |= {(f, p, g) for g in seen if g != p and g in ("_0", "_1", "_2")}
+        for f, callee, args, dest in calls:
+            spot = {"_0": dest, "_1": args[0], "_2": args[1]}
+            for g, i, j in list(found):
+                if g == callee and spot[i] and spot[j] and (spot[i], spot[j]) not in edges[f]:
+                    edges[f].add((spot[i], spot[j]))
+                    changed = True
+    c = spark.createDataFrame(calls, "func string, callee string, args array<string>, dest string")
+    got = summaries.summaries(spark.createDataFrame(copies, "func string, src string, dst string"), c, spark.createDataFrame([(f, p) for f in names for p in ("_1", "_2")], "func string, local string"))
+    assert {tuple(x) for x in got.collect()} == found and found
+    pairs = {(f, s[i], s[j]) for f, callee, args, dest in calls for s in [{"_0": dest, "_1": args[0], "_2": args[1]}] for g, i, j in found if g == callee and s[i] and s[j] and s[i] != s[j]}
+    assert {tuple(x) for x in summaries.parameter_aliases(got, c).collect()} == pairs
+
+
+def test_fields_while_solving(spark):
+    rows = [("f", "a", "_1", "Address"), ("f", "_1.0", "x", "Copy"), ("f", "b", "p", "Address"), ("f", "_1.0.2", "p", "Store"), ("f", "b", "y", "Copy"), ("f", "_2.1", "z", "Copy"), ("f", "_1", "_2", "Copy")]
+    pts = pointsto.points_to(spark.createDataFrame(rows, "func string, src string, dst string, kind string"), allocations=False, fields=True)
+    got = {}
+    for r in pts.collect():
+        got.setdefault(r["node"], set()).add(r["target"])
+    assert got == {"_1": {"a"}, "_1.0": {"a"}, "_1.0.2": {"a"}, "x": {"a"}, "p": {"b"}, "b": {"a"}, "y": {"a"}, "_2": {"a"}, "_2.1": {"a"}, "z": {"a"}}
