@@ -23,10 +23,12 @@ def duck():
 @pytest.fixture(scope="module", autouse=True)
 def one_graph():
     """The graphs of all orders' nets, of which many queries show a part, are explored once in these tests."""
-    plain, made = queries._graph, {}
-    queries._graph = lambda spark, sf_dir: made[sf_dir] if sf_dir in made else made.setdefault(sf_dir, plain(spark, sf_dir))
+    plain, made = {n: getattr(queries, n) for n in ("_graph", "_program_graph")}, {}
+    for n, f in plain.items():
+        setattr(queries, n, lambda spark, sf_dir, n=n, f=f: made[n, sf_dir] if (n, sf_dir) in made else made.setdefault((n, sf_dir), f(spark, sf_dir)))
     yield
-    queries._graph = plain
+    for n, f in plain.items():
+        setattr(queries, n, f)
 
 
 def cell(v):

@@ -1,13 +1,17 @@
 """Collectors, atomic segments, block chains, alias rules between functions, reports, and text documents."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from petrelspark import queries
 from petrelspark.operators import boundness, collect, detect, explore, translate
-from petrelspark.plans import fixtures, programs
+from petrelspark.plans import fixtures, programs, samples
 from petrelspark.plans.net import Net
-from petrelspark.sources import catalog, sinks
+from petrelspark.sources import catalog, mir, sinks
+
+SF = "/root/testdata/sf0.001"
 
 
 def rows(df):
@@ -133,14 +137,21 @@ def test_reports_and_files(spark, tmp_path):
     ("state_graph_dot", "dot", ["digraph states {", 's0 -> s1 [label="t0"];', 's1 [label="p1:1", peripheries=2];']),
 ])
 def test_text_documents(spark, name, column, parts):
-    by = {r[0]: r[column] for r in queries.QUERIES[name](spark, "").collect()}
+    """The documents of one literal net or text, and of every order where the tables are there."""
+    one = {
+        "mir_pnml": lambda: sinks.pnml(mir.net_rows(spark.createDataFrame(samples.PROGRAMS, "path string, text string"))),
+        "net_dot": lambda: sinks.net_dot(fixtures.net(spark)), "state_graph_dot": lambda: sinks.graph_dot(explore.explore(fixtures.net(spark, {"N1": fixtures.NETS["N1"]}))),
+    }
+    by = {r[0]: r[column] for r in one[name]().collect()}
     text = by["ledger.mir" if name == "mir_pnml" else "N1"]
     assert all(p in text for p in parts)
+    if name != "state_graph_dot" and os.path.isdir(SF):
+        every = queries.QUERIES[name](spark, SF)
+        assert every.count() == spark.read.parquet(f"{SF}/orders.parquet").count() and every.where(~F.col(column).contains("main")).count() == 0
 
 
 def test_command_line(spark, tmp_path):
     from petrelspark.__main__ import main
-    from petrelspark.plans import samples
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.mir").write_text(samples.LEDGER)
