@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from petrelspark.functions import classify as C
 from petrelspark.functions import markings as M
-from petrelspark.operators import antichain, boundness, closure, collect, cycles, detect, elimination, explore, pointsto, reduce, sequence, sleep, summaries, translate
+from petrelspark.operators import boundness, closure, collect, cycles, detect, elimination, explore, pointsto, reduce, sequence, sleep, summaries, translate
 from petrelspark.plans import derive, expected, fixtures, order_nets, programs, samples
 from petrelspark.plans.net import Net
 from petrelspark.sources import mir, sinks
@@ -712,12 +712,6 @@ def flow_summaries(spark, sf_dir):
     return summaries.summaries(*derive.flows(spark, sf_dir))
 
 
-@query()
-def coverability_maximal(spark, sf_dir):
-    top = antichain.minimal_coverability(_net(spark, sf_dir)).where("maximal")
-    return top.select("net_id", F.array_join(F.transform("marking", lambda x: x.cast("string")), ",", "w").alias("marking"), "cut")
-
-
 @query()
 def invariant_bounds(spark, sf_dir):
     return elimination.covered(_net(spark, sf_dir))
