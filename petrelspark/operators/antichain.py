@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from petrelspark.functions import markings as M
 from petrelspark.plans.net import Net
-from petrelspark.staging import stage
+from petrelspark.staging import counted
 
 
 def _support(marking: Column) -> Column:
@@ -35,10 +35,10 @@ def covering(small: DataFrame, large: DataFrame, strict: bool) -> DataFrame:
 def minimal_coverability(net: Net, limit: int = 10_000) -> DataFrame:
     """(net_id, node, parent, trans_id, depth, marking, maximal, cut): the nodes that were looked into; the maximal ones are the minimal coverability set, unless the net
     has more than ``limit`` nodes (``cut``)."""
-    moves = stage(net.moves(), "moves").withColumnRenamed("net_id", "of")
+    moves = counted(net.moves(), "moves").withColumnRenamed("net_id", "of")
     none = F.lit(None)
     start = net.initial().select("net_id", F.lit(0).cast("long").alias("node"), none.cast("long").alias("parent"), none.cast("int").alias("trans_id"), F.lit(0).alias("depth"), "marking", F.lit(1).cast("long").alias("next"))
-    front = nodes = stage(start, "nodes")
+    front = nodes = counted(start, "nodes")
     over, depth = front.where("false").select("net_id"), 0
     left = F.transform("marking", lambda m, i: m + F.coalesce(F.try_element_at("gains", i), F.lit(0).cast("long")))
     empty = F.transform(left, lambda m, i: F.when(F.array_contains(F.coalesce("resets", F.array().cast("array<int>")), i), F.lit(0).cast("long")).otherwise(m))
@@ -47,34 +47,34 @@ def minimal_coverability(net: Net, limit: int = 10_000) -> DataFrame:
         depth += 1
         step = front.drop("parent", "trans_id").join(moves, F.col("net_id") == F.col("of")).where(enabled).select("net_id", F.col("node").alias("parent"), "trans_id", empty.alias("marking"), "next")
         key = F.struct("parent", "trans_id")
-        made = stage(step.groupBy("net_id", "marking").agg(F.min(key).alias("by"), F.max("next").alias("next")).withColumn("c", F.xxhash64("net_id", "by")), "made")
+        made = counted(step.groupBy("net_id", "marking").agg(F.min(key).alias("by"), F.max("next").alias("next")).withColumn("c", F.xxhash64("net_id", "by")), "made")
         # only what strictly covers some node can strictly cover an ancestor
         may = covering(nodes.select("net_id", F.col("node").alias("a"), "marking"), made.select("net_id", F.col("c").alias("b"), "marking"), True).select("net_id", F.col("b").alias("c")).distinct()
-        walk = stage(made.join(may, ["net_id", "c"], "left_semi").select("net_id", "c", "marking", F.col("by.parent").alias("at")), "walk")
+        walk = counted(made.join(may, ["net_id", "c"], "left_semi").select("net_id", "c", "marking", F.col("by.parent").alias("at")), "walk")
         pumped = None
         above = nodes.select("net_id", F.col("node").alias("at"), F.col("parent").alias("up"), F.col("marking").alias("m0"))
         while not walk.isEmpty():
             seen = walk.join(above, ["net_id", "at"])
-            walk = stage(seen.select("net_id", "c", F.when(M.strictly_covers(F.col("marking"), F.col("m0")), M.accelerated(F.col("marking"), F.col("m0"))).otherwise(F.col("marking")).alias("marking"), F.col("up").alias("at")), "walk")
+            walk = counted(seen.select("net_id", "c", F.when(M.strictly_covers(F.col("marking"), F.col("m0")), M.accelerated(F.col("marking"), F.col("m0"))).otherwise(F.col("marking")).alias("marking"), F.col("up").alias("at")), "walk")
             ended = walk.where("at is null").select("net_id", "c", F.col("marking").alias("grown"))
             pumped = ended if pumped is None else pumped.union(ended)
             walk = walk.where("at is not null")
         if pumped is not None:
             made = made.join(pumped, ["net_id", "c"], "left").withColumn("marking", F.coalesce("grown", "marking")).drop("grown")
-            made = stage(made.groupBy("net_id", "marking").agg(F.min("by").alias("by"), F.max("next").alias("next")).withColumn("c", F.xxhash64("net_id", "by")), "made")
+            made = counted(made.groupBy("net_id", "marking").agg(F.min("by").alias("by"), F.max("next").alias("next")).withColumn("c", F.xxhash64("net_id", "by")), "made")
         named = made.select("net_id", F.col("c").alias("a"), "marking")
         old = covering(named, nodes.select("net_id", F.col("node").alias("b"), "marking"), False).select("net_id", F.col("a").alias("c"))
         among = covering(named, made.select("net_id", F.col("c").alias("b"), "marking"), True).select("net_id", F.col("a").alias("c"))
         kept = made.join(old.union(among).distinct(), ["net_id", "c"], "left_anti")
         number = "row_number() over (partition by net_id order by by) - 1"
-        kept = stage(kept.selectExpr("net_id", f"next + {number} as node", "by.parent as parent", "by.trans_id as trans_id", f"{depth} as depth", "marking", "next + count(*) over (partition by net_id) as next"), "nodes")
+        kept = counted(kept.selectExpr("net_id", f"next + {number} as node", "by.parent as parent", "by.trans_id as trans_id", f"{depth} as depth", "marking", "next + count(*) over (partition by net_id) as next"), "nodes")
         nodes = nodes.unionByName(kept)
-        full = stage(nodes.groupBy("net_id").count().where(F.col("count") > limit).select("net_id"), "full")
+        full = counted(nodes.groupBy("net_id").count().where(F.col("count") > limit).select("net_id"), "full")
         over = over.union(full)
         front = kept.join(full, "net_id", "left_anti")
         if depth % 8 == 0:
-            nodes = stage(nodes, "nodes")
-    nodes = stage(nodes, "nodes")
+            nodes = counted(nodes, "nodes")
+    nodes = counted(nodes, "nodes")
     beaten = covering(nodes.select("net_id", F.col("node").alias("a"), "marking"), nodes.select("net_id", F.col("node").alias("b"), "marking"), True).select("net_id", F.col("a").alias("node")).distinct().withColumn("beaten", F.lit(True))
     cut = over.distinct().withColumn("cut", F.lit(True))
     out = nodes.join(beaten, ["net_id", "node"], "left").join(cut, "net_id", "left")

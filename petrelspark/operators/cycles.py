@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from petrelspark.operators.explore import StateGraph
-from petrelspark.staging import stage
+from petrelspark.staging import counted
 
 
 def _spread(edges: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,43 +22,43 @@ def _spread(edges: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     while True:
         step += 1
         sent = front.join(edges.withColumnRenamed("src", "node"), [*keys, "node"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.max("label").alias("sent"))
-        front = stage(sent.join(labels, [*keys, "node"]).where("sent > label").select(*keys, "node", F.col("sent").alias("label")), "spread")
+        front = counted(sent.join(labels, [*keys, "node"]).where("sent > label").select(*keys, "node", F.col("sent").alias("label")), "spread")
         if front.isEmpty():
             return labels
         labels = labels.unionByName(front).groupBy(*keys, "node").agg(F.max("label").alias("label"))
-        labels = stage(labels, "labels")
+        labels = counted(labels, "labels")
 
 
 def strong_components(edges: DataFrame, keys: list[str] | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(keys, node, component): the least node of each node's component.  ``edges``: (keys, src, dst); ``keys``: columns that tell graphs apart;
     ``nodes``: (keys, node) to be named besides the ends of edges.  Rows with a null end are left out, repeated ones count once."""
     keys = keys or []
-    left = stage(edges.select(*keys, "src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    left = counted(edges.select(*keys, "src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     ends = left.select(*keys, F.col("src").alias("node")).union(left.select(*keys, "dst"))
-    every = stage((ends if nodes is None else ends.union(nodes.select(*keys, "node"))).distinct(), "nodes")
-    left = stage(left.where("src != dst"), "edges")
+    every = counted((ends if nodes is None else ends.union(nodes.select(*keys, "node"))).distinct(), "nodes")
+    left = counted(left.where("src != dst"), "edges")
     done: list[DataFrame] = []
     while not left.isEmpty():
         inner = left.select(*keys, F.col("src").alias("node")).intersect(left.select(*keys, F.col("dst").alias("node")))
-        kept = stage(left.join(inner.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi").join(inner.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi"), "edges")
+        kept = counted(left.join(inner.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi").join(inner.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi"), "edges")
         if kept.count() < left.count():  # trimming may go on
             left = kept
             continue
         names = left.select(*keys, F.col("src").alias("node")).distinct()
-        colours = _spread(left, stage(names.select(*keys, "node", F.col("node").alias("label")), "labels"), keys)
+        colours = _spread(left, counted(names.select(*keys, "node", F.col("node").alias("label")), "labels"), keys)
         of = lambda c: colours.select(*keys, F.col("node").alias(c), F.col("label").alias(f"{c}_colour"))
-        within = stage(left.join(of("src"), [*keys, "src"]).join(of("dst"), [*keys, "dst"]), "coloured")
+        within = counted(left.join(of("src"), [*keys, "src"]).join(of("dst"), [*keys, "dst"]), "coloured")
         # backwards from the roots, within one colour
         back = within.where("src_colour = dst_colour").select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("src_colour").alias("colour"))
-        front = found = stage(colours.where("node = label").select(*keys, "node", F.col("label").alias("root")), "roots")
+        front = found = counted(colours.where("node = label").select(*keys, "node", F.col("label").alias("root")), "roots")
         while not front.isEmpty():
             step = front.join(back.withColumnRenamed("src", "node"), [*keys, "node"]).where("colour = root").select(*keys, F.col("dst").alias("node"), "root").distinct()
-            front = stage(step.join(found, [*keys, "node"], "left_anti"), "back")
+            front = counted(step.join(found, [*keys, "node"], "left_anti"), "back")
             found = found.unionByName(front)
-        found = stage(found, "found")
+        found = counted(found, "found")
         done.append(found)
         gone = found.select(*keys, "node")
-        left = stage(left.join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti"), "edges")
+        left = counted(left.join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti"), "edges")
     if not done:
         return every.select(*keys, "node", F.col("node").alias("component"))
     found = done[0]
@@ -73,7 +73,7 @@ def cycles(graph: StateGraph) -> DataFrame:
     """(net_id, component, states, closed, blocked): the components of a state graph that have a cycle; ``component`` is the least state, ``closed`` if no edge
     leaves it, ``blocked`` the locks that no state of it can take."""
     edges = graph.edges.select("net_id", "src", "dst").distinct()
-    of = stage(strong_components(edges, ["net_id"]), "components")
+    of = counted(strong_components(edges, ["net_id"]), "components")
     on = lambda c: of.select("net_id", F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
     ways = edges.join(on("src"), ["net_id", "src"]).join(on("dst"), ["net_id", "dst"])
     turns = ways.groupBy("net_id", F.col("src_component").alias("component")).agg(F.count_if(F.col("src_component") == F.col("dst_component")).alias("inside"), F.count_if(F.col("src_component") != F.col("dst_component")).alias("outside")).where("inside > 0")

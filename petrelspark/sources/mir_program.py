@@ -15,7 +15,7 @@ from petrelspark.operators import collect, translate
 from petrelspark.operators.components import connected_components
 from petrelspark.plans.net import Net
 from petrelspark.sources import mir
-from petrelspark.staging import stage
+from petrelspark.staging import counted
 
 #: Heads of paths that a compiler may print short, and their full form.
 FULL = {
@@ -49,7 +49,7 @@ def _place(s: Column) -> Column:
 
 
 def parsed(texts: DataFrame, semantics: str = "strict") -> DataFrame:
-    return stage(mir.lines(texts, semantics).withColumnRenamed("path", "net_id").withColumn("func", _func(F.col("fn"))), "parsed")
+    return counted(mir.lines(texts, semantics).withColumnRenamed("path", "net_id").withColumn("func", _func(F.col("fn"))), "parsed")
 
 
 def typed_locals(lines: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def typed_locals(lines: DataFrame) -> DataFrame:
     every = own.union(params).withColumn("ty", _full(F.col("ty"))).withColumn("closure", F.nullif(F.regexp_extract("ty", _CLOSURE, 1), F.lit("")))
     runs = params.where("local = '_1'").select("net_id", F.regexp_extract("ty", _CLOSURE, 1).alias("closure"), F.col("func").alias("runs")).where("closure != ''").groupBy("net_id", "closure").agg(F.min("runs").alias("runs"))
     whole = every.join(runs, ["net_id", "closure"], "left")
-    return stage(whole.select("net_id", "func", "local", F.when(F.col("runs").isNotNull() & (F.trim("ty") == F.col("closure")), F.concat(F.lit("{closure@"), "runs", F.lit("}"))).otherwise(F.col("ty")).alias("ty"), F.when(F.trim("ty") == F.col("closure"), F.col("closure")).alias("closure"), "runs").distinct(), "locals")
+    return counted(whole.select("net_id", "func", "local", F.when(F.col("runs").isNotNull() & (F.trim("ty") == F.col("closure")), F.concat(F.lit("{closure@"), "runs", F.lit("}"))).otherwise(F.col("ty")).alias("ty"), F.when(F.trim("ty") == F.col("closure"), F.col("closure")).alias("closure"), "runs").distinct(), "locals")
 
 
 def program_blocks(lines: DataFrame, semantics: str = "strict") -> DataFrame:
@@ -85,7 +85,7 @@ def program_blocks(lines: DataFrame, semantics: str = "strict") -> DataFrame:
     dest = F.nullif(F.regexp_extract("end", r"^(_\d+) = ", 1), F.lit(""))
     t = t.withColumn("term_kind", F.when(lost, "call").otherwise(kind)).withColumn("targets", F.when(lost, F.array().cast("array<int>")).otherwise(targets)).withColumn("dest", F.when(lost, dest).otherwise(F.col("dest")))
     t = t.withColumn("call", call).withColumn("args", args).withColumn("callee", name)
-    return stage(t.select("net_id", _func(F.col("fn")).alias("func"), "bb", F.coalesce("cleanup", F.lit(False)).alias("is_cleanup"), F.lit(False).alias("is_empty_unreachable"), "term_kind", F.col("bb_line").cast("string").alias("span"), "targets", "callee", "args", "dest", "dropped"), "blocks")
+    return counted(t.select("net_id", _func(F.col("fn")).alias("func"), "bb", F.coalesce("cleanup", F.lit(False)).alias("is_cleanup"), F.lit(False).alias("is_empty_unreachable"), "term_kind", F.col("bb_line").cast("string").alias("span"), "targets", "callee", "args", "dest", "dropped"), "blocks")
 
 
 def call_sites(blocks: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def call_sites(blocks: DataFrame) -> DataFrame:
     target = F.try_element_at("targets", F.lit(1))
     calls = blocks.where("term_kind = 'call'").select("net_id", "func", "bb", target.alias("target"), _func(F.regexp_replace(_full(F.col("callee")), _GENERIC, "")).alias("name"), F.filter(F.split("args", r", (?![^<(\[]*[>)\]])"), lambda a: a != "").alias("args"), "dest", "span")
     drops = blocks.where("term_kind = 'drop'").select("net_id", "func", "bb", target.alias("target"), F.lit("std::mem::drop").alias("name"), F.array(F.concat(F.lit("move "), "dropped")).alias("args"), F.lit(None).cast("string").alias("dest"), "span")
-    return stage(calls.union(drops), "sites")
+    return counted(calls.union(drops), "sites")
 
 
 def links(lines: DataFrame, sites: DataFrame, local_types: DataFrame, functions: DataFrame) -> DataFrame:
@@ -114,14 +114,14 @@ def links(lines: DataFrame, sites: DataFrame, local_types: DataFrame, functions:
     into = known.select("net_id", F.col("func").alias("f"), "name", F.posexplode("args").alias("i", "arg")).select("net_id", "f", _place(F.col("arg")).alias("a"), F.col("name").alias("g"), F.concat(F.lit("_"), (F.col("i") + 1).cast("string")).alias("b"))
     back = known.where("dest is not null").select("net_id", F.col("func").alias("f"), F.col("dest").alias("a"), F.col("name").alias("g"), F.lit("_0").alias("b"))
     out = moved.union(captured).union(handed).union(pair).union(into).union(back)
-    return stage(out.where("a is not null and b is not null"), "links")
+    return counted(out.where("a is not null and b is not null"), "links")
 
 
 def owners(of: DataFrame) -> DataFrame:
     """(net_id, func, local, res): the group of places that each place belongs to, by the name of its least one; places that are joined have joined fields."""
     node = lambda f, p: F.concat_ws("|", "net_id", f, p)
     edges = of.select(node("f", "a").alias("a"), node("g", "b").alias("b"))
-    groups = stage(connected_components(edges), "groups")
+    groups = counted(connected_components(edges), "groups")
     # a field of a place is one with the same field of the places that are joined to it
     base, field = F.regexp_replace("node", r"\.\d+$", ""), F.regexp_extract("node", r"\.(\d+)$", 1)
     fields = groups.where(field != "").select("node", base.alias("base"), field.alias("field"))
@@ -130,7 +130,7 @@ def owners(of: DataFrame) -> DataFrame:
     parts = F.split("node", r"\|")
     n = F.size(parts)
     named = final.select(F.array_join(F.slice(parts, F.lit(1), n - 2), "|").alias("net_id"), F.element_at(parts, n - 1).alias("func"), F.element_at(parts, n).alias("local"), F.col("component"))
-    return stage(named.select("net_id", "func", "local", F.expr("substring(component, length(net_id) + 2)").alias("res")).select("net_id", "func", "local", F.concat(F.lit("r:"), F.translate("res", "|", ":")).alias("res")), "owners")
+    return counted(named.select("net_id", "func", "local", F.expr("substring(component, length(net_id) + 2)").alias("res")).select("net_id", "func", "local", F.concat(F.lit("r:"), F.translate("res", "|", ":")).alias("res")), "owners")
 
 
 def resources(sites: DataFrame, local_types: DataFrame, own: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def resources(sites: DataFrame, local_types: DataFrame, own: DataFrame) -> DataF
 def program_net(texts: DataFrame, entry: str = "main", semantics: str = "strict") -> Net:
     """The net of each text (path, text), by its path."""
     lines = parsed(texts, semantics)
-    functions = stage(lines.where("fn_here is not null").select("net_id", "func", (F.col("func") == entry).alias("is_entry")).distinct(), "functions")
+    functions = counted(lines.where("fn_here is not null").select("net_id", "func", (F.col("func") == entry).alias("is_entry")).distinct(), "functions")
     local_types, blocks = typed_locals(lines), program_blocks(lines, semantics)
     sites = call_sites(blocks)
     own = owners(links(lines, sites, local_types, functions))
