@@ -48,33 +48,35 @@ def goal(s: Column) -> Column:
     return F.when(F.trim(s).startswith("bb"), F.substring(F.trim(s), F.lit(3), F.length(s)).try_cast("int"))
 
 
-def terminator(s: Column, semantics: str) -> Column:
-    """(kind, targets, callee, args, dest, dropped) of a line in a terminator's form, ``what -> target;`` or ``what -> [name: target, ...];``; null for any other line.
-
-    ``compat`` does not know an unwind action without a colon, nor the action ``unreachable``."""
-    bare = _before(s, " //")
-    line = F.substring(bare, F.lit(1), F.length(bare) - 1)
-    last = F.substring_index(line, "->", -1)
-    way, what = F.trim(last), F.trim(F.substring(line, F.lit(1), F.length(line) - F.length(last) - 2))
-    listed = way.startswith("[") & way.endswith("]")
-    items = F.transform(F.split(F.translate(way, "[]", ""), ","), lambda x: F.struct(_before(x, ":").alias("name"), F.when(x.contains(":"), F.trim(F.substring_index(x, ":", -1))).alias("to")))
+def with_terminators(rows: DataFrame, semantics: str) -> DataFrame:
+    """``rows`` with ``t``, (kind, targets, callee, args, dest, dropped) of a line ``s`` in a terminator's form, ``what -> target;`` or
+    ``what -> [name: target, ...];``; null for any other line.
+
+    ``compat`` does not know an unwind action without a colon, nor the action ``unreachable``.  What is read more than once is a column of its own, as Spark
+    would work it out again for each place that it stands in."""
+    c = F.col
     unwinds = ["continue"] + (["unreachable"] if semantics == "strict" else [])
     plain = ["unwind continue", "unwind unreachable"] if semantics == "strict" else []
     fine = lambda i: (i["name"] == "return") | ((i["name"] == "unwind") & (goal(i["to"]).isNotNull() | i["to"].isin(unwinds) | i["to"].startswith("terminate"))) | i["name"].isin(plain) | i["name"].startswith("unwind terminate")
-    back = F.filter(items, lambda i: i["name"] == "return")
-    to = goal(F.try_element_at(back, F.lit(1))["to"])
-    returns = listed & (F.size(back) == 1) & F.forall(items, fine) & to.isNotNull()
     inner = lambda c: F.trim(F.substring(c, F.instr(c, "(") + 1, F.length(c) - F.instr(c, "(") - 1))
-    gives = F.instr(what, " = ") > 0
-    call = F.when(gives, _after(what, " = ")).otherwise(what)
-    kind = (
-        F.when(~bare.endswith(";"), None).when(F.trim(line) == "return", "return").when((what == "goto") & goal(way).isNotNull(), "goto").when(what.startswith("switchInt(") & listed, "switch")
-        .when(what.startswith("drop(") & returns, "drop").when(returns & call.contains("(") & call.endswith(")"), "call")
-    )
-    targets = F.when(kind == "goto", F.array(goal(way))).when(kind.isin("drop", "call"), F.array(to)).when(kind == "switch", F.filter(F.transform(items, lambda i: goal(i["to"])), lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>"))
-    is_call = kind == "call"
-    dest = F.when(is_call & gives & _before(what, " = ").rlike(_WORD), _before(what, " = "))
-    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), targets.alias("targets"), F.when(is_call, _before(call, "(")).alias("callee"), F.when(is_call, inner(call)).alias("args"), dest.alias("dest"), F.when(kind == "drop", inner(what)).alias("dropped")))
+    d = rows.withColumn("t_bare", _before(c("s"), " //"))
+    d = d.withColumn("t_line", F.substring(c("t_bare"), F.lit(1), F.length("t_bare") - 1))
+    d = d.withColumn("t_last", F.substring_index("t_line", "->", -1))
+    d = d.withColumns({"t_way": F.trim("t_last"), "t_what": F.trim(F.substring(c("t_line"), F.lit(1), F.length("t_line") - F.length("t_last") - 2))})
+    items = F.transform(F.split(F.translate("t_way", "[]", ""), ","), lambda x: F.struct(_before(x, ":").alias("name"), F.when(x.contains(":"), F.trim(F.substring_index(x, ":", -1))).alias("to")))
+    d = d.withColumns({"t_listed": c("t_way").startswith("[") & c("t_way").endswith("]"), "t_items": items, "t_goal": goal(c("t_way")), "t_gives": F.instr("t_what", " = ") > 0})
+    d = d.withColumns({"t_back": F.filter("t_items", lambda i: i["name"] == "return"), "t_call": F.when(c("t_gives"), _after(c("t_what"), " = ")).otherwise(c("t_what"))})
+    d = d.withColumn("t_to", goal(F.try_element_at("t_back", F.lit(1))["to"]))
+    d = d.withColumn("t_returns", c("t_listed") & (F.size("t_back") == 1) & F.forall("t_items", fine) & c("t_to").isNotNull())
+    d = d.withColumn("t_kind", (
+        F.when(~c("t_bare").endswith(";"), None).when(F.trim("t_line") == "return", "return").when((c("t_what") == "goto") & c("t_goal").isNotNull(), "goto").when(c("t_what").startswith("switchInt(") & c("t_listed"), "switch")
+        .when(c("t_what").startswith("drop(") & c("t_returns"), "drop").when(c("t_returns") & c("t_call").contains("(") & c("t_call").endswith(")"), "call")
+    ))
+    kind, is_call, left = c("t_kind"), c("t_kind") == "call", _before(c("t_what"), " = ")
+    targets = F.when(kind == "goto", F.array("t_goal")).when(kind.isin("drop", "call"), F.array("t_to")).when(kind == "switch", F.filter(F.transform("t_items", lambda i: goal(i["to"])), lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>"))
+    dest = F.when(is_call & c("t_gives") & left.rlike(_WORD), left)
+    t = F.when(kind.isNotNull(), F.struct(kind.alias("kind"), targets.alias("targets"), F.when(is_call, _before(c("t_call"), "(")).alias("callee"), F.when(is_call, inner(c("t_call"))).alias("args"), dest.alias("dest"), F.when(kind == "drop", inner(c("t_what"))).alias("dropped")))
+    return d.select(*rows.columns, t.alias("t"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -84,14 +86,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def lines(texts: DataFrame, semantics: str = "strict") -> DataFrame:
     """(path, line, raw, fn, fn_line, bb, cleanup, bb_line): every line with the function and block that it stands in."""
-    at = texts.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("path", (F.col("pos") + 1).alias("line"), "raw", F.trim("raw").alias("s"))
+    # texts are dealt by path before they are cut, into a fixed number of parts as texts that are alike shrink so much in a shuffle that few would be
+    # left; one window in the order of the lines tells all heads before a line
+    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = texts.repartition(parts, "path").select("path", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("path", (F.col("pos") + 1).alias("line"), "raw", F.trim("raw").alias("s"))
+    at = at.withColumns({"fn_here": function_name(F.col("s"), semantics), "bb_here": block_number(F.col("s")), "closes": F.col("s") == "}"})
     w = Window.partitionBy("path").orderBy("line")
-    at = at.withColumn("fn_here", function_name(F.col("s"), semantics)).withColumn("fn", F.last("fn_here", True).over(w)).withColumn("fn_line", F.last(F.when(F.col("fn_here").isNotNull(), F.col("line")), True).over(w))
-    own = Window.partitionBy("path", "fn_line").orderBy("line")
-    at = at.withColumn("bb_here", block_number(F.col("s"))).withColumn("closes", F.col("s") == "}")
-    at = at.withColumn("bb", F.last("bb_here", True).over(own)).withColumn("bb_line", F.last(F.when(F.col("bb_here").isNotNull(), F.col("line")), True).over(own)).withColumn("cleanup", F.last(F.when(F.col("bb_here").isNotNull(), F.col("raw").contains("(cleanup)")), True).over(own))
-    shut = Window.partitionBy("path", "fn_line", "bb_line").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return at.withColumn("shut", F.coalesce(F.max("closes").over(shut), F.lit(False)) & F.col("bb").isNotNull()).where("fn is not null")
+    head = lambda when, *more: F.last(F.when(when, F.struct("line", *more)), True).over(w)
+    at = at.withColumns({
+        "of_fn": head(F.col("fn_here").isNotNull(), F.col("fn_here").alias("fn")), "of_bb": head(F.col("bb_here").isNotNull(), F.col("bb_here").alias("bb"), F.col("raw").contains("(cleanup)").alias("cleanup")), "closed": head(F.col("closes"))["line"],
+    }).where("of_fn is not null")
+    own = lambda c: F.when(F.col("of_bb.line") >= F.col("of_fn.line"), F.col(f"of_bb.{c}"))  # noqa: E731  # a block of an earlier function is none of this one
+    at = at.select("path", "line", "raw", "s", "fn_here", F.col("of_fn.fn").alias("fn"), F.col("of_fn.line").alias("fn_line"), "bb_here", "closes", own("bb").alias("bb"), own("line").alias("bb_line"), own("cleanup").alias("cleanup"), "closed")
+    return at.withColumn("shut", F.coalesce(F.col("closed") >= F.col("bb_line"), F.lit(False))).drop("closed")
 
 
 def functions(parsed: DataFrame) -> DataFrame:
@@ -118,8 +125,11 @@ def refs(parsed: DataFrame) -> DataFrame:
 
 def blocks(parsed: DataFrame, semantics: str = "strict") -> DataFrame:
     """(path, fn, bb, cleanup, bb_line, kind, targets, callee, args, dest, dropped): blocks with their terminators; kind is null without one."""
-    inside = parsed.where("bb is not null and not shut and bb_here is null").withColumn("t", terminator(F.col("s"), semantics)).where("t is not null")
-    last = inside.groupBy("path", "fn", "fn_line", "bb", "bb_line").agg(F.max_by("t", "line").alias("t")).select("path", "fn_line", "bb_line", "t.*")
+    # a line without an arrow can only be a return
+    some = parsed.where("bb is not null and not shut and bb_here is null").where(F.col("s").contains("->") | F.col("s").contains("return"))
+    keys = ["path", "fn", "fn_line", "bb", "bb_line"]
+    found = with_terminators(some.select(*keys, "line", "s"), semantics).withColumn("of_line", F.when(F.col("t").isNotNull(), F.col("line")))
+    last = found.groupBy(*keys).agg(F.max_by("t", "of_line").alias("t")).select("path", "fn_line", "bb_line", "t.*")
     heads = parsed.where("bb_here is not null").select("path", "fn", "fn_line", "bb", "cleanup", "bb_line")
     return heads.join(last, ["path", "fn_line", "bb_line"], "left")
 
