@@ -2,7 +2,7 @@
 
 The tree grows a level at a time for any number of nets; each node carries the markings on its path, as coverability compares a
 marking with its own ancestors.  A null element of a marking is ω.  Invariants are exact rational null spaces: one small matrix
-for each net, for which no DataFrame form is sensible.
+for each set of nets that share it, for which no DataFrame form is sensible.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from petrelspark.functions import markings as M
+from petrelspark.operators.elimination import by_shape
 from petrelspark.plans.net import Net
 from petrelspark.staging import settle
 
@@ -85,22 +86,24 @@ def null_space(rows: list[list[int]], n: int) -> list[list[int]]:
 
 def invariants(net: Net) -> DataFrame:
     """(net_id, kind, number, vector): a basis of place invariants (x·C = 0) and of transition invariants (C·y = 0), as text ``id:value``."""
-    p = net.places.select("net_id", F.lit("p").alias("row"), F.col("place_id").alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("v"))
-    t = net.transitions.select("net_id", F.lit("t"), "trans_id", F.lit(0), F.lit(0).cast("long"))
-    c = net.incidence().select("net_id", F.lit("c"), "place_id", "trans_id", F.col("change").cast("long"))
-
-    def solve(pdf):
+    def solve(shapes):
         import pandas as pd
 
-        name = pdf["net_id"].iloc[0]
-        places, trans = sorted(pdf.a[pdf.row == "p"]), sorted(pdf.a[pdf.row == "t"])
-        cells = {(a, b): int(v) for row, a, b, v in zip(pdf.row, pdf.a, pdf.b, pdf.v, strict=True) if row == "c"}
-        c = [[cells.get((x, y), 0) for y in trans] for x in places]
-        found = [("place", places, null_space([list(col) for col in zip(*c, strict=True)] if c else [], len(places))), ("transition", trans, null_space(c, len(trans)))]
-        rows = [(name, kind, k, ",".join(f"{i}:{x}" for i, x in zip(ids, v, strict=True) if x)) for kind, ids, basis in found for k, v in enumerate(basis)]
-        return pd.DataFrame(rows, columns=["net_id", "kind", "number", "vector"])
-
-    return p.union(t).union(c).groupBy("net_id").applyInPandas(solve, "net_id string, kind string, number long, vector string")
+        for pdf in shapes:
+            rows = []
+            for name, shape in zip(pdf["of"], pdf["shape"], strict=True):
+                places, trans = list(shape["places"]), list(shape["transitions"])
+                cells: dict[tuple[int, int], int] = {}
+                for x in shape["cells"]:
+                    at = x["place_id"], x["trans_id"]
+                    cells[at] = cells.get(at, 0) + int(x["change"])
+                c = [[cells.get((x, y), 0) for y in trans] for x in places]
+                found = [("place", places, null_space([list(col) for col in zip(*c, strict=True)] if c else [], len(places))), ("transition", trans, null_space(c, len(trans)))]
+                rows.extend((name, kind, k, ",".join(f"{i}:{x}" for i, x in zip(ids, v, strict=True) if x)) for kind, ids, basis in found for k, v in enumerate(basis))
+            yield pd.DataFrame(rows, columns=["net_id", "kind", "number", "vector"])
+
+    parts = int(net.places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return by_shape(net, lambda shapes: shapes.repartition(parts).mapInPandas(solve, "net_id string, kind string, number long, vector string"))
 
 
 def covered(net: Net) -> DataFrame:
