@@ -70,8 +70,8 @@ numbered AS MATERIALIZED (SELECT net_id, m, row_number() OVER (PARTITION BY net_
 arrows AS MATERIALIZED (SELECT f.net_id, s.state_id AS src, f.trans_id, d.state_id AS dst FROM fired f JOIN numbered s ON s.net_id = f.net_id AND s.m = f.m JOIN numbered d ON d.net_id = f.net_id AND d.m = f.a WHERE f.fits)"""
 
 
-def _net(spark: SparkSession, sf_dir: str) -> Net:
-    return order_nets.nets(spark, sf_dir)
+def _net(spark: SparkSession, sf_dir: str, staged: bool = True) -> Net:
+    return order_nets.nets(spark, sf_dir, staged=staged)
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> explore.StateGraph:
@@ -81,17 +81,17 @@ def _graph(spark: SparkSession, sf_dir: str) -> explore.StateGraph:
 
 @query(NETS + " SELECT net_id, array_to_string(m, ',') AS marking FROM initial")
 def net_initial_marking(spark, sf_dir):
-    return _net(spark, sf_dir).initial().select("net_id", _csv("marking").alias("marking"))
+    return _net(spark, sf_dir, staged=False).initial().select("net_id", _csv("marking").alias("marking"))
 
 
 @query(NETS + " SELECT net_id, place_id, trans_id, CAST(sum(CASE direction WHEN 'out' THEN weight WHEN 'in' THEN -weight ELSE 0 END) AS BIGINT) AS change FROM arcs GROUP BY ALL HAVING sum(CASE direction WHEN 'out' THEN weight WHEN 'in' THEN -weight ELSE 0 END) <> 0")
 def net_incidence(spark, sf_dir):
-    return _net(spark, sf_dir).incidence()
+    return _net(spark, sf_dir, staged=False).incidence()
 
 
 @query(NETS + " SELECT net_id, place_id, trans_id, direction, weight FROM weights")
 def net_arc_weights(spark, sf_dir):
-    return _net(spark, sf_dir).weights()
+    return _net(spark, sf_dir, staged=False).weights()
 
 
 @query(NETS + f" SELECT i.net_id, trans_id FROM initial i JOIN firing f ON f.net_id = i.net_id WHERE {_ENABLED}")
@@ -132,7 +132,7 @@ UNION ALL SELECT net_id, 'transition', trans_id, name, issue FROM (SELECT x.net_
 
 @query(NETS + _DIAG)
 def net_diagnostics(spark, sf_dir):
-    return _net(spark, sf_dir).diagnosis()
+    return _net(spark, sf_dir, staged=False).diagnosis()
 
 
 _TOUCH = "list_filter(list_transform(list_zip(pre, post), lambda x, i: CASE WHEN x[1] > 0 OR x[2] > 0 THEN i END), lambda x: x IS NOT NULL)"
@@ -535,7 +535,7 @@ def mir_pnml(spark, sf_dir):
 
 @query()
 def net_dot(spark, sf_dir):
-    return sinks.net_dot(_net(spark, sf_dir))
+    return sinks.net_dot(_net(spark, sf_dir, staged=False))
 
 
 @query()

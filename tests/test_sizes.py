@@ -49,3 +49,10 @@ def test_nets_with_one_matrix_are_solved_once(spark):
     of = lambda d, *c: {n: sorted(str([r[x] for x in c]) for r in d.where(f"net_id = '{n}'").collect()) for n in "ABC"}
     for found in (of(boundness.invariants(net), "kind", "number", "vector"), of(elimination.null_spaces(net), "number", "own")):
         assert found["A"] == found["B"] and found["A"] and found["C"] and found["A"] != found["C"]
+
+
+def test_nets_deal_line_items_once(spark):
+    net = order_nets.nets(spark, "/root/testdata/sf0.001", staged=False)
+    for rows in (net.weights(), net.incidence(), net.initial()):
+        # before: windows by order and by net, sizes, joins of threads and steps and the sums of arcs each dealt the rows anew
+        assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
