@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrelspark.plans.net import Net
-from petrelspark.staging import counted
+from petrelspark.staging import FEW, counted, stage
 
 ROWS = "net_id string, kind string, id string, other string, tokens long, capacity long, ptype string, ttype string, res string, var string, ordering string, span string, tid int"
 
@@ -179,13 +179,53 @@ def as_net(rows: DataFrame) -> Net:
     return Net(p.select("net_id", F.col("k").alias("place_id"), F.col("id").alias("name"), "tokens", "capacity", "place_type", F.lit("").alias("span")), trans, side("id", "other", "in").union(side("other", "id", "out")))
 
 
+def net_rows(functions: DataFrame, blocks: DataFrame, calls: DataFrame, resources: DataFrame, tasks: DataFrame | None = None, semantics: str = "strict", entry: str = "main") -> DataFrame:
+    """The rows of all rules, which ``as_net`` numbers."""
+    blocks, calls = counted(blocks, "blocks"), counted(calls, "calls")  # each rule reads them
+    rows = function_rows(functions).union(block_rows(blocks)).union(flow_rows(blocks, semantics, entry)).union(call_rows(calls, semantics, entry)).union(resource_rows(resources, semantics))
+    return rows.union(task_rows(tasks)) if tasks is not None else rows
+
+
 def translate(functions: DataFrame, blocks: DataFrame, calls: DataFrame, resources: DataFrame, tasks: DataFrame | None = None, only: DataFrame | None = None, semantics: str = "strict", entry: str = "main") -> Net:
     """The net of a program, or of its functions in ``only`` (net_id, func), such as those that are reachable from the entry."""
     if only is not None:
         functions, blocks, calls = (d.join(only, ["net_id", "func"], "left_semi") for d in (functions, blocks, calls))
-    blocks, calls = counted(blocks, "blocks"), counted(calls, "calls")  # each rule reads them
-    rows = function_rows(functions).union(block_rows(blocks)).union(flow_rows(blocks, semantics, entry)).union(call_rows(calls, semantics, entry)).union(resource_rows(resources, semantics))
-    return as_net(counted(rows.union(task_rows(tasks)) if tasks is not None else rows, "net-rows"))
+    return as_net(counted(net_rows(functions, blocks, calls, resources, tasks, semantics, entry), "net-rows"))
+
+
+def alike(*facts: DataFrame) -> DataFrame:
+    """(net_id, like): every net of the facts, with the least one that has the same facts.
+
+    Facts are told by their number and by sums of two 64-bit hashes of each, so what meets is one row for each net and task.  Nulls and the sizes of arrays
+    are hashed besides the values, as a hash passes over nulls."""
+    def hashes(k: int, d: DataFrame) -> DataFrame:
+        own = [F.col(c) for c, _ in d.dtypes if c != "net_id"]
+        parts = [F.lit(k), *[c.isNull() for c in own], *[F.size(c) for c, t in d.dtypes if t.startswith("array")], *own]
+        return d.select("net_id", F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit("second"), *reversed(parts)).alias("g"))
+
+    every = reduce(DataFrame.union, [hashes(k, d) for k, d in enumerate(facts)])
+    # the halves of a hash, so that no sum runs over
+    low, high = lambda c: F.sum(F.col(c).bitwiseAND(F.lit((1 << 32) - 1))), lambda c: F.sum(F.shiftrightunsigned(c, 32))
+    sums = {"n": F.count(F.lit(1)), "h0": low("h"), "h1": high("h"), "g0": low("g"), "g1": high("g")}
+    nets = stage(every.groupBy("net_id").agg(*[v.alias(c) for c, v in sums.items()]), "programs")
+    least = counted(nets.groupBy(*sums).agg(F.min("net_id").alias("like")), "alike")
+    return nets.join(least, list(sums)).select("net_id", "like")
+
+
+def translate_once(functions: DataFrame, blocks: DataFrame, calls: DataFrame, resources: DataFrame, semantics: str = "strict", entry: str = "main") -> Net:
+    """``translate`` for many programs: those with the same facts are translated once, and each gets the rows of its like."""
+    facts = functions, blocks, calls, resources
+    nets = stage(alike(*facts), "likes")
+    first = counted(nets.where("net_id = like").select("net_id"), "firsts")
+    rows = counted(net_rows(*[d.join(first, "net_id", "left_semi") for d in facts], semantics=semantics, entry=entry), "net-rows")
+    few = rows.count() <= FEW
+    made = as_net(rows)
+
+    def dealt(d: DataFrame) -> DataFrame:
+        d = d.withColumnRenamed("net_id", "of")
+        return nets.join(F.broadcast(d) if few else d, F.col("like") == F.col("of")).drop("like", "of")
+
+    return Net(dealt(made.places), dealt(made.transitions), dealt(made.weights()), added=True)
 
 
 def channel_pairs(endpoints: DataFrame) -> DataFrame:

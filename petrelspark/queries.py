@@ -577,7 +577,7 @@ def _spread_net(spark: SparkSession, sf_dir: str, nets: dict) -> Net:
 def _program(spark: SparkSession, sf_dir: str) -> Net:
     """The nets of the literal programs, of which every order runs one."""
     given = derive.spread(spark, sf_dir, list(programs.PROGRAMS))
-    return translate.translate(*[derive.renamed(d, given) for d in programs.facts(spark)])
+    return translate.translate_once(*[derive.renamed(d, given) for d in programs.facts(spark)])
 
 
 def _program_graph(spark: SparkSession, sf_dir: str) -> explore.StateGraph:

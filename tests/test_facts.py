@@ -251,3 +251,21 @@ def test_staging(spark):
     assert any(n.startswith("kept-") for n in os.listdir(folder))
     sweep(spark)
     assert not os.path.exists(folder)
+
+
+def test_programs_alike_are_translated_once(spark, monkeypatch):
+    made = []
+    plain = translate.as_net
+    monkeypatch.setattr(translate, "as_net", lambda rows: made.append({r[0] for r in rows.select("net_id").distinct().collect()}) or plain(rows))
+    one = facts(spark, "BA")
+    named = lambda d, *names: d.drop("net_id").crossJoin(spark.createDataFrame([(n,) for n in names], "net_id string")).select(d.columns)
+    many = [named(d, "a", "b", "c", "d", "e") for d in one]
+    # one call more, twice as many of one, and a value that moves to the column beside it
+    call = many[2].where("func = 't1' and bb = 0")
+    many[2] = many[2].where("net_id != 'e' or func != 't1' or bb != 0").union(call.where("net_id = 'c'")).union(call.where("net_id = 'e'").withColumns({"res": F.lit(None).cast("string"), "res2": F.col("res")}))
+    many[3] = many[3].union(spark.createDataFrame([("d", "B", "mutex")], "net_id string, res string, kind string"))
+    once, each = translate.translate_once(*many), translate.translate(*many)
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(once.places) == rows(each.places) and rows(once.transitions) == rows(each.transitions) and rows(once.weights()) == rows(each.weights()) and once.places.columns == each.places.columns
+    assert made[0] == {"a", "c", "d", "e"} and made[1] == {"a", "b", "c", "d", "e"}
+    assert {tuple(r) for r in translate.alike(*many).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d"), ("e", "e")}
