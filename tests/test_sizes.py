@@ -56,3 +56,28 @@ def test_nets_deal_line_items_once(spark):
     for rows in (net.weights(), net.incidence(), net.initial()):
         # before: windows by order and by net, sizes, joins of threads and steps and the sums of arcs each dealt the rows anew
         assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_nets_that_are_alike_are_explored_once(spark):
+    from pyspark.sql import functions as F
+
+    from petrelspark.operators import detect, explore, likes
+    from petrelspark.plans import fixtures
+
+    net = fixtures.net(spark, {"A": fixtures.NETS["N7"], "B": fixtures.NETS["N7"], "C": fixtures.NETS["N2"]})
+    seen = []
+
+    def solve(part):
+        seen.extend(sorted(r[0] for r in part.places.select("net_id").distinct().collect()))
+        return detect.deadlocks(explore.explore(part, 20)).select("net_id", "state_id", "marking")
+
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    got = likes.once(net, solve, ["name", "place_type"])
+    assert seen == ["A", "C"]  # before: each net by itself
+    assert rows(got) == rows(detect.deadlocks(explore.explore(net, 20)).select("net_id", "state_id", "marking"))
+    shared, own = likes.explore_once(net, 20), explore.explore(net, 20)
+    assert rows(shared.edges) == rows(own.edges) and rows(shared.stats()) == rows(own.stats())
+    # nets that differ in a name are of two kinds only where the name is read
+    other = explore.Net(net.places.withColumn("name", F.concat("name", F.when(F.col("net_id") == "B", "x").otherwise(""))), net.transitions, net.arcs)
+    kinds = lambda *names: likes.likes(other, names).nets.select("like").distinct().count()
+    assert (kinds(), kinds("name")) == (2, 3)
