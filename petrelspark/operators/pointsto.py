@@ -3,10 +3,17 @@
 Constraints (func, src, dst, kind): Address ``dst = &src``, Copy and AliasCopy ``dst = src``, Load ``dst = *src``, Store ``*dst = src``.
 Every place also points to its own allocation, written ``Alloc(place)``.  A place pointed to by name receives what is stored
 through the pointer, and gives what is loaded.  Only the facts of the last round are joined again.
+
+Facts never leave a function, so the constraints of one that has at most ``MOST`` meet in a row, are solved there, and are dealt once; only larger
+functions take rounds over all executors.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +22,79 @@ from petrelspark.operators.cycles import strong_components
 from petrelspark.staging import settle
 
 
-def points_to(constraints: DataFrame, allocations: bool = True, max_rounds: int = 10_000, fields: bool = False) -> DataFrame:
+#: Constraints of a function that may meet in a row.
+MOST = 256
+
+
+def _least(constraints: list[dict], allocations: bool) -> dict[str, set[str]]:
+    """The targets of each node of one function."""
+    pts, copies, loads, stores, work = defaultdict(set), defaultdict(set), defaultdict(list), defaultdict(list), []
+
+    def copy(src: str, dst: str) -> None:
+        if src != dst and dst not in copies[src]:
+            copies[src].add(dst)
+            work.extend((dst, t) for t in pts[src])
+
+    for c in constraints:
+        src, dst, kind = c["src"], c["dst"], c["kind"]
+        if kind == "Load":
+            loads[src].append(dst)
+        elif kind == "Store":
+            stores[dst].append(src)
+        elif kind in ("Copy", "AliasCopy"):
+            copy(src, dst)
+        elif kind == "Address":
+            work.append((dst, src))
+        if allocations:
+            work.extend((n, f"Alloc({n})") for n in (src, dst))
+    while work:
+        node, target = work.pop()
+        if target in pts[node]:
+            continue
+        pts[node].add(target)
+        work.extend((d, target) for d in copies[node])
+        if not target.startswith("Alloc("):
+            for d in loads[node]:
+                copy(target, d)
+            for x in stores[node]:
+                copy(x, target)
+    return pts
+
+
+def _solved(allocations: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                rows = [(r["func"], n, t) for r in batch.slice(k, 64).to_pylist() for n, ts in _least(r["constraints"], allocations).items() for t in ts]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["func", "node", "target"])
+
+    return run
+
+
+def points_to(constraints: DataFrame, allocations: bool = True, max_rounds: int = 10_000, fields: bool = False, most: int = MOST) -> DataFrame:
     """(func, node, target): the least solution.  Rows with a null end are left out.
 
     ``fields``: a place such as ``_1.0.2`` also points where ``_1.0`` and ``_1`` do, while solving: what they get later reaches it, and is loaded and stored through it.
 
+    ``most``: functions with more constraints are solved by rounds (``in_rounds``)."""
+    c = settle(constraints.select("func", "src", "dst", "kind").where("func is not null and src is not null and dst is not null").distinct())
+    if fields:
+        ends = c.select("func", F.col("src").alias("node")).union(c.select("func", "dst")).distinct()
+        c = settle(c.unionByName(field_copies(ends)).distinct())
+    large = settle(c.groupBy("func").count().where(F.col("count") > most).select("func"))
+    small = c.join(large, "func", "left_anti").groupBy("func").agg(F.collect_list(F.struct("src", "dst", "kind")).alias("constraints"))
+    found = small.mapInArrow(_solved(allocations), "func string, node string, target string")
+    if not large.isEmpty():
+        found = found.unionByName(in_rounds(settle(c.join(large, "func", "left_semi")), allocations, max_rounds))
+    return settle(found)
+
+
+def in_rounds(c: DataFrame, allocations: bool = True, max_rounds: int = 10_000) -> DataFrame:
+    """(func, node, target) of distinct constraints without nulls, by semi-naive rounds.
+
     Nodes that copy to each other have one set, so while solving they are one (``strong_components`` of the copies); facts move along the edges between
     them.  Loads and stores make new copies from the facts of the last round, and what those close to a cycle becomes one in turn."""
-    c = settle(constraints.select("func", "src", "dst", "kind").where("src is not null and dst is not null").distinct())
     ends = c.select("func", F.col("src").alias("node")).union(c.select("func", "dst")).distinct()
-    if fields:
-        c = settle(c.unionByName(field_copies(ends)).distinct())
     of = lambda kind: c.where(F.col("kind") == kind).select("func", "src", "dst")
     loads, stores = of("Load"), of("Store")
     copies = settle(c.where("kind in ('Copy', 'AliasCopy')").select("func", "src", "dst").distinct())

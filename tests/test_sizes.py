@@ -81,3 +81,26 @@ def test_nets_that_are_alike_are_explored_once(spark):
     other = explore.Net(net.places.withColumn("name", F.concat("name", F.when(F.col("net_id") == "B", "x").otherwise(""))), net.transitions, net.arcs)
     kinds = lambda *names: likes.likes(other, names).nets.select("like").distinct().count()
     assert (kinds(), kinds("name")) == (2, 3)
+
+
+def test_small_functions_take_no_rounds(spark, monkeypatch):
+    import random
+
+    from petrelspark.operators import pointsto, summaries
+
+    draw = random.Random(27)
+    node = lambda: draw.choice("abcdef")
+    rows = [(f"f{draw.randrange(6)}", node(), node(), draw.choice(["Address", "Copy", "Load", "Store"])) for _ in range(60)] + [("f0", None, "a", "Copy"), (None, "a", "b", "Address")]
+    c = spark.createDataFrame(rows, "func string, src string, dst string, kind string")
+    local = lambda: f"_{draw.randrange(4)}"
+    copies = spark.createDataFrame([(f"f{draw.randrange(6)}", local(), local()) for _ in range(15)], "func string, src string, dst string")
+    calls = spark.createDataFrame([(f"f{draw.randrange(6)}", f"f{draw.randrange(7)}", [local(), draw.choice([None, local()])], local()) for _ in range(12)], "func string, callee string, args array<string>, dest string")
+    own = spark.createDataFrame([(f"f{k}", p) for k in range(6) for p in ("_1", "_2")], "func string, local string")
+    all_ = lambda d: sorted(map(tuple, d.collect()))
+    # functions of 10 constraints or more go by rounds, then all, then none
+    mixed, rounds = all_(pointsto.points_to(c, most=9)), all_(pointsto.points_to(c, most=0))
+    flows = all_(summaries.summaries(copies, calls, own, most=4))
+    monkeypatch.delattr(pointsto, "in_rounds", raising=True)
+    monkeypatch.delattr(summaries, "reachable", raising=True)
+    assert all_(pointsto.points_to(c)) == mixed == rounds  # before: rounds for every function
+    assert all_(summaries.summaries(copies, calls, own)) == flows and flows
