@@ -50,6 +50,15 @@ def once(net: Net, solve: Callable[[Net], DataFrame], places: Sequence[str] = ()
     return of.dealt(counted(solve(of.first), "solved"))
 
 
+def facts_once(tables: Sequence[DataFrame], solve: Callable[..., DataFrame]) -> DataFrame:
+    """The rows (net_id, ...) that ``solve`` gives for programs, from tables (net_id, ...), found once for those with the same rows in all tables."""
+    nets = stage(alike(*tables), "likes")
+    least = counted(nets.where("net_id = like").select("net_id"), "firsts")
+    rows = counted(solve(*(counted(d.join(least, "net_id", "left_semi"), "first") for d in tables)), "solved")
+    to = nets.withColumnRenamed("net_id", "to").join(rows, F.col("like") == F.col("net_id"))
+    return to.select(*[F.col("to").alias("net_id") if c == "net_id" else F.col(c) for c in rows.columns])
+
+
 def explore_once(net: Net, limit: int | None = 50_000) -> StateGraph:
     """``explore``, in which nets of a kind are explored once."""
     of = likes(net)

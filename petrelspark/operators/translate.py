@@ -196,11 +196,11 @@ def translate(functions: DataFrame, blocks: DataFrame, calls: DataFrame, resourc
 def alike(*facts: DataFrame) -> DataFrame:
     """(net_id, like): every net of the facts, with the least one that has the same facts.
 
-    Facts are told by their number and by sums of two 64-bit hashes of each, so what meets is one row for each net and task.  Nulls and the sizes of arrays
+    Facts are told by their number and by sums of two 64-bit hashes of each, so what meets is one row for each net and task.  Nulls, in arrays too,
     are hashed besides the values, as a hash passes over nulls."""
     def hashes(k: int, d: DataFrame) -> DataFrame:
         own = [F.col(c) for c, _ in d.dtypes if c != "net_id"]
-        parts = [F.lit(k), *[c.isNull() for c in own], *[F.size(c) for c, t in d.dtypes if t.startswith("array")], *own]
+        parts = [F.lit(k), *[c.isNull() for c in own], *[F.transform(c, lambda x: x.isNull()) for c, t in d.dtypes if t.startswith("array")], *own]
         return d.select("net_id", F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit("second"), *reversed(parts)).alias("g"))
 
     every = reduce(DataFrame.union, [hashes(k, d) for k, d in enumerate(facts)])

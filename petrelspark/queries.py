@@ -658,13 +658,13 @@ def _app(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 @query(expected.spread("collect_calls", ["app"]).replace("e.* FROM", "e.* REPLACE (CASE WHEN action = 'join' AND CAST(key AS BIGINT) % 3 = 0 THEN NULL ELSE callee END AS callee) FROM") + " WHERE (CAST(key AS BIGINT) + bb) % 3 <> 0")
 def collect_calls(spark, sf_dir):
     a = _app(spark, sf_dir)
-    return collect.dispatched(a["some"], a["locals"], a["owners"], a["functions"]).select("net_id", "func", "bb", "action", "callee", "res", "res2", "ordering", F.array_join("callees", "+").alias("callees"))
+    return likes.facts_once([a[k] for k in ("some", "locals", "owners", "functions")], collect.dispatched).select("net_id", "func", "bb", "action", "callee", "res", "res2", "ordering", F.array_join("callees", "+").alias("callees"))
 
 
 @query(expected.spread("collect_call_edges", ["app"]))
 def collect_call_edges(spark, sf_dir):
     a = _app(spark, sf_dir)
-    return collect.call_sites(a["sites"], a["locals"], a["functions"]).select("net_id", "caller", "callee", "site_kind", "location")
+    return likes.facts_once([a[k] for k in ("sites", "locals", "functions")], collect.call_sites).select("net_id", "caller", "callee", "site_kind", "location")
 
 
 @query(expected.spread("collect_resources", ["app"]))

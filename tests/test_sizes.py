@@ -104,3 +104,18 @@ def test_small_functions_take_no_rounds(spark, monkeypatch):
     monkeypatch.delattr(summaries, "reachable", raising=True)
     assert all_(pointsto.points_to(c)) == mixed == rounds  # before: rounds for every function
     assert all_(summaries.summaries(copies, calls, own)) == flows and flows
+
+
+def test_programs_that_are_alike_are_collected_once(spark):
+    from petrelspark.operators import likes
+
+    d = spark.createDataFrame([("A", "f", [None, "x"]), ("B", "f", [None, "x"]), ("C", "f", ["x", None])], "net_id string, name string, args array<string>")
+    seen = []
+
+    def solve(t):
+        seen.extend(sorted(r[0] for r in t.collect()))
+        return t.select("net_id", "args")
+
+    got = {r[0]: r[1] for r in likes.facts_once([d], solve).collect()}
+    assert seen == ["A", "C"]  # before: where in an array a null stands was not told
+    assert got == {"A": [None, "x"], "B": [None, "x"], "C": ["x", None]}
