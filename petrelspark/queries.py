@@ -92,6 +92,15 @@ _KIND = "case when ttype = 'AtomicLoad' then 'load' when ttype in ('AtomicStore'
 _EVENTS = [f"{_KIND} as kind", f"case when {_KIND} is not null then var end as v", f"case when {_KIND} is not null then tid end as i"]
 
 
+#: What races read of transitions.
+_UNSAFE = ["case when ttype in ('UnsafeRead', 'UnsafeWrite') then ttype end as access", "case when ttype in ('UnsafeRead', 'UnsafeWrite') then var end as location"]
+
+
+def _races(g: explore.StateGraph) -> DataFrame:
+    """(net_id, location, pairs): how many pairs of accesses race."""
+    return detect.race_pairs(detect.accesses(g), ["net_id"]).groupBy("net_id", "location").agg(F.count("*").alias("pairs"))
+
+
 @query(NETS + " SELECT net_id, array_to_string(m, ',') AS marking FROM initial")
 def net_initial_marking(spark, sf_dir):
     return _net(spark, sf_dir, staged=False).initial().select("net_id", _csv("marking").alias("marking"))
@@ -599,11 +608,20 @@ def _program(spark: SparkSession, sf_dir: str) -> Net:
     return translate.translate_once(*[derive.renamed(d, given) for d in programs.facts(spark)])
 
 
-def _program_graph(spark: SparkSession, sf_dir: str) -> explore.StateGraph:
-    n = _program(spark, sf_dir)
+def _counted_graph(n: Net) -> explore.StateGraph:
     return explore.explore(Net(counted(n.places, "places"), counted(n.transitions, "transitions"), counted(n.arcs, "arcs")))
 
 
+def _program_graph(spark: SparkSession, sf_dir: str) -> explore.StateGraph:
+    return _counted_graph(_program(spark, sf_dir))
+
+
+def _programs_once(spark: SparkSession, sf_dir: str, solve) -> DataFrame:
+    """What ``solve`` gives for the state graphs of the literal programs' nets, translated and explored once for programs with the same facts."""
+    given = derive.spread(spark, sf_dir, list(programs.PROGRAMS))
+    return likes.facts_once([derive.renamed(d, given) for d in programs.facts(spark)], lambda *facts: solve(_counted_graph(translate.translate(*facts))))
+
+
 @query(PROGRAM + " SELECT net_id, name, CAST(tokens AS BIGINT) AS tokens, CAST(capacity AS BIGINT) AS capacity, place_type FROM places")
 def translate_places(spark, sf_dir):
     return _program(spark, sf_dir).places.select("net_id", "name", "tokens", "capacity", "place_type")
@@ -621,31 +639,35 @@ def translate_arcs(spark, sf_dir):
 
 @query(PROGRAM_REACH + " SELECT r.net_id, count(*) AS states, (SELECT count(*) FROM fired f WHERE f.net_id = r.net_id AND f.fits) AS edges FROM reach r GROUP BY r.net_id")
 def translate_states(spark, sf_dir):
-    return _program_graph(spark, sf_dir).stats().select("net_id", "states", "edges")
+    return _programs_once(spark, sf_dir, lambda g: g.stats().select("net_id", "states", "edges"))
 
 
 @query(PROGRAM_REACH + _ENDED + " SELECT net_id, coalesce(marking, '') AS marking FROM marks")
 def translate_deadlock(spark, sf_dir):
-    return detect.deadlocks(_program_graph(spark, sf_dir)).select("net_id", "marking")
+    return _programs_once(spark, sf_dir, lambda g: detect.deadlocks(g).select("net_id", "marking"))
 
 
 @query(PROGRAM_REACH + ", acc AS (SELECT DISTINCT f.net_id, array_to_string(f.m, ',') AS state, t.var AS location, t.ttype = 'UnsafeWrite' AS write, t.trans_id FROM fired f JOIN transitions t ON t.net_id = f.net_id AND t.trans_id = f.trans_id WHERE f.fits AND t.ttype IN ('UnsafeRead', 'UnsafeWrite')) SELECT a.net_id, a.location, count(*) AS pairs FROM acc a JOIN acc b ON a.net_id = b.net_id AND a.state = b.state AND a.location = b.location AND a.trans_id < b.trans_id AND (a.write OR b.write) GROUP BY ALL")
 def translate_race(spark, sf_dir):
-    return detect.race_pairs(detect.accesses(_program_graph(spark, sf_dir)), ["net_id"]).groupBy("net_id", "location").agg(F.count("*").alias("pairs"))
+    return _programs_once(spark, sf_dir, _races)
 
 
 @query(expected.spread("translate_atomicity", list(programs.PROGRAMS)))
 def translate_atomicity(spark, sf_dir):
-    return detect.atomicity(_program_graph(spark, sf_dir)).withColumn("stores", F.array_join("stores", ","))
+    return _programs_once(spark, sf_dir, lambda g: detect.atomicity(g).withColumn("stores", F.array_join("stores", ",")))
 
 
 @query(expected.spread("translate_tasks", ["jobs"]))
 def translate_tasks(spark, sf_dir):
     given = derive.spread(spark, sf_dir, ["jobs"])
     tasks = derive.renamed(spark.createDataFrame([("jobs", "a", 0), ("jobs", "b", 1)], "net_id string, task string, awaits int"), given)
-    net = translate.as_net(counted(translate.task_rows(tasks), "net-rows"))
-    places = net.places.withColumn("tokens", F.when(F.col("name").endswith("_ready"), 1).otherwise(F.col("tokens")).cast("long"))
-    return explore.explore(Net(counted(places, "places"), counted(net.transitions, "transitions"), counted(net.arcs, "arcs"))).stats()
+
+    def stats(tasks):
+        net = translate.as_net(counted(translate.task_rows(tasks), "net-rows"))
+        places = net.places.withColumn("tokens", F.when(F.col("name").endswith("_ready"), 1).otherwise(F.col("tokens")).cast("long"))
+        return _counted_graph(Net(places, net.transitions, net.arcs)).stats()
+
+    return likes.facts_once([tasks], stats)
 
 
 def _app(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -119,3 +119,23 @@ def test_programs_that_are_alike_are_collected_once(spark):
     got = {r[0]: r[1] for r in likes.facts_once([d], solve).collect()}
     assert seen == ["A", "C"]  # before: where in an array a null stands was not told
     assert got == {"A": [None, "x"], "B": [None, "x"], "C": ["x", None]}
+
+
+def test_programs_and_reductions_are_worked_out_once(spark, monkeypatch):
+    from petrelspark import queries
+    from petrelspark.operators import explore, reduce
+    from petrelspark.plans import fixtures, programs
+
+    seen, plain, shrink = [], explore.explore, reduce.reduced
+
+    def nets(net):
+        seen.append(net.places.select("net_id").distinct().count())
+        return net
+
+    monkeypatch.setattr(explore, "explore", lambda net, *a: plain(nets(net), *a))
+    monkeypatch.setattr(reduce, "reduced", lambda net, *a: shrink(nets(net), *a))
+    sf = "/root/testdata/sf0.001"
+    for name, n in (("translate_tasks", 1), ("translate_states", len(programs.PROGRAMS)), ("reduce_trace", len(fixtures.REDUCIBLE))):
+        seen.clear()
+        assert queries.QUERIES[name](spark, sf).select("net_id").distinct().count() > n
+        assert seen == [n]  # before: the net of each order
