@@ -492,9 +492,16 @@ def first_match_resource(spark, sf_dir):
     return translate.resource_of(e.where("event_type = 'purchase'").select(F.col("event_id").alias("op"), "alias"), resources, first=True)
 
 
+#: What reduction reads of places and transitions.
+_REDUCED = ["place_type"], ["name", "ttype"]
+
+
 def _stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    n = reduce.reduced(_spread_net(spark, sf_dir, fixtures.REDUCIBLE))[name]
-    return n.transitions.groupBy("net_id").agg(F.count("*").alias("transitions")).join(n.places.groupBy("net_id").agg(F.count("*").alias("places")), "net_id", "outer").na.fill(0)
+    def sizes(net):
+        n = reduce.reduced(net)[name]
+        return n.transitions.groupBy("net_id").agg(F.count("*").alias("transitions")).join(n.places.groupBy("net_id").agg(F.count("*").alias("places")), "net_id", "outer").na.fill(0)
+
+    return likes.once(_spread_net(spark, sf_dir, fixtures.REDUCIBLE), sizes, *_REDUCED)
 
 
 @query(expected.spread("reduce_loops", list(fixtures.REDUCIBLE)))
@@ -514,7 +521,8 @@ def reduce_intermediate(spark, sf_dir):
 
 @query(expected.spread("reduce_trace", list(fixtures.REDUCIBLE)))
 def reduce_trace(spark, sf_dir):
-    return reduce.reduced(_spread_net(spark, sf_dir, fixtures.REDUCIBLE))["result"].transitions.select("net_id", "trans_id", "name", "ttype", _csv("orig_ids").alias("orig_ids"))
+    result = lambda net: reduce.reduced(net)["result"].transitions.select("net_id", "trans_id", "name", "ttype", _csv("orig_ids").alias("orig_ids"))
+    return likes.once(_spread_net(spark, sf_dir, fixtures.REDUCIBLE), result, *_REDUCED)
 
 
 _TEXTS = [path for path, _ in samples.PROGRAMS]
