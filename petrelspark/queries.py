@@ -575,7 +575,7 @@ def net_dot(spark, sf_dir):
 
 @query()
 def state_graph_dot(spark, sf_dir):
-    return sinks.graph_dot(_graph(spark, sf_dir))
+    return _once(spark, sf_dir, sinks.graph_dot, ["name"], ["name"])
 
 
 _UNBOUNDED = fixtures.GENERATOR | {"N2": fixtures.NETS["N2"], "N7": fixtures.NETS["N7"]}
