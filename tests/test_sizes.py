@@ -139,3 +139,18 @@ def test_programs_and_reductions_are_worked_out_once(spark, monkeypatch):
         seen.clear()
         assert queries.QUERIES[name](spark, sf).select("net_id").distinct().count() > n
         assert seen == [n]  # before: the net of each order
+
+
+def test_nets_without_a_candidate_are_not_searched(spark, monkeypatch):
+    from petrelspark.operators import detect, explore, likes
+    from petrelspark.plans import fixtures
+
+    places, steps = fixtures.NETS["N6"]
+    nets = {"N6": (places, steps), "N7": fixtures.NETS["N7"], "other": (places, [t.replace("14:5", "7:5").replace("10:5", "99:1") for t in steps]), "same": (places, [t.replace("12:5", "10:5") for t in steps])}
+    net, seen = fixtures.net(spark, nets), []
+    rows = lambda d: sorted(map(str, d.collect()))
+    want = [rows(f(explore.explore(net))) for f in (detect.atomicity, detect.net_witnesses)]
+    monkeypatch.setattr(likes, "explore", lambda part: seen.append(sorted(r[0] for r in part.places.select("net_id").distinct().collect())) or explore.explore(part))
+    assert [rows(likes.atomicity_once(net)), rows(likes.witnesses_once(net))] == want and all(want)
+    # before: atomicity took each net, and the search those without an atomic step, too
+    assert seen == [["N6"], ["N6"]]
