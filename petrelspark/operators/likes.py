@@ -108,3 +108,11 @@ def witnesses_once(net: Net) -> DataFrame:
     part = some_of(net, loads.join(stores, ["net_id", "var"]).where("tid != other"))
     reads = [f"case when ttype = 'AtomicLoad' then 'load' when {_STORE} then 'store' end as kind", f"{_EVENT} var end as v", f"{_EVENT} tid end as i"]
     return once(part, lambda n: detect.net_witnesses(explore(n)), transitions=reads)
+
+
+def texts_once(texts: DataFrame, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows (path, ...) that ``solve`` gives for texts (path, text), found once for those that are equal, under their SHA-256."""
+    key = F.sha2("text", 256)
+    rows = counted(solve(stage(texts.select("text").distinct().select(key.alias("path"), "text"), "texts")), "solved")
+    to = texts.select(F.col("path").alias("to"), key.alias("like"))
+    return to.join(rows, F.col("like") == F.col("path")).select(*[F.col("to").alias("path") if c == "path" else F.col(c) for c in rows.columns])

@@ -548,19 +548,23 @@ def mir_locals(spark, sf_dir):
 
 @query(expected.spread("mir_net", _TEXTS, "path"))
 def mir_net(spark, sf_dir):
-    r = mir.net_rows(_programs(spark, sf_dir))
     n = lambda d, k: d.groupBy("path").agg(F.count("*").alias(k))
-    return n(r["places"], "places").join(n(r["transitions"], "transitions"), "path").join(n(r["arcs"], "arcs"), "path")
+
+    def sizes(texts):
+        r = mir.net_rows(texts)
+        return n(r["places"], "places").join(n(r["transitions"], "transitions"), "path").join(n(r["arcs"], "arcs"), "path")
+
+    return likes.texts_once(_programs(spark, sf_dir), sizes)
 
 
 @query(expected.spread("mir_warnings", _TEXTS, "path"))
 def mir_warnings(spark, sf_dir):
-    return mir.net_rows(_programs(spark, sf_dir))["warnings"]
+    return likes.texts_once(_programs(spark, sf_dir), lambda texts: mir.net_rows(texts)["warnings"])
 
 
 @query()
 def mir_pnml(spark, sf_dir):
-    return sinks.pnml(mir.net_rows(_programs(spark, sf_dir)))
+    return likes.texts_once(_programs(spark, sf_dir), lambda texts: sinks.pnml(mir.net_rows(texts)))
 
 
 @query()

@@ -154,3 +154,16 @@ def test_nets_without_a_candidate_are_not_searched(spark, monkeypatch):
     assert [rows(likes.atomicity_once(net)), rows(likes.witnesses_once(net))] == want and all(want)
     # before: atomicity took each net, and the search those without an atomic step, too
     assert seen == [["N6"], ["N6"]]
+
+
+def test_texts_that_are_equal_are_read_once(spark):
+    from petrelspark.operators import likes
+
+    texts, seen = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", None)], "path string, text string"), []
+
+    def solve(some):
+        seen.append(some.count())
+        return some.where("text is not null").selectExpr("path", "text || '!' as said")
+
+    assert sorted(map(tuple, likes.texts_once(texts, solve).collect())) == [("a", "x!"), ("b", "x!"), ("c", "y!")]
+    assert seen[0] <= 3  # before: each text by itself
